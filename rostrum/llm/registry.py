@@ -1,6 +1,9 @@
 """Queries of this subpackage, by the name under which they are registered."""
 
+from rostrum.llm import oracles
+from rostrum.llm.decontaminate import op10_benchmark_decontamination
+from rostrum.llm.line_dedup import op6_line_dedup
 from rostrum.llm.quality_rules import op3_adaptive_quality
 
-QUERIES = {f.__name__: f for f in (op3_adaptive_quality,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_adaptive_quality, op6_line_dedup, op10_benchmark_decontamination)}
+ORACLES: dict[str, str] = {"op6_line_dedup": oracles.LINE_DEDUP, "op10_benchmark_decontamination": oracles.DECONTAMINATION}
