@@ -3,7 +3,9 @@
 from rostrum.llm import oracles
 from rostrum.llm.decontaminate import op10_benchmark_decontamination
 from rostrum.llm.line_dedup import op6_line_dedup
+from rostrum.llm.mixing import op4_mix_to_weights
 from rostrum.llm.quality_rules import op3_adaptive_quality
+from rostrum.llm.sharding import op2_kd_shards
 
-QUERIES = {f.__name__: f for f in (op3_adaptive_quality, op6_line_dedup, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_kd_shards, op3_adaptive_quality, op4_mix_to_weights, op6_line_dedup, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {"op6_line_dedup": oracles.LINE_DEDUP, "op10_benchmark_decontamination": oracles.DECONTAMINATION}
