@@ -2,6 +2,7 @@
 
 from rostrum.llm import oracles
 from rostrum.llm.decontaminate import op10_benchmark_decontamination
+from rostrum.llm.html_wrappers import op7_main_text
 from rostrum.llm.language_id import op9_language_id
 from rostrum.llm.line_dedup import op6_line_dedup
 from rostrum.llm.mixing import op4_mix_to_weights
@@ -9,5 +10,5 @@ from rostrum.llm.pii import op5_personal_data
 from rostrum.llm.quality_rules import op3_adaptive_quality
 from rostrum.llm.sharding import op2_kd_shards
 
-QUERIES = {f.__name__: f for f in (op2_kd_shards, op3_adaptive_quality, op4_mix_to_weights, op5_personal_data, op6_line_dedup, op9_language_id, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_kd_shards, op3_adaptive_quality, op4_mix_to_weights, op5_personal_data, op6_line_dedup, op7_main_text, op9_language_id, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {"op6_line_dedup": oracles.LINE_DEDUP, "op10_benchmark_decontamination": oracles.DECONTAMINATION}
