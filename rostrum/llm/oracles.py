@@ -66,3 +66,27 @@ WITH doc AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (doc_id)
 """
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_WORDS}) AS w FROM documents
+), start AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0
+), shingle AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS s FROM start
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN size p ON p.doc_id = a.doc_id JOIN size q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 80 * (max(p.n) + max(q.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM doc
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.other
+)
+SELECT r.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.other) AS component_id, r.doc_id = min(r.other) AS kept
+FROM reach r LEFT JOIN size s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
