@@ -129,7 +129,7 @@ WITH RECURSIVE rounds AS (
   SELECT person_id, tid, rounds, CASE WHEN x % 7 <> 0 THEN total END AS total, wins, coalesce(points, 0) AS points, 'Team ' || (person_id // 2) AS team,
          CASE WHEN x % 6 <> 0 THEN (person_id * 7 + tid * 3) % 40 + 1 END AS team_rank, CASE WHEN x % 4 = 0 THEN person_id % 16 + 1 END AS break_rank, x % 4 = 0 AS broke,
          CASE x % 12 WHEN 0 THEN 'Grand Final' WHEN 4 THEN 'ESL Semifinals' WHEN 8 THEN 'QF' END AS elimination, CASE WHEN x % 5 <> 0 THEN person_id % 30 + 1 END AS open_rank
-  FROM (SELECT person_id, tid, person_id + tid AS x, count(*) AS rounds, round(sum(raw), 2) AS total, count_if(won)::BIGINT AS wins, sum(points)::BIGINT AS points FROM rounds GROUP BY ALL)
+  FROM (SELECT person_id, tid, person_id + tid AS x, count(*) AS rounds, round(sum(raw), 2) AS total, count(*) FILTER (WHERE won) AS wins, sum(points)::BIGINT AS points FROM rounds GROUP BY ALL)
 ), motion AS (
   SELECT p_partkey AS motion_id, p_partkey % 5 AS slot, (1 + p_size % 12)::BIGINT AS round, p_partkey % 3 AS seq,
          CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS type, CASE WHEN p_partkey % 6 <> 0 THEN p_brand END AS topic, p_name AS text

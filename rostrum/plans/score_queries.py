@@ -146,7 +146,7 @@ def agg_09_field_context(spark, sf_dir):
 
 @query(_FIELD + """
 , c AS (SELECT *, coalesce(own_rounds < prelims, false) AS incomplete FROM ctx)
-SELECT person_id, count(*) AS placements, count_if(NOT incomplete)::BIGINT AS complete, round(avg(mine - mean) FILTER (WHERE NOT incomplete), 6) AS mean_delta,
+SELECT person_id, count(*) AS placements, count(*) FILTER (WHERE NOT incomplete) AS complete, round(avg(mine - mean) FILTER (WHERE NOT incomplete), 6) AS mean_delta,
   round(avg(CASE WHEN sd > 0 THEN (mine - mean) / sd END) FILTER (WHERE NOT incomplete), 6) AS mean_z, round(avg((1 - better / n) * 100) FILTER (WHERE NOT incomplete), 6) AS mean_percentile
 FROM c GROUP BY person_id""")
 def agg_09_career_field(spark, sf_dir):
