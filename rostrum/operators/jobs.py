@@ -79,17 +79,36 @@ def anchored_windows(events: DataFrame, key: list[str], ts: str, seconds: int) -
     bursts = timed.withColumn("burst", F.sum(F.coalesce("new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
+        """Rows of whole bursts, in order."""
         t = rows["t"].to_numpy()
+        ends = np.append(np.flatnonzero(_changes(rows))[1:], len(t))
         start, n, i = np.empty_like(t), np.empty_like(t), 0
-        while i < len(t):
-            j = int(np.searchsorted(t, t[i] + span, "right"))
-            start[i:j], n[i:j] = t[i], np.arange(1, j - i + 1)
-            i = j
+        for end in ends.tolist():
+            while i < end:
+                j = i + int(np.searchsorted(t[i:end], t[i] + span, "right"))
+                start[i:j], n[i:j] = t[i], np.arange(1, j - i + 1)
+                i = j
         return rows[key].assign(t=t, start=start, n=n)
 
+    def _changes(rows: pd.DataFrame) -> np.ndarray:
+        own = rows[[*key, "burst"]]
+        return (own != own.shift()).any(axis=1).to_numpy()
+
+    def stream(batches):
+        rest = None
+        for rows in batches:
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            last = int(np.flatnonzero(_changes(rows))[-1])  # the last burst may go on in the next batch
+            if last:
+                yield fold(rows.iloc[:last])
+            rest = rows.iloc[last:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield fold(rest)
+
     schema = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in key) + ", t bigint, start bigint, n bigint"
-    done = bursts.groupBy(*key, "burst").applyInPandas(fold, schema)
+    done = bursts.repartition(*key, "burst").sortWithinPartitions(*key, "burst", "t").mapInPandas(stream, schema)
     back = lambda c: F.timestamp_micros(c).cast(kind)
     return done.select(*key, back("t").alias(ts), back("start").alias("window_start"), "n")
 
