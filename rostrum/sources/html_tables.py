@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from rostrum.functions.numbers import parse_number
+from rostrum.functions.stages import normalize_stage
 from rostrum.sources.js_literal import LiteralError, parse_at
 
 # How pages name their embedded tables, in order of preference.
@@ -222,7 +223,7 @@ def speaker_tab(pages: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def _by(key: str):
+def _by(key: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy("row_no")
 
 
@@ -307,6 +308,50 @@ def participants(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return named.select(key, "table_no", "row_no", at("c_name").alias("name"), "k.role", "k.judge_tag", at("c_team").alias("team"), F.when(~inst.isin("—", "-"), inst).alias("institution"))
 
 
-def team_matches(text: Column, team: Column) -> Column:
-    """Whether a cell means a team: its name, or its name and a number."""
-    return (text == team) | (F.startswith(text, team) & F.substr(text, F.length(team) + 1).rlike(r"^\s+\d+$"))
+def team_matches(a: Column, b: Column) -> Column:
+    """Whether two cells mean one team: equal, or the longer is the shorter and a number."""
+    longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
+    numbered = F.startswith(longer, shorter) & F.substr(longer, F.length(shorter) + 1).rlike(r"^\s+\d+\s*$")
+    return (shorter != "") & ((a == b) | numbered)
+
+
+def motions(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, seq, round_label, round_number, text, info_slide): motions in document order."""
+    h = F.col("head")
+    columns = {"c_text": find_column(h, "motion", "text", "topic"), "c_round": find_column(h, "round", "stage", "label"), "c_info": find_column(h, "info", "slide")}
+    r = _rows(with_tables(pages), columns, [key, "table_no"])
+    at = lambda c: cell("row", F.col(c))
+    label = F.when(F.col("c_round").isNotNull(), F.coalesce(at("c_round"), F.lit(""))).otherwise(F.coalesce("title", F.lit("")))
+    number = F.regexp_extract(normalize_stage(label), r"(?i)^Round\s+(\d+)$", 1).try_cast("int")
+    seq = F.row_number().over(Window.partitionBy(key).orderBy("table_no", "row_no")) - 1
+    return r.filter(at("c_text").isNotNull()).select(key, seq.alias("seq"), label.alias("round_label"), number.alias("round_number"), at("c_text").alias("text"), at("c_info").alias("info_slide"))
+
+
+def _debates(pages: DataFrame, key: str) -> DataFrame:
+    """Rows of a person's own debates: the table that is titled so, else the first that names adjudicators."""
+    t = with_tables(pages)
+    titled = F.coalesce(F.col("title").rlike(r"(?i)^((my|your)\s+)?(debates?|rounds?)$|^schedule$|^panel(s|\s+history)?$|round\s+assignments?"), F.lit(False))
+    adj = find_column(F.col("head"), "adjudicator", "judge")
+    t = t.withColumn("fit", F.when(titled, 2).when(adj.isNotNull(), 1).otherwise(0)).filter("fit > 0")
+    own = t.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("fit"), "table_no"))).filter("i = 1")
+    h = F.col("head")
+    return _rows(own, {"c_round": F.coalesce(find_column(h, "round"), F.lit(0)), "c_adj": find_column(h, "adjudicator", "judge", "adj"), "c_result": find_column(h, "result")}, [key])
+
+
+def judge_rounds(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, sequence, stage, round_number, role): rounds that the page's owner (set in bold) judged, and how."""
+    r = _debates(pages, key)
+    owner = F.regexp_extract(F.get("row", F.col("c_adj"))["mark"], r"(?is)<strong\b.*?</strong>", 0)
+    stage = normalize_stage(cell("row", F.col("c_round")))
+    role = F.when(owner.rlike("Ⓒ|(?i)chair"), "chair").when(owner.rlike("Ⓣ|(?i)trainee"), "trainee").otherwise("panellist")
+    return r.filter((owner != "") & stage.isNotNull()).select(key, (F.col("row_no") + 1).alias("sequence"), stage.alias("stage"), F.regexp_extract(stage, r"^Round (\d+)$", 1).try_cast("int").alias("round_number"), role.alias("role"))
+
+
+def speaker_rounds(pages: DataFrame, team: str, key: str = "page_id") -> DataFrame:
+    """(key, sequence, stage, won): rounds of the page's owner as a speaker: the row whose team cell is in bold or names the known team."""
+    r = _debates(pages.drop(team), key).join(pages.select(key, F.lower(F.trim(team)).alias("__team")), key)
+    own = F.filter("row", lambda c: F.coalesce(c["mark"].rlike(r"(?i)<strong\b") | team_matches(F.lower(c["text"]), F.col("__team")), F.lit(False)))
+    mark = F.get(own, F.lit(0))["mark"]
+    won = F.when(mark.rlike(r"(?i)chevron-up|\bwon\b|text-success|\bwin\b"), True).when(mark.rlike(r"(?i)chevron-down|\blost\b|text-danger|\bloss\b"), False)
+    stage = normalize_stage(cell("row", F.col("c_round")))
+    return r.filter((F.size(own) > 0) & stage.isNotNull()).select(key, (F.col("row_no") + 1).alias("sequence"), stage.alias("stage"), won.alias("won"))
