@@ -193,6 +193,7 @@ def team_tab(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return r.filter(at("c_team").isNotNull()).select(key, "row_no", parse_number(at("c_rank")).cast("int").alias("rank"), at("c_team").alias("team"), at("c_inst").alias("institution"), parse_number(at("c_wins")).cast("int").alias("wins"), parse_number(at("c_points")).alias("points"))
 
 
+# Headers of columns that hold one round.
 ROUND_HEADER = r"(?i)\b(r(ound)?\s*\d+|final|semi|quarter|octo|grand)\b|^\s*\d+\s*$|\b(speech|debate|match)\s*\d+"
 
 
@@ -277,6 +278,7 @@ def break_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
+# Roles of those who run an event.
 CORE = r"\b(?:chief|deputy)\s+(?:chief\s+)?adjudicator\b|\b(?:adj[\s-]?core|core\s+adjudicator|tab[\s-]?director)\b|\bd?ca\b"
 
 
