@@ -6,13 +6,14 @@ each sample flips one bit. The population count of the XOR of two sketches
 estimates a high similarity precisely, so it weeds out most candidates of the
 bands, in native expressions; what is left is confirmed on the full sets.
 
-Documents with equal sets are one class, linked through its least doc_id. In
-each bucket of a band, every member is a candidate with one leader, the least
-doc_id; a member's first links come from the leader it shares with most sureness
-(the least one its sketch allows). Buckets whose members are not in one
-component then compare the members outside the bucket's largest component with
-all the others. A group of near copies so costs about one pair per member, not
-all pairs, and no pair with a chance to connect two components is left out.
+Documents with equal sets are one class, linked through its least doc_id. Each
+bucket of a band has a few leaders; a member is first compared with the leaders
+of its buckets that its sketch is nearest to, and leaders with each other.
+Buckets whose members are then not in one component compare the members outside
+the bucket's largest component with all the others, each pair in the first band
+it shares; in crowded buckets they meet block by block inside tasks, where exact
+overlaps come from matrix products and only likely links leave. A group of near copies so costs about two pairs per member, not all
+pairs, and no pair with a chance to connect two components is left out.
 
 A pair at the threshold shares no band with a chance of about 5e-8, and is
 weeded out by its sketch with one of about 1e-7.
@@ -26,6 +27,7 @@ an empty table gives an empty result; other columns are left alone.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,11 @@ SKETCH_LONGS = 8
 #: Similarity below which a sketch's estimate turns a candidate away. At 0.8 the estimate's deviation is about 0.05.
 SURE = 0.55
 
+#: Leaders of a bucket, and how many of the nearest of them a member is compared with at first.
+LEADERS, CHOICES = 4, 2
+#: Pairs of a bucket above which they are met in blocks, and rows of a block.
+CROWD, BLOCK = 400, 1024
+
 _A = (seeds(SAMPLES, 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (seeds(SAMPLES, 2) >> np.uint64(32)).astype(np.uint32)
 
@@ -130,16 +137,18 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, grams): the sorted shingle hashes as bytes."""
+    """(doc_id, n, grams, short): the sorted shingle hashes as bytes, and their upper halves."""
 
     def rows(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 g, first = shingle_sets(part.column("text"), shingle)
-                sets = [g[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(sets, pa.binary())], ["doc_id", "n", "grams"])
+                ends = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+                half = (g >> np.uint64(32)).astype(np.uint32)
+                sets, short = [g[a:b].tobytes() for a, b in ends], [half[a:b].tobytes() for a, b in ends]
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(sets, pa.binary()), pa.array(short, pa.binary())], ["doc_id", "n", "grams", "short"])
 
-    return texts.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, grams binary")
+    return texts.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, grams binary, short binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,11 +168,104 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
+def _bits(x: str, y: str) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
+
+
 def _likely(x: str, y: str, percent: int) -> Column:
     """By size and sketch, the two can reach the similarity."""
-    bits = sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (bits <= most_bits(SURE))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_bits(x, y) <= most_bits(SURE))
+
+
+def _star_pairs(slim: DataFrame, leaders: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member with the leaders of its buckets that its sketch is nearest to, and leaders of a bucket with each other."""
+    led = slim.join(leaders, "key").select("doc_id", F.explode(F.array_distinct("leaders")).alias("leader")).filter("doc_id <> leader").distinct().alias("p")
+    near = led.join(sketch.alias("o"), F.col("p.doc_id") == F.col("o.doc_id")).join(sketch.alias("t"), F.col("p.leader") == F.col("t.doc_id")).filter(_likely("o", "t", percent))
+    by_bits = F.struct(_bits("o", "t").alias("bits"), F.col("p.leader").alias("leader"))
+    # a member has at most LEADERS leaders in each of its bands: a short list
+    best = near.groupBy(F.col("p.doc_id").alias("doc_id")).agg(F.slice(F.array_sort(F.collect_list(by_bits)), 1, CHOICES).alias("best"))
+    chosen = best.select("doc_id", F.explode("best").alias("x")).select("doc_id", "x.leader")
+    one, two = F.explode("leaders").alias("doc_id"), F.explode("leaders").alias("leader")
+    tops = leaders.select("leaders", one).select("doc_id", two).filter("doc_id <> leader").distinct()
+    both = chosen.unionByName(tops)
+    return both.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+
+
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """(len(xs), len(ys)): sizes of all intersections, as products of 0/1 matrices over the values that both sides hold."""
+    sizes = [len(s) for s in (*xs, *ys)]
+    values = np.concatenate([*xs, *ys]) if sizes else np.zeros(0, np.uint32)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left, right = np.unique(values[owner < len(xs)]), np.unique(values[owner >= len(xs)])
+    known = np.intersect1d(left, right, assume_unique=True)
+    place = np.searchsorted(known, values)
+    inside = place < len(known)
+    inside[inside] = known[place[inside]] == values[inside]
+    owner, place = owner[inside], place[inside]
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for k in range(0, len(known), 4096):
+        part = (place >= k) & (place < k + 4096)
+        m = np.zeros((len(sizes), min(4096, len(known) - k)), np.float32)
+        m[owner[part], place[part] - k] = 1
+        out += m[: len(xs)] @ m[len(xs) :].T
+    return out
+
+
+def _block_pairs(x: pd.DataFrame, y: pd.DataFrame, key: int, percent: int) -> pd.DataFrame:
+    """Pairs of two blocks of a bucket that can reach the similarity: by component, size, sketch and first band, then by
+    the overlap of their short hashes (a little below the threshold, as hashes may fall together)."""
+    nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+    dx, dy = x["doc_id"].to_numpy()[:, None], y["doc_id"].to_numpy()[None, :]
+    cy, my = y["component"].to_numpy()[None, :], y["main"].to_numpy()[None, :]
+    ok = (x["component"].to_numpy()[:, None] != cy) & ((cy == my) | (dx > dy)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+    bits = np.zeros(ok.shape, np.int64)
+    for k in range(SKETCH_LONGS):
+        bits += np.bitwise_count(x[f"s{k}"].to_numpy().view(np.uint64)[:, None] ^ y[f"s{k}"].to_numpy().view(np.uint64)[None, :])
+    ok &= bits <= most_bits(SURE)
+    bx, by = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
+    band = np.argmax(bx == key, axis=1)[:, None]
+    for k in range(bx.shape[1]):  # no earlier band in common
+        ok &= ~((k < band) & (bx[:, k][:, None] == by[:, k][None, :]))
+    if ok.any():
+        short = lambda df: [np.unique(np.frombuffer(b, np.uint32)) for b in df["short"]]
+        both = overlaps(short(x), short(y))
+        ok &= 100 * both >= (percent - 2) * (nx + ny - both)
+    i, j = np.nonzero(ok)
+    a, b = x["doc_id"].to_numpy()[i], y["doc_id"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _crowded_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of buckets with very many pairs: outsiders and members meet in blocks of about BLOCK rows each, a pair of blocks
+    at a time, and only likely pairs leave the task."""
+    cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    r = rows.join(sets.select("doc_id", "short"), "doc_id").withColumn("nx", cut("outsiders")).withColumn("ny", cut("members"))
+    spread = lambda own, other, n: F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda i: F.struct(*((F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int").alias("p"), i.alias("q")) if n == "x" else (i.alias("p"), F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int").alias("q"))))))
+    x = r.filter("component <> main").withColumn("cell", spread("nx", "ny", "x")).withColumn("side", F.lit(0))
+    y = r.withColumn("cell", spread("ny", "nx", "y")).withColumn("side", F.lit(1))
+    columns = ["key", "cell.p", "cell.q", "side", "doc_id", "component", "main", "n", "bands", "short", *[f"s{k}" for k in range(SKETCH_LONGS)]]
+    dealt = x.select(columns).unionByName(y.select(columns)).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
+
+    def meet(batches):
+        rest = None
+        for df in batches:
+            df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+            if not len(df):
+                continue
+            cell = df[["key", "p", "q"]]
+            starts = np.flatnonzero((cell != cell.shift()).any(axis=1).to_numpy())
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield pairs(df.iloc[s:e])
+            rest = df.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None:
+            yield pairs(rest)
+
+    def pairs(df: pd.DataFrame) -> pd.DataFrame:
+        return _block_pairs(df[df["side"] == 0], df[df["side"] == 1], int(df["key"].iloc[0]), percent)
+
+    return dealt.mapInPandas(meet, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -173,28 +275,32 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     classes = named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     member = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).filter("members > 1")
-    slim = kept(member.join(buckets.select("key", "leader"), "key"))  # rows of buckets with company only
+    # leaders of a bucket: its least documents by several hashes, so that buckets that share members share leaders
+    least = lambda i: F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), "doc_id"))["doc_id"]
+    buckets = member.groupBy("key").agg(F.array(*[least(i) for i in range(LEADERS)]).alias("leaders"), F.count("*").alias("members")).filter("members > 1").select("key", "leaders")
+    slim = kept(member.join(buckets, "key"))  # rows of buckets with company only
+    leaders = slim.select("key", "leaders").distinct()
+    slim = slim.select("key", "doc_id")
     sketch = reps.drop("bands", "f1", "f2")
-    own, top = sketch.alias("o"), sketch.alias("t")
-    led = slim.filter("doc_id <> leader").select("leader", "doc_id").distinct().alias("p")
-    likely = led.join(own, F.col("p.doc_id") == F.col("o.doc_id")).join(top, F.col("p.leader") == F.col("t.doc_id")).filter(_likely("o", "t", percent))
-    first = kept(likely.groupBy(F.col("p.doc_id").alias("b")).agg(F.min("p.leader").alias("a")))
     wanted = slim.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = kept(full_sets(texts, shingle))
-    links = confirmed(first, sets, percent)
+    links = confirmed(_star_pairs(slim, leaders, sketch, percent), sets, percent)
     one = components(links)
     # what the leaders left apart: buckets with several components
     at = slim.alias("m").join(one.alias("c"), F.col("m.doc_id") == F.col("c.node"), "left").select("key", "doc_id", F.coalesce("c.component", "doc_id").alias("component"))
     sizes = at.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", "main")
-    split = kept(at.join(main, "key").join(sketch, "doc_id"))
-    x, y = split.filter("component <> main").alias("x"), split.alias("y")
-    # a pair inside the outsiders is met from both sides; one is enough
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("size").alias("members"), F.max("size").alias("largest")).filter("kinds > 1")
+    main = main.select("key", "main", "members", (F.col("members") - F.col("largest")).alias("outsiders"))
+    split = kept(at.join(main, "key").join(reps.drop("f1", "f2"), "doc_id"))
+    crowded = F.col("outsiders") * F.col("members") > CROWD
+    few = split.filter(~crowded)
+    x, y = few.filter("component <> main").alias("x"), few.alias("y")
+    # a pair inside the outsiders is met from both sides, and a pair shares several bands; one meeting, in the first band, is enough
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc_id") > F.col("y.doc_id"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _likely("x", "y", percent))
-    pairs = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    first = F.get(F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull()), F.lit(0)) == F.col("x.key")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _likely("x", "y", percent) & first)
+    pairs = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).unionByName(_crowded_pairs(split.filter(crowded), sets, percent)).distinct()
     later = confirmed(pairs, sets, percent)
     name = lambda side: one.select(F.col("node").alias(f"{side}n"), F.col("component").alias(f"{side}c"))
     between = later.join(name("a"), F.col("a") == F.col("an"), "left").join(name("b"), F.col("b") == F.col("bn"), "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
