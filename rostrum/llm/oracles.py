@@ -90,3 +90,44 @@ WITH RECURSIVE doc AS (
 SELECT r.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.other) AS component_id, r.doc_id = min(r.other) AS kept
 FROM reach r LEFT JOIN size s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+QUALITY = f"""
+WITH doc AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents
+), line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc) WHERE regexp_matches(line, {_WORDS}) GROUP BY doc_id
+), gram AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) >= 3)
+), again AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (SELECT doc_id, i FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM doc LEFT JOIN line USING (doc_id) LEFT JOIN again USING (doc_id)
+), value AS (
+  SELECT doc_id, lang, source, n_words, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS feature, unnest([0.8, 0.02, 0.1, 0.1]) AS least,
+         unnest([coalesce(word_chars / nullif(n_words, 0), 0), coalesce(n_symbols / nullif(word_chars, 0), 0), n_dup_lines / (n_lines + 4), coalesce(n_repeat_words / nullif(n_words, 0), 0)]) AS x FROM m
+), bucket AS (
+  SELECT lang, source, feature, CASE WHEN x >= 1e-4 THEN ceil(ln(x) / ln(1.02))::INT END AS b, count(*) AS n FROM value WHERE n_words > 0 GROUP BY ALL
+), level AS (
+  SELECT 0 AS l, lang, source, feature, b, n FROM bucket
+  UNION ALL SELECT 1, lang, NULL, feature, b, sum(n) FROM bucket GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, feature, b, sum(n) FROM bucket GROUP BY ALL
+), summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY l, lang, source, feature ORDER BY b NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY l, lang, source, feature) AS total,
+         CASE WHEN b IS NULL THEN 0 ELSE 2 * pow(1.02, b) / 2.02 END AS at_ FROM level
+), quartile AS (
+  SELECT l, lang, source, feature, max(total) AS total, min(at_) FILTER (WHERE upto > 0.25 * (total - 1)) AS q1, min(at_) FILTER (WHERE upto > 0.75 * (total - 1)) AS q3 FROM summed GROUP BY ALL
+), judged AS (
+  SELECT v.doc_id, v.feature, v.x, v.least, CASE WHEN s.total >= 100 THEN s.q1 WHEN a.total >= 100 THEN a.q1 ELSE e.q1 END AS q1, CASE WHEN s.total >= 100 THEN s.q3 WHEN a.total >= 100 THEN a.q3 ELSE e.q3 END AS q3
+  FROM value v JOIN quartile s ON s.l = 0 AND s.lang IS NOT DISTINCT FROM v.lang AND s.source IS NOT DISTINCT FROM v.source AND s.feature = v.feature
+  JOIN quartile a ON a.l = 1 AND a.lang IS NOT DISTINCT FROM v.lang AND a.feature = v.feature JOIN quartile e ON e.l = 2 AND e.feature = v.feature
+), verdict AS (
+  SELECT doc_id, bool_and(x <= q3 + 3 * greatest(q3 - q1, least) AND x >= CASE WHEN feature = 'word_length' THEN q1 - 3 * greatest(q3 - q1, least) ELSE 0 END) AS good FROM judged GROUP BY doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(good, false) AS kept
+FROM m LEFT JOIN verdict USING (doc_id)
+"""

@@ -13,4 +13,4 @@ from rostrum.llm.sharding import op2_kd_shards
 from rostrum.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_kd_shards, op3_adaptive_quality, op4_mix_to_weights, op5_personal_data, op6_line_dedup, op7_main_text, op8_near_dedup, op9_language_id, op10_benchmark_decontamination)}
-ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_line_dedup": oracles.LINE_DEDUP, "op8_near_dedup": oracles.NEAR_DEDUP, "op10_benchmark_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_adaptive_quality": oracles.QUALITY, "op6_line_dedup": oracles.LINE_DEDUP, "op8_near_dedup": oracles.NEAR_DEDUP, "op10_benchmark_decontamination": oracles.DECONTAMINATION}
