@@ -43,6 +43,10 @@ MOTION_STEMS = [
     ("THP", r"(?i)^(this house prefers\b|thp\.?\s)"),
     ("Other", r"(?i)^(this house|th\b)"),
 ]
+REPORT_LABELS = {
+    "wrong_teammate": "Wrong teammate", "wrong_speaker_rank": "Wrong speaker rank", "wrong_speaker_average": "Wrong speaker average", "wrong_team_result": "Wrong team result",
+    "wrong_outround": "Wrong outround", "wrong_identity": "Didn't speak/judge here", "claimed_by_someone_else": "Someone claimed my identity", "other": "Other",
+}
 FIELD_SIZES = [(24, "Under 24 teams"), (48, "24–47 teams"), (100, "48–99 teams")]
 LARGEST_FIELD = "100+ teams"
 
@@ -131,3 +135,13 @@ def field_size(teams: Column) -> Column:
 
 def field_size_order(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(n) for _, n in FIELD_SIZES], F.lit(LARGEST_FIELD)), name)
+
+
+def report_label(code: Column) -> Column:
+    """Short label of a report's category; codes outside the list stay as they are."""
+    return F.coalesce(lookup(REPORT_LABELS, code), code)
+
+
+def report_labels(codes: Column) -> Column:
+    """Labels of a report's categories in one line."""
+    return F.array_join(F.transform(codes, report_label), "; ")

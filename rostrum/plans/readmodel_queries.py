@@ -430,6 +430,13 @@ def fn_26_team_cell(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("x"), team_matches(F.concat(name, F.when(F.col("p_partkey") % 3 == 0, " 2").otherwise("")), name).alias("same"))
 
 
+@query(" SELECT event_id, CASE event_type WHEN 'view' THEN 'Wrong teammate; Other' WHEN 'click' THEN 'Someone claimed my identity' WHEN 'purchase' THEN 'new_code; Wrong outround' ELSE '' END AS labels FROM events")
+def fn_27_report_labels(spark, sf_dir):
+    t = F.col("event_type")
+    codes = F.when(t == "view", F.array(F.lit("wrong_teammate"), F.lit("other"))).when(t == "click", F.array(F.lit("claimed_by_someone_else"))).when(t == "purchase", F.array(F.lit("new_code"), F.lit("wrong_outround"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "events").select("event_id", stages.report_labels(codes).alias("labels"))
+
+
 # -- sorts, sets -----------------------------------------------------------------
 
 
