@@ -16,8 +16,8 @@ blocks, 128 for windows).
 
 An anchor that a third of all documents hold is spread over many partitions by
 the range; only a partition's first and last anchor can continue elsewhere,
-and those are settled by partially aggregated joins. Texts are shuffled once,
-by document; what is shuffled besides is about one row per six words.
+and four rows per partition are exchanged to settle those. Texts are shuffled
+once, by document; what is shuffled besides is about one row per six words.
 
 Defined results: null, empty and short texts have no window and stay whole;
 rows without doc_id stay whole; doc_id names a document, so rows that repeat
@@ -73,11 +73,14 @@ def block_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, _BLOCK_TYPES)
 
 
-#: What a partition says of a row: it repeats an earlier block; it is first, but its anchor has other blocks; its anchor may continue elsewhere.
-REPEATS, DIFFERS, OPEN = 0, 1, 2
+#: What a partition says of a row: it repeats an earlier block; it is first, but its anchor has other blocks; it is
+#: first here, but its anchor or block may continue elsewhere; and, for those, the ends of the partition.
+REPEATS, DIFFERS, OPEN, EDGE = 0, 1, 2, 3
 
 
 def _mark(batches):
+    """Marks of a sorted partition. Only its first and last anchor can continue elsewhere: rows that are first of their
+    block there stay open, and at most four edge rows tell the other partitions which blocks those anchors have."""
     batches = [b for b in batches if len(b)]
     if not batches:
         return
@@ -91,28 +94,44 @@ def _mark(batches):
     size = np.diff(np.append(first, len(anchor)))
     kinds = np.repeat(np.add.reduceat(new_block.astype(np.int64), first), size)
     mark = np.where(new_block, DIFFERS, REPEATS).astype(np.int8)
-    use = ~new_block | (kinds > 1)
-    edge = np.zeros(len(anchor), bool)
-    edge[: size[0]] = edge[first[-1] :] = True
-    mark[edge], use = OPEN, use | edge
-    done = table.append_column("mark", pa.array(mark)).filter(pa.array(use))
-    yield from done.to_batches(50_000)
+    at_edge = np.zeros(len(anchor), bool)
+    at_edge[: size[0]] = at_edge[first[-1] :] = True
+    mark[at_edge & new_block] = OPEN
+    use = ~new_block | (kinds > 1) | at_edge
+    yield from table.append_column("mark", pa.array(mark)).filter(pa.array(use)).to_batches(50_000)
+    starts = np.flatnonzero(new_block)
+    ends = [starts[(starts >= f) & (starts < f + n)] for f, n in ((first[0], size[0]), (first[-1], size[-1]))]
+    edges = table.take(pa.array(sorted({int(x) for e in ends for x in (e[0], e[-1])})))
+    yield from edges.append_column("mark", pa.array(np.full(len(edges), EDGE, np.int8))).to_batches()
+
+
+def _settled(marks: DataFrame) -> DataFrame:
+    """Open rows with their final mark, or not at all if their anchor has one block only. The driver sees at most four rows of a partition."""
+    blocks: dict[int, set[int]] = {}
+    firsts: dict[tuple[int, int], tuple[int, int]] = {}
+    for r in marks.filter(F.col("mark") == EDGE).select("anchor", "block", "doc_id", "at").collect():
+        blocks.setdefault(r.anchor, set()).add(r.block)
+        k, v = (r.anchor, r.block), (r.doc_id, r.at)
+        firsts[k] = min(v, firsts.get(k, v))
+    known = marks.sparkSession.sparkContext.broadcast(({a for a, b in blocks.items() if len(b) > 1}, firsts))
+
+    def settle(batches):
+        several, first = known.value
+        for batch in batches:
+            mark = []
+            for a, b, doc, at in zip(*(batch.column(c).to_pylist() for c in ("anchor", "block", "doc_id", "at")), strict=True):
+                again = (doc, at) > first.get((a, b), (doc, at))
+                mark.append(REPEATS if again else DIFFERS if a in several else None)
+            marked = pa.array(mark, pa.int8())
+            yield batch.drop_columns(["mark"]).append_column("mark", marked).filter(marked.is_valid())
+
+    return marks.filter(F.col("mark") == OPEN).mapInArrow(settle, marks.schema)
 
 
 def _spans(start: Column, end: Column) -> list[Column]:
     return [F.col("doc_id"), start.cast("int").alias("s"), end.cast("int").alias("e")]
 
 
-def _settle(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of open rows: those that repeat an earlier block, and those that are first under an anchor with other blocks."""
-    firsts = edges.groupBy("anchor", "block").agg(F.min(F.struct("doc_id", "at", "n")).alias("f"))
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    differs = firsts.join(several, "anchor").select("f.doc_id", "f.at", "f.n")
-    f = firsts.select(F.col("anchor").alias("fa"), F.col("block").alias("fb"), "f")
-    repeats = edges.join(f, (F.col("anchor") == F.col("fa")) & (F.col("block") == F.col("fb"))).filter((F.col("doc_id") != F.col("f.doc_id")) | (F.col("at") != F.col("f.at")))
-    return repeats.select("doc_id", "at", "n"), differs
-
-
 def _windows(texts_with_blocks: DataFrame, length: int) -> DataFrame:
     """(w1, w2, doc_id, pos): the windows of the listed blocks of each text."""
 
@@ -162,9 +181,8 @@ def duplicate_spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH) ->
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = block_rows(docs, length).repartitionByRange(parts, "anchor", "block", "doc_id").sortWithinPartitions("anchor", "block", "doc_id", "at")
     marks = kept(ordered.mapInArrow(_mark, _BLOCK_TYPES + ", mark tinyint"))
-    more_repeats, more_differs = _settle(marks.filter(F.col("mark") == OPEN))
-    repeats = marks.filter(F.col("mark") == REPEATS).select("doc_id", "at", "n").unionByName(more_repeats)
-    differs = marks.filter(F.col("mark") == DIFFERS).select("doc_id", "at", "n").unionByName(more_differs)
+    done = marks.filter(F.col("mark") < OPEN).unionByName(_settled(marks))
+    repeats, differs = (done.filter(F.col("mark") == m).select("doc_id", "at", "n") for m in (REPEATS, DIFFERS))
     listed = differs.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
     windows = _windows(texts.join(listed, "doc_id"), length)
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("w1", "w2", "f")
