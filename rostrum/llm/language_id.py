@@ -1,16 +1,18 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-A word is its letter runs; a run's subwords are its character 2- to 4-grams
-with boundary marks, and itself. Each is hashed to a row of an embedding table;
-a text is the average of its subwords, followed by a linear softmax. Both are
-trained together by stochastic gradient descent in numpy on a bounded sample
-of labelled texts (``per_language`` rows of each language, chosen by a hash of
+A word is a run of letters (ASCII ones in lower case, and all bytes beyond
+ASCII) between boundary marks; its subwords are its byte 2-, 3- and 4-grams,
+marks included. Each is hashed to a row of an embedding table; a text is the
+average of its subwords, followed by a linear softmax. Both are trained
+together by stochastic gradient descent in numpy on a bounded sample of
+labelled texts (``per_language`` rows of each language, chosen by a hash of
 doc_id). Scores are calibrated by a temperature on texts kept out of the
 training, and the rejection threshold is the least score above which at most
-``error`` of those are wrong.
+``REJECT_ERROR`` of those are wrong.
 
-Since the softmax is linear, a word's share of the logits is a sum of table
-rows; tasks keep it for words they have met (at most ``CACHE`` of them).
+Since the softmax is linear, embeddings and weights fold into one table of
+logits per subword, and a batch of texts is scored by array operations over its
+byte buffer.
 
 Defined results: null or letterless texts give ``und`` with score 0; with no
 labelled rows every text does; ties go to the first language by name; repeated
@@ -20,10 +22,8 @@ left alone.
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +31,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS, DIMENSIONS = 1 << 15, 16
+from rostrum.llm.words import chunks, text_buffers
+
+BUCKET_BITS, DIMENSIONS = 15, 16
+BUCKETS = 1 << BUCKET_BITS
 PER_LANGUAGE = 800
 EPOCHS, RATE = 4, 8.0
-CACHE = 100_000
 REJECT_ERROR = 0.01
-RUN = re.compile(r"[^\W\d_]+")
-
-
-def subwords(token: str) -> list[int]:
-    """Table rows of the subwords of a white-space token; none if it has no letter."""
+CHUNK_BYTES = 1 << 20
+MARK = 32
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else MARK for b in range(256)], np.uint32)
+_ODD = np.array([0, 0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+
+
+def subwords(texts: pa.Array) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """Where each text starts in the marked byte stream (one more at the end), and by length of n-gram its table row at every place of the stream; BUCKETS where there is none."""
+    data, offsets = text_buffers(texts)
+    n = len(texts)
+    stream = np.full(len(data) + n + 2, MARK, np.uint32)
+    stream[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = _FOLD[data]
+    word = stream != MARK
+
+    def rows() -> Iterator[np.ndarray]:
+        code = stream[:-1] * np.uint32(256) + stream[1:]
+        yield np.where(word[:-1] | word[1:], (code * _ODD[2]) >> np.uint32(32 - BUCKET_BITS), np.uint32(BUCKETS))
+        inner = word[1:-1]
+        code = code[:-1] * np.uint32(256) + stream[2:]
+        yield np.where(inner, (code * _ODD[3]) >> np.uint32(32 - BUCKET_BITS), np.uint32(BUCKETS))
+        code = code[:-1] * np.uint32(256) + stream[3:]
+        yield np.where(inner[:-1] & inner[1:], (code * _ODD[4]) >> np.uint32(32 - BUCKET_BITS), np.uint32(BUCKETS))
+
+    return offsets + np.arange(n + 1), rows()
+
+
+def pieces_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct table rows of each text and their shares."""
     out = []
-    for run in RUN.findall(token.lower()):
-        if any(c.isalpha() for c in run):
-            marked = f"<{run[:64]}>"  # a run of letters longer than that is no word; its first letters stand for it
-            out += [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
-            out.append(zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS)
+    for text in texts:
+        ids = np.concatenate(list(subwords(pa.array([text], pa.string()))[1]))
+        rows, times = np.unique(ids[ids < BUCKETS], return_counts=True)
+        out.append((rows, times / max(1, times.sum())))
     return out
 
 
@@ -58,87 +82,79 @@ def softmax(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # subword rows by language: embeddings times softmax weights
+    table: np.ndarray  # logits of each subword row, by language; the last row is of no subword
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
-    words: dict[str, int] = field(default_factory=dict)  # token: row of shares
-    shares: np.ndarray | None = None  # logits by language and number of subwords, of each token met
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": {}, "shares": None}
-
-    def _rows(self, tokens: list[str]) -> list[int]:
-        if self.shares is None or len(self.words) + len(tokens) > CACHE:
-            self.words, self.shares = {}, np.zeros((max(CACHE, len(tokens)), len(self.languages) + 1))
-        known = self.words
-        for t in tokens:
-            if t not in known:
-                ids = subwords(t)
-                known[t] = k = len(known)
-                self.shares[k, :-1], self.shares[k, -1] = (self.table[ids].sum(axis=0) if ids else 0.0), len(ids)
-        return [known[t] for t in tokens]
-
-    def logits(self, text: str | None) -> np.ndarray | None:
-        """None if the text has no letter."""
-        counts = Counter((text or "").split())
-        if not counts or not self.languages:
-            return None
-        total = np.fromiter(counts.values(), np.float64, len(counts)) @ self.shares_of(list(counts))
-        return total[:-1] / total[-1] + self.bias if total[-1] else None
-
-    def shares_of(self, tokens: list[str]) -> np.ndarray:
-        rows = self._rows(tokens)
-        return self.shares[rows]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        x = self.logits(text)
-        if x is None:
-            return "und", 0.0
+
+    def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages), and how many subwords each text has."""
+        sums, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        if len(texts):
+            starts, grams = subwords(texts)
+            for ids in grams:
+                at = np.minimum(starts[:-1], len(ids) - 1)
+                for k in range(len(self.languages)):
+                    sums[:, k] += np.add.reduceat(self.table[:, k][ids], at)
+                count += np.add.reduceat((ids < BUCKETS).astype(np.float64), at)
+        return sums / np.maximum(count, 1)[:, None] + self.bias, count
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        x, count = self.logits(texts)
         p = softmax(x / self.temperature)
-        k = int(p.argmax())
-        return self.languages[k], float(p[k])
+        best = p.argmax(axis=1)
+        lang = [self.languages[k] for k in best.tolist()]
+        score = p[np.arange(len(p)), best]
+        data, offsets = text_buffers(texts)
+        ascii_letters = np.concatenate([[0], np.cumsum((_FOLD[data] != MARK) & (data < 128))])
+        for i in np.flatnonzero(np.diff(ascii_letters[offsets]) == 0):  # letters, if any, are beyond ASCII
+            if not (texts[i].is_valid and any(c.isalpha() for c in texts[i].as_py())):
+                lang[i], score[i] = "und", 0.0
+        return lang, score
 
 
 def train(texts: list[str], langs: list[str], seed: int = 5, epochs: int = EPOCHS, rate: float = RATE) -> Model:
     """Fit on pieces of the texts of 4 to 60 words, so that short texts are met as well; a fifth of the texts calibrates."""
     languages = sorted(set(langs))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
     code = {x: i for i, x in enumerate(languages)}
-    seen: dict[str, list[int]] = {}
-    pieces: list[tuple[np.ndarray, np.ndarray, int]] = []
-    held: list[tuple[str, int]] = []
+    parts, labels, held, truth = [], [], [], []
     for text, lang in zip(texts, langs, strict=True):
-        tokens = text.split()
         if rng.random() < 0.2:
-            held.append((text, code[lang]))
+            held.append(text)
+            truth.append(code[lang])
+            continue
+        tokens = text.split()
         for _ in range(2):
             n = int(rng.integers(4, 60))
             at = int(rng.integers(0, max(1, len(tokens) - n + 1)))
-            ids = [i for t in tokens[at : at + n] for i in seen.setdefault(t, subwords(t))]
-            if ids and (not held or held[-1][0] is not text):
-                rows, times = np.unique(ids, return_counts=True)
-                pieces.append((rows, times / len(ids), code[lang]))
+            parts.append(" ".join(tokens[at : at + n]))
+            labels.append(code[lang])
+    pieces = pieces_of(parts)
     k = len(languages)
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     weight, bias = rng.normal(0, 0.3, (k, DIMENSIONS)), np.zeros(k)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(pieces)):
-            rows, share, y = pieces[i]
+            rows, share = pieces[i]
             v = share @ embed[rows]
             g = softmax(weight @ v + bias)
-            g[y] -= 1.0
+            g[labels[i]] -= 1.0
             back = weight.T @ g
             weight -= 0.05 * step * np.outer(g, v)
             bias -= 0.005 * step * g
             embed[rows] -= step * share[:, None] * back
-    model = Model(languages, embed @ weight.T, bias)
-    tests = [(x, y) for t, y in held if (x := model.logits(t)) is not None]
-    if tests:
-        x, y = np.stack([a for a, _ in tests]), np.array([b for _, b in tests])
+    table = np.zeros((BUCKETS + 1, k), np.float32)
+    table[:BUCKETS] = embed @ weight.T
+    model = Model(languages, np.asfortranarray(table), bias)
+    x, count = model.logits(pa.array(held, pa.string()))
+    x, y = x[count > 0], np.array(truth, np.int64)[count > 0]
+    if len(y):
         loss = lambda t: -np.log(softmax(x / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.05, 5, 41), key=loss))
         p = softmax(x / model.temperature)
@@ -176,10 +192,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf(_OUT)
     def guess(texts: pa.Array) -> pa.Array:
-        m = shared.value
-        found = [m.predict(t.as_py()) for t in texts]
-        lang, score = [a for a, _ in found], np.array([b for _, b in found], np.float64)
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array((score >= m.threshold) & (score > 0))], ["lang_pred", "score", "accepted"])
+        m, langs, scores = shared.value, [], []
+        for part in chunks(texts, CHUNK_BYTES):
+            lang, score = m.predict(part)
+            langs += lang
+            scores.append(score)
+        score = np.concatenate(scores) if scores else np.zeros(0)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array((score >= m.threshold) & (score > 0))], ["lang_pred", "score", "accepted"])
 
     return docs.withColumn("__g", guess("text"))
 

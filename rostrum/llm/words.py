@@ -86,6 +86,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         begin = end
 
 
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
+    """A string column in runs with about ``limit`` bytes of text."""
+    for part in slices(pa.record_batch([column], ["text"]), "text", limit):
+        yield part.column(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as an empty text."""
     if column.null_count:
