@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +34,8 @@ from pyspark.sql.window import Window
 from rostrum.llm.shared import checkpoint_folder
 
 BINS = 1024
+#: Language, source, size, doc_id.
+DIMENSIONS = 4
 #: A bin with no more of its node's bytes than this ends the search.
 FINE = 1e-6
 SLOT_GROUPS = 64
@@ -67,31 +70,48 @@ class Node:
     tie: int = 0
 
 
-def _cut(spark, nodes: dict[int, Node]) -> DataFrame:
-    rows = [(k, n.dim, n.value, n.tie) for k, n in nodes.items()]
-    return spark.createDataFrame(rows, "__n int, dim int, value bigint, tie bigint")
+#: Nodes up to which their numbers are literals of the plan; more are joined as a table, which is as long as the list of leaves.
+LITERAL_NODES = 256
+
+
+def _of_node(df: DataFrame, name: str, fields: list[str], values: dict[int, tuple], joined: bool = False) -> DataFrame:
+    """df with a struct column of longs that belong to each row's node ``__n``; null for other nodes."""
+    if len(values) <= LITERAL_NODES and not joined:
+        pairs = [x for k, v in values.items() for x in (F.lit(k), F.struct(*[F.lit(int(y)).cast("long").alias(f) for f, y in zip(fields, v, strict=True)]))]
+        return df.withColumn(name, F.create_map(*pairs)[F.col("__n")])
+    columns = [pa.array(list(values), pa.int32()), *[pa.array([int(v[i]) for v in values.values()], pa.int64()) for i in range(len(fields))]]
+    local = df.sparkSession.createDataFrame(pa.table(columns, ["__n", *fields])).select("__n", F.struct(*fields).alias(name))
+    return df.join(local, "__n", "left")
 
 
 def _descend(keyed: DataFrame, levels: list[dict[int, Node]]) -> DataFrame:
     """keyed with ``__n``: the number of the node each row is in; children of node k are 2k+1 and 2k+2, a leaf stays."""
+    nodes = {k: n for level in levels for k, n in level.items()}
+
+    def place(k: int) -> Column:
+        n = nodes.get(k)
+        if n is None:
+            return F.lit(k)
+        v = F.get("__k.dims", F.lit(n.dim))
+        left = (v < n.value) | ((v == n.value) & (F.col("__k.tie") <= n.tie))
+        return F.when(left, place(2 * k + 1)).otherwise(place(2 * k + 2))
+
+    if len(nodes) <= LITERAL_NODES:
+        return keyed.withColumn("__n", place(0))
     out = keyed.withColumn("__n", F.lit(0))
-    for nodes in levels:
-        cut = _cut(keyed.sparkSession, nodes).select("__n", F.struct("dim", "value", "tie").alias("__cut"))
-        v = F.get("__k.dims", F.col("__cut.dim"))
+    for level in levels:
+        out = _of_node(out, "__cut", ["dim", "value", "tie"], {k: (n.dim, n.value, n.tie) for k, n in level.items()}, joined=True)
+        v = F.get("__k.dims", F.col("__cut.dim").cast("int"))
         left = (v < F.col("__cut.value")) | ((v == F.col("__cut.value")) & (F.col("__k.tie") <= F.col("__cut.tie")))
-        out = out.join(cut, "__n", "left").withColumn("__n", F.when(F.col("__cut").isNull(), F.col("__n")).when(left, 2 * F.col("__n") + 1).otherwise(2 * F.col("__n") + 2)).drop("__cut")
+        out = out.withColumn("__n", F.when(F.col("__cut").isNull(), F.col("__n")).when(left, 2 * F.col("__n") + 1).otherwise(2 * F.col("__n") + 2)).drop("__cut")
     return out
 
 
-def _narrow(at: DataFrame, spans: dict[int, tuple[int, int, int, float]], value: Column) -> dict[int, tuple[int, int, float, float, bool]]:
+def _narrow(at: DataFrame, spans: dict[int, tuple[int, int, int, float]], value: Column) -> dict[int, tuple[int, int, int, int, bool]]:
     """One pass of bins. spans: by node its dimension, interval (both ends in it), and bytes wanted left of the split within the interval.
-    Gives the bin of the median: interval, bytes before it in the interval, its bytes."""
-    spark = at.sparkSession
-    rows = [(k, dim, lo, hi) for k, (dim, lo, hi, _) in spans.items()]
-    s = spark.createDataFrame(rows, "__n int, dim int, lo bigint, hi bigint").select("__n", F.struct("dim", "lo", "hi").alias("__span"))
-    span = F.col("__span")
-    binned = at.join(s, "__n").withColumn("__x", value).filter(F.col("__x").between(span["lo"], span["hi"]))
-    binned = binned.withColumn("__b", F.expr(f"(__x - __span.lo) div ((__span.hi - __span.lo) div {BINS} + 1)"))
+    Gives the bin of the median: its interval, bytes before it, its bytes, and whether it is one value."""
+    inside = _of_node(at, "__span", ["dim", "lo", "hi"], {k: v[:3] for k, v in spans.items()}).filter("__span is not null")
+    binned = inside.withColumn("__x", value).filter("__x between __span.lo and __span.hi").withColumn("__b", F.expr(f"(__x - __span.lo) div ((__span.hi - __span.lo) div {BINS} + 1)"))
     sums: dict[int, list[tuple[int, int]]] = {}
     for r in binned.groupBy("__n", "__b").agg(F.sum("__k.size").alias("w")).collect():
         sums.setdefault(r["__n"], []).append((r["__b"], r["w"]))
@@ -117,21 +137,20 @@ def build(meta: DataFrame, leaves: int) -> list[dict[int, Node]]:
     while any(n.leaves > 1 for n in level.values()):
         nodes = {k: n for k, n in level.items() if n.leaves > 1}
         at = _descend(meta, levels)
-        n_dims = 4
-        ranges = {r["__n"]: r for r in at.groupBy("__n").agg(*[f(F.get("__k.dims", F.lit(i))).alias(f"{name}{i}") for i in range(n_dims) for f, name in ((F.min, "lo"), (F.max, "hi"))]).collect()}
+        ranges = {r["__n"]: r for r in at.groupBy("__n").agg(*[f(F.get("__k.dims", F.lit(i))).alias(f"{name}{i}") for i in range(DIMENSIONS) for f, name in ((F.min, "lo"), (F.max, "hi"))]).collect()}
         if not whole and 0 in ranges:
-            whole = [max(1, ranges[0][f"hi{i}"] - ranges[0][f"lo{i}"]) for i in range(n_dims)]
+            whole = [max(1, ranges[0][f"hi{i}"] - ranges[0][f"lo{i}"]) for i in range(DIMENSIONS)]
         spans, want = {}, {}
         for k, n in nodes.items():
             want[k] = n.size * ((n.leaves + 1) // 2) / n.leaves
             if k in ranges:
-                n.dim = max(range(n_dims), key=lambda i, r=ranges[k]: (r[f"hi{i}"] - r[f"lo{i}"]) / whole[i])
+                n.dim = max(range(DIMENSIONS), key=lambda i, r=ranges[k]: (r[f"hi{i}"] - r[f"lo{i}"]) / whole[i])
                 spans[k] = (n.dim, ranges[k][f"lo{n.dim}"], ranges[k][f"hi{n.dim}"], want[k])
             else:
                 n.dim, n.value, n.tie = 0, -2, 0
         left = dict.fromkeys(nodes, 0)
         tied: dict[int, tuple[int, int, int, float]] = {}
-        v = F.get("__k.dims", F.col("__span.dim"))
+        v = F.get("__k.dims", F.col("__span.dim").cast("int"))
         while spans:  # by value
             found = _narrow(at, spans, v)
             for k, (lo, hi, before, w, single) in found.items():
@@ -146,13 +165,9 @@ def build(meta: DataFrame, leaves: int) -> list[dict[int, Node]]:
                     left[k] += w
                 else:
                     spans[k] = (dim, lo, hi, wanted - before)
-        values = {k: nodes[k].value for k in tied}
-        if tied:
-            only = meta.sparkSession.createDataFrame(list(values.items()), "__n int, __v bigint")
-            same = at.join(only, "__n")
+        same = _of_node(at, "__only", ["v"], {k: (nodes[k].value,) for k in tied}) if tied else at
         while tied:
-            dims = F.get("__k.dims", F.col("__span.dim"))
-            found = _narrow(same, tied, F.when(dims == F.col("__v"), F.col("__k.tie")))
+            found = _narrow(same, tied, F.when(v == F.col("__only.v"), F.col("__k.tie")))
             for k, (lo, hi, before, w, single) in found.items():
                 n = nodes[k]
                 dim, _, _, wanted = tied.pop(k)
@@ -193,12 +208,13 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     if shards is None:
         shards = max(1, math.ceil((meta.agg(F.sum("__k.size")).first()[0] or 0) / (target_bytes or 1 << 30)))
     levels = build(meta, shards)
-    leaf = spark.createDataFrame(list(_leaf_numbers(levels).items()), "__n int, __leaf int")
+    leaves = {k: (v,) for k, v in _leaf_numbers(levels).items()}
+    in_leaf = lambda df: _of_node(_descend(df, levels), "__l", ["leaf"], leaves).withColumn("__leaf", F.col("__l.leaf").cast("int")).drop("__l")
     group = F.pmod("__k.tie", F.lit(SLOT_GROUPS)).cast("int")
-    counted = _descend(meta, levels).join(leaf, "__n").groupBy("__leaf", group.alias("__g")).agg(F.count("*").alias("rows"))
+    counted = in_leaf(meta).groupBy("__leaf", group.alias("__g")).agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("__leaf").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counted.select("__leaf", "__g", before.alias("__before"))
-    dealt = _descend(keyed, levels).join(leaf, "__n").withColumn("__g", group)
+    dealt = in_leaf(keyed).withColumn("__g", group)
     rank = F.row_number().over(Window.partitionBy("__leaf", "__g").orderBy("__k.tie", "doc_id"))
     out = dealt.withColumn("__r", rank).join(offsets, ["__leaf", "__g"])
     return out.withColumn("__s", F.struct(F.col("__leaf").alias("shard"), (F.col("__before") + F.col("__r") - 1).alias("slot"))).select(*docs.columns, "__s")
