@@ -13,7 +13,10 @@ The wrapper then says where a host keeps its article: its ``article`` or
 ``main`` elements if it has any, else the elements in which most of its slot
 text gathers. Elements whose name, class, id or role says menu, header, footer,
 sidebar, notice, advert, form or comments never count. Extraction walks a page
-along its host's wrapper and keeps the blocks in those places.
+along its host's wrapper and keeps the blocks in those places. A page of another
+template has its text elsewhere: if the host's places hold none of it, the same
+rule is applied to the page's own tree, and if another single element holds most
+of it, that element is kept as well.
 
 Defined results: null or empty html gives an empty text; a null or odd url is a
 host of its own (the empty one); repeated rows get equal results; unclosed
@@ -38,6 +41,8 @@ from rostrum.llm.html_tokens import BLOCK, Element, tree
 
 SALTS = 32
 LONGEST_GROUP = 4
+#: Share of the letters that an element must hold to be followed.
+MOST = 0.6
 SKIPPED_TAGS = set("head script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog menu title".split())
 #: Words of a class, id or role that mark what is not the article.
 SKIPPED_WORDS = re.compile(
@@ -163,8 +168,8 @@ def _inner(n: Node) -> int:
     return n.mass + sum(_inner(c) for g in n.groups for c in g.nodes)
 
 
-def content_paths(root: Node) -> frozenset[tuple[str, ...]]:
-    """Paths (keys from the root) of the elements that hold the article."""
+def marked_paths(root: Node) -> frozenset[tuple[str, ...]]:
+    """Paths of the outermost elements with text of the first of MAIN_TAGS that has any."""
     marked: dict[str, list[tuple[str, ...]]] = {t: [] for t in MAIN_TAGS}
 
     def look(n: Node, path: tuple[str, ...]) -> None:
@@ -181,16 +186,50 @@ def content_paths(root: Node) -> frozenset[tuple[str, ...]]:
     for t in MAIN_TAGS:
         if marked[t]:
             return frozenset(p for p in marked[t] if not any(p[: len(q)] == q for q in marked[t] if len(q) < len(p)))
+    return frozenset()
+
+
+def gathered_path(root: Node) -> tuple[str, ...]:
+    """Path of the element in which the text gathers."""
     at, path = root, ()
-    while True:  # down to where the text gathers
+    while True:
         inner = [(c, _inner(c)) for g in at.groups for c in g.nodes if not skipped("", c.key)]
         whole = _inner(at) if at is not root else sum(x for _, x in inner) + at.mass
         c, mass = max(inner, key=lambda x: x[1], default=(None, 0))
-        if c is None or c.key.split(".")[0] in ("p", "h1", "h2", "h3", "li", "pre", "blockquote") or mass < 0.6 * whole:
-            return frozenset([path])
+        if c is None or c.key.split(".")[0] in ("p", "h1", "h2", "h3", "li", "pre", "blockquote") or mass < MOST * whole:
+            return path
         at, path = c, (*path, c.key)
 
 
+def content_paths(root: Node) -> frozenset[tuple[str, ...]]:
+    """Paths (keys from the root) of the elements that hold the article."""
+    return marked_paths(root) or frozenset([gathered_path(root)])
+
+
+def page_paths(root: Element, where: frozenset[tuple[str, ...]]) -> frozenset[tuple[str, ...]]:
+    """The places of a page: its host's, and its own where its text is not in those."""
+    letters = [0, 0]  # outside and inside of the host's places, without links and what is skipped
+
+    def count(e: Element, path: tuple[str, ...], inside: bool) -> None:
+        inside = inside or path in where
+        for c in e.children:
+            if isinstance(c, str):
+                if c.strip():
+                    letters[inside] += len(c)
+            elif c.tag != "a" and not skipped(c) and (c.tag != "header" or inside):
+                count(c, (*path, c.key), inside)
+
+    count(root, (), False)
+    outside, inside = letters
+    if outside < MOST * (outside + inside) or not outside:
+        return where
+    own = wrapper_of(root)
+    if not inside:
+        return where | content_paths(own)
+    path = gathered_path(own)
+    return where if any(path[: len(q)] == q[: len(path)] for q in where) else where | {path}
+
+
 def main_text(page: str | None, where: frozenset[tuple[str, ...]]) -> str:
     """The blocks of the article, in page order, joined by an empty line."""
     blocks: list[str] = []
@@ -219,7 +258,9 @@ def main_text(page: str | None, where: frozenset[tuple[str, ...]]) -> str:
                 if c.tag in BLOCK:
                     flush()
 
-    walk(tree(page or ""), (), False)
+    root = tree(page or "")
+    where = page_paths(root, where)
+    walk(root, (), False)
     flush()
     return "\n\n".join(blocks)
 

@@ -221,3 +221,22 @@ def test_extract_on_hosts_with_null_and_empty_pages(spark):
     df = spark.createDataFrame([*rows, (90, None, None, "x"), (91, "odd", "", "x")], "page_id bigint, url string, html string, host string")
     out = {x.page_id: x["__text"] for x in extract(df).collect()}
     assert out == {**{i: f"text {i}" for i in range(8)}, 90: "", 91: ""}
+
+
+def test_pages_of_a_host_with_two_templates_keep_their_text():
+    prose = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+
+    def texts(pages):
+        whole = wrapper_of(tree(pages[0]))
+        for p in pages[1:]:
+            whole = merge_nodes(whole, wrapper_of(tree(p)))
+        return [main_text(p, content_paths(whole)) for p in pages]
+
+    cards = "".join(f"<article><p>card {i}</p></article>" for i in range(3))
+    listing, post = PAGE.format(cards), PAGE.format(f"<div class=post><p>{prose(1)}</p></div>")
+    related = PAGE.format(f"<div class=post><p>{prose(2)}</p></div><div class=more>{cards}</div>")
+    got = texts([listing, post, related])
+    assert got[:2] == ["card 0\n\ncard 1\n\ncard 2", prose(1)] and got[2].startswith(prose(2))
+    blog = [f"<body><div class=blog><p>{prose(k)}</p></div></body>" for k in range(7)]
+    docs = [f"<body><section class=docs><p>{prose(k)}</p></section></body>" for k in range(7, 10)]
+    assert texts(blog + docs) == [prose(k) for k in range(10)]
