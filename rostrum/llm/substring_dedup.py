@@ -85,7 +85,12 @@ def _mark(batches):
     if not batches:
         return
     table = pa.Table.from_batches(batches)
-    anchor, block = table.column("anchor").to_numpy(), table.column("block").to_numpy()
+    key = [table.column(c).to_numpy() for c in ("anchor", "block", "doc_id", "at")]
+    once = np.ones(len(table), bool)  # rows of a repeated doc_id are equal, and neighbours
+    once[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+    if not once.all():
+        table = table.filter(pa.array(once))
+    anchor, block = key[0][once], key[1][once]
     new_anchor = np.ones(len(anchor), bool)
     new_anchor[1:] = anchor[1:] != anchor[:-1]
     new_block = new_anchor.copy()

@@ -68,6 +68,19 @@ def test_substring_dedup_keeps_rows_without_id_and_other_columns(spark):
     assert substring_dedup.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_substring_dedup_keeps_a_text_that_only_a_repeated_row_holds(spark, parts):
+    t = lambda k: " ".join(f"{k}x{i}" for i in range(60))
+    df = spark.createDataFrame([(1, t("a")), (1, t("a")), (2, t("b")), (2, t("b")), (2, t("b")), (3, t("b"))], "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = substring_dedup.dedup(df).select("doc_id", "__d.n_removed").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(tuple, rows)) == [(1, 0), (1, 0), (2, 0), (2, 0), (2, 0), (3, 60)]
+
+
 def test_line_dedup_matches_brute_force(docs):
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in done.select("doc_id", "__l.n_lines", "__l.n_dropped", "__l.text").collect()}
