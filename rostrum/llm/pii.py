@@ -2,14 +2,14 @@
 
 The patterns find emails, IP addresses, card numbers and phone numbers as
 written by the book. The tagger is trained on windows of generated text with
-labelled spans of those kinds in more spellings than the patterns know. Every
-place with a digit or an at sign, and ``MARGIN`` characters around it, is
-covered by overlapping windows; a place takes its tag from the window in which
-it is farthest from an edge, and spans are read off the reconciled tags of the
-whole text. What overlaps a pattern's span is left to the pattern.
+labelled spans of those kinds in more spellings than the patterns know. A grid
+of overlapping windows lies over the whole text; a place takes its tag from the
+window in which it is farthest from an edge, and spans are read off the
+reconciled tags. What overlaps a pattern's span is left to the pattern.
 
-No kind of span can lack both digits and an at sign, so places without either
-need no window; their number is not limited otherwise.
+No kind of span can lack both digits and an at sign, so windows are read from
+those outwards, as far as places are tagged. This gives the spans of the whole
+grid; windows that no such span reaches are not read.
 
 Defined results: a null or empty text has no spans; repeated rows get equal
 results; an empty table gives an empty result; other columns are left alone.
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from rostrum.llm.pii_model import KINDS, WINDOW, Tagger, encode
 
-STRIDE, MARGIN, BATCH = 32, 24, 512
+STRIDE, BATCH = 32, 512
 TRAIN_WINDOWS, EPOCHS = 2400, 7
 
 Span = tuple[int, int, str]
@@ -150,39 +150,49 @@ def trained(windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS, seed: int = 11)
 # -- decoding --------------------------------------------------------------
 
 
-def places(text: str) -> list[tuple[int, int]]:
-    """Stretches of text that windows must cover."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def window_starts(a: int, b: int, length: int) -> list[int]:
-    last = max(0, min(length - WINDOW, b - WINDOW + MARGIN // 2))
-    first = min(a, last)
-    return [*range(first, last, STRIDE), last]
+def covering(p: int, length: int) -> range:
+    """Starts of the windows of a text's grid that hold a place."""
+    return range(max(0, (p - WINDOW) // STRIDE + 1) * STRIDE, min(p, length - 1) + 1, STRIDE)
 
 
 def tag_batch(tagger: Tagger, texts: list[str]) -> list[dict[int, int]]:
-    """By text, the reconciled tag of every covered place."""
-    jobs = [(i, s) for i, text in enumerate(texts) for a, b in places(text) for s in window_starts(a, b, len(text))]
+    """By text, the reconciled tags of every run of tagged places that holds a trigger, as if all windows of the grid were read.
+
+    A place is final when all windows over it are read. From the triggers, reading goes on to both sides as long as places are tagged.
+    """
     best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-    for k in range(0, len(jobs), BATCH):
-        part = jobs[k : k + BATCH]
-        tags = tagger.decode([texts[i][s : s + WINDOW] for i, s in part])
-        for (i, s), row in zip(part, tags.tolist(), strict=True):
-            n = min(WINDOW, len(texts[i]) - s)
-            mine = best[i]
-            for j in range(n):
-                depth = min(j if s else WINDOW, n - 1 - j if s + n < len(texts[i]) else WINDOW)
-                if s + j not in mine or mine[s + j][0] < depth:
-                    mine[s + j] = (depth, row[j])
-    return [{p: t for p, (_, t) in x.items()} for x in best]
+    done: list[set[int]] = [set() for _ in texts]
+    final: list[dict[int, int]] = [{} for _ in texts]
+    todo = [{m.start() for m in TRIGGER.finditer(text)} for text in texts]
+    while any(todo):
+        jobs = []
+        for i, text in enumerate(texts):
+            new = {s for p in todo[i] for s in covering(p, len(text))} - done[i]
+            done[i] |= new
+            jobs += [(i, s) for s in sorted(new)]
+        for k in range(0, len(jobs), BATCH):
+            part = jobs[k : k + BATCH]
+            tags = tagger.decode([texts[i][s : s + WINDOW] for i, s in part])
+            for (i, s), row in zip(part, tags.tolist(), strict=True):
+                n = min(WINDOW, len(texts[i]) - s)
+                mine = best[i]
+                for j in range(n):
+                    depth = min(j if s else WINDOW, n - 1 - j if s + n < len(texts[i]) else WINDOW)
+                    if s + j not in mine or mine[s + j][0] < depth or mine[s + j][0] == depth and mine[s + j][1] < row[j]:
+                        mine[s + j] = (depth, row[j])
+        for i, text in enumerate(texts):
+            stack, todo[i] = list(todo[i]), set()
+            while stack:
+                p = stack.pop()
+                if p in final[i] or not 0 <= p < len(text):
+                    continue
+                if all(s in done[i] for s in covering(p, len(text))):
+                    final[i][p] = best[i][p][1]
+                    if final[i][p]:
+                        stack += [p - 1, p + 1]
+                else:
+                    todo[i].add(p)
+    return final
 
 
 def read_spans(text: str, tags: dict[int, int]) -> list[Span]:

@@ -152,6 +152,41 @@ def test_tagger_learns_its_kinds_and_base_spans_stay(spark):
     assert pii.masked("call 1.2.3.4!", "ip:5:12") == "call [ip]!"
 
 
+def test_windows_give_the_spans_of_the_whole_text():
+    class Runs:
+        """Tags words that hold a bracketed at sign or neighbour its window; other windows give edge tags that depth must outvote."""
+
+        def decode(self, windows):
+            tags = np.zeros((len(windows), pii.WINDOW), np.int64)
+            for row, w in zip(tags, windows):
+                for m in re.finditer(r"[^ ]+", w):
+                    row[m.start() : m.end()] = 2
+                    if m.start():
+                        row[m.start()] = 1
+                if w[:1].strip() and len(w) < pii.WINDOW:
+                    row[:3] = 0
+            return tags
+
+    def whole(tagger, text):
+        best = {}
+        for s in range(0, len(text), pii.STRIDE):
+            w = text[s : s + pii.WINDOW]
+            for j, t in enumerate(tagger.decode([w])[0, : len(w)].tolist()):
+                depth = min(j if s else pii.WINDOW, len(w) - 1 - j if s + len(w) < len(text) else pii.WINDOW)
+                best[s + j] = max(best.get(s + j, (-1, 0)), (depth, t))
+        return pii.read_spans(text, {p: t for p, (_, t) in best.items()})
+
+    long = "maximilian.mustermann-schmidt[@]mail.department.example.org"
+    r = random.Random(12)
+    texts = ["word " * k + long + " word" * 20 for k in range(0, 30, 3)]
+    texts += ["".join(r.choice("ab@1. -+") for _ in range(r.randint(0, 300))) for _ in range(60)] + ["".join(r.choice("abcdefg  ") for _ in range(200)) + "x" * 150 + "[@]" + "y" * 150, ""]
+    for tagger in (Runs(), pii.trained()):
+        got = pii.added_spans(tagger, texts, [[] for _ in texts])
+        assert got == [whole(tagger, t) for t in texts]
+    assert all(t[a:b] == long for t, x in zip(texts[1:10], pii.added_spans(Runs(), texts[1:10], [[]] * 9)) for a, b, _ in x if "[@]" in t[a:b])
+    assert all(len(x) == 1 for x in pii.added_spans(Runs(), texts[1:10], [[]] * 9))
+
+
 def test_gradients_of_the_tagger_are_right():
     from rostrum.llm.pii_model import TAGS, Tagger, encode
 
