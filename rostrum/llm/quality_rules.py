@@ -41,7 +41,10 @@ FEATURES = {
 }
 #: Ratio of neighbouring bucket bounds (about 1 % relative error), and the least value that is told from 0.
 GAMMA, LEAST = 1.02, 1e-4
-#: Rows that a group's own sketch must hold; below, its language's sketch is used, then that of all rows.
+#: Measures that depend on how a language is written; another language's sketch never judges them.
+OF_LANGUAGE = {"word_length", "repeats"}
+#: Rows at which a sketch counts in full; below, it counts in proportion to its rows and the next level for the rest:
+#: a group's language, then all rows, or for OF_LANGUAGE the language's own fences, wider the fewer rows it has.
 LEAST_ROWS = 100
 FENCE = 3.0
 
@@ -112,10 +115,21 @@ def thresholds(sketch: DataFrame, fence: float = FENCE, least_rows: int = LEAST_
     s, a, e = own.alias("s"), lang.alias("a"), everything.alias("e")
     joined = s.join(a, F.col("s.lang").eqNullSafe(F.col("a.lang")), "left").join(F.broadcast(e))  # e is one row
     out = [F.col("s.lang"), F.col("s.source")]
+    share = lambda level: F.least(F.lit(1.0), F.col(f"{level}.rows") / F.lit(float(max(least_rows, 1))))
+    blend = lambda level, x, y: share(level) * x + (1 - share(level)) * y
     for f, (_, _, _, least, both) in FEATURES.items():
-        pick = F.when(F.col("s.rows") >= least_rows, F.col(f"s.{f}")).when(F.col("a.rows") >= least_rows, F.col(f"a.{f}")).otherwise(F.col(f"e.{f}"))
-        spread = fence * F.greatest(pick["q3"] - pick["q1"], F.lit(least))
-        out += [(pick["q1"] - spread if both else F.lit(0.0)).alias(f"{f}_low"), (pick["q3"] + spread).alias(f"{f}_high")]
+
+        def fences(level: str, wider: Column | float = 1.0, f=f, least=least) -> tuple[Column, Column]:
+            q = F.col(f"{level}.{f}")
+            spread = fence * F.greatest(q["q3"] - q["q1"], F.lit(least)) * wider
+            return q["q1"] - spread, q["q3"] + spread
+
+        if f in OF_LANGUAGE:
+            of_lang = fences("a", 1 / share("a"))
+        else:
+            of_lang = tuple(blend("a", x, y) for x, y in zip(fences("a"), fences("e"), strict=True))
+        low, high = (blend("s", x, y) for x, y in zip(fences("s"), of_lang, strict=True))
+        out += [(low if both else F.lit(0.0)).alias(f"{f}_low"), high.alias(f"{f}_high")]
     return joined.select(*out)
 
 

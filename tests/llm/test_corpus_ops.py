@@ -45,6 +45,16 @@ def test_quality_rules_drop_outliers_and_keep_the_rest(spark):
     assert quality_rules.keep_good(df.limit(0)).count() == 0
 
 
+def test_quality_rules_never_judge_a_rare_language_by_another(spark):
+    r = random.Random(15)
+    clean = lambda low, high: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(low, high))) for _ in range(80))
+    rows = [(i, clean(2, 6), "en", "a") for i in range(1600)]
+    rare = [(1000 * k + i, clean(16, 24), f"rare{k}", "a") for k in (1, 5, 60, 99, 100) for i in range(k)]
+    junk = [(900_000 + k, " ".join(w + "#" * 30 for w in clean(16, 24).split()), f"rare{k}", "a") for k in (5, 60, 99, 100)]
+    df = spark.createDataFrame(rows + rare + junk, "doc_id bigint, text string, lang string, source string")
+    assert {x.doc_id for x in quality_rules.keep_good(df).collect()} == {x[0] for x in rows + rare}
+
+
 def test_knapsack_is_the_best_sum():
     r = random.Random(6)
     for _ in range(60):
