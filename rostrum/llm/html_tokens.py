@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-#: One comment, declaration or tag; a quoted value may hold ``>``.
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>]){0,4000})>|<[A-Za-z/][^<>]*\Z""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: One comment, declaration or tag; a quoted value may hold ``>``. A tag with a lone quote ends at the next ``>``. No part
+#: is given back once taken, so a tag of any length costs its length.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[A-Za-z/][^<>]*\Z""", re.S)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -42,14 +44,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if m.start() > at:
             yield "text", page[at : m.start()], ""
         at = m.end()
-        if m[2] is None:
+        slash, name, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+        if name is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             yield "close", tag, ""
             continue
-        yield "open", tag, m[3]
-        if tag in RAW and not m[3].rstrip().endswith("/"):
+        yield "open", tag, attributes
+        if tag in RAW and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             yield "close", tag, ""
@@ -59,10 +62,14 @@ def tree(page: str) -> Element:
     """Elements with their texts (character references decoded); what is left open ends with its parent."""
     root = Element("#", "#")
     stack = [root]
+    opened: Counter[str] = Counter()
 
     def end(tags: set[str], walls: set[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                opened.subtract(e.tag for e in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in walls:
@@ -80,6 +87,7 @@ def tree(page: str) -> Element:
             stack[-1].children.append(e)
             if value not in VOID and not (attributes.rstrip().endswith("/") and value not in BLOCK):
                 stack.append(e)
+                opened[value] += 1
         else:
             end({value}, {"#"})
     return root

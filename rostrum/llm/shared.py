@@ -1,19 +1,26 @@
-"""Where jobs keep what must outlive a lost executor."""
+"""Where jobs keep what must outlive a lost executor, and joins that a hot key does not hold up."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than 1 / HEAVY of all rows is spread; there are at most HEAVY such keys, whatever the table's size.
+HEAVY = 1024
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is named, a folder of this machine serves
+    a local master, as in tests; on a cluster its executors could not read each other's, so that is an error."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -23,3 +30,21 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partitions(df: DataFrame, rows: int, rows_each: int) -> int:
+    """Partitions for a shuffle of so many rows: the session's number, or as many as leave rows_each in each."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, rows: int, by: Column, how: str = "left") -> DataFrame:
+    """left joined with right by key, where right has one row per key and left may have any number.
+
+    Keys that hold more than 1 / HEAVY of the left side's ``rows`` (at most HEAVY keys, so their list is broadcast) are dealt to
+    salts by the hash ``by``, and right's row is copied for each salt: at most HEAVY copies more, over all keys.
+    """
+    often = left.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(1, rows // HEAVY))
+    heavy = F.broadcast(often.select(F.col(key).alias("__hk"), F.ceil(F.col("__n") / max(1, rows // HEAVY)).cast("int").alias("__salts")))
+    a = left.join(heavy, F.col(key) == F.col("__hk"), "left").withColumn("__salt", F.coalesce(F.pmod(by, F.col("__salts")).cast("int"), F.lit(0))).drop("__hk", "__salts")
+    b = right.join(heavy, F.col(key) == F.col("__hk"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__hk", "__salts")
+    return a.join(b, [key, "__salt"], how).drop("__salt")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rostrum.llm import decontaminate, language_id, mixing, pii, quality_rules, sharding
-from rostrum.llm.html_wrappers import content_paths, extract, main_text, merge_nodes, wrapper_of
+from rostrum.llm.html_wrappers import Group, Node, Pair, Wrapper, _across, _align_middle, extract, merge_nodes, packed, unpacked, wrapper_of
 from rostrum.llm.html_tokens import tree
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,49 +239,123 @@ PAGE = """<html><head><title>t</title><script>var x = "<p>no</p>";</script></hea
 <div class="cookie-notice">We use cookies</div><div id=content>{}</div><div class="sidebar ad-1">buy</div><form><p>mail</p><input name=q></form><div id="comments"><p>first!</p></div><footer>&copy; us</footer>"""
 
 
+def whole_of(pages):
+    whole = wrapper_of(tree(pages[0]))
+    for p in pages[1:]:
+        whole = merge_nodes(whole, wrapper_of(tree(p)))
+    return unpacked(packed(whole))
+
+
+def texts_of(pages):
+    w = Wrapper(whole_of(pages))
+    return [w.text(p) for p in pages]
+
+
 def test_main_text_with_and_without_article():
     body = "<article><h1>Tea &amp; cake</h1><p><b>One<br>two\n three<p>Four&nbsp;five<ul><li>six</li></ul></article>"
-    page = PAGE.format(body)
-    assert main_text(page, content_paths(wrapper_of(tree(page)))) == "Tea & cake\n\nOne two three\n\nFour five\n\nsix"
+    assert texts_of([PAGE.format(body)]) == ["Tea & cake\n\nOne two three\n\nFour five\n\nsix"]
     plain = [PAGE.format("".join(f"<p>long text number {i} of page {k} " + "word " * 30 + "</p>" for i in range(k + 2))) for k in range(3)]
-    whole = wrapper_of(tree(plain[0]))
-    for p in plain[1:]:
-        whole = merge_nodes(whole, wrapper_of(tree(p)))
-    assert main_text(plain[2], content_paths(whole)).count("\n\n") == 3
-    assert main_text(None, content_paths(wrapper_of(tree("")))) == ""
+    assert texts_of(plain)[2].count("\n\n") == 3
+    assert texts_of([""]) == [""] and Wrapper(wrapper_of(tree(""))).text(None) == ""
 
 
-def test_wrappers_fold_repeats_and_options():
-    def shape(page):
-        keys = lambda n: [("".join(x.key for x in g.nodes) + "?" * g.optional + "+" * g.repeated) for g in n.groups]
-        return keys(page)
+def shape(n):
+    return [("".join(x.key for x in g.nodes) + "?" * g.optional + "+" * g.repeated) for g in n.groups]
+
 
+def test_wrappers_fold_repeats_and_options():
     a, b = wrapper_of(tree("<dl><dt>x<dd>y<dt>x<dd>y<dt>x<dd>y</dl><p>a<p>b")), wrapper_of(tree("<h1>t</h1><p>c"))
     assert shape(a) == ["dl", "p+"] and shape(a.groups[0].nodes[0]) == ["dtdd+"]
     assert sorted(shape(merge_nodes(a, b))) == ["dl?", "h1?", "p+"]
 
 
+def test_the_expression_of_two_pages_is_a_shortest_one_that_both_match():
+    """Against a brute-force aligner: before repeats are folded, options are as few as a longest common subsequence allows, and
+    the sequence without its options is a subsequence of both pages."""
+    from functools import lru_cache
+
+    r = random.Random(21)
+    for _ in range(150):
+        x, y = (["h1", "p", "ul", "pre"][r.randrange(4)] for _ in range(r.randint(0, 7))), (["h1", "p", "ul", "pre"][r.randrange(4)] for _ in range(r.randint(0, 7)))
+        x, y = tuple(x), tuple(y)
+
+        @lru_cache(None)
+        def common(i, j, x=x, y=y):
+            if i == len(x) or j == len(y):
+                return 0
+            return 1 + common(i + 1, j + 1) if x[i] == y[j] else max(common(i + 1, j), common(i, j + 1))
+
+        groups = [[Group([Pair(k, [Node(k)])]) for k in s] for s in (x, y)]
+        middle = _align_middle(*groups, _across)
+        assert len(middle) == len(x) + len(y) - common(0, 0)
+        must = [g.keys[0] for g in middle if not g.optional]
+        assert len(must) == common(0, 0)
+        for s in (x, y):
+            rest = iter(s)
+            assert all(k in rest for k in must)
+        merged = merge_nodes(wrapper_of(tree("".join(f"<{k}>t</{k}>" for k in x))), wrapper_of(tree("".join(f"<{k}>t</{k}>" for k in y))))
+        pattern = re.compile("".join("(?:" + "".join(f"(?:{k},){'?' * g.loose}" for k in g.keys) + ")" + {(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[(int(g.optional), int(g.repeated))] for g in merged.groups))
+        for s in (x, y):
+            assert pattern.fullmatch("".join(f"{k}," for k in s)), (x, y, shape(merged))
+
+
+def test_slots_decide_what_is_text_and_constants_are_the_templates():
+    say = lambda k, n=40: " ".join(f"word{k}x{i}" for i in range(n))
+    pages = [f"<body><div><div><b>{say(k)}</b></div><div>All rights of the house are reserved</div><p>{say(k + 50)}</p></div></body>" for k in range(4)]
+    assert texts_of(pages) == [f"{say(k)}\n\n{say(k + 50)}" for k in range(4)]
+    w = whole_of(pages)
+    erased = [w]
+    for n in erased:  # no slot, no option, no repeat
+        erased += [c for g in n.groups for c in g.nodes]
+        n.pages, n.same, n.mass = 0, frozenset(), 0
+    assert Wrapper(w).text(pages[0]) != texts_of(pages)[0]
+    legal = [f"<article><h1>{say(k, 5)}</h1><p>{say(k)}</p><p>The same legal line on every page.</p><p>{say(k + 9)}</p></article>" for k in range(3)]
+    assert all("legal" not in t and t.count("\n\n") == 2 for t in texts_of(legal))
+    copies = [f"<nav>{k}</nav><article><h1>Same</h1><p>{say(1)}</p></article>" for k in range(5)]
+    assert texts_of(copies) == [f"Same\n\n{say(1)}"] * 5
+    two = legal[:2]
+    assert all("legal" in t for t in texts_of(two))
+
+
+def test_parts_of_the_article_with_long_names_stay_and_markup_never_comes_out():
+    page = '<article><p>first</p><div class="related-work"><p>second</p></div><p class="notice-of-x">third</p><section id="search-results">fourth</section><div class="ad">buy</div><section class="comments"><p>me too</p></section></article>'
+    assert texts_of([page]) == ["first\n\nsecond\n\nthird\n\nfourth"]
+    assert texts_of(["<article><p>a<img src=" + "x" * 5000 + "> b</p><p title=it's>c</p></article>"]) == ["a b\n\nc"]
+    deep = "<div>" * 10_000 + "<p>at the bottom</p>"
+    assert texts_of([deep, deep + "</div>" * 10_000]) == ["at the bottom"] * 2
+    long = "<article>" + "<p>word word</p>" * 50_000 + "</article>"
+    assert texts_of([long])[0].count("word word") == 50_000
+
+
 def test_extract_on_hosts_with_null_and_empty_pages(spark):
     rows = [(i, f"http://h{i % 2}.example.org/{i}", PAGE.format(f"<article><p>text {i}</p></article>"), "x") for i in range(8)]
     df = spark.createDataFrame([*rows, (90, None, None, "x"), (91, "odd", "", "x")], "page_id bigint, url string, html string, host string")
     out = {x.page_id: x["__text"] for x in extract(df).collect()}
     assert out == {**{i: f"text {i}" for i in range(8)}, 90: "", 91: ""}
+    twice = extract(df.withColumnRenamed("host", "wrapper").unionByName(df.withColumnRenamed("host", "wrapper")))
+    assert sorted((x.page_id, x["__text"]) for x in twice.collect()) == sorted(2 * list(out.items())) and twice.columns == ["page_id", "url", "html", "wrapper", "__text"]
+    assert extract(df.limit(0)).count() == 0
+
+
+def test_a_hot_host_is_spread_when_wrappers_are_too_large_to_send(spark, monkeypatch):
+    from rostrum.llm import html_wrappers
+
+    rows = [(i, f"http://h{i % 3 * (i % 2)}.example.org/{i}", PAGE.format(f"<article><p>text {i}</p></article>")) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
+    monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(html_wrappers, "FOLD", 2)
+    monkeypatch.setattr("rostrum.llm.shared.HEAVY", 8)
+    assert {x.page_id: x["__text"] for x in extract(df).collect()} == {i: f"text {i}" for i in range(60)}
 
 
 def test_pages_of_a_host_with_two_templates_keep_their_text():
     prose = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
 
-    def texts(pages):
-        whole = wrapper_of(tree(pages[0]))
-        for p in pages[1:]:
-            whole = merge_nodes(whole, wrapper_of(tree(p)))
-        return [main_text(p, content_paths(whole)) for p in pages]
-
     cards = "".join(f"<article><p>card {i}</p></article>" for i in range(3))
     listing, post = PAGE.format(cards), PAGE.format(f"<div class=post><p>{prose(1)}</p></div>")
     related = PAGE.format(f"<div class=post><p>{prose(2)}</p></div><div class=more>{cards}</div>")
-    got = texts([listing, post, related])
+    got = texts_of([listing, post, related])
     assert got[:2] == ["card 0\n\ncard 1\n\ncard 2", prose(1)] and got[2].startswith(prose(2))
     blog = [f"<body><div class=blog><p>{prose(k)}</p></div></body>" for k in range(7)]
     docs = [f"<body><section class=docs><p>{prose(k)}</p></section></body>" for k in range(7, 10)]
-    assert texts(blog + docs) == [prose(k) for k in range(10)]
+    assert texts_of(blog + docs) == [prose(k) for k in range(10)]
