@@ -11,7 +11,8 @@ from rostrum.functions.stages import category_of, category_priority, outround_st
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row of each key: the first in the given order."""
+    """One row of each key: the first in the given order. The filter on the row number lets every task pass on one row of a key only
+    (a window group limit before the shuffle), so a key with very many rows is no hot one."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__i", F.row_number().over(w)).filter("__i = 1").drop("__i")
 

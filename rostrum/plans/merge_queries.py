@@ -15,14 +15,15 @@ CATALOG = Catalog()
 query = CATALOG.query
 
 _PERSON = """
-, old AS (SELECT c_custkey % 900 AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS claimed, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal END AS suppressed FROM customer WHERE c_custkey < 900)
-, new AS (SELECT c_custkey - 300 AS id, upper(c_name) AS name, c_nationkey + 100 AS claimed, NULL::DOUBLE AS suppressed FROM customer WHERE c_custkey BETWEEN 600 AND 1499)"""
+, old AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS claimed, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal END AS suppressed FROM customer)
+, new AS (SELECT c_custkey * 2 AS id, upper(c_name) AS name, c_nationkey + 100 AS claimed, NULL::DOUBLE AS suppressed FROM customer)"""
 
 
 def _people(spark, d):
+    """All customers as stored people, and all again as new ones under twice their key: half of either side meets the other."""
     c = table(spark, d, "customer")
-    old = c.filter("c_custkey < 900").select((F.col("c_custkey") % 900).alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("claimed"), F.when(F.col("c_custkey") % 10 == 0, F.col("c_acctbal")).alias("suppressed"))
-    new = c.filter("c_custkey between 600 and 1499").select((F.col("c_custkey") - 300).alias("id"), F.upper("c_name").alias("name"), (F.col("c_nationkey") + 100).alias("claimed"), F.lit(None).cast("double").alias("suppressed"))
+    old = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("claimed"), F.when(F.col("c_custkey") % 10 == 0, F.col("c_acctbal")).alias("suppressed"))
+    new = c.select((F.col("c_custkey") * 2).alias("id"), F.upper("c_name").alias("name"), (F.col("c_nationkey") + 100).alias("claimed"), F.lit(None).cast("double").alias("suppressed"))
     return old, new
 
 
@@ -66,15 +67,16 @@ def mut_03_refresh(spark, sf_dir):
 
 
 _MOTIONS = """
-, om AS (SELECT p_partkey % 50 AS tid, p_partkey AS seq, p_name AS text, CASE WHEN p_partkey % 4 = 0 THEN p_type END AS tag FROM part WHERE p_partkey < 1000)
-, nm AS (SELECT p_partkey % 50 AS tid, p_partkey AS seq, upper(p_name) AS text, p_brand AS tag FROM part WHERE p_partkey BETWEEN 500 AND 1200 AND p_partkey % 50 < 30)"""
+, om AS (SELECT p_partkey % 50 AS tid, p_partkey AS seq, p_name AS text, CASE WHEN p_partkey % 4 = 0 THEN p_type END AS tag FROM part)
+, nm AS (SELECT p_partkey * 2 % 50 AS tid, p_partkey * 2 AS seq, upper(p_name) AS text, p_brand AS tag FROM part)"""
 
 
 @query(_MOTIONS + " SELECT * FROM om WHERE tid NOT IN (SELECT tid FROM nm) UNION ALL SELECT nm.tid, nm.seq, nm.text, coalesce(om.tag, nm.tag) AS tag FROM nm LEFT JOIN om ON om.tid = nm.tid AND om.seq = nm.seq")
 def mut_04_motion_merge(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("tid", F.col("p_partkey") % 50).withColumn("seq", F.col("p_partkey"))
-    old = p.filter("p_partkey < 1000").select("tid", "seq", F.col("p_name").alias("text"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_type")).alias("tag"))
-    new = p.filter("p_partkey between 500 and 1200 and tid < 30").select("tid", "seq", F.upper("p_name").alias("text"), F.col("p_brand").alias("tag"))
+    p = table(spark, sf_dir, "part")
+    at = lambda seq: ((seq % 50).alias("tid"), seq.alias("seq"))  # noqa: E731  (odd tournaments get no new rows)
+    old = p.select(*at(F.col("p_partkey")), F.col("p_name").alias("text"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_type")).alias("tag"))
+    new = p.select(*at(F.col("p_partkey") * 2), F.upper("p_name").alias("text"), F.col("p_brand").alias("tag"))
     return merging.merge_and_prune(old, new, ["tid"], ["tid", "seq"], ["tag"])
 
 

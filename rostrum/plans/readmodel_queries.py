@@ -81,18 +81,18 @@ def proj_06_regex(spark, sf_dir):
 
 
 _REG = """
-, reg AS (SELECT o_custkey % 100 AS user_id, o_orderkey % 40 AS tid, 'u' || o_orderkey AS url, CASE WHEN o_orderkey % 4 <> 0 THEN 'Ann-' || (o_orderkey % 5) || ' Lee' END AS name FROM orders WHERE o_orderkey % 10 = 0)
-, claimed AS (SELECT c_custkey AS user_id, 'ann ' || (c_custkey % 5) || ' lee' AS key FROM customer WHERE c_custkey < 100)"""
+, reg AS (SELECT o_custkey AS user_id, o_orderkey % 40 AS tid, 'u' || o_orderkey AS url, CASE WHEN o_orderkey % 4 <> 0 THEN 'Ann-' || (o_orderkey % 5) || ' Lee' END AS name FROM orders)
+, claimed AS (SELECT c_custkey AS user_id, 'ann ' || (c_custkey % 5) || ' lee' AS key FROM customer)"""
 
 
 def _registrations(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0")
+    o = table(spark, d, "orders")
     name = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("Ann-"), (F.col("o_orderkey") % 5).cast("string"), F.lit(" Lee")))
-    return o.select((F.col("o_custkey") % 100).alias("user_id"), (F.col("o_orderkey") % 40).alias("tid"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"), name.alias("name"), F.col("o_orderkey").alias("seq")).withColumn("key", names.normalize_name(F.col("name")))
+    return o.select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 40).alias("tid"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"), name.alias("name"), F.col("o_orderkey").alias("seq")).withColumn("key", names.normalize_name(F.col("name")))
 
 
 def _claimed(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey < 100")
+    c = table(spark, d, "customer")
     return c.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("ann "), (F.col("c_custkey") % 5).cast("string"), F.lit(" lee")).alias("key"), F.col("c_name").alias("display"))
 
 
@@ -279,13 +279,14 @@ def fn_01_normalize_name(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", names.normalize_name(raw).alias("key"))
 
 
-_PAIR = ", pair AS (SELECT a.p_partkey AS x, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 3) % 2000 WHERE a.p_partkey < 2000)"
+_PAIR = ", pair AS (SELECT a.p_partkey AS x, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 3) % (SELECT count(*) FROM part))"
 
 
 def _pairs(spark, d):
-    p = table(spark, d, "part").filter("p_partkey < 2000")
+    p = table(spark, d, "part")
+    n = p.count()
     b = p.select(F.col("p_partkey").alias("y"), F.col("p_name").alias("b"))
-    return p.select(F.col("p_partkey").alias("x"), F.col("p_name").alias("a"), ((F.col("p_partkey") * 7 + 3) % 2000).alias("y")).join(b, "y")
+    return p.select(F.col("p_partkey").alias("x"), F.col("p_name").alias("a"), ((F.col("p_partkey") * 7 + 3) % n).alias("y")).join(b, "y")
 
 
 @query(_PAIR + " SELECT x, a = b OR contains(a, b) OR contains(b, a) OR len(list_filter(string_split(a, ' '), lambda t: NOT list_contains(string_split(b, ' '), t))) = 0 AS matches FROM pair")
@@ -329,12 +330,12 @@ def sort_06_similarity_topk(spark, sf_dir):
 
 
 @query("""
-, nm AS (SELECT DISTINCT p_name AS name FROM part), idx AS (SELECT p_partkey AS person_id, p_partkey AS ordinal, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' junior' ELSE ' senior' END AS i FROM part WHERE p_partkey % 5 = 0)
+, nm AS (SELECT DISTINCT p_name AS name FROM part), idx AS (SELECT p_partkey AS person_id, p_partkey AS ordinal, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' junior' ELSE ' senior' END AS i FROM part)
 SELECT name, min(person_id) AS person_id FROM nm JOIN idx ON contains(i, name) OR contains(name, i) OR len(list_filter(string_split(name, ' '), lambda t: NOT list_contains(string_split(i, ' '), t))) = 0 GROUP BY name""")
 def join_19_fuzzy_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     tail = F.when(F.col("p_partkey") % 3 == 0, " junior").otherwise(" senior")
-    index = p.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("person_id"), F.col("p_partkey").alias("ordinal"), F.concat("p_name", tail).alias("display_name"))
+    index = p.select(F.col("p_partkey").alias("person_id"), F.col("p_partkey").alias("ordinal"), F.concat("p_name", tail).alias("display_name"))
     return resolve.match_names(p.select(F.col("p_name").alias("name")), index)
 
 
@@ -352,9 +353,9 @@ def fn_14_private_url(spark, sf_dir):
     return facts.job(spark, sf_dir).select("job_id", urls.private_url(url, [".example.org"]).alias("ok"))
 
 
-@query(" SELECT user_id, count(DISTINCT url) AS urls FROM job WHERE job_id % 3 = 0 GROUP BY user_id")
+@query(" SELECT user_id, count(DISTINCT url) AS urls FROM job GROUP BY user_id")
 def fn_15_extract_urls(spark, sf_dir):
-    j = facts.job(spark, sf_dir).filter("job_id % 3 = 0").groupBy("user_id").agg(F.concat_ws(" ), see: ", F.collect_list("url")).alias("text"))
+    j = facts.job(spark, sf_dir).groupBy("user_id").agg(F.concat_ws(" ), see: ", F.collect_list("url")).alias("text"))
     return j.select("user_id", F.size(urls.extract_urls(F.replace("text", F.lit("privateurls"), F.lit("private=\nurls")), [".example.org"])).cast("bigint").alias("urls"))
 
 
@@ -442,8 +443,13 @@ def fn_27_report_labels(spark, sf_dir):
 
 @query(" SELECT tid, row_number() OVER (ORDER BY year DESC NULLS LAST, name) AS place FROM tournament")
 def sort_01_year_name(spark, sf_dir):
-    order = Window.orderBy(F.col("year").desc_nulls_last(), F.collate("name", "UNICODE"))
-    return facts.tournament(spark, sf_dir).select("tid", F.row_number().over(order).cast("bigint").alias("place"))
+    t = facts.tournament(spark, sf_dir)
+    # a place is the place within its year, after all rows of later years: years are few, so their counts go to every task
+    years = t.groupBy("year").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("year").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = years.select("year", before.alias("before")).alias("y")
+    ranked = t.withColumn("i", F.row_number().over(Window.partitionBy("year").orderBy(F.collate("name", "UNICODE")))).alias("t")
+    return ranked.join(F.broadcast(at), F.col("t.year").eqNullSafe(F.col("y.year"))).select("tid", (F.col("before") + F.col("i")).cast("bigint").alias("place"))
 
 
 @query(" SELECT user_id, max(scheduled_at) AS latest FROM job GROUP BY user_id ORDER BY latest DESC, user_id LIMIT 5")
@@ -533,11 +539,11 @@ def snk_05_error_dump(spark, sf_dir):
     return j.select("job_id", F.concat(F.coalesce("name", F.lit("?")), F.lit(": "), "url", F.lit(" — "), "last_error").alias("line"))
 
 
-@query(" , t AS (SELECT c_custkey AS key, 'speaker' AS role, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS inst FROM customer WHERE c_custkey < 900), p AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 5 = 0 THEN 'adjudicator' ELSE 'speaker' END AS role, c_mktsegment AS inst FROM customer WHERE c_custkey >= 600) SELECT coalesce(t.key, p.key) AS key, CASE WHEN t.role = 'adjudicator' OR p.role = 'adjudicator' THEN 'adjudicator' ELSE coalesce(p.role, t.role) END AS role, coalesce(t.inst, p.inst) AS institution FROM t FULL JOIN p USING (key)")
+@query(" , t AS (SELECT c_custkey AS key, 'speaker' AS role, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS inst FROM customer), p AS (SELECT c_custkey * 2 AS key, CASE WHEN c_custkey % 5 = 0 THEN 'adjudicator' ELSE 'speaker' END AS role, c_mktsegment AS inst FROM customer) SELECT coalesce(t.key, p.key) AS key, CASE WHEN t.role = 'adjudicator' OR p.role = 'adjudicator' THEN 'adjudicator' ELSE coalesce(p.role, t.role) END AS role, coalesce(t.inst, p.inst) AS institution FROM t FULL JOIN p USING (key)")
 def set_05_participant_merge(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey"))
-    t = c.filter("c_custkey < 900").select("key", F.lit("speaker").alias("role"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("institution"))
-    p = c.filter("c_custkey >= 600").select("key", F.when(F.col("c_custkey") % 5 == 0, "adjudicator").otherwise("speaker").alias("role"), F.col("c_mktsegment").alias("institution"))
+    c = table(spark, sf_dir, "customer")
+    t = c.select(F.col("c_custkey").alias("key"), F.lit("speaker").alias("role"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("institution"))
+    p = c.select((F.col("c_custkey") * 2).alias("key"), F.when(F.col("c_custkey") % 5 == 0, "adjudicator").otherwise("speaker").alias("role"), F.col("c_mktsegment").alias("institution"))
     return merging.merge_participants(t, p)
 
 
