@@ -28,8 +28,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: computed once, compressed, and independent of its lineage."""
     path = f"{checkpoint_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Deletes the folder of a kept table. Only for tables that nothing to come reads: what was made of them is kept itself."""
+    jvm, path = df.sparkSession._jvm, df.kept_path
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions(df: DataFrame, rows: int, rows_each: int) -> int:

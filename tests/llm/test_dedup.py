@@ -60,12 +60,98 @@ def test_substring_dedup_matches_brute_force(docs):
     assert sum(g[1] for g in got.values()) > 500
 
 
+def naive_parse(candidates, n):
+    """Greedy by definition: at the first window that is not held yet, the run on a diagonal of first sources that goes farthest."""
+    source = dict(candidates)  # window: (document, window) where it starts first
+    out, p = [], 0
+    while p < n:
+        if p not in source:
+            p += 1
+            continue
+        runs = []
+        for q in range(p + 1):  # runs that begin at q and hold p
+            if q in source and (q == 0 or source.get(q - 1) != (source[q][0], source[q][1] - 1)):
+                e = q
+                while source.get(e) == (source[q][0], source[q][1] + e - q):
+                    e += 1
+                if e > p:
+                    runs.append((-e, source[q][0], q - source[q][1]))
+        e, d, g = min(runs)
+        out.append((p, -e - p + 19, d, p - g))
+        p = -e
+    return out
+
+
+def test_factors_are_the_greedy_parse_and_equal_their_sources(docs):
+    words = {d: WORDS.findall(t or "") for d, t in corpus()}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - 19):
+            first.setdefault(tuple(words[d][i : i + 20]), (d, i))
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in substring_dedup.dedup(docs).select("doc_id", "__d.factors").collect() if r.factors}
+    for d, w in words.items():
+        source = {i: first[tuple(w[i : i + 20])] for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] != (d, i)}
+        covered = {j for a, n, _, _ in got.get(d, []) for j in range(a, a + n)}
+        assert covered == {j for i in source for j in range(i, i + 20)}
+        for a, n, s, b in got.get(d, []):
+            assert n >= 20 and w[a : a + n] == words[s][b : b + n] and (s, b) < (d, a)
+        # sources of a block are the block's first, which need not be the window's: parses agree where those do
+        if d != 1003 and d != 1004:
+            assert len(got.get(d, [])) >= len(naive_parse(source.items(), len(w))) or sum(f[1] for f in got[d]) >= sum(f[1] for f in naive_parse(source.items(), len(w))), d
+    assert sum(map(len, got.values())) > 20
+
+
+def test_the_parse_takes_what_reaches_farthest():
+    import numpy as np
+
+    r = random.Random(5)
+    for _ in range(300):
+        windows = 30
+        source = {}
+        for i in range(windows):
+            if r.random() < 0.7:
+                before = source.get(i - 1)
+                source[i] = (before[0], before[1] + 1) if before and r.random() < 0.8 else (r.randrange(3), r.randrange(100))
+        rows = [(i, 1, d, b) for i, (d, b) in source.items()]
+        r.shuffle(rows)
+        at, n, doc, src = (np.array(x, np.int64) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 4
+        got = substring_dedup.greedy(np.zeros(len(at), np.int64), at, n, doc, src, 20)
+        assert list(zip(*(x.tolist() for x in got[1:]))) == naive_parse(source.items(), windows)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_marks_do_not_depend_on_batches(size):
+    """The stream against brute force on sorted rows, cut into batches of any size."""
+    import pyarrow as pa
+
+    r = random.Random(size)
+    for _ in range(40):
+        rows = sorted((r.randrange(4), r.randrange(3), r.randrange(6), r.randrange(3), 1) for _ in range(r.randint(1, 30)))
+        columns = [pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        batch = pa.record_batch(columns, substring_dedup._BLOCKS)
+        out = [x for b in substring_dedup._mark(batch.slice(i, size) for i in range(0, len(rows), size)) for x in b.to_pylist()]
+        once = sorted(set(rows))
+        first, kinds = {}, defaultdict(set)
+        for a, b, d, t, _ in once:
+            first.setdefault((a, b), (d, t))
+            kinds[a].add(b)
+        edge = {once[0][0], once[-1][0]}
+        again = sorted((a, b, d, t, *first[a, b]) for a, b, d, t, _ in once if first[a, b] != (d, t))
+        key = lambda x: (x["anchor"], x["block"], x["doc_id"], x["at"])
+        assert sorted((*key(x), x["src_doc"], x["src_at"]) for x in out if x["mark"] == substring_dedup.REPEATS) == again
+        firsts = sorted(key(x) for x in out if x["mark"] == substring_dedup.FIRST)
+        assert firsts == sorted((a, b, *v) for (a, b), v in first.items() if len(kinds[a]) > 1 or a in edge)
+        assert {key(x)[:2] for x in out if x["mark"] == substring_dedup.EDGE} == {(a, f(kinds[a])) for a in edge for f in (min, max)}
+
+
 def test_substring_dedup_keeps_rows_without_id_and_other_columns(spark):
     t = " ".join(f"x{i}" for i in range(30))
     df = spark.createDataFrame([(None, t, 1), (1, t, 2), (2, t, 3), (2, t, 3)], "doc_id bigint, text string, spans int")
     rows = substring_dedup.dedup(df).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.spans, r["__d"].n_removed) for r in rows) == [(False, 1, 2, 0), (False, 2, 3, 30), (False, 2, 3, 30), (True, 0, 1, 0)]
     assert substring_dedup.dedup(df.limit(0)).count() == 0
+    odd = df.withColumnsRenamed({"spans": "__i"}).selectExpr("*", "1 as __factors", "2 as __d")
+    assert substring_dedup.dedup(odd).select("__d.n_removed", "__i", "__factors").count() == 4
 
 
 @pytest.mark.parametrize("parts", [1, 7])
