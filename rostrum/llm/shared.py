@@ -54,14 +54,25 @@ def partitions(df: DataFrame, rows: int, rows_each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
-def join_spread(left: DataFrame, right: DataFrame, key: str, rows: int, by: Column, how: str = "left") -> DataFrame:
-    """left joined with right by key, where right has one row per key and left may have any number.
-
-    Keys that hold more than 1 / HEAVY of the left side's ``rows`` (at most HEAVY keys, so their list is broadcast) are dealt to
-    salts by the hash ``by``, and right's row is copied for each salt: at most HEAVY copies more, over all keys.
-    """
-    often = left.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(1, rows // HEAVY))
-    heavy = F.broadcast(often.select(F.col(key).alias("__hk"), F.ceil(F.col("__n") / max(1, rows // HEAVY)).cast("int").alias("__salts")))
-    a = left.join(heavy, F.col(key) == F.col("__hk"), "left").withColumn("__salt", F.coalesce(F.pmod(by, F.col("__salts")).cast("int"), F.lit(0))).drop("__hk", "__salts")
-    b = right.join(heavy, F.col(key) == F.col("__hk"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__hk", "__salts")
-    return a.join(b, [key, "__salt"], how).drop("__salt")
+def spread(left: DataFrame, key: str, rows: int, by: Column, counts: DataFrame | None = None):
+    """left with a ``__salt``, and a function that copies a table with one row per key to the salts of its key.
+
+    Keys that hold more than 1 / HEAVY of ``rows`` are dealt to salts by the hash ``by``. There are few such keys, however long
+    left is (HEAVY, if rows is its length), so their list is broadcast; and they are copied at most that often, all together.
+    counts: (key, __n), where the keys are counted already."""
+    most = max(1, rows // HEAVY)
+    counts = left.groupBy(key).agg(F.count("*").alias("__n")) if counts is None else counts
+    heavy = F.broadcast(counts.filter(F.col("__n") > most).select(F.col(key).alias("__hk"), F.ceil(F.col("__n") / most).cast("int").alias("__salts")))
+
+    def copies(right: DataFrame) -> DataFrame:
+        known = right.join(heavy, F.col(key) == F.col("__hk"), "left")
+        return known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__hk", "__salts")
+
+    salted = left.join(heavy, F.col(key) == F.col("__hk"), "left")
+    return salted.withColumn("__salt", F.coalesce(F.pmod(by, F.col("__salts")).cast("int"), F.lit(0))).drop("__hk", "__salts"), copies
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, rows: int, by: Column, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right by key, where right has one row per key and left may have very many: see :func:`spread`."""
+    salted, copies = spread(left, key, rows, by, counts)
+    return salted.join(copies(right), [key, "__salt"], how).drop("__salt")

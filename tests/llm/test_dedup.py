@@ -1,6 +1,5 @@
 """Substring, line and near dedup against brute force, on small tables with awkward rows."""
 
-import hashlib
 import random
 import re
 from collections import defaultdict
@@ -234,11 +233,49 @@ def test_overlaps_counts_intersections():
     import numpy as np
 
     r = np.random.default_rng(0)
-    xs = [np.unique(r.integers(0, 9000, 700).astype(np.uint32)) for _ in range(5)]
-    ys = [np.unique(r.integers(0, 9000, 900).astype(np.uint32)) for _ in range(4)]
+    xs = [np.unique(r.integers(0, 9000, 700).astype(np.uint64)) for _ in range(5)]
+    ys = [np.unique(r.integers(0, 9000, 900).astype(np.uint64)) for _ in range(4)]
     assert near_dedup.overlaps(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
 
 
-def test_line_key_folds_ascii_only():
-    assert line_dedup.line_key(" \tÉcole De La Ville Haute\r") == hashlib.blake2b("École de la ville haute".encode(), digest_size=16).digest()
-    assert line_dedup.line_key("x" * 19) is None
+def test_line_key_folds_ascii_only(spark):
+    df = spark.createDataFrame([(" \t\x0bÉcole De La Ville Haute\r ",), ("x" * 19,)], "line string")
+    assert [r[0] for r in df.select(line_dedup.line_key(df.line)).collect()] == ["École de la ville haute", "x" * 19]
+    assert line_dedup.line_rows(spark.createDataFrame([(1, "x" * 19 + "\n" + " " * 30), (None, "y" * 30)], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+def test_decisions_do_not_depend_on_batches(size):
+    import pyarrow as pa
+
+    r = random.Random(size)
+    for _ in range(40):
+        rows = sorted(((r.randrange(4), 0, r.randrange(6), 0, 9, r.randrange(9)) for _ in range(r.randint(1, 30))), key=lambda x: (x[0], -x[2], x[5]))
+        names = [c.split()[0] for c in line_dedup._COLUMNS.split(", ")]
+        batch = pa.record_batch([pa.array(x, pa.int64() if k < 4 else pa.int32()) for k, x in enumerate(zip(*rows))], names)
+        out = [x for b in line_dedup._decide(3)(batch.slice(i, size) for i in range(0, len(rows), size)) for x in b.to_pylist()]
+        docs = defaultdict(set)
+        for x in rows:
+            docs[x[0]].add(x[2])
+        ends = {rows[0][0], rows[-1][0]}
+        took = lambda state: sorted((x["hi"], x["doc_id"], x["line"]) for x in out if x["state"] == state)
+        assert took(line_dedup.GONE) == sorted((x[0], x[2], x[5]) for x in rows if len(docs[x[0]]) >= 3 and x[2] != max(docs[x[0]]))
+        assert took(line_dedup.OPEN) == sorted((x[0], x[2], x[5]) for x in rows if x[0] in ends and (len(docs[x[0]]) < 3 or x[2] == max(docs[x[0]])))
+        assert {(x["hi"], min(x["docs"], 3), x["doc_id"]) for x in out if x["state"] == line_dedup.EDGE} == {(k, min(len(docs[k]), 3), max(docs[k])) for k in ends}
+
+
+@pytest.mark.parametrize("parts", [1, 5, 23])
+def test_line_dedup_of_awkward_rows(spark, parts):
+    line = "A line that very many documents have"
+    rows = [(i % 200, line + "\nown " + str(i % 200) * 12, 1) for i in range(300)] + [(None, line, 1), (None, None, 1), (500, None, 1), (501, "", 1), (502, "\n".join([line] * 3000), 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __keep int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        done = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))
+        got = sorted((r.doc_id is None, r.doc_id or 0, r["__l"].n_lines, r["__l"].n_dropped) for r in done.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert done.columns == ["doc_id", "text", "__keep", "__l"]
+    assert got == sorted([(False, i % 200, 2, 1) for i in range(300)] + [(True, 0, 1, 0)] * 2 + [(False, 500, 1, 0), (False, 501, 1, 0), (False, 502, 3000, 0)])
+    assert line_dedup.apply_bitmaps(df.limit(0), line_dedup.keep_bitmaps(df.limit(0))).count() == 0
