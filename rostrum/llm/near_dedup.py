@@ -11,17 +11,25 @@ bucket of a band has a few leaders; a member is first compared with the leaders
 of its buckets that its sketch is nearest to, and leaders with each other.
 Buckets whose members are then not in one component compare the members outside
 the bucket's largest component with all the others, each pair in the first band
-it shares; in crowded buckets they meet block by block inside tasks, where exact
-overlaps come from matrix products and only likely links leave. A group of near copies so costs about two pairs per member, not all
-pairs, and no pair with a chance to connect two components is left out.
+it shares; in crowded buckets they meet block by block inside tasks, where the
+overlaps of full sets come from matrix products and only links leave. Either way a
+pair is a link by one rule: size, sketch, and then the similarity of the full sets.
+A group of near copies so costs about two pairs per member, not all pairs, and no
+pair with a chance to connect two components is left out. What stays costly is a
+very large family of texts that are all a little less similar than the threshold:
+its members share bands but no links, so they do meet each other, in blocks.
+
+A bucket, a leader, a class of equal sets or a component may hold a third of all
+rows: joins by those keys deal its rows to salts (see :func:`shared.join_spread`).
 
 A pair at the threshold shares no band with a chance of about 5e-8, and is
 weeded out by its sketch with one of about 1e-7.
 
 Defined results: null and wordless texts have an empty set, link with nothing
 and stay; shorter texts are one shingle; ties go to the least doc_id; rows that
-repeat a doc_id are one document; rows without doc_id link with nothing and stay;
-an empty table gives an empty result; other columns are left alone.
+repeat a doc_id are one document, whose text is the one with the least hash where
+they differ; rows without doc_id link with nothing and stay; very long texts are
+read whole; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm.components import components
-from rostrum.llm.shared import kept
+from rostrum.llm.shared import fresh, join_spread, kept
 from rostrum.llm.words import SPACED_LOWER, gram_hashes, gram_starts, mix, seeds, slices, words_of
 
 SHINGLE, PERCENT = 5, 80
@@ -107,12 +115,12 @@ def most_bits(similarity: float) -> int:
     return int(n / 2 * (1 - np.exp(-2 * (2 * SAMPLES * (1 - similarity)) / n)))
 
 
-_SKETCH = ["doc_id", "n", "f1", "f2", "bands", *[f"s{k}" for k in range(SKETCH_LONGS)]]
-_SKETCH_TYPES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_LONGS))
+_SKETCH = ["doc_id", "t", "n", "f1", "f2", "bands", *[f"s{k}" for k in range(SKETCH_LONGS)]]
+_SKETCH_TYPES = "doc_id bigint, t bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_LONGS))
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row per document: size and fingerprint of its set, band keys, odd sketch."""
+    """One row per document: hash of its text, size and fingerprint of its set, band keys, odd sketch."""
 
     def rows(batches):
         for batch in batches:
@@ -131,28 +139,27 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     sketch[some] = odd_sketches(m)
                     offsets = np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32)
                     bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
-                yield pa.record_batch([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands, *[pa.array(sketch[:, k].copy().view(np.int64)) for k in range(SKETCH_LONGS)]], _SKETCH)
+                yield pa.record_batch([part.column("doc_id"), part.column("t"), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands, *[pa.array(sketch[:, k].copy().view(np.int64)) for k in range(SKETCH_LONGS)]], _SKETCH)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, _SKETCH_TYPES)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(rows, _SKETCH_TYPES)
 
 
 def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, grams, short): the sorted shingle hashes as bytes, and their upper halves."""
+    """(doc_id, n, grams): the sorted shingle hashes as bytes."""
 
     def rows(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 g, first = shingle_sets(part.column("text"), shingle)
                 ends = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
-                half = (g >> np.uint64(32)).astype(np.uint32)
-                sets, short = [g[a:b].tobytes() for a, b in ends], [half[a:b].tobytes() for a, b in ends]
-                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(sets, pa.binary()), pa.array(short, pa.binary())], ["doc_id", "n", "grams", "short"])
+                sets = [g[a:b].tobytes() for a, b in ends]
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(sets, pa.binary())], ["doc_id", "n", "grams"])
 
-    return texts.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, grams binary, short binary")
+    return texts.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, grams binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. pairs: a kept table; rows: how many documents there are."""
 
     def check(batches):
         for batch in batches:
@@ -165,27 +172,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
     right = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    one = join_spread(pairs, left, "b", rows, F.xxhash64("a"), "inner")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("__n"))
+    return join_spread(one, right, "a", rows, F.xxhash64("b"), "inner", counts).select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
 def _bits(x: str, y: str) -> Column:
-    """Bits in which two sketches differ."""
-    return sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
+    """Bits in which two sketches differ, whose columns are named with the prefixes x and y."""
+    return sum((F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
 
 
 def _likely(x: str, y: str, percent: int) -> Column:
     """By size and sketch, the two can reach the similarity."""
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    a, b = F.col(f"{x}n"), F.col(f"{y}n")
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_bits(x, y) <= most_bits(SURE))
 
 
-def _star_pairs(slim: DataFrame, leaders: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+def _star_pairs(slim: DataFrame, leaders: DataFrame, sketch: DataFrame, percent: int, rows: int) -> DataFrame:
     """(a, b): each member with the leaders of its buckets that its sketch is nearest to, and leaders of a bucket with each other."""
-    led = slim.join(leaders, "key").select("doc_id", F.explode(F.array_distinct("leaders")).alias("leader")).filter("doc_id <> leader").distinct().alias("p")
-    near = led.join(sketch.alias("o"), F.col("p.doc_id") == F.col("o.doc_id")).join(sketch.alias("t"), F.col("p.leader") == F.col("t.doc_id")).filter(_likely("o", "t", percent))
-    by_bits = F.struct(_bits("o", "t").alias("bits"), F.col("p.leader").alias("leader"))
+    led = kept(slim.select("doc_id", F.explode(F.array_distinct("leaders")).alias("leader")).filter("doc_id <> leader").distinct())
+    of = lambda name, key: sketch.select(F.col("doc_id").alias(key), *[F.col(c).alias(f"{name}{c}") for c in ("n", *(f"s{k}" for k in range(SKETCH_LONGS)))])
+    near = join_spread(led, of("t_", "leader"), "leader", rows, F.xxhash64("doc_id"), "inner").join(of("o_", "doc_id"), "doc_id").filter(_likely("o_", "t_", percent))
+    by_bits = F.struct(_bits("o_", "t_").alias("bits"), "leader")
     # a member has at most LEADERS leaders in each of its bands: a short list
-    best = near.groupBy(F.col("p.doc_id").alias("doc_id")).agg(F.slice(F.array_sort(F.collect_list(by_bits)), 1, CHOICES).alias("best"))
+    best = near.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(by_bits)), 1, CHOICES).alias("best"))
     chosen = best.select("doc_id", F.explode("best").alias("x")).select("doc_id", "x.leader")
     one, two = F.explode("leaders").alias("doc_id"), F.explode("leaders").alias("leader")
     tops = leaders.select("leaders", one).select("doc_id", two).filter("doc_id <> leader").distinct()
@@ -196,7 +206,7 @@ def _star_pairs(slim: DataFrame, leaders: DataFrame, sketch: DataFrame, percent:
 def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     """(len(xs), len(ys)): sizes of all intersections, as products of 0/1 matrices over the values that both sides hold."""
     sizes = [len(s) for s in (*xs, *ys)]
-    values = np.concatenate([*xs, *ys]) if sizes else np.zeros(0, np.uint32)
+    values = np.concatenate([*xs, *ys]) if sizes else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     left, right = np.unique(values[owner < len(xs)]), np.unique(values[owner >= len(xs)])
     known = np.intersect1d(left, right, assume_unique=True)
@@ -214,8 +224,7 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_pairs(x: pd.DataFrame, y: pd.DataFrame, key: int, percent: int) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket that can reach the similarity: by component, size, sketch and first band, then by
-    the overlap of their short hashes (a little below the threshold, as hashes may fall together)."""
+    """Pairs of two blocks of a bucket that are links: by component, size, sketch and first band, then by their full sets."""
     nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
     dx, dy = x["doc_id"].to_numpy()[:, None], y["doc_id"].to_numpy()[None, :]
     cy, my = y["component"].to_numpy()[None, :], y["main"].to_numpy()[None, :]
@@ -229,9 +238,9 @@ def _block_pairs(x: pd.DataFrame, y: pd.DataFrame, key: int, percent: int) -> pd
     for k in range(bx.shape[1]):  # no earlier band in common
         ok &= ~((k < band) & (bx[:, k][:, None] == by[:, k][None, :]))
     if ok.any():
-        short = lambda df: [np.unique(np.frombuffer(b, np.uint32)) for b in df["short"]]
-        both = overlaps(short(x), short(y))
-        ok &= 100 * both >= (percent - 2) * (nx + ny - both)
+        full = lambda df: [np.frombuffer(b, np.uint64) for b in df["grams"]]
+        both = overlaps(full(x), full(y)).astype(np.int64)
+        ok &= 100 * both >= percent * (nx + ny - both)
     i, j = np.nonzero(ok)
     a, b = x["doc_id"].to_numpy()[i], y["doc_id"].to_numpy()[j]
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -239,13 +248,13 @@ def _block_pairs(x: pd.DataFrame, y: pd.DataFrame, key: int, percent: int) -> pd
 
 def _crowded_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of buckets with very many pairs: outsiders and members meet in blocks of about BLOCK rows each, a pair of blocks
-    at a time, and only likely pairs leave the task."""
+    at a time, and only links leave the task."""
     cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    r = rows.join(sets.select("doc_id", "short"), "doc_id").withColumn("nx", cut("outsiders")).withColumn("ny", cut("members"))
+    r = rows.join(sets.select("doc_id", "grams"), "doc_id").withColumn("nx", cut("outsiders")).withColumn("ny", cut("members"))
     spread = lambda own, other, n: F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda i: F.struct(*((F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int").alias("p"), i.alias("q")) if n == "x" else (i.alias("p"), F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int").alias("q"))))))
     x = r.filter("component <> main").withColumn("cell", spread("nx", "ny", "x")).withColumn("side", F.lit(0))
     y = r.withColumn("cell", spread("ny", "nx", "y")).withColumn("side", F.lit(1))
-    columns = ["key", "cell.p", "cell.q", "side", "doc_id", "component", "main", "n", "bands", "short", *[f"s{k}" for k in range(SKETCH_LONGS)]]
+    columns = ["key", "cell.p", "cell.q", "side", "doc_id", "component", "main", "n", "bands", "grams", *[f"s{k}" for k in range(SKETCH_LONGS)]]
     dealt = x.select(columns).unionByName(y.select(columns)).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
 
     def meet(batches):
@@ -271,53 +280,58 @@ def _crowded_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, component): one row per row of docs."""
     rows = kept(sketches(docs, shingle))
-    named = rows.filter("doc_id is not null and n > 0")
-    classes = named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    total = rows.count()
+    # one row per document: of rows that share an id, the one whose text has the least hash
+    columns = [c for c in rows.columns if c != "doc_id"]
+    named = rows.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min_by(F.struct(*columns), "t").alias("x")).select("doc_id", "x.*")
+    named = named.withColumn("set", F.struct("f1", "f2", "n"))
+    classes = named.groupBy("set").agg(F.min("doc_id").alias("rep"))
+    reps = kept(named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").drop("set"))
     member = reps.select("doc_id", F.explode("bands").alias("key"))
     # leaders of a bucket: its least documents by several hashes, so that buckets that share members share leaders
     least = lambda i: F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), "doc_id"))["doc_id"]
-    buckets = member.groupBy("key").agg(F.array(*[least(i) for i in range(LEADERS)]).alias("leaders"), F.count("*").alias("members")).filter("members > 1").select("key", "leaders")
-    slim = kept(member.join(buckets, "key"))  # rows of buckets with company only
-    leaders = slim.select("key", "leaders").distinct()
-    slim = slim.select("key", "doc_id")
-    sketch = reps.drop("bands", "f1", "f2")
-    wanted = slim.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    buckets = member.groupBy("key").agg(F.array(*[least(i) for i in range(LEADERS)]).alias("leaders"), F.count("*").alias("__n")).filter("__n > 1")
+    slim = kept(join_spread(member, buckets.select("key", "leaders"), "key", total, F.xxhash64("doc_id"), "inner", buckets.select("key", "__n")))  # rows of buckets with company only
+    leaders = slim.groupBy("key").agg(F.first("leaders").alias("leaders"))
+    sketch = reps.drop("bands", "f1", "f2", "t")
+    wanted = slim.select("doc_id").distinct().join(reps.select("doc_id", "t"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").join(wanted, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id"])
     sets = kept(full_sets(texts, shingle))
-    links = confirmed(_star_pairs(slim, leaders, sketch, percent), sets, percent)
+    links = confirmed(kept(_star_pairs(slim, leaders, sketch, percent, total)), sets, percent, total)
     one = components(links)
     # what the leaders left apart: buckets with several components
     at = slim.alias("m").join(one.alias("c"), F.col("m.doc_id") == F.col("c.node"), "left").select("key", "doc_id", F.coalesce("c.component", "doc_id").alias("component"))
     sizes = at.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("size").alias("members"), F.max("size").alias("largest")).filter("kinds > 1")
-    main = main.select("key", "main", "members", (F.col("members") - F.col("largest")).alias("outsiders"))
-    split = kept(at.join(main, "key").join(reps.drop("f1", "f2"), "doc_id"))
+    main = kept(main.select("key", "main", "members", (F.col("members") - F.col("largest")).alias("outsiders")))
+    mixed = join_spread(at, main, "key", total, F.xxhash64("doc_id"), "inner", main.select("key", F.col("members").alias("__n")))
+    split = kept(mixed.join(reps.drop("f1", "f2", "t"), "doc_id"))
     crowded = F.col("outsiders") * F.col("members") > CROWD
     few = split.filter(~crowded)
     x, y = few.filter("component <> main").alias("x"), few.alias("y")
     # a pair inside the outsiders is met from both sides, and a pair shares several bands; one meeting, in the first band, is enough
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc_id") > F.col("y.doc_id"))
     first = F.get(F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull()), F.lit(0)) == F.col("x.key")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _likely("x", "y", percent) & first)
-    pairs = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).unionByName(_crowded_pairs(split.filter(crowded), sets, percent)).distinct()
-    later = confirmed(pairs, sets, percent)
-    name = lambda side: one.select(F.col("node").alias(f"{side}n"), F.col("component").alias(f"{side}c"))
-    between = later.join(name("a"), F.col("a") == F.col("an"), "left").join(name("b"), F.col("b") == F.col("bn"), "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-    two = components(between)
-    t = two.select(F.col("node").alias("tn"), F.col("component").alias("tc"))
-    o = one.select(F.col("node").alias("on"), F.col("component").alias("oc"))
-    of_rep = classes.join(o, F.col("rep") == F.col("on"), "left").withColumn("c1", F.coalesce("oc", "rep")).join(t, F.col("c1") == F.col("tn"), "left")
-    of_class = of_rep.select(F.col("f1").alias("k1"), F.col("f2").alias("k2"), F.col("n").alias("kn"), F.coalesce("tc", "c1").alias("component"))
-    joined = rows.join(of_class, (F.col("doc_id").isNotNull()) & (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2")) & (F.col("n") == F.col("kn")), "left")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & _likely("x.", "y.", percent) & first)
+    pairs = kept(across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct())
+    later = confirmed(pairs, sets, percent, total).unionByName(_crowded_pairs(split.filter(crowded), sets, percent).distinct())
+    name = lambda side: one.select(F.col("node").alias(side), F.col("component").alias(f"{side}c"))
+    found = kept(later)
+    named_a = join_spread(found, name("a"), "a", total, F.xxhash64("b"))
+    between = join_spread(named_a, name("b"), "b", total, F.xxhash64("a"), counts=found.groupBy("b").agg(F.count("*").alias("__n"))).select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    two = components(between.filter("a <> b"))
+    of_rep = classes.join(one.select(F.col("node").alias("rep"), F.col("component").alias("oc")), "rep", "left").select("set", F.coalesce("oc", "rep").alias("c1"))
+    of_set = join_spread(of_rep, two.select(F.col("node").alias("c1"), F.col("component").alias("tc")), "c1", total, F.xxhash64("set")).select("set", F.coalesce("tc", "c1").alias("component"))
+    own = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.struct("f1", "f2", "n")).alias("set"))
+    joined = join_spread(own, of_set, "set", total, F.xxhash64("doc_id"))
     return joined.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose group has one with a smaller doc_id, with the columns of docs."""
-    gone = groups(docs, **options).filter("doc_id <> component").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    named = left.filter("doc_id is not null").withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    """docs without the documents whose group has one with a smaller doc_id, with the columns of docs; of rows that repeat a doc_id, one of each text."""
+    gone, h = fresh(docs, "__gone"), fresh(docs, "__h")
+    left = docs.join(groups(docs, **options).filter("doc_id <> component").select(F.col("doc_id").alias(gone)).distinct(), F.col("doc_id") == F.col(gone), "left_anti")
+    named = left.filter("doc_id is not null").withColumn(h, F.xxhash64("text")).dropDuplicates(["doc_id", h]).drop(h)
     return named.unionByName(docs.filter("doc_id is null"))
 
 
