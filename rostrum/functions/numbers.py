@@ -49,3 +49,17 @@ def parse_number(text: Column) -> Column:
 def r6(x: Column) -> Column:
     """Six decimals: what results are compared at."""
     return F.round(x.cast("double"), 6)
+
+
+# Rounds under which a split is thin, and deltas that stand out (points of win rate, speaker points).
+THIN_ROUNDS, RATE_STANDS_OUT, SCORE_STANDS_OUT = 4, 5.0, 0.3
+
+
+def thin(rounds: Column) -> Column:
+    """Whether a split rests on too few rounds."""
+    return rounds < THIN_ROUNDS
+
+
+def stands_out(delta: Column, least: float) -> Column:
+    """Whether a delta is large enough to be marked, and which way: 1, -1, or 0."""
+    return F.when(delta >= least, 1).when(delta <= -least, -1).otherwise(0)

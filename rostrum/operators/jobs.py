@@ -148,3 +148,29 @@ def latest_success(runs: DataFrame) -> DataFrame:
     """The newest successful parser run of each document."""
     w = Window.partitionBy("document_id").orderBy(F.desc("created_at"), F.desc("run_id"))
     return runs.filter("success").withColumn("i", F.row_number().over(w)).filter("i = 1").drop("i")
+
+
+def _reset(when: Column, columns: list[str]) -> list[Column]:
+    """The columns of a job, those of its run set back where ``when`` holds."""
+    fresh = {"status": F.lit("pending"), "attempts": F.lit(0).cast("bigint")}
+    blank = {"last_error", "started_at", "finished_at"}
+    return [F.when(when, fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.when(~when, F.col(c)).alias(c) if c in blank else F.col(c) for c in columns]
+
+
+def cleared(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Jobs of the requested (user_id, url) start anew, whatever they had become."""
+    asked = requests.select("user_id", "url").distinct().withColumn("__asked", F.lit(True))
+    return jobs.join(asked, ["user_id", "url"], "left").withColumn("__asked", F.coalesce("__asked", F.lit(False))).select(*_reset(F.col("__asked"), jobs.columns))
+
+
+def reingested(jobs: DataFrame, urls: DataFrame) -> DataFrame:
+    """Jobs of all of a user's urls start anew, but for locked ones and those whose page is gone for good. urls: (user_id, url, locked), one row each."""
+    dead = jobs.filter(F.col("last_error").rlike("HTTP 404")).select("user_id", "url").distinct().withColumn("__dead", F.lit(True))
+    known = jobs.join(urls.select("user_id", "url", F.col("locked").alias("__locked")), ["user_id", "url"], "left").join(dead, ["user_id", "url"], "left")
+    return known.select(*_reset(~F.coalesce("__locked", F.lit(True)) & F.col("__dead").isNull(), jobs.columns))
+
+
+def without_locked(jobs: DataFrame, locked: DataFrame) -> DataFrame:
+    """Jobs without the pending ones of locked (user_id, url)."""
+    keys = locked.select("user_id", "url").distinct()
+    return jobs.filter("status <> 'pending'").unionByName(jobs.filter("status = 'pending'").join(keys, ["user_id", "url"], "left_anti").select(*jobs.columns)).unionByName(jobs.filter("status is null"))

@@ -135,6 +135,28 @@ def mut_13_retry_failed(spark, sf_dir):
     return j.select("job_id", F.when(again, "pending").otherwise(F.col("status")).alias("status"), F.when(again, F.lit(0).cast("bigint")).otherwise(F.col("attempts")).alias("attempts"))
 
 
+_RUN = "job_id, CASE WHEN again THEN 'pending' ELSE status END AS status, CASE WHEN again THEN 0 ELSE attempts END AS attempts, CASE WHEN NOT again THEN last_error END AS last_error, CASE WHEN NOT again THEN finished_at END AS finished_at"
+
+
+@query(" SELECT " + _RUN + " FROM (SELECT *, (user_id, url) IN (SELECT (user_id, url) FROM job WHERE attempts = 4) AS again FROM job)")
+def mut_13_clear(spark, sf_dir):
+    j = facts.job(spark, sf_dir)
+    return jobs.cleared(j, j.filter("attempts = 4")).select("job_id", "status", "attempts", "last_error", "finished_at")
+
+
+@query(" SELECT " + _RUN + " FROM (SELECT *, user_id % 5 <> 0 AND (user_id, url) NOT IN (SELECT (user_id, url) FROM job WHERE regexp_matches(last_error, 'HTTP 404')) AS again FROM job)")
+def mut_13_reingest(spark, sf_dir):
+    j = facts.job(spark, sf_dir)
+    found = j.select("user_id", "url", (F.col("user_id") % 5 == 0).alias("locked")).distinct()
+    return jobs.reingested(j, found).select("job_id", "status", "attempts", "last_error", "finished_at")
+
+
+@query(" SELECT job_id, url, status FROM job WHERE NOT (status = 'pending' AND user_id % 5 = 0)")
+def mut_13_lock(spark, sf_dir):
+    j = facts.job(spark, sf_dir)
+    return jobs.without_locked(j, j.filter("user_id % 5 = 0")).select("job_id", "url", "status")
+
+
 @query(" SELECT url, job_id, scheduled_at FROM job QUALIFY row_number() OVER (PARTITION BY url ORDER BY scheduled_at, job_id) = 1")
 def mut_14_url_keep_earliest(spark, sf_dir):
     return ranks.first_by(facts.job(spark, sf_dir), ["url"], F.asc("scheduled_at"), F.asc("job_id")).select("url", "job_id", "scheduled_at")

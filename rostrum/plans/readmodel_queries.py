@@ -7,12 +7,13 @@ from pyspark.sql.window import Window
 
 from rostrum.functions import names, numbers, stages, urls
 from rostrum.functions.similarity import blended, jaro_udf, jaro_winkler_udf, token_containment
-from rostrum.operators import exports, merging, ranks, readmodel, resolve, results, scores
+from rostrum.operators import exports, field, merging, ranks, readmodel, resolve, results, scores
 from rostrum.operators.jobs import is_permanent
 from rostrum.plans import facts
 from rostrum.plans.facts import Catalog, table
 from rostrum.plans.rank_queries import _JUDGE
-from rostrum.plans.result_queries import _MERGED
+from rostrum.plans.result_queries import _MERGED, _ROWS
+from rostrum.plans.score_queries import _FIELD
 from rostrum.sources.catalog import column_lists
 from rostrum.sources.html_tables import team_matches
 
@@ -557,16 +558,42 @@ def agg_39_prelims_at_ingest(spark, sf_dir):
     return s.groupBy("slot").agg(F.coalesce(n, F.lit(9)).alias("prelims"))
 
 
-@query(_MERGED + """
-, prof AS (SELECT person_id, count(score) AS n, CASE WHEN count(score) >= 2 THEN stddev_pop(score) END AS sd FROM speech GROUP BY person_id)
+_REMARKS = _ROWS + _FIELD + """
+, prof AS (SELECT person_id, count(score) AS n, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM speech GROUP BY person_id)
+, ordered AS (SELECT *, row_number() OVER (PARTITION BY person_id, tid ORDER BY round, event_id) AS i, count(*) OVER (PARTITION BY person_id, tid) AS n FROM speech WHERE score IS NOT NULL)
+, mom AS (SELECT person_id, count(DISTINCT tid) AS samples, avg(score) FILTER (WHERE n - i < 3) - avg(score) FILTER (WHERE i <= 3) AS momentum FROM ordered WHERE n >= 6 GROUP BY person_id)
+, faced AS (SELECT person_id, count(*) AS placements, avg((1 - better / n) * 100) FILTER (WHERE NOT coalesce(own_rounds < prelims, false)) AS percentile FROM ctx GROUP BY person_id)
+, turn AS (SELECT m.*, row_number() OVER (PARTITION BY person_id ORDER BY year ASC NULLS LAST, name, round) - row_number() OVER (PARTITION BY person_id, won ORDER BY year ASC NULLS LAST, name, round) AS g FROM merged m JOIN tournament USING (tid) WHERE won IS NOT NULL)
+, streak AS (SELECT person_id, max(n) AS streak FROM (SELECT person_id, won, g, count(*) AS n FROM turn GROUP BY ALL) WHERE won GROUP BY person_id)
 , br AS (SELECT person_id, count(*) AS t, count(*) FILTER (WHERE broke) / count(*) AS rate FROM entry GROUP BY person_id)
-SELECT person_id, concat_ws(',', CASE WHEN n >= 15 AND sd IS NOT NULL THEN 'consistency' END, CASE WHEN t >= 4 THEN 'break-rate=' || floor(rate * 100 + 0.5)::BIGINT END) AS remarks FROM prof JOIN br USING (person_id)""")
+, tally AS (SELECT person_id, dim, key, count(*) AS rounds, count(DISTINCT tid) AS events, count_if(won) / nullif(count(won), 0) AS rate, avg(score) - any_value(base_score) AS score_delta,
+    (count_if(won) / nullif(count(won), 0) - any_value(base_rate)) * 100 AS rate_delta,
+    CASE key WHEN 'Under 24 teams' THEN 1 WHEN '24–47 teams' THEN 2 WHEN '48–99 teams' THEN 3 ELSE 4 END AS place
+  FROM split LEFT JOIN base USING (person_id) WHERE key <> '' GROUP BY ALL)
+, sig AS (SELECT person_id, max(rate) FILTER (WHERE dim = 'position' AND rounds >= 6) - min(rate) FILTER (WHERE dim = 'position' AND rounds >= 6) AS seat,
+    max(rate_delta) FILTER (WHERE dim = 'motion_type' AND rounds >= 6) AS gain,
+    CASE WHEN count(score_delta) FILTER (WHERE dim = 'topic' AND rounds >= 6) >= 2 THEN min(score_delta) FILTER (WHERE dim = 'topic' AND rounds >= 6) END AS loss,
+    CASE WHEN count(*) FILTER (WHERE dim = 'field_size' AND events >= 2) >= 2 THEN (arg_min(struct_pack(r := rate), place) FILTER (WHERE dim = 'field_size' AND events >= 2)).r - (arg_max(struct_pack(r := rate), place) FILTER (WHERE dim = 'field_size' AND events >= 2)).r END * 100 AS gap
+  FROM tally GROUP BY person_id)
+SELECT person_id, concat_ws(',', CASE WHEN abs(momentum) >= 0.3 AND samples >= 3 THEN 'momentum' END, CASE WHEN prof.n >= 15 AND iqr IS NOT NULL THEN 'consistency' END,
+  CASE WHEN placements >= 3 AND percentile IS NOT NULL THEN 'field-percentile' END, CASE WHEN seat >= 0.12 THEN 'seat-spread' END, CASE WHEN gain >= 10 THEN 'motion-type' END,
+  CASE WHEN loss <= -0.5 THEN 'topic-weakness' END, CASE WHEN abs(gap) >= 12 THEN 'field-size' END, CASE WHEN streak >= 5 THEN 'win-streak' END, CASE WHEN t >= 4 THEN 'break-rate=' || floor(rate * 100 + 0.5)::BIGINT END) AS remarks
+FROM prof JOIN br USING (person_id) LEFT JOIN mom USING (person_id) LEFT JOIN faced USING (person_id) LEFT JOIN streak USING (person_id) LEFT JOIN sig USING (person_id)"""
+
+
+@query(_REMARKS)
 def agg_40_remarks(spark, sf_dir):
-    speech, e = facts.speech(spark, sf_dir), facts.entry(spark, sf_dir)
-    none = {"momentum": "double", "samples": "bigint", "placements": "bigint", "mean_percentile": "double", "win_streak": "bigint"}
-    base = scores.score_profile(speech).select("person_id", "n", "stdev").join(results.rates(e), "person_id")
-    for c, kind in none.items():
-        base = base.withColumn(c, F.lit(None).cast(kind))
+    speech, e, t = facts.speech(spark, sf_dir), facts.entry(spark, sf_dir), facts.tournament(spark, sf_dir)
+    team_round = facts.team_round(spark, sf_dir)
+    rounds = results.merged_rounds(speech, team_round)
+    made = results.splits(results.split_rows(rounds, t, facts.motion(spark, sf_dir)), results.baseline(speech, rounds))
+    against = field.career(field.context(field.cells(e, speech, field.prelims(t, team_round, speech))))
+    base = scores.score_profile(speech).select("person_id", "n", "iqr").join(results.rates(e), "person_id")
+    for more in (
+        scores.momentum(speech).select("person_id", "momentum", "samples"), against.select("person_id", "placements", "mean_percentile"),
+        results.streaks(rounds, t).select("person_id", "win_streak"), readmodel.split_signals(made),
+    ):
+        base = base.join(more, "person_id", "left")
     shown = F.transform(readmodel.remarks(), lambda x: F.when(x["id"] == "break-rate", F.concat(x["id"], F.lit("="), x["value"])).otherwise(x["id"]))
     return base.select("person_id", F.array_join(shown, ",").alias("remarks"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rostrum.functions import numbers
 from rostrum.functions.numbers import r6
 from rostrum.functions.stages import field_size_order, position_order
 from rostrum.operators import field, results
@@ -156,3 +157,14 @@ def sort_04_rounds_desc(spark, sf_dir):
     rows = results.split_rows(_rounds(spark, sf_dir), facts.tournament(spark, sf_dir), facts.motion(spark, sf_dir)).filter("dim = 'topic'")
     w = Window.partitionBy("person_id").orderBy(F.desc("rounds"), "key")
     return rows.groupBy("person_id", "key").agg(F.count("*").alias("rounds")).withColumn("place", F.row_number().over(w).cast("bigint"))
+
+
+@query(_ROWS + """
+, t AS (SELECT person_id, dim, key, count(*) AS rounds, round(avg(score) - any_value(base_score), 6) AS s, round((count_if(won) / nullif(count(won), 0) - any_value(base_rate)) * 100, 6) AS r
+  FROM split LEFT JOIN base USING (person_id) WHERE key <> '' AND dim <> 'topic' AND dim <> 'motion_type' GROUP BY ALL)
+SELECT person_id, dim, key, rounds < 4 AS thin, CASE WHEN s >= 0.3 THEN 1 WHEN s <= -0.3 THEN -1 ELSE 0 END::INT AS score_mark, CASE WHEN r >= 5 THEN 1 WHEN r <= -5 THEN -1 ELSE 0 END::INT AS rate_mark FROM t""")
+def fn_28_thin_flag(spark, sf_dir):
+    rows = results.split_rows(_rounds(spark, sf_dir), facts.tournament(spark, sf_dir), facts.motion(spark, sf_dir)).filter(~F.col("dim").isin("topic", "motion_type"))
+    out = results.splits(rows, _base(spark, sf_dir))
+    mark = lambda c, least: numbers.stands_out(F.round(F.col(c), 6), least)
+    return out.select("person_id", "dim", "key", numbers.thin(F.col("rounds")).alias("thin"), mark("score_delta", numbers.SCORE_STANDS_OUT).alias("score_mark"), mark("win_rate_delta", numbers.RATE_STANDS_OUT).alias("rate_mark"))

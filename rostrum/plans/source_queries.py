@@ -7,7 +7,7 @@ from itertools import islice
 from pyspark.sql import functions as F
 
 from rostrum.plans.facts import Catalog, table
-from rostrum.sources import html_tables, navigation
+from rostrum.sources import html_tables, js_literal, navigation
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -50,7 +50,17 @@ def src_03_embedded_tables(spark, sf_dir):
     return t.select(F.col("page_id").cast("bigint").alias("page_id"), F.size("head").alias("columns"), F.size("rows").alias("rows"))
 
 
-CATALOG.queries["src_04_js_literal"], CATALOG.oracles["src_04_js_literal"] = (lambda spark, sf_dir: src_03_embedded_tables(spark, sf_dir).select("page_id", "rows")), CATALOG.oracles["src_03_embedded_tables"].replace("5::INT AS columns, ", "")
+@query("""
+SELECT p_partkey, p_partkey % 8 < 4 AS ok, CASE WHEN p_partkey % 8 < 4 THEN p_name END AS name, CASE WHEN p_partkey % 8 < 4 THEN (p_size + 16)::DOUBLE END AS size, CASE WHEN p_partkey % 8 < 4 THEN (-p_size - 0.5)::DOUBLE END AS low FROM part""")
+def src_04_js_literal(spark, sf_dir):
+    """Literals of every part: half of them well-formed, in several spellings, and half of a kind that must be refused."""
+    p = table(spark, sf_dir, "part")
+    quoted = F.concat(F.lit("'"), F.replace("p_name", F.lit("'"), F.lit("\\'")), F.lit("'"))
+    good = F.concat(F.lit("{name: "), quoted, F.lit(", 'size': 0x"), F.lower(F.hex(F.col("p_size") + 16)), F.lit(", low: ["), (-F.col("p_size") - 0.5).cast("string"), F.lit(", [], null,], gone: undefined}"))
+    bad = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("f("), good, F.lit(")"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("{[x]: "), good, F.lit("}"))).when(F.col("p_partkey") % 4 == 2, F.lit("{__proto__: {name: 'x'}}")).otherwise(F.concat(good, F.lit("; more")))
+    text = F.when(F.col("p_partkey") % 8 < 4, good).otherwise(bad)
+    read = F.from_json(js_literal.as_json(text), "struct<name:string,size:double,low:array<string>>")
+    return p.select("p_partkey", read.alias("r")).select("p_partkey", F.col("r").isNotNull().alias("ok"), "r.name", "r.size", F.get("r.low", F.lit(0)).cast("double").alias("low"))
 
 
 def _speakers(spark, d):
@@ -94,6 +104,49 @@ def src_10_participants(spark, sf_dir):
     return html_tables.participants(pages).select(F.col("page_id").cast("bigint").alias("page_id"), "name", "role", "judge_tag", "institution")
 
 
+_ROLE_TEXTS = ["Tab Director", "Deputy Chief Adjudicator", "Subsidised judge", "Independent adjudicator", "Adjudicator", "Debater", "Guest", "DCA", "Cameron"]
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 9 WHEN 5 THEN 'speaker' WHEN 6 THEN 'other' WHEN 8 THEN 'other' ELSE 'adjudicator' END AS role,
+  CASE p_partkey % 9 WHEN 0 THEN 'core' WHEN 1 THEN 'core' WHEN 2 THEN 'subsidized' WHEN 3 THEN 'invited' WHEN 4 THEN 'normal' WHEN 7 THEN 'core' END AS judge_tag FROM part""")
+def fn_24_all_roles(spark, sf_dir):
+    text = F.get(F.array(*map(F.lit, _ROLE_TEXTS)), (F.col("p_partkey") % 9).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", html_tables.participant_role(text).alias("r")).select("p_partkey", "r.role", "r.judge_tag")
+
+
+@query("""
+SELECT (c_custkey // 25)::BIGINT AS page_id, (row_number() OVER (PARTITION BY c_custkey // 25 ORDER BY c_custkey) - 1)::INT AS row_no, c_name AS name,
+  CASE c_custkey % 4 WHEN 1 THEN 'speaker' WHEN 2 THEN 'other' ELSE 'adjudicator' END AS role, CASE c_custkey % 4 WHEN 0 THEN 'invited' WHEN 3 THEN 'normal' END AS judge_tag,
+  CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS institution FROM customer""")
+def src_10_registration_cards(spark, sf_dir):
+    """Every customer as a registration card, some 25 to a page."""
+    k = F.col("c_custkey")
+    bullets = F.when(k % 4 == 0, "<li>Independent adjudicator</li><li>hello</li>").when(k % 4 == 1, "<li>Debater</li><li>hello</li>").when(k % 4 == 2, "<li>guest</li><li>hello</li>").otherwise("<li>hello &amp; welcome</li>")
+    at = F.when(k % 3 == 0, F.col("c_mktsegment")).when(k % 3 == 1, "—").otherwise(F.lit(None))
+    item = F.coalesce(F.concat(F.lit('<span class="list-group-item small">Institution: <b>'), at, F.lit("</b></span>")), F.lit(""))
+    card = F.concat(F.lit('<div class="list-group mt-3"><h4 class="card-title">Registration ('), "c_name", F.lit(")</h4><ul>"), bullets, F.lit("</ul>"), item, F.lit("</div>"))
+    g = table(spark, sf_dir, "customer").groupBy(F.floor(k / 25).cast("bigint").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), card.alias("card")))).alias("cards"))
+    pages = g.select("page_id", F.concat(F.lit("<html><body><div class=card>Participants</div>"), F.array_join(F.transform("cards", lambda c: c["card"]), "\n"), F.lit("</body></html>")).alias("html"))
+    return html_tables.registration_cards(pages)
+
+
+@query("""
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY p_partkey, k) - 1)::INT AS seq, label AS round_label, n AS round_number, text, info AS info_slide FROM (
+  SELECT (p_partkey // 20)::BIGINT AS page_id, p_partkey, unnest([1, 2]) AS k, CASE WHEN p_partkey % 3 = 2 THEN 'Grand Final' ELSE 'Round ' || (p_partkey % 20 + 1) END AS label, CASE WHEN p_partkey % 3 <> 2 THEN p_partkey % 20 + 1 END::INT AS n,
+    unnest([p_name, p_type]) AS text, unnest([CASE WHEN p_partkey % 2 = 0 THEN p_brand END, NULL]) AS info FROM part)""")
+def src_11_motion_sections(spark, sf_dir):
+    """Every part as a round of two motions under a heading: a list, or paragraphs with an info slide; some twenty to a page."""
+    k = F.col("p_partkey")
+    label = F.when(k % 3 == 2, F.lit("<h3>Grand Final</h3>")).otherwise(F.concat(F.lit("<h3 class=r>Round "), (k % 20 + 1).cast("string"), F.lit("</h3>")))
+    as_list = F.concat(F.lit("<ul><li>"), "p_name", F.lit("</li><li> "), "p_type", F.lit("</li></ul><p>Good luck</p>"))
+    as_text = F.concat(F.lit("<p>"), "p_name", F.lit("</p><p></p><p>"), "p_type", F.lit("</p><p>Info slide: "), "p_brand", F.lit("</p>"))
+    part = F.concat(label, F.when(k % 2 == 0, as_text).otherwise(as_list), F.lit("<h2>Venue</h2><p>Hall</p>"))
+    g = table(spark, sf_dir, "part").groupBy(F.floor(k / 20).cast("bigint").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), part.alias("part")))).alias("parts"))
+    pages = g.select("page_id", F.concat(F.lit("<html><body><h1>Motions</h1>"), F.array_join(F.transform("parts", lambda c: c["part"]), "\n"), F.lit("</body></html>")).alias("html"))
+    return html_tables.motion_sections(pages)
+
+
 @query(" SELECT 'Professional ' || p_brand AS n, count(*) AS total FROM part GROUP BY p_brand")
 def fn_24_role_classes(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("r", html_tables.participant_role(F.concat(F.lit("Independent adjudicator "), "p_brand")))

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window, WindowSpec
 from rostrum.functions.numbers import parse_number
 from rostrum.functions.stages import normalize_stage
 from rostrum.sources.js_literal import LiteralError, parse_at
+from rostrum.sources.navigation import text_of
 
 # How pages name their embedded tables, in order of preference.
 MARKERS = [r"window\.vueData\s*=\s*", r"\bvueData\s*[=:]\s*", r"""["']?tablesData["']?\s*[=:]\s*"""]
@@ -310,6 +311,54 @@ def participants(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return named.select(key, "table_no", "row_no", at("c_name").alias("name"), "k.role", "k.judge_tag", at("c_team").alias("team"), F.when(~inst.isin("—", "-"), inst).alias("institution"))
 
 
+# A registration card is a list group; its items tell the role and the institution.
+_GROUP = r"""(?is)<div\b[^>]*class=["'][^"']*\blist-group(?![\w-])[^>]*>.*?(?=<div\b[^>]*class=["'][^"']*\blist-group(?![\w-])|\z)"""
+_ITEM = r"""(?is)<(\w+)\b[^>]*class=["'][^"']*\blist-group-item(?![\w-])[^>]*>.*?</\1>"""
+_TITLE = r"""(?is)class=["'][^"']*\bcard-title(?![\w-])[^>]*>(.*?)</"""
+
+
+def registration_cards(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, row_no, name, role, judge_tag, institution): participants of pages that show a card per registration. A card that names no
+    role and has a single bullet is an adjudicator's."""
+    cards = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(_GROUP), 0)).alias("card_no", "card"))
+    name = F.trim(F.regexp_extract(text_of(F.regexp_extract("card", _TITLE, 1)), r"(?i)^Registration\s*\((.+)\)$", 1))
+    bullets = F.filter(F.transform(F.regexp_extract_all("card", F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1), text_of), lambda b: b != "")
+    items = F.transform(F.regexp_extract_all("card", F.lit(_ITEM), 0), lambda i: F.trim(F.regexp_extract(text_of(i), r"(?i)^Institution:\s*(.+)$", 1)))
+    made = cards.withColumn("name", name).filter("name <> ''").withColumn("bullets", bullets).withColumn("at", F.try_element_at(F.filter(items, lambda i: i != ""), F.lit(-1)))
+    told = participant_role(F.array_join("bullets", " "))
+    lone = (told["role"] == "other") & (F.size("bullets") == 1)
+    row = F.row_number().over(Window.partitionBy(key).orderBy("card_no")) - 1
+    return made.select(
+        key, row.alias("row_no"), "name", F.when(lone, "adjudicator").otherwise(told["role"]).alias("role"), F.when(lone, "normal").otherwise(told["judge_tag"]).alias("judge_tag"),
+        F.when(~F.col("at").isin("—", "-"), F.col("at")).alias("institution"),
+    )
+
+
+# What makes a heading a round's.
+ROUND_HEADING = r"(?i)\bround\s*\d+\b|\br\d+\b|\b(final|semi|quarter|octo|grand)\b"
+_PIECE = r"(?is)<h[1-4]\b[^>]*>.*?</h[1-4]>|<li\b[^>]*>.*?</li>|<p\b[^>]*>.*?</p>"
+
+
+def motion_sections(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, seq, round_label, round_number, text, info_slide): motions of pages that are laid out as headings with lists or paragraphs.
+    A list right after a round's heading holds its motions; else all that follows up to the next heading does. An info slide goes with the round's first motion."""
+    piece = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(_PIECE), 0)).alias("pos", "raw")).withColumn("text", text_of(F.col("raw"))).filter("text <> ''")
+    order = Window.partitionBy(key).orderBy("pos")
+    heading, listed = F.col("raw").rlike("(?i)^<h[1-4]"), F.col("raw").rlike("(?i)^<li")
+    in_section = Window.partitionBy(key, "section").orderBy("pos")
+    s = piece.withColumn("label", F.when(heading, F.col("text"))).withColumn("section", F.count("label").over(order)).filter("section > 0")
+    s = s.withColumn("label", F.first("label").over(in_section)).withColumn("i", F.row_number().over(in_section)).withColumn("listed", listed)
+    body = s.filter((F.col("i") > 1) & F.col("label").rlike(ROUND_HEADING)).withColumn("list_first", F.first("listed").over(in_section)).withColumn("broken", F.max(~F.col("listed")).over(in_section))
+    body = body.filter(~(F.col("list_first") & F.col("broken")))
+    slide = ~F.col("list_first") & F.col("text").rlike(r"(?i)^info[-\s]?slide[:\s]")
+    whole = in_section.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    said = F.nullif(F.trim(F.regexp_replace("text", r"(?i)^info[-\s]?slide[:\s]*", "")), F.lit(""))
+    body = body.withColumn("slide", slide).withColumn("info", F.last(F.when(F.col("slide"), said), ignorenulls=True).over(whole)).filter(~F.col("slide"))
+    first = F.row_number().over(in_section) == 1
+    number = F.regexp_extract(normalize_stage(F.col("label")), r"(?i)^Round\s+(\d+)$", 1).try_cast("int")
+    return body.select(key, (F.row_number().over(order) - 1).alias("seq"), F.col("label").alias("round_label"), number.alias("round_number"), "text", F.when(first, F.col("info")).alias("info_slide"))
+
+
 def team_matches(a: Column, b: Column) -> Column:
     """Whether two cells mean one team: equal, or the longer is the shorter and a number."""
     longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 _TOKEN = re.compile(r"""\s*(?:(?P<punct>[\[\]{},:])|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<number>[+-]?(?:0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|Infinity)(?![\w$]))|(?P<word>[A-Za-z_$][\w$]*))""", re.S)
 _ESCAPE = re.compile(r"\\(u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|\r\n|.)", re.S)
 _PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": "", "\r\n": ""}
@@ -103,3 +108,16 @@ def parse(text: str):
 def parse_at(text: str, at: int):
     """The value of the literal that starts at a place of a text; what follows it does not matter."""
     return _Reader(text, at).read()
+
+
+@F.pandas_udf(T.StringType())
+def as_json(text: pd.Series) -> pd.Series:
+    """Literals as JSON texts; null for what is not one literal and nothing else."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(parse(t))
+        except LiteralError:
+            return None
+
+    return text.map(one)

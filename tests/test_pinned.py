@@ -235,10 +235,21 @@ def test_csv_cells(spark):
 
 
 def test_remarks(spark):
-    row = Row(person_id=1, momentum=7.04, samples=3, n=3, stdev=1.0, placements=0, mean_percentile=None, win_streak=5, tournaments=1, break_rate=0.0)
-    kinds = "person_id long, momentum double, samples long, n long, stdev double, placements long, mean_percentile double, win_streak long, tournaments long, break_rate double"
-    df = spark.createDataFrame([row], kinds)
-    assert [(x.id, x.tone, x.value) for x in df.select(readmodel.remarks().alias("r")).first().r] == [("momentum", "pos", "7.0"), ("win-streak", "pos", "5")]
+    known = dict(person_id=1, momentum=7.04, samples=3, n=15, iqr=1.25, placements=3, mean_percentile=60.4, win_streak=5, tournaments=4, break_rate=0.5, seat_spread=0.12, type_gain=10.0, topic_loss=-0.5, size_gap=-12.0)
+    kinds = "person_id long, momentum double, samples long, n long, iqr double, placements long, mean_percentile double, win_streak long, tournaments long, break_rate double, seat_spread double, type_gain double, topic_loss double, size_gap double"
+    made = lambda **k: [(x.id, x.tone, x.value) for x in spark.createDataFrame([Row(**{**known, **k})], kinds).select(readmodel.remarks().alias("r")).first().r]
+    assert [x[0] for x in made()] == ["momentum", "consistency", "field-percentile", "seat-spread", "motion-type", "topic-weakness", "field-size", "win-streak", "break-rate"]
+    few = made(n=3, placements=0, mean_percentile=None, tournaments=1, seat_spread=0.1, type_gain=None, topic_loss=-0.4, size_gap=11.9)
+    assert few == [("momentum", "pos", "7.0"), ("win-streak", "pos", "5")]
+
+
+def test_split_signals(spark):
+    row = lambda dim, key, rounds, events, win=None, gain=None, loss=None: (1, dim, key, rounds, events, win, gain, loss)
+    rows = [row("position", "OG", 6, 1, 0.9), row("position", "CO", 6, 1, 0.5), row("position", "OO", 5, 1, 0.0), row("motion_type", "policy", 6, 1, 0.5, 11.0), row("motion_type", "value", 5, 1, 0.5, 40.0)]
+    rows += [row("topic", "a", 6, 1, None, None, -0.7), row("topic", "b", 6, 1, None, None, 0.2), row("field_size", "100+ teams", 3, 2, 0.25), row("field_size", "Under 24 teams", 3, 2, 0.75), row("field_size", "24–47 teams", 3, 1, 0.0)]
+    df = spark.createDataFrame(rows, "person_id long, dim string, key string, rounds long, tournaments long, win_rate double, win_rate_delta double, score_delta double")
+    r = readmodel.split_signals(df).first()
+    assert (round(r.seat_spread, 6), r.type_gain, r.topic_loss, r.size_gap) == (0.4, 11.0, -0.7, 50.0)
 
 
 def test_js_literals():
