@@ -2,23 +2,29 @@
 
 Every node is split along the metadata dimension in which it is widest (its
 range over the dimension's whole range), where the bytes left of the split are
-its share of the leaves. The median of all nodes of a level is found together:
+its share of the leaves. The medians of all nodes of a level are found together:
 bytes are summed into bins of each node's current interval, and the interval is
 narrowed to the bin that holds the median, until the bin is one value or
 weighs next to nothing. A value that many rows share (one source with a third
-of them) is split further by a hash of the document. The driver sees bins, never rows.
+of them) is split further by a hash of the document, and equal rows by a hash of
+their row number. The driver sees bins, never rows: about :data:`BINS` for all
+nodes of a level together, and :data:`LEAST_BINS` for each at least.
 
-Leaves are numbered from left to right. Slots are gapless in each leaf: a
-leaf's rows are dealt to hash groups, the groups are counted, and a row's slot
-is its group's offset plus its rank there, so no leaf meets in one task.
+Rows are numbered once, in a table in the shared folder, so that all passes agree
+on them. Leaves are numbered from left to right. Slots are gapless in each leaf: a
+leaf's rows are dealt to hash groups of about :data:`GROUP_ROWS`, the groups are
+counted, and a row's slot is its group's offset plus its rank there, so no leaf
+meets in one task.
 
 Law: ``bytes`` (leaves have near equal sizes). A row's size is the UTF-8 bytes
-of its text plus one.
+of its text plus one. Equal texts are a group of the report only: the law weighs
+rows, so copies may go to several shards.
 
 Defined results: a null text has no bytes (size 1, checksum 0); null metadata
-sorts first; equal texts are separate rows; rows that repeat a doc_id and text
-stay on one side of a split; an empty table gives an empty result; other
-columns are left alone.
+sorts first; equal texts are separate rows, and so are equal rows, with or without
+doc_id: they can go to both sides of a split; very long texts count by their bytes
+and are never cut; an empty table gives an empty result; other columns are left
+alone, but for one named ``__s``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -31,14 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rostrum.llm.shared import checkpoint_folder
+from rostrum.llm.shared import kept
 
-BINS = 1024
+BINS, LEAST_BINS = 1 << 16, 1024
 #: Language, source, size, doc_id.
 DIMENSIONS = 4
 #: A bin with no more of its node's bytes than this ends the search.
 FINE = 1e-6
-SLOT_GROUPS = 64
+GROUP_ROWS = 4096
+#: Low bits of a row's tie that come from its number.
+ROW_BITS = 22
 
 
 def text_rank(c: str) -> Column:
@@ -51,11 +59,16 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def keys_of(docs: DataFrame) -> DataFrame:
-    """docs with ``__k``: size, dims (array of numbers) and tie (a hash that tells the documents apart)."""
+def numbered(docs: DataFrame, size: Column | None = None, checksum: Column | None = None) -> DataFrame:
+    """The rows of docs, kept: ``__row`` (all columns, so that no name clashes) and ``__k``: size, dims (array of numbers) and tie
+    (hashes of the document and, below, of the row's number)."""
+    size = size_of() if size is None else size
+    checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if checksum is None else checksum
     long = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long"))
-    dims = F.array(text_rank("lang"), text_rank("source"), size_of(), long("doc_id"))
-    return docs.withColumn("__k", F.struct(size_of().alias("size"), dims.alias("dims"), F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), 2).alias("tie")))
+    dims = F.array(text_rank("lang"), text_rank("source"), size, long("doc_id"))
+    of_row = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(3)), F.lit(1 << ROW_BITS))
+    tie = F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id", checksum), 2 + ROW_BITS), ROW_BITS) + of_row
+    return kept(docs.select(F.struct("*").alias("__row"), F.struct(size.alias("size"), dims.alias("dims"), tie.alias("tie")).alias("__k")))
 
 
 @dataclass
@@ -110,17 +123,19 @@ def _descend(keyed: DataFrame, levels: list[dict[int, Node]]) -> DataFrame:
 def _narrow(at: DataFrame, spans: dict[int, tuple[int, int, int, float]], value: Column) -> dict[int, tuple[int, int, int, int, bool]]:
     """One pass of bins. spans: by node its dimension, interval (both ends in it), and bytes wanted left of the split within the interval.
     Gives the bin of the median: its interval, bytes before it, its bytes, and whether it is one value."""
-    inside = _of_node(at, "__span", ["dim", "lo", "hi"], {k: v[:3] for k, v in spans.items()}).filter("__span is not null")
-    binned = inside.withColumn("__x", value).filter("__x between __span.lo and __span.hi").withColumn("__b", F.expr(f"(__x - __span.lo) div ((__span.hi - __span.lo) div {BINS} + 1)"))
+    bins = max(LEAST_BINS, BINS // len(spans))
+    width = {k: (hi - lo) // bins + 1 for k, (_, lo, hi, _) in spans.items()}
+    inside = _of_node(at, "__span", ["dim", "lo", "hi", "width"], {k: (*v[:3], width[k]) for k, v in spans.items()}).filter("__span is not null")
+    binned = inside.withColumn("__x", value).filter("__x between __span.lo and __span.hi").withColumn("__b", F.expr("(__x - __span.lo) div __span.width"))
     sums: dict[int, list[tuple[int, int]]] = {}
     for r in binned.groupBy("__n", "__b").agg(F.sum("__k.size").alias("w")).collect():
         sums.setdefault(r["__n"], []).append((r["__b"], r["w"]))
     out = {}
     for k, (_, lo, hi, want) in spans.items():
-        width, before = (hi - lo) // BINS + 1, 0
+        before = 0
         for b, w in sorted(sums.get(k, [])):
             if before + w >= want:
-                out[k] = (lo + b * width, min(hi, lo + (b + 1) * width - 1), before, w, width == 1)
+                out[k] = (lo + b * width[k], min(hi, lo + (b + 1) * width[k] - 1), before, w, width[k] == 1)
                 break
             before += w
         else:
@@ -128,9 +143,8 @@ def _narrow(at: DataFrame, spans: dict[int, tuple[int, int, int, float]], value:
     return out
 
 
-def build(meta: DataFrame, leaves: int) -> list[dict[int, Node]]:
-    """The inner nodes of each level. meta: rows with ``__k``."""
-    total = meta.agg(F.sum("__k.size")).first()[0] or 0
+def build(meta: DataFrame, leaves: int, total: int) -> list[dict[int, Node]]:
+    """The inner nodes of each level. meta: rows with ``__k``; total: their bytes."""
     level: dict[int, Node] = {0: Node(leaves, 0, int(total))}
     whole: list[int] = []
     levels: list[dict[int, Node]] = []
@@ -149,35 +163,33 @@ def build(meta: DataFrame, leaves: int) -> list[dict[int, Node]]:
             else:
                 n.dim, n.value, n.tie = 0, -2, 0
         left = dict.fromkeys(nodes, 0)
-        tied: dict[int, tuple[int, int, int, float]] = {}
-        v = F.get("__k.dims", F.col("__span.dim").cast("int"))
-        while spans:  # by value
-            found = _narrow(at, spans, v)
+        only: dict[int, int] = {}  # nodes whose value is found, and whose documents are told apart by their hashes now
+        while spans:  # values and ties of all nodes in the same passes
+            v = F.get("__k.dims", F.col("__span.dim").cast("int"))
+            if only:
+                tied = _of_node(at, "__only", ["v"], {k: (x,) for k, x in only.items()})
+                found = _narrow(tied, spans, F.when(F.col("__only").isNull(), v).when(F.get("__k.dims", F.col("__span.dim").cast("int")) == F.col("__only.v"), F.col("__k.tie")))
+            else:
+                found = _narrow(at, spans, v)
             for k, (lo, hi, before, w, single) in found.items():
                 n = nodes[k]
                 dim, _, _, wanted = spans.pop(k)
                 left[k] += before
-                if single or lo == hi:  # one value: its documents are told apart by their hashes
-                    n.value = lo
-                    tied[k] = (dim, 0, (1 << 62) - 1, wanted - before)
+                if k in only:
+                    if single or w <= FINE * n.size:
+                        inside = wanted - before > w / 2  # the nearer side
+                        n.tie = hi if inside else lo - 1
+                        left[k] += w * inside
+                    else:
+                        spans[k] = (dim, lo, hi, wanted - before)
+                elif single or lo == hi:
+                    n.value = only[k] = lo
+                    spans[k] = (dim, 0, (1 << 62) - 1, wanted - before)
                 elif w <= FINE * n.size:
                     n.value, n.tie = hi, (1 << 62)
                     left[k] += w
                 else:
                     spans[k] = (dim, lo, hi, wanted - before)
-        same = _of_node(at, "__only", ["v"], {k: (nodes[k].value,) for k in tied}) if tied else at
-        while tied:
-            found = _narrow(same, tied, F.when(v == F.col("__only.v"), F.col("__k.tie")))
-            for k, (lo, hi, before, w, single) in found.items():
-                n = nodes[k]
-                dim, _, _, wanted = tied.pop(k)
-                left[k] += before
-                if single or w <= FINE * n.size:
-                    inside = wanted - before > w / 2  # the nearer side
-                    n.tie = hi if inside else lo - 1
-                    left[k] += w * inside
-                else:
-                    tied[k] = (dim, lo, hi, wanted - before)
         levels.append(nodes)
         level = {}
         for k, n in nodes.items():
@@ -199,25 +211,26 @@ def _leaf_numbers(levels: list[dict[int, Node]]) -> dict[int, int]:
     return out
 
 
-def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """docs with ``__s``: shard (from 0) and slot (gapless in each shard). shards: how many; else as many as leave target_bytes in each."""
-    spark = docs.sparkSession
-    checkpoint_folder(spark)
-    keyed = keys_of(docs)
-    meta = keyed.select("__k").checkpoint()  # sizes and keys only: texts are read once more, to be dealt
+def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, size: Column | None = None, checksum: Column | None = None) -> DataFrame:
+    """docs with ``__s``: shard (from 0) and slot (gapless in each shard). shards: how many; else as many as leave target_bytes in each.
+    size and checksum: of a row, where docs has no text."""
+    docs = docs.drop("__s")
+    keyed = numbered(docs, size, checksum)
+    meta = keyed.select("__k")  # the passes read sizes and keys only
+    whole = meta.agg(F.sum("__k.size").alias("bytes"), F.count("*").alias("rows")).first()
     if shards is None:
-        shards = max(1, math.ceil((meta.agg(F.sum("__k.size")).first()[0] or 0) / (target_bytes or 1 << 30)))
-    levels = build(meta, shards)
+        shards = max(1, math.ceil((whole.bytes or 0) / (target_bytes or 1 << 30)))
+    levels = build(meta, shards, whole.bytes or 0)
     leaves = {k: (v,) for k, v in _leaf_numbers(levels).items()}
     in_leaf = lambda df: _of_node(_descend(df, levels), "__l", ["leaf"], leaves).withColumn("__leaf", F.col("__l.leaf").cast("int")).drop("__l")
-    group = F.pmod("__k.tie", F.lit(SLOT_GROUPS)).cast("int")
+    group = F.pmod(F.xxhash64("__k.tie"), F.lit(max(1, -(-whole.rows // (shards * GROUP_ROWS))))).cast("long")
     counted = in_leaf(meta).groupBy("__leaf", group.alias("__g")).agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("__leaf").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counted.select("__leaf", "__g", before.alias("__before"))
     dealt = in_leaf(keyed).withColumn("__g", group)
-    rank = F.row_number().over(Window.partitionBy("__leaf", "__g").orderBy("__k.tie", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("__leaf", "__g").orderBy("__k.tie"))
     out = dealt.withColumn("__r", rank).join(offsets, ["__leaf", "__g"])
-    return out.withColumn("__s", F.struct(F.col("__leaf").alias("shard"), (F.col("__before") + F.col("__r") - 1).alias("slot"))).select(*docs.columns, "__s")
+    return out.withColumn("__s", F.struct(F.col("__leaf").alias("shard"), (F.col("__before") + F.col("__r") - 1).alias("slot"))).select("__row.*", "__s")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
@@ -229,5 +242,6 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
 def op2_kd_shards(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    sized = docs.withColumn("size", size_of()).withColumn("text_crc32", crc)
-    return shard(sized, shards=16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "__s.shard", "__s.slot", F.lit(None).cast("int").alias("grown_shard"))
+    sized = docs.select("doc_id", "lang", "source", size_of().alias("size"), crc.alias("text_crc32"))  # texts are not moved
+    done = shard(sized, shards=16, size=F.col("size"), checksum=F.col("text_crc32"))
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "__s.shard", "__s.slot", F.lit(None).cast("int").alias("grown_shard"))
