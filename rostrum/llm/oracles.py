@@ -107,7 +107,7 @@ WITH doc AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM doc LEFT JOIN line USING (doc_id) LEFT JOIN again USING (doc_id)
 ), value AS (
-  SELECT doc_id, lang, source, n_words, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS feature, unnest([0.8, 0.02, 0.1, 0.1]) AS least,
+  SELECT doc_id, lang, source, n_words, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS feature,
          unnest([coalesce(word_chars / nullif(n_words, 0), 0), coalesce(n_symbols / nullif(word_chars, 0), 0), n_dup_lines / (n_lines + 4), coalesce(n_repeat_words / nullif(n_words, 0), 0)]) AS x FROM m
 ), bucket AS (
   SELECT lang, source, feature, CASE WHEN x >= 1e-4 THEN ceil(ln(x) / ln(1.02))::INT END AS b, count(*) AS n FROM value WHERE n_words > 0 GROUP BY ALL
@@ -120,12 +120,16 @@ WITH doc AS (
          CASE WHEN b IS NULL THEN 0 ELSE 2 * pow(1.02, b) / 2.02 END AS at_ FROM level
 ), quartile AS (
   SELECT l, lang, source, feature, max(total) AS total, min(at_) FILTER (WHERE upto > 0.25 * (total - 1)) AS q1, min(at_) FILTER (WHERE upto > 0.75 * (total - 1)) AS q3 FROM summed GROUP BY ALL
-), judged AS (
-  SELECT v.doc_id, v.feature, v.x, v.least, CASE WHEN s.total >= 100 THEN s.q1 WHEN a.total >= 100 THEN a.q1 ELSE e.q1 END AS q1, CASE WHEN s.total >= 100 THEN s.q3 WHEN a.total >= 100 THEN a.q3 ELSE e.q3 END AS q3
-  FROM value v JOIN quartile s ON s.l = 0 AND s.lang IS NOT DISTINCT FROM v.lang AND s.source IS NOT DISTINCT FROM v.source AND s.feature = v.feature
-  JOIN quartile a ON a.l = 1 AND a.lang IS NOT DISTINCT FROM v.lang AND a.feature = v.feature JOIN quartile e ON e.l = 2 AND e.feature = v.feature
+), fence AS (
+  SELECT l, lang, source, feature, total / (total + 100.0) AS share, q1, q3, 3.0 * greatest(q3 - q1, CASE feature WHEN 'word_length' THEN 0.8 WHEN 'symbols' THEN 0.02 ELSE 0.1 END) AS spread FROM quartile
+), limits AS (
+  SELECT s.lang, s.source, s.feature,
+         s.share * (s.q1 - s.spread) + (1 - s.share) * CASE WHEN s.feature IN ('word_length', 'repeats') THEN a.q1 - a.spread * (1 / a.share) ELSE a.share * (a.q1 - a.spread) + (1 - a.share) * (e.q1 - e.spread) END AS low,
+         s.share * (s.q3 + s.spread) + (1 - s.share) * CASE WHEN s.feature IN ('word_length', 'repeats') THEN a.q3 + a.spread * (1 / a.share) ELSE a.share * (a.q3 + a.spread) + (1 - a.share) * (e.q3 + e.spread) END AS high
+  FROM fence s JOIN fence a ON s.l = 0 AND a.l = 1 AND a.lang IS NOT DISTINCT FROM s.lang AND a.feature = s.feature JOIN fence e ON e.l = 2 AND e.feature = s.feature
 ), verdict AS (
-  SELECT doc_id, bool_and(x <= q3 + 3 * greatest(q3 - q1, least) AND x >= CASE WHEN feature = 'word_length' THEN q1 - 3 * greatest(q3 - q1, least) ELSE 0 END) AS good FROM judged GROUP BY doc_id
+  SELECT doc_id, bool_and(x <= high AND (x >= low OR v.feature <> 'word_length')) AS good
+  FROM value v JOIN limits m ON m.lang IS NOT DISTINCT FROM v.lang AND m.source IS NOT DISTINCT FROM v.source AND m.feature = v.feature GROUP BY doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(good, false) AS kept

@@ -1,19 +1,24 @@
 """Quality rules with adaptive thresholds per language and source.
 
-Each text is measured once per pass; the measures go into log-bucket quantile
-sketches (bucket counts, which merge by addition) per language and source.
-Thresholds are outlier fences (quartile plus ``fence`` interquartile ranges)
-read from those sketches, so they follow each source's own distribution and do
-not cut a fixed share of it. A joined filter then applies them.
+Each text is measured once, and the measures are kept with its row; they go into
+log-bucket quantile sketches (bucket counts, which merge by addition) per language
+and source. Thresholds are outlier fences (quartile plus ``fence`` interquartile
+ranges) read from those sketches, so they follow each source's own distribution and
+do not cut a fixed share of it. A group's fences are merged with its language's by
+their counts: n rows weigh n / (n + ``prior_rows``), without a step at any size. A
+joined filter then applies them.
 
 The sketches are a plain ``groupBy`` of bucket counts: partially summed before
 the shuffle, so a source with a third of all rows is no hot key. Their size is
-bounded by the number of sources times :data:`FEATURES` times the buckets.
+bounded by the number of sources times :data:`FEATURES` times the buckets. The
+thresholds go to every task if they are few (:data:`BROADCAST_GROUPS`); else their
+join deals a group with very many rows to salts.
 
 Defined results: a null text is measured as an empty one; null language or
 source are groups of their own; repeated rows are judged one by one; an empty
-table gives an empty result; columns of the input other than those named are
-left as they are.
+table gives an empty result; ties count as they are (a value on a fence stays);
+very long texts are measured whole; other columns are left as they are, but for
+ones named ``__q`` or ``__v``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rostrum.llm.shared import fresh, join_spread, kept
 from rostrum.llm.words import SPACE_CHARS
 
 SYMBOLS = "#*$%&|<>"
@@ -43,9 +49,10 @@ FEATURES = {
 GAMMA, LEAST = 1.02, 1e-4
 #: Measures that depend on how a language is written; another language's sketch never judges them.
 OF_LANGUAGE = {"word_length", "repeats"}
-#: Rows at which a sketch counts in full; below, it counts in proportion to its rows and the next level for the rest:
-#: a group's language, then all rows, or for OF_LANGUAGE the language's own fences, wider the fewer rows it has.
-LEAST_ROWS = 100
+#: Rows that the next level is worth: a group's language, then all rows, or for OF_LANGUAGE the language's own fences, wider the fewer rows it has.
+PRIOR_ROWS = 100
+#: Thresholds up to which all of them are sent to every task.
+BROADCAST_GROUPS = 100_000
 FENCE = 3.0
 
 
@@ -109,13 +116,13 @@ def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     return own.groupBy(*by).agg(F.max("rows").alias("rows"), *agg)
 
 
-def thresholds(sketch: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
+def thresholds(sketch: DataFrame, fence: float = FENCE, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """(lang, source, <feature>_low, <feature>_high) for every group that has a sketch."""
     own, lang, everything = (_quartiles(sketch, by) for by in (["lang", "source"], ["lang"], []))
     s, a, e = own.alias("s"), lang.alias("a"), everything.alias("e")
     joined = s.join(a, F.col("s.lang").eqNullSafe(F.col("a.lang")), "left").join(F.broadcast(e))  # e is one row
     out = [F.col("s.lang"), F.col("s.source")]
-    share = lambda level: F.least(F.lit(1.0), F.col(f"{level}.rows") / F.lit(float(max(least_rows, 1))))
+    share = lambda level: F.col(f"{level}.rows") / (F.col(f"{level}.rows") + F.lit(float(prior_rows)))
     blend = lambda level, x, y: share(level) * x + (1 - share(level)) * y
     for f, (_, _, _, least, both) in FEATURES.items():
 
@@ -133,23 +140,40 @@ def thresholds(sketch: DataFrame, fence: float = FENCE, least_rows: int = LEAST_
     return joined.select(*out)
 
 
-def judge(docs: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS, least_words: int = 50, most_repeats: int = 50) -> DataFrame:
-    """docs with two more columns: ``__q`` (struct of measures) and ``__v`` (struct of base_failed, kept)."""
-    measured = docs.withColumn("__q", _measure("text"))
-    limits = thresholds(sketches(measured), fence, least_rows).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*[f"{f}_{x}" for f in FEATURES for x in ("low", "high")]).alias("__t"))
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with a column ``__q``: the measures of the text."""
+    return docs.drop("__q", "__v").withColumn("__q", _measure("text"))
+
+
+def judged(rows: DataFrame, fence: float = FENCE, prior_rows: int = PRIOR_ROWS, least_words: int = 50, most_repeats: int = 50) -> DataFrame:
+    """rows: a kept table with ``__q``, lang and source. Adds ``__v``: struct of base_failed and kept."""
+    key, t = fresh(rows, "__key"), fresh(rows, "__t")
+    known = lambda c: (F.col(c).isNull().alias(f"no_{c}"), F.coalesce(c, F.lit("")).alias(c))
+    group = F.struct(*known("lang"), *known("source"))
+    limits = kept(thresholds(sketches(rows), fence, prior_rows).select(group.alias(key), F.struct(*[f"{f}_{x}" for f in FEATURES for x in ("low", "high")]).alias(t)))
+    keyed = rows.withColumn(key, group)
+    if limits.count() <= BROADCAST_GROUPS:
+        joined = keyed.join(F.broadcast(limits), key, "left")
+    else:
+        joined = join_spread(keyed, limits, key, rows.count(), F.xxhash64("__q", F.monotonically_increasing_id()))
     failed = (F.col("__q.n_words") < least_words) | (100 * F.col("__q.n_repeat_words") > most_repeats * F.col("__q.n_words"))
     inside = F.lit(True)
     for f in FEATURES:
-        inside = inside & _value(f).between(F.col(f"__t.{f}_low"), F.col(f"__t.{f}_high"))
-    return joined.withColumn("__v", F.struct(failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"))).drop("__lang", "__source", "__t")
+        inside = inside & _value(f).between(F.col(f"{t}.{f}_low"), F.col(f"{t}.{f}_high"))
+    return joined.withColumn("__v", F.struct(failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"))).drop(key, t)
+
+
+def judge(docs: DataFrame, **options) -> DataFrame:
+    """docs with two more columns: ``__q`` (struct of measures) and ``__v`` (struct of base_failed, kept)."""
+    return judged(kept(measured(docs)), **options)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    return judge(docs, **options).filter("__v.kept").drop("__q", "__v")
+    return judge(docs, **options).filter("__v.kept").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("__q", "__v")])
 
 
 def op3_adaptive_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return judge(docs).select("doc_id", *[f"__q.{m}" for m in MEASURES[:5]], "__v.base_failed", "__v.kept")
+    rows = kept(measured(docs).drop("text"))
+    return judged(rows).select("doc_id", *[f"__q.{m}" for m in MEASURES[:5]], "__v.base_failed", "__v.kept")
