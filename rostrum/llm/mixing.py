@@ -6,7 +6,7 @@ length; bounded-knapsack dynamic programming over the lengths that are left
 then fits the remaining budget to the word. Documents are chosen by that count:
 within a length, a seeded hash orders them.
 
-The rows of one length are dealt to :data:`CELLS` hash cells, and each cell is
+The rows of one length are dealt to hash cells, by the number of all rows, and each cell is
 told how many of its documents to take, so a length that holds a third of all
 rows is no hot key. The programme itself sees one row per distinct length of a
 source. The driver sees one row per source: a mixture's sources are a list that
@@ -14,8 +14,10 @@ people set weights for.
 
 Defined results: a null or wordless text has size 0 and is never taken; a null
 source is one source, the last; ties in length are broken by the seeded hash,
-then doc_id; repeated rows count and are taken as rows; an empty table gives an
-empty result; other columns are left alone.
+then doc_id; repeated rows count and are taken as rows; very long texts count by
+their words and are taken whole or not at all; an empty table gives an empty
+result; other columns are left alone, but for one named ``__m``, which the result
+replaces.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql.window import Window
 from rostrum.llm.shared import checkpoint_folder
 
 WEIGHTS, SHARE, MOST_PASSES = (5.0, 2.0, 1.0), 1.5, 2
-CELLS = 512
-#: Words of the budget that are left to the dynamic programme, at most (and one document more).
+#: Rows of a cell, about, if all had one length.
+CELL_ROWS = 20_000
+#: Words of the budget that are left to the dynamic programme, at most (and two of the longest documents, if they are longer):
+#: even shares of every length take the rest, so this bounds the programme's table and not what is mixed.
 DP_WORDS = 1 << 16
 
 
@@ -108,9 +112,12 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     """docs with a column ``__m``: size, source_size, target, and copies (how often the mix takes the row)."""
     spark = docs.sparkSession
     checkpoint_folder(spark)
+    docs = docs.drop("__m")
+    cells_each = max(16, -(-docs.count() // CELL_ROWS))
     hashed = F.xxhash64("doc_id", F.lit(seed))
-    keyed = docs.withColumn("__s", word_count(F.col("text"))).withColumn("__h", hashed).withColumn("__cell", F.pmod("__h", F.lit(CELLS)).cast("int"))
-    cells = keyed.groupBy(F.col("source").alias("s"), F.col("__s").alias("n"), F.col("__cell").alias("c")).agg(F.count("*").alias("docs")).checkpoint()
+    # the row rides in one column, so that no name clashes
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("s"), word_count(F.col("text")).alias("n"), hashed.alias("h"), F.pmod(hashed, F.lit(cells_each)).alias("c"))
+    cells = keyed.groupBy("s", "n", "c").agg(F.count("*").alias("docs")).checkpoint()
     sizes = {r.s: int(r.words) for r in cells.groupBy("s").agg(F.sum(F.col("n") * F.col("docs")).alias("words")).collect()}
     aim = targets(sizes, weights, share, most)
 
@@ -125,21 +132,19 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     planned = lengths.groupBy("s").applyInPandas(plan, "s string, n bigint, passes bigint, extra bigint, source_size bigint, target double")
     c, p = cells.alias("c"), planned.alias("p")
     before = F.sum("c.docs").over(Window.partitionBy("c.s", "c.n").orderBy("c.c").rowsBetween(Window.unboundedPreceding, -1))
-    allotted = c.join(p, F.col("c.s").eqNullSafe(F.col("p.s")) & (F.col("c.n") == F.col("p.n"))).select(
-        F.col("c.s").alias("__ps"), F.col("c.n").alias("__pn"), F.col("c.c").alias("__pc"), "p.passes", "p.source_size", "p.target", (F.col("p.extra") - F.coalesce(before, F.lit(0))).alias("extra")
-    )
-    plan_of = allotted.select("__ps", "__pn", "__pc", F.struct("passes", "extra", "source_size", "target").alias("__p"))
-    rank = F.row_number().over(Window.partitionBy("source", "__s", "__cell").orderBy("__h", "doc_id"))
-    ranked = keyed.withColumn("__r", rank)
-    joined = ranked.join(plan_of, F.col("source").eqNullSafe(F.col("__ps")) & (F.col("__s") == F.col("__pn")) & (F.col("__cell") == F.col("__pc")))
-    copies = F.when(F.col("__s") == 0, F.lit(0).cast("long")).otherwise(F.col("__p.passes") + F.when(F.col("__r") <= F.col("__p.extra"), 1).otherwise(0))
-    return joined.withColumn("__m", F.struct(F.col("__s").alias("size"), F.col("__p.source_size").alias("source_size"), F.col("__p.target").alias("target"), copies.alias("copies"))).select(*docs.columns, "__m")
+    allotted = c.join(p, F.col("c.s").eqNullSafe(F.col("p.s")) & (F.col("c.n") == F.col("p.n"))).select("c.s", "c.n", "c.c", F.struct("p.passes", "p.source_size", "p.target", (F.col("p.extra") - F.coalesce(before, F.lit(0))).alias("extra")).alias("p"))
+    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("s", "n", "c").orderBy("h", "id"))).alias("k")
+    a = allotted.alias("a")
+    joined = ranked.join(a, F.col("k.s").eqNullSafe(F.col("a.s")) & (F.col("k.n") == F.col("a.n")) & (F.col("k.c") == F.col("a.c")))
+    copies = F.when(F.col("k.n") == 0, F.lit(0).cast("long")).otherwise(F.col("a.p.passes") + F.when(F.col("k.r") <= F.col("a.p.extra"), 1).otherwise(0))
+    return joined.withColumn("__m", F.struct(F.col("k.n").alias("size"), F.col("a.p.source_size").alias("source_size"), F.col("a.p.target").alias("target"), copies.alias("copies"))).select("k.row.*", "__m")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row as often as it is taken, with the columns of docs."""
     done = mix(docs, **options).filter("__m.copies > 0")
-    return done.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__m.copies").cast("int")))).select(*docs.columns)
+    names = [c for c in docs.columns if c != "__m"]
+    return done.select(F.struct(*names).alias("row"), F.explode(F.sequence(F.lit(1), F.col("__m.copies").cast("int")))).select("row.*")
 
 
 def op4_mix_to_weights(spark, sf_dir: str) -> DataFrame:
