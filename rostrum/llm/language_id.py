@@ -16,8 +16,9 @@ byte buffer.
 
 Defined results: null or letterless texts give ``und`` with score 0; with no
 labelled rows every text does; ties go to the first language by name; repeated
-rows get equal results; an empty table gives an empty result; other columns are
-left alone.
+rows are learned from once and get equal results; very long texts are read whole;
+an empty table gives an empty result; other columns are left alone, but for one
+named ``__g``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -30,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from rostrum.llm.words import chunks, text_buffers
 
 BUCKET_BITS, DIMENSIONS = 15, 16
 BUCKETS = 1 << BUCKET_BITS
-PER_LANGUAGE = 800
-EPOCHS, RATE = 4, 8.0
+PER_LANGUAGE = 250
+#: Rows that are looked at for each that is taken, as some repeat others.
+SPARE = 20
+EPOCHS, RATE = 3, 8.0
 REJECT_ERROR = 0.01
 CHUNK_BYTES = 1 << 20
 MARK = 32
@@ -116,7 +120,7 @@ class Model:
 
 
 def train(texts: list[str], langs: list[str], seed: int = 5, epochs: int = EPOCHS, rate: float = RATE) -> Model:
-    """Fit on pieces of the texts of 4 to 60 words, so that short texts are met as well; a fifth of the texts calibrates."""
+    """Fit on all words of the texts, in runs of 4 to 60; a fifth of the texts calibrates."""
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
@@ -128,12 +132,12 @@ def train(texts: list[str], langs: list[str], seed: int = 5, epochs: int = EPOCH
             held.append(text)
             truth.append(code[lang])
             continue
-        tokens = text.split()
-        for _ in range(2):
-            n = int(rng.integers(4, 60))
-            at = int(rng.integers(0, max(1, len(tokens) - n + 1)))
+        tokens, at = text.split(), 0
+        while at < len(tokens):
+            n = int(rng.integers(4, 61))
             parts.append(" ".join(tokens[at : at + n]))
             labels.append(code[lang])
+            at += n
     pieces = pieces_of(parts)
     k = len(languages)
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
@@ -171,16 +175,18 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 5) -> Model:
-    """Train on at most about ``per_language`` rows of each language (twice that, and 20 more, is a hard bound)."""
+    """Train on at most ``per_language`` rows of each language, those with the least hashes."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(1_000_000 * min(1.0, per_language / n))))
-    rows = labelled.filter(chosen).select("doc_id", "text", "lang").limit((2 * per_language + 20) * max(1, len(counts))).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    return train([r.text for r in rows], [r.lang for r in rows], seed)
+    unsigned = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 1)  # of 63 bits
+    drawn = labelled.select("text", "lang", unsigned.alias("draw"))
+    # all but a few of the least hashes are passed over at the scan; equal rows have equal hashes and are taken once
+    counts = F.broadcast(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(SPARE * per_language) / F.count("*")).alias("share")))
+    near = drawn.join(counts, "lang").filter(F.col("draw") < F.col("share") * float(1 << 63)).drop("share")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    hashes = near.select("lang", "draw").distinct().withColumn("place", place).filter(F.col("place") <= per_language).select("lang", "draw")
+    chosen = near.join(F.broadcast(hashes), ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"]).collect()
+    chosen.sort(key=lambda r: (r.lang, r.draw))
+    return train([r.text for r in chosen], [r.lang for r in chosen], seed)
 
 
 _OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
@@ -188,6 +194,7 @@ _OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column ``__g``: lang_pred, score, and accepted (whether the score passes the rejection threshold)."""
+    docs = docs.drop("__g")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(_OUT)
