@@ -1,39 +1,48 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
 Every benchmark item is cut into item-sized windows (``window`` consecutive
-words, or the whole item if it has fewer). For containment of a whole window
-one necessary shingle is enough as its prefix: the shingles of a window are
-ordered by how often the corpus holds them, and the rarest is indexed with its
-offset. A document meets a window only where it holds that shingle; offset and
-length bounds then fix the one possible place, and the words there are compared
-one by one with the window's.
-
-The index is sent to the tasks in blocks of items of at most ``block_bytes`` of
-text, so what is broadcast never exceeds a fixed size; a larger benchmark takes
-one pass per block. Documents are never shuffled when one block is enough.
+words, or the whole item if it has fewer), in the tasks that read the items;
+equal windows are one row. For containment of a whole window one necessary
+shingle is enough as its prefix: the shingles of a window are ordered by how often
+the corpus holds them, and the rarest is joined with its offset. A document meets
+a window only where it holds that shingle; offset and length bounds then fix the
+one possible place, and the words there are compared one by one with the window's.
+
+The corpus is counted once, whatever the benchmark's size: a bitmap of fixed size
+turns away the shingles that no window has, what passes is summed by hash and
+joined with the windows' shingles. Windows with their prefixes are sent to the
+tasks in blocks of at most ``block_windows``, so what is broadcast has a fixed
+bound; each further block takes one more pass over documents kept with what the
+blocks before found. Documents are never shuffled.
 
 Defined results: a null or wordless text has no words and is never hit; items
-that are null or wordless have no window; repeated items count once by id; an
-empty table on either side gives no hits; other columns are left alone.
+that are null or wordless have no window; repeated items count once by id, and
+repeated rows get equal results; very long texts are scanned whole; an empty table
+on either side gives no hits; other columns are left alone, but for one named
+``__c``, which the result replaces.
 Words are compared by 64-bit hashes, position by position over the window.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostrum.llm.words import ALNUM_LOWER, gram_hashes, gram_starts, seeds, words_of
+from rostrum.llm.shared import fresh, kept
+from rostrum.llm.words import ALNUM_LOWER, gram_hashes, gram_starts, words_of
 
 WINDOW, SHINGLE = 13, 5
-BLOCK_BYTES = 16 << 20
+#: Windows that are sent to the tasks at once: some 150 bytes each.
+BLOCK_WINDOWS = 200_000
+#: Bits of the table that turns away shingles of no window, as a power of two.
+TABLE_BITS = 25
 CHUNK = 2 << 20
 
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -41,7 +50,7 @@ HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_
 
 @dataclass
 class Windows:
-    """Distinct windows of a block of items."""
+    """Distinct windows of a block."""
 
     words: np.ndarray  # (windows, window): word hashes, 0 beyond the length
     length: np.ndarray
@@ -49,30 +58,30 @@ class Windows:
     items: np.ndarray
 
 
-def windows_of(ids: list, texts: list[str | None], window: int = WINDOW) -> Windows:
-    found: dict[tuple, set] = {}
-    w = words_of(pa.array([t or "" for t in texts], pa.string()), ALNUM_LOWER)
-    for i, item in enumerate(ids):
-        h = w.hash[w.first[i] : w.first[i + 1]].tolist()
-        for k in range(max(1, len(h) - window + 1) if h else 0):
-            found.setdefault(tuple(h[k : k + window]), set()).add(str(item))
-    words = np.zeros((len(found), window), np.uint64)
-    length = np.array([len(k) for k in found], np.int64)
-    for row, k in zip(words, found, strict=True):
-        row[: len(k)] = k
-    sizes = [len(v) for v in found.values()]
-    items = np.array([x for v in found.values() for x in sorted(v)], dtype=object)
-    return Windows(words, length, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), items)
-
-
-def shingles_of(w: Windows, shingle: int = SHINGLE) -> dict[int, np.ndarray]:
-    """By shingle length: hashes, one row per window (all its shingles in order; a window shorter than ``shingle`` is one)."""
-    out = {}
-    for q in sorted({min(shingle, int(n)) for n in w.length}):
-        rows = np.flatnonzero(np.minimum(w.length, shingle) == q)
-        wide = w.words.shape[1] - q + 1
-        out[q] = np.stack([gram_hashes(w.words[rows].ravel(), q)[k :: w.words.shape[1]] for k in range(wide)], axis=1) if len(rows) else np.zeros((0, wide), np.uint64)
-    return out
+def window_rows(items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(w1, w2, words, shingles, items): every distinct window by two hashes, its words' hashes in order, the hashes of its shingles
+    (of ``shingle`` words, or of all words of a shorter window), and the ids of its items."""
+
+    def rows(batches):
+        for batch in batches:
+            w = words_of(batch.column("text"), ALNUM_LOWER)
+            count = w.counts()
+            for n in range(1, window + 1):
+                starts = np.flatnonzero(gram_starts(w.first, window)) if n == window else w.first[:-1][count == n]
+                if not len(starts):
+                    continue
+                q = min(shingle, n)
+                words = w.hash[starts[:, None] + np.arange(n)]
+                grams = gram_hashes(w.hash, q)[starts[:, None] + np.arange(n - q + 1)]
+                lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().view(np.int64)))
+                owner = np.searchsorted(w.first, starts, "right") - 1
+                yield pa.record_batch(
+                    [pa.array(gram_hashes(w.hash, n)[starts].view(np.int64)), pa.array(gram_hashes(w.hash, n, salt=1)[starts].view(np.int64)), lists(words), lists(grams), batch.column("item").take(pa.array(owner))],
+                    ["w1", "w2", "words", "shingles", "item"],
+                )
+
+    cut = items.mapInArrow(rows, "w1 bigint, w2 bigint, words array<bigint>, shingles array<bigint>, item string")
+    return cut.groupBy("w1", "w2").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"), F.collect_set("item").alias("items"))
 
 
 class Lookup:
@@ -103,28 +112,38 @@ def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
             yield texts.slice(a, b - a)
 
 
-def corpus_counts(docs: DataFrame, known: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """How often all documents hold each known shingle: counted in the tasks, summed by hash; as many rows as the block has shingles."""
-    lookups = docs.sparkSession.sparkContext.broadcast({q: Lookup(h) for q, h in known.items()})
+def corpus_counts(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
+    """(h, n): how often all documents hold each shingle of the windows (and some others, by chance of the bitmap). Counted in the
+    tasks, batch by batch, and summed by hash. The driver sees the bitmap's words, at most 2 ** TABLE_BITS / 64 rows."""
+    bit = F.shiftrightunsigned("h", 64 - TABLE_BITS)
+    grams = windows.select(F.explode("shingles").alias("h")).select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - TABLE_BITS}) & 63 AS int))").alias("bit"))
+    bitmap = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    for r in grams.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        bitmap[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
+    lengths = sorted(r[0] for r in windows.select(F.least(F.lit(shingle), F.size("words"))).distinct().collect())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def count(batches):
-        total = {q: np.zeros(len(x.sorted), np.int64) for q, x in lookups.value.items()}
+        known = np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
+            found = []
             for part in _chunks(batch.column(0)):
                 w = words_of(part, ALNUM_LOWER)
-                for q, x in lookups.value.items():
+                for q in lengths:
                     h = gram_hashes(w.hash, q)
-                    at, rank = x.find(h)
-                    inside = gram_starts(w.first, q)[at]
-                    total[q] += np.bincount(rank[inside], minlength=len(x.sorted))
-        for q, n in total.items():
-            some = np.flatnonzero(n)
-            for k in range(0, len(some), 10_000):
-                part = some[k : k + 10_000]
-                yield pa.record_batch([pa.array(np.full(len(part), q)), pa.array(lookups.value[q].sorted[part].view(np.int64)), pa.array(n[part])], ["q", "hash", "n"])
+                    found.append(h[known[h >> np.uint64(64 - TABLE_BITS)] & gram_starts(w.first, q)])
+            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if len(h):
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
 
-    rows = docs.select("text").mapInArrow(count, "q bigint, hash bigint, n bigint").groupBy("q", "hash").agg(F.sum("n").alias("n")).collect()
-    return {(r.q, r.hash): r.n for r in rows}
+def with_prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """windows with ``at``: the offset of the shingle that the corpus holds least often."""
+    grams = windows.select("w1", "w2", F.posexplode("shingles").alias("at", "h"))
+    least = grams.join(counts, "h", "left").groupBy("w1", "w2").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at"))["at"].alias("at"))
+    return windows.join(least, ["w1", "w2"])
 
 
 @dataclass
@@ -136,19 +155,27 @@ class PrefixIndex:
     postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by rank: first posting; window; offset of the shingle in it
 
     @staticmethod
-    def build(w: Windows, shingle: int, counts: dict[tuple[int, int], int]) -> PrefixIndex:
+    def build(rows: pa.Table, window: int, shingle: int) -> PrefixIndex:
+        """rows: words, shingles, items and at of a block of windows."""
+        rows = rows.combine_chunks()
+        flat = lambda c: (np.concatenate([[0], np.cumsum(pc.list_value_length(rows.column(c)).to_numpy(zero_copy_only=False))]).astype(np.int64), pc.list_flatten(rows.column(c)))
+        first, words = flat("words")
+        length = np.diff(first)
+        matrix = np.zeros((len(rows), window), np.uint64)
+        owner = np.repeat(np.arange(len(rows)), length)
+        matrix[owner, np.arange(len(owner)) - np.repeat(first[:-1], length)] = words.to_numpy(zero_copy_only=False).view(np.uint64)
+        item_first, items = flat("items")
+        w = Windows(matrix, length, item_first, np.array(items.to_pylist(), dtype=object))
+        gram_first, grams = flat("shingles")
+        offset = rows.column("at").to_numpy().astype(np.int64)
+        h = grams.to_numpy(zero_copy_only=False).view(np.uint64)[gram_first[:-1] + offset]
         lookups, postings = {}, {}
-        for q, grams in shingles_of(w, shingle).items():
-            rows = np.flatnonzero(np.minimum(w.length, shingle) == q)
-            often = np.array([counts.get((q, h), 0) for h in grams.ravel().view(np.int64).tolist()], np.float64).reshape(grams.shape)
-            often[np.arange(grams.shape[1])[None, :] > (w.length[rows] - q)[:, None]] = np.inf  # beyond the window's end
-            offset = often.argmin(axis=1)
-            h = grams[np.arange(len(rows)), offset]
-            lookups[q] = Lookup(h)
-            rank = np.searchsorted(lookups[q].sorted, h)
+        for q in np.unique(np.minimum(length, shingle)).tolist():
+            mine = np.flatnonzero(np.minimum(length, shingle) == q)
+            lookups[q] = Lookup(h[mine])
+            rank = np.searchsorted(lookups[q].sorted, h[mine])
             order = np.argsort(rank, kind="stable")
-            first = np.searchsorted(rank[order], np.arange(len(lookups[q].sorted) + 1))
-            postings[q] = (first, rows[order], offset[order])
+            postings[q] = (np.searchsorted(rank[order], np.arange(len(lookups[q].sorted) + 1)), mine[order], offset[mine][order])
         return PrefixIndex(w, lookups, postings)
 
     def scan(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,17 +221,6 @@ class PrefixIndex:
         return out
 
 
-def _block_indexes(docs: DataFrame, bench: DataFrame, window: int, shingle: int, block_bytes: int) -> Iterator[PrefixIndex]:
-    items = bench.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        w = windows_of([r.item_id for r in rows], [r.text for r in rows], window)
-        known = {q: g.ravel() for q, g in shingles_of(w, shingle).items()}
-        yield PrefixIndex.build(w, shingle, corpus_counts(docs, known) if known else {})
-
-
 def _scanner(spark: SparkSession, index: PrefixIndex):
     shared = spark.sparkContext.broadcast(index)
 
@@ -216,21 +232,24 @@ def _scanner(spark: SparkSession, index: PrefixIndex):
     return scan
 
 
-def with_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def with_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with a column ``__c``: n_words, the positions of hit words, and the ids (as strings) of items met."""
-    spark = docs.sparkSession
-    scans = [_scanner(spark, x) for x in _block_indexes(docs, bench, window, shingle, block_bytes)]
-    if len(scans) == 1:
-        return docs.withColumn("__c", scans[0]("text"))
-    keyed = docs.withColumn("__k", F.xxhash64("text"))
-    found = None
-    for scan in scans:  # one block in a task's memory at a time
-        part = keyed.select("doc_id", "__k", scan("text").alias("c"))
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("doc_id", "__k").agg(F.struct(F.max("c.n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("c.hit_words"))).alias("hit_words"), F.array_distinct(F.flatten(F.collect_list("c.items"))).alias("items")).alias("__c"))
-    m = merged.alias("m")
-    d = keyed.alias("d")
-    return d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.__k").eqNullSafe(F.col("m.__k"))).select("d.*", "m.__c").drop("__k")
+    spark, docs = docs.sparkSession, docs.drop("__c")
+    items = bench.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    windows = kept(window_rows(items, window, shingle))
+    blocks = max(1, -(-windows.count() // block_windows))
+    ready = kept(with_prefixes(windows, corpus_counts(docs, windows, shingle)).withColumn("block", F.pmod("w1", F.lit(blocks))))
+    for b in range(blocks):
+        index = PrefixIndex.build(ready.filter(F.col("block") == b).select("words", "shingles", "items", "at").toArrow(), window, shingle)
+        found = _scanner(spark, index)("text")
+        if b == 0:
+            docs = docs.withColumn("__c", found)
+            continue
+        more = fresh(docs, "__more")
+        docs = kept(docs).withColumn(more, found)
+        both = lambda c: F.array_union(F.col(f"__c.{c}"), F.col(f"{more}.{c}")).alias(c)
+        docs = docs.withColumn("__c", F.struct(F.col("__c.n_words").alias("n_words"), both("hit_words"), both("items"))).drop(more)
+    return docs
 
 
 def contaminated(c: str = "__c", share: int = 20) -> Column:
@@ -240,7 +259,7 @@ def contaminated(c: str = "__c", share: int = 20) -> Column:
 
 def keep_clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not contaminated, with the columns of docs."""
-    return with_hits(docs, bench, **options).filter(~contaminated()).drop("__c")
+    return with_hits(docs, bench, **options).filter(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns if c != "__c"])
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
