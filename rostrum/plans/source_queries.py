@@ -183,9 +183,32 @@ def src_12_navigation(spark, sf_dir):
     return navigation.navigation(_nav_pages(spark, sf_dir)).select("page_id", "kind", "url", "constructed")
 
 
-@query(_NAV_SQL)
+# links on which path and label disagree
+_ODD_NAV = """<nav><a href="/t1/results/round/2/">Speaker Tab</a><a href="/t1/tab/team/">Round 3</a><a href="/t1/x/">Team Tab</a><a href="/t1/y/">Semifinals</a></nav>"""
+_ODD_SQL = """
+, b AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS root FROM pages)
+SELECT page_id, unnest({kinds}) AS kind, root || '/t1/' || unnest({paths}) AS url, unnest({made}) AS constructed FROM b"""
+
+
+def _odd_nav_pages(spark, d):
+    return _nav_pages(spark, d).withColumn("html", F.replace("html", F.lit(_NAV), F.lit(_ODD_NAV)))
+
+
+@query(_ODD_SQL.format(kinds=["round", "team_tab", "speaker_tab", "participants"], paths=["results/round/2/", "tab/team/", "tab/speaker/", "participants/list/"], made="[false, false, true, true]"))
+def src_12_paths_before_labels(spark, sf_dir):
+    return navigation.navigation(_odd_nav_pages(spark, sf_dir)).select("page_id", "kind", "url", "constructed")
+
+
+@query(_ODD_SQL.format(kinds=["speaker_tab", "round", "team_tab", "round", "participants"], paths=["results/round/2/", "tab/team/", "x/", "y/", "participants/list/"], made="[false, false, false, false, true]"))
 def src_15_navigation_by_label(spark, sf_dir):
-    return navigation.navigation(_nav_pages(spark, sf_dir), by_label=True).select("page_id", "kind", "url", "constructed")
+    return navigation.navigation(_odd_nav_pages(spark, sf_dir), by_label=True).select("page_id", "kind", "url", "constructed")
+
+
+@query(" SELECT c_custkey AS page_id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS person, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 2 = 0 THEN c_mktsegment || ' A' END AS team FROM customer")
+def src_12_registration(spark, sf_dir):
+    team = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" ("), "c_mktsegment", F.lit(" A)"))).otherwise(F.lit("."))
+    line = F.when(F.col("c_custkey") % 5 == 0, "<h1>Nobody's page</h1>").otherwise(F.concat(F.lit("<p>hello</p><h4 class=x>Private URL\n for <strong>"), "c_name", F.lit("</strong>"), team, F.lit("</h4>")))
+    return navigation.registration(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("<html><body>"), line, F.lit("</body></html>")).alias("html")))
 
 
 def _cards(spark, d):
@@ -202,6 +225,15 @@ def src_13_judge_rounds(spark, sf_dir):
     return html_tables.judge_rounds(_cards(spark, sf_dir).drop("team"))
 
 
+def src_13_owner_by_name(spark, sf_dir):
+    """The same rounds where nothing is in bold, and the owner is known by name."""
+    pages = _cards(spark, sf_dir).drop("team").withColumn("html", F.replace("html", F.lit("strong"), F.lit("em"))).withColumn("owner", F.lit("Ann"))
+    return html_tables.judge_rounds(pages, owner="owner")
+
+
+CATALOG.queries["src_13_owner_by_name"], CATALOG.oracles["src_13_owner_by_name"] = src_13_owner_by_name, CATALOG.oracles["src_13_judge_rounds"]
+
+
 @query(" SELECT s_nationkey::BIGINT AS page_id, s_suppkey % 2 = 0 AS won, 'Round ' || (s_suppkey % 9) AS stage FROM supplier QUALIFY s_name = min(s_name) OVER (PARTITION BY s_nationkey)")
 def src_14_speaker_rounds(spark, sf_dir):
     pages = _cards(spark, sf_dir).withColumn("html", F.replace("html", F.lit("strong"), F.lit("em")))

@@ -389,13 +389,22 @@ def _debates(pages: DataFrame, key: str) -> DataFrame:
     return _rows(own, {"c_round": F.coalesce(find_column(h, "round"), F.lit(0)), "c_adj": find_column(h, "adjudicator", "judge", "adj"), "c_result": find_column(h, "result")}, [key])
 
 
-def judge_rounds(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, sequence, stage, round_number, role): rounds that the page's owner (set in bold) judged, and how."""
+def judge_rounds(pages: DataFrame, key: str = "page_id", owner: str | None = None) -> DataFrame:
+    """(key, sequence, stage, round_number, role): rounds that the page's owner judged, and how. The owner is who is set in bold; where
+    nothing is, and ``owner`` names a column of the pages, who has that name."""
     r = _debates(pages, key)
-    owner = F.regexp_extract(F.get("row", F.col("c_adj"))["mark"], r"(?is)<strong\b.*?</strong>", 0)
+    mark = F.coalesce(F.get("row", F.col("c_adj"))["mark"], F.lit(""))
+    bold = F.regexp_extract(mark, r"(?is)<strong\b.*?</strong>", 0)
+    said = bold
+    if owner is not None:
+        r = r.join(pages.select(key, F.lower(F.trim(owner)).alias("known")).filter("known <> ''"), key, "left")
+        plain = text_of(mark)
+        at = F.instr(F.lower(plain), F.col("known"))
+        # the name and what stands right behind it, up to the next name
+        said = F.when(bold != "", bold).when(at > 0, F.concat(F.lit("="), F.substring(plain, at + F.length("known"), F.lit(3)))).otherwise("")
     stage = normalize_stage(cell("row", F.col("c_round")))
-    role = F.when(owner.rlike("Ⓒ|(?i)chair"), "chair").when(owner.rlike("Ⓣ|(?i)trainee"), "trainee").otherwise("panellist")
-    return r.filter((owner != "") & stage.isNotNull()).select(key, (F.col("row_no") + 1).alias("sequence"), stage.alias("stage"), F.regexp_extract(stage, r"^Round (\d+)$", 1).try_cast("int").alias("round_number"), role.alias("role"))
+    role = F.when(said.rlike("Ⓒ|(?i)chair"), "chair").when(said.rlike("Ⓣ|(?i)trainee"), "trainee").otherwise("panellist")
+    return r.filter((said != "") & stage.isNotNull()).select(key, (F.col("row_no") + 1).alias("sequence"), stage.alias("stage"), F.regexp_extract(stage, r"^Round (\d+)$", 1).try_cast("int").alias("round_number"), role.alias("role"))
 
 
 def speaker_rounds(pages: DataFrame, team: str, key: str = "page_id") -> DataFrame:
