@@ -38,7 +38,7 @@ from rostrum.llm.pii_model import BEYOND, KINDS, Tagger, classes, encode
 WINDOW, STRIDE = 512, 480
 BATCH = 512
 #: Generated windows to fit on, and their characters.
-TRAIN_WINDOWS, TRAIN_WIDTH, EPOCHS = 4000, 72, 9
+TRAIN_WINDOWS, TRAIN_WIDTH, EPOCHS = 6000, 72, 9
 
 Span = tuple[int, int, str]
 
@@ -193,7 +193,7 @@ def trained(windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS, seed: int = 11)
     """Fit once in a session; the weights go to the tasks by broadcast."""
     text, tags = labelled_windows(windows, seed)
     tagger = Tagger()
-    tagger.fit(encode(text), tags, epochs)
+    tagger.fit(encode(text), tags, epochs, batch=100, rate=0.02)
     return tagger
 
 

@@ -81,13 +81,14 @@ class Tagger:
         order = range(t) if d == "f" else range(t - 1, -1, -1)
         state, cell = np.zeros((n, h), re.dtype), np.zeros((n, h), re.dtype)
         out, kept = np.empty((t, n, h), re.dtype), []
-        low = np.repeat(np.array([0, -1], re.dtype), [3 * h, h])
         xt = np.ascontiguousarray(x.T)
         for i in order:
             z = state @ re
-            z += inputs[xt[i]]
-            np.maximum(z, low, out=z)
+            z += inputs.take(xt[i], axis=0)
             np.minimum(z, 1, out=z)
+            np.maximum(z, -1, out=z)
+            gates = z[:, : 3 * h]
+            np.maximum(gates, 0, out=gates)
             a, f, o, new = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
             before, cell = cell, f * cell
             cell += a * new
@@ -115,13 +116,35 @@ class Tagger:
         most = e[:, :, 1:].max(axis=2) - e[:, :, 0] + (trans[:, 1:].max() - trans[0, 0]) + max(0.0, (trans[1:, 0] - trans[0, 0]).max())
         most[0] += max(0.0, (first[1:] - first[0]).max() - (trans[:, 1:].max() - trans[0, 0]))
         tags = np.zeros(x.shape, np.int8)
-        open_ = np.flatnonzero(most.max(axis=0) > 0)
+        open_ = np.flatnonzero((most > 0).any(axis=0))
         if len(open_):
-            tags[open_] = self._viterbi(e[:, open_], trans, first)
+            tags[open_] = self._best_paths(np.ascontiguousarray(e[:, open_].transpose(0, 2, 1)), trans, first)
         return tags
 
+    @staticmethod
+    def _best_paths(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(windows, places): the best paths. e: (places, tags, windows). A further tag can only follow its own kind, so most steps need not be looked at."""
+        t, _, n = e.shape
+        score = np.empty_like(e)
+        score[0] = first[:, None] + e[0]
+        enter = [0, *range(1, TAGS, 2)]  # O, and the first tag of each kind
+        into = [trans[:, j][:, None] for j in range(TAGS)]
+        for i in range(1, t):
+            before, now = score[i - 1], score[i]
+            for j in enter:
+                (before + into[j]).max(axis=0, out=now[j])
+            for j in range(2, TAGS, 2):
+                np.maximum(before[j - 1] + trans[j - 1, j], before[j] + trans[j, j], out=now[j])
+            now += e[i]
+        tags = np.empty((t, n), np.int8)
+        tags[-1] = score[-1].argmax(axis=0)
+        for i in range(t - 1, 0, -1):
+            tags[i - 1] = (score[i - 1] + trans[:, tags[i]]).argmax(axis=0)
+        return tags.T
+
     @staticmethod
     def _viterbi(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The whole search, against which :meth:`decode` is tested."""
         t, n, _ = e.shape
         score, back = first + e[0], np.zeros((t, n, TAGS), np.int8)
         for i in range(1, t):

@@ -254,7 +254,7 @@ def test_every_character_is_tagged_by_the_window_it_lies_deepest_in():
             depth = np.minimum(j[None, :], n[:, None] - 1 - j[None, :])
             return np.where(depth >= 0, np.minimum(depth, 100) + 1, 0).astype(np.int8)
 
-    for n in (1, 5, 95, 96, 97, 127, 128, 129, 300, 1000):
+    for n in (1, 5, pii.STRIDE - 1, pii.STRIDE, pii.STRIDE + 1, pii.WINDOW - 1, pii.WINDOW, pii.WINDOW + 1, 1300, 4000):
         tagger = Places()
         (tags,) = pii.tags_of(tagger, ["x" * n])
         assert len(tags) == n and (tags > 0).all() and tagger.read >= n
