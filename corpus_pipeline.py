@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs. All but the last
 return the columns of documents.
+
+Defined results: documents without text have no words and fail the quality rules;
+null language or source are groups of their own throughout; rows without doc_id are
+judged like any other and are nobody's copies; of rows that repeat a doc_id, one of
+each text passes the near-dedup; ties go to the smallest doc_id there, and to a
+seeded hash in the mix, which may take a document twice; very long texts are read
+whole; an empty table stays empty; columns besides those of documents ride along.
 """
 
 from __future__ import annotations
@@ -21,7 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the least doc_id."""
+    """One document of each group of near duplicates: the least doc_id. Five words and a similarity of 0.8, as near-duplicate stages take
+    (the contract of ``op8`` alone says four)."""
     return near_dedup.keep_one(docs)
 
 
