@@ -2,8 +2,8 @@
 
 Windows of characters become tags B/I per kind, or O. Training follows the
 exact gradients of the CRF's log-likelihood through both directions; decoding
-is Viterbi over a batch of windows. Windows in which no place can gain by any
-tag but O, whatever the transitions, are all O without a search.
+is Viterbi over a batch of windows. Windows in which no run of other tags
+can gain over O, whatever the steps, are all O without a search.
 """
 
 from __future__ import annotations
@@ -107,18 +107,27 @@ class Tagger:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """(windows, places): tags of the best path of each window of inputs."""
-        e = self.emissions(x)[0]
-        e[:, :, 1:][(x == BEYOND).T] = -1e4
+        e = np.ascontiguousarray(self.emissions(x)[0].transpose(0, 2, 1))  # (places, tags, windows): steps work on rows
+        beyond = np.flatnonzero((x == BEYOND).any(axis=0))
+        if len(beyond):
+            e[beyond, 1:] -= np.float32(1e4) * (x.T[beyond] == BEYOND)[:, None]
         trans = self.p["trans"] + self.allowed
         first = self.p["first"].copy()
         first[2::2] -= 4.0  # a window may begin inside a span, seldom
-        # the most that a place can add by a tag of its own, with the step into it and the step back to O
-        most = e[:, :, 1:].max(axis=2) - e[:, :, 0] + (trans[:, 1:].max() - trans[0, 0]) + max(0.0, (trans[1:, 0] - trans[0, 0]).max())
-        most[0] += max(0.0, (first[1:] - first[0]).max() - (trans[:, 1:].max() - trans[0, 0]))
+        # by kind, the most that a run of it up to a place can gain over O: from its first tag on, and with the steps that favour it most
+        into = (trans[:, 1::2].max(axis=0) - trans[0, 0])[:, None]
+        on = np.array([[max(trans[j - 1, j], trans[j, j]) - trans[0, 0]] for j in range(2, TAGS, 2)], e.dtype)
+        start, stay = e[:, 1::2] - e[:, :1] + into, e[:, 2::2] - e[:, :1] + on
+        run = np.maximum(start[0] - into + (first[1::2] - first[0])[:, None], stay[0] - on + (first[2::2] - first[0])[:, None])
+        best = run.max(axis=0)
+        for i in range(1, len(e)):
+            before = np.maximum(run.max(axis=0), 0)
+            run = np.maximum(before + start[i], run + stay[i])
+            np.maximum(best, run.max(axis=0), out=best)
         tags = np.zeros(x.shape, np.int8)
-        open_ = np.flatnonzero((most > 0).any(axis=0))
+        open_ = np.flatnonzero(best + max(0.0, float((trans[1:, 0] - trans[0, 0]).max())) > 0)
         if len(open_):
-            tags[open_] = self._best_paths(np.ascontiguousarray(e[:, open_].transpose(0, 2, 1)), trans, first)
+            tags[open_] = self._best_paths(np.ascontiguousarray(e[:, :, open_]), trans, first)
         return tags
 
     @staticmethod
