@@ -135,3 +135,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(good, false) AS kept
 FROM m LEFT JOIN verdict USING (doc_id)
 """
+
+PERIODIC_RUNS = f"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, b: xor(c >> 1, (c & 1) * 3988292384))) AS t
+), named AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS o,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM documents, bits
+), placed AS (
+  SELECT doc_id, o, h % 10 = 0 AND len(o) > 0 AS looped, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) END AS a, 3 + (h // 10) % 8 AS d FROM named
+), doc AS (
+  SELECT doc_id, CASE WHEN looped THEN list_transform(range(len(o)), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(o) - a) // d) END + 1]) ELSE o END AS w FROM placed
+), word AS (
+  SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word, len(w) AS n FROM doc
+), same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), island AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same
+), stretch AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM island GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)
+), run AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM run GROUP BY doc_id
+), best AS (
+  SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM doc LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
