@@ -170,3 +170,25 @@ WITH bits AS (
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
 FROM doc LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+RANKED_SEARCH = f"""
+WITH wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), {_TERMS})) AS term FROM benchmark
+), doc AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), {_TERMS}) AS w FROM documents
+), total AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM doc WHERE len(w) > 0
+), posting AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM doc) WHERE term IN (SELECT term FROM wanted) GROUP BY row, term
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posting, total GROUP BY term, n_docs
+), scored AS (
+  SELECT q.item_id, p.row, d.doc_id, sum(x.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * len(d.w) * n_docs) // n_words))))::BIGINT AS score
+  FROM wanted q JOIN posting p USING (term) JOIN weight x USING (term) JOIN doc d USING (row), total GROUP BY q.item_id, p.row, d.doc_id
+), placed AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM placed WHERE rank <= 10
+"""
