@@ -108,28 +108,42 @@ class Shard:
             rise[np.searchsorted(edges, high)] -= most
         return edges[:-1], edges[1:], np.cumsum(rise)[:-1]
 
-    def exact(self, lists: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, score) of all documents of the lists in the stretches low..high - 1, which do not overlap."""
-        docs, scores = [], []
+    def assured(self, k: int) -> np.ndarray:
+        """The k-th best score within each list, 0 for shorter ones: k documents have it, whatever else they get."""
+        out = np.zeros(len(self.begin) - 1, np.int64)
+        for t in np.flatnonzero(np.diff(self.begin) >= k):
+            own = self.score[self.begin[t] : self.begin[t + 1]]
+            out[t] = np.partition(own, len(own) - k)[len(own) - k]
+        return out
+
+    def pivots(self, driving: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The documents of the driving lists in the stretches low..high - 1, which do not overlap."""
+        docs = []
+        for t in driving:
+            doc = self.doc[self.begin[t] : self.begin[t + 1]]
+            start = np.searchsorted(doc, low)
+            of, k = ragged(np.searchsorted(doc, high) - start)
+            docs.append(doc[start[of] + k])
+        return np.unique(np.concatenate(docs))
+
+    def exact(self, lists: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """The scores of some documents over all of the lists."""
+        total = np.zeros(len(docs), np.int64)
         for t in lists:
             a, b = self.begin[t], self.begin[t + 1]
-            start = a + np.searchsorted(self.doc[a:b], low)
-            of, k = ragged(a + np.searchsorted(self.doc[a:b], high) - start)
-            at = start[of] + k
-            docs.append(self.doc[at])
-            scores.append(self.score[at])
-        found, of = np.unique(np.concatenate(docs), return_inverse=True)
-        total = np.zeros(len(found), np.int64)
-        np.add.at(total, of, np.concatenate(scores))
-        return found, total
-
-    def search(self, lists: np.ndarray, k: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k best (document, score) above 0, equal scores by key, and how many postings were scored.
-
-        Lists in ascending order of their maxima are without effect while the sum of these stays below the k-th score:
-        only stretches with a posting of another list are looked at (the pivots), and of these only those whose block
-        maxima reach that score. The most promising stretches come first, a few at a time, and then more."""
-        lists = lists[(self.list_max[lists] > 0) & (np.diff(self.begin)[lists] > 0)]
+            at = np.searchsorted(self.doc[a:b], docs)
+            there = at < b - a
+            there[there] = self.doc[a + at[there]] == docs[there]
+            total[there] += self.score[a + at[there]]
+        return total
+
+    def search(self, lists: np.ndarray, k: int, key: np.ndarray, assured: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k best (document, score) above 0, equal scores by key, and how many documents were scored. assured: assured(k).
+
+        Lists in ascending order of their maxima are without effect while the sum of these stays below the k-th score: the
+        documents of the other lists are the pivots. Only stretches whose block maxima reach that score are looked at, the
+        most promising first, a few at a time, and then more."""
+        lists = lists[self.list_max[lists] > 0]
         best, scored = (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
         if not len(lists):
             return *best, scored
@@ -137,27 +151,19 @@ class Shard:
         low, high, bound = self.bounds(lists)
         reach = np.cumsum(self.list_max[lists])
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        done, step = 0, 4
+        done, step, floor = 0, 4, max(1, int(assured[lists].max()))
         while done < len(order):
-            least = best[1][-1] if len(best[1]) == k else 1
+            least = max(floor, int(best[1][-1])) if len(best[1]) == k else floor
             part = np.sort(order[done : done + step])
             part = part[bound[part] >= least]
             if not len(part):
                 break
             done, step = done + step, 2 * step
-            driving = lists[np.searchsorted(reach, least) :]  # without one of these, no document reaches the k-th score
-            pivots = np.unique(np.concatenate([self._touched(t, low[part], high[part]) for t in driving]))
-            if not len(pivots):
+            found = self.pivots(lists[np.searchsorted(reach, least) :], low[part], high[part])
+            if not len(found):
                 continue
-            found, total = self.exact(lists, low[part[pivots]], high[part[pivots]])
+            docs, total = np.append(best[0], found), np.append(best[1], self.exact(lists, found))
             scored += len(found)
-            docs, total = np.append(best[0], found), np.append(best[1], total)
             top = np.lexsort((key[docs], -total))[:k]
             best = docs[top], total[top]
         return *best, scored
-
-    def _touched(self, t: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Which of the stretches have a posting of list t."""
-        doc = self.doc[self.begin[t] : self.begin[t + 1]]
-        return np.flatnonzero(np.searchsorted(doc, low) < np.searchsorted(doc, high))

@@ -84,9 +84,10 @@ def _search(weight: np.ndarray, queries: list[np.ndarray], documents: int, words
         score = weight[lists] * (1_000_000_000 * tf // (1000 * tf + 8 * m[of]))
         shard = Shard.of(lists, of, score, len(weight))
         key = table.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()
+        assured = shard.assured(k)
         item, doc, total = [], [], []
         for q, terms in enumerate(queries):
-            d, s, _ = shard.search(terms, k, key)
+            d, s, _ = shard.search(terms, k, key, assured)
             item.append(np.full(len(d), q))
             doc.append(d)
             total.append(s)
