@@ -36,17 +36,13 @@ OUTCOMES, END = FREQUENT + ENDINGS + 1, FREQUENT + ENDINGS
 #: Words, by frequency, whose counts are sent to the tasks.
 KNOWN = 262_144
 STEPS = 4096
+#: Bytes of text whose words are counted at once, before Spark does.
+COUNTED_BYTES = 8 << 20
 ROUNDS = 3
 #: Added to every count.
 ADDED = 0.1
 
 
-def words_column(text: Column) -> Column:
-    """The words of a text, lower-cased in A-Z."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-
-
 def endings(w: Words) -> np.ndarray:
     """The class of each word by its last three bytes, or all of a shorter one."""
     last = np.zeros(len(w.start), np.uint64)
@@ -57,6 +53,30 @@ def endings(w: Words) -> np.ndarray:
     return (mix(last) % np.uint64(ENDINGS)).astype(np.int64)
 
 
+def _distinct(w: Words, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(group, word, number): each word of ``at`` once in its group ``of``, lower-cased, by group."""
+    order = np.lexsort((w.hash[at], of)) if of.any() else np.argsort(w.hash[at])
+    at, of = at[order], of[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(of) != 0) | (w.hash[at][1:] != w.hash[at][:-1])
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(at)))
+    at, of = at[begin], of[begin]
+    length = w.end[at] - w.start[at]
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    data = w.data[np.arange(offsets[-1]) + np.repeat(w.start[at] - offsets[:-1], length)]
+    data = data + np.uint8(32) * ((data >= 65) & (data <= 90))
+    words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.astype(np.uint8))])
+    return of, words.cast(pa.string()), count
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (s for b in batches for s in slices(b, "text", COUNTED_BYTES)):
+        w = words_of(batch.column("text"), SPACED_LOWER)
+        _, words, count = _distinct(w, np.arange(len(w.hash)), np.zeros(len(w.hash), np.int8))
+        yield pa.record_batch([words, pa.array(count)], ["word", "n"])
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         w = words_of(batch.column("word"), SPACED_LOWER)
@@ -64,9 +84,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c, hash, ending): how often each word stands in docs, as a kept table."""
-    words = docs.select(F.explode(words_column(F.col("text"))).alias("word"))
-    return kept(words.groupBy("word").agg(F.count("*").alias("c")).mapInArrow(_hashed, "word string, c bigint, hash bigint, ending bigint"))
+    """(word, c, hash, ending): how often each word stands in docs, lower-cased in A-Z, as a kept table."""
+    words = docs.select("text").mapInArrow(_counted, "word string, n bigint")
+    return kept(words.groupBy("word").agg(F.sum("n").alias("c")).mapInArrow(_hashed, "word string, c bigint, hash bigint, ending bigint"))
 
 
 def _step(c: Column) -> Column:
@@ -156,7 +176,7 @@ def _train(model: Model, counts: Counts, seed: int):
     """Trains a copy of the model on the texts of a partition."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, index = model.copy(), HashIndex(counts.hashes)
+        own, index = model.copy(), HashIndex(counts.hashes[:FREQUENT])  # other words have classes without it
         r = np.random.default_rng([seed, TaskContext.get().partitionId()])
         met = {"context": np.zeros(OUTCOMES), "outcome": np.zeros(OUTCOMES)}
         tokens = 0
@@ -230,21 +250,9 @@ def _score(model: Model, counts: Counts, text: str):
 def _rare(t: Tokens, of: np.ndarray, docs: int) -> pa.ListArray:
     """The words of each text that are not known, each once with its number."""
     at = np.flatnonzero(t.number < 0)
-    order = np.lexsort((t.words.hash[at], of[at]))
-    at = at[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(of[at]) != 0) | (t.words.hash[at][1:] != t.words.hash[at][:-1])
-    begin = np.flatnonzero(new)
-    count = np.diff(np.append(begin, len(at)))
-    at = at[begin]
-    length = t.words.end[at] - t.words.start[at]
-    offsets = np.concatenate([[0], np.cumsum(length)])
-    inside = np.arange(offsets[-1]) + np.repeat(t.words.start[at] - offsets[:-1], length)
-    data = t.words.data[inside]
-    data = data + np.uint8(32) * ((data >= 65) & (data <= 90))
-    words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.astype(np.uint8))]).cast(pa.string())
+    group, words, count = _distinct(t.words, at, of[at])
     each = pa.StructArray.from_arrays([words, pa.array(count)], ["word", "n"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[at], np.arange(docs + 1)).astype(np.int32)), each)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(group, np.arange(docs + 1)).astype(np.int32)), each)
 
 
 def score_texts(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:

@@ -14,9 +14,9 @@ import numpy as np
 
 #: Tokens before, length of the vectors; noise draws and tokens of a batch; step of the row-wise Adagrad.
 BEFORE, WIDTH = 3, 32
-NOISE, BATCH, STEP = 96, 1024, 0.05
+NOISE, BATCH, STEP = 64, 1024, 0.05
 #: Tokens that are scored at once.
-SCORED = 512
+SCORED = 1024
 
 
 def contexts(classes: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -29,8 +29,8 @@ def contexts(classes: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
 
 
 def _add_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, sums): values summed by row."""
-    order = np.argsort(rows, kind="stable")
+    """(rows, sums): values summed by row; rows under 65,536."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
     sorted_rows = rows[order]
     begin = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
     return sorted_rows[begin], np.add.reduceat(values.take(order, 0), begin, axis=0)
