@@ -7,7 +7,8 @@ from itertools import islice
 from pyspark.sql import functions as F
 
 from rostrum.plans.facts import Catalog, table
-from rostrum.sources import html_tables, js_literal, navigation
+from rostrum.sources import archive, html_tables, js_literal, navigation
+from rostrum.sources.store import shared_folder
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -249,6 +250,54 @@ def src_16_mail_text(spark, sf_dir):
     return navigation.mail_texts(c.select("conv_id", "turn", F.to_json(F.struct(payload.alias("payload"))).alias("raw"))).select("conv_id", "turn", "text")
 
 
+def _archived(spark, records):
+    archive.register(spark)
+    path = shared_folder(spark) + "/archive"
+    records.write.format(archive.FORMAT).mode("append").save(path)
+    return path
+
+
+@query(" SELECT page_id::VARCHAR AS id, TIMESTAMP '2024-01-01' + to_hours(page_id * 37 % 900) AS at, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS owner, sha256(html) AS hash FROM pages WHERE page_id * 37 % 900 BETWEEN 100 AND 700")
+def src_18_page_archive(spark, sf_dir):
+    """All pages are archived by the hour of their fetch; a span of time is read back, from the files of its days only."""
+    p = table(spark, sf_dir, "pages")
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("page_id") * 37 % 900)
+    path = _archived(spark, p.select(F.col("page_id").cast("string").alias("id"), at.alias("at"), F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("owner"), F.col("html").alias("body")))
+    found = spark.read.format(archive.FORMAT).load(path).filter("at >= timestamp'2024-01-05 04:00:00' and at <= timestamp'2024-01-30 04:00:00'")
+    return found.select("id", "at", "owner", F.sha2("body", 256).alias("hash"))
+
+
+@query("""
+, mail AS (SELECT conv_id || '/' || turn AS id, TIMESTAMP '2024-02-01' + to_minutes(conv_id * 40 + turn) AS at, role AS owner, text FROM conversations)
+SELECT id, "at", owner, chr(10) || coalesce(text, '') AS text FROM mail WHERE owner = 'user'""")
+def src_16_mail_archive(spark, sf_dir):
+    """All messages are archived; those of one owner are read back, and their texts are taken from the parts of the message."""
+    c = table(spark, sf_dir, "conversations")
+    body = F.translate(F.replace(F.base64(F.coalesce("text", F.lit("")).cast("binary")), F.lit("\r\n"), F.lit("")), "+/=", "-_")
+    raw = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("text/plain").alias("mimeType"), F.struct(body.alias("data")).alias("body"))).alias("parts")).alias("payload")))
+    at = F.timestamp_micros(F.unix_micros(F.lit("2024-02-01").cast("timestamp")) + (F.col("conv_id") * 40 + F.col("turn")).cast("bigint") * 60_000_000)
+    path = _archived(spark, c.select(F.concat_ws("/", "conv_id", "turn").alias("id"), at.alias("at"), F.col("role").alias("owner"), raw.alias("body")))
+    found = spark.read.format(archive.FORMAT).load(path).filter("owner = 'user'")
+    return navigation.mail_texts(found, "body").select("id", "at", "owner", "text")
+
+
+@query("""
+, first AS (SELECT event_id, user_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-20' AND event_id % 10 <> 0), bound AS (SELECT max(ts) AS last FROM first)
+SELECT 1 AS run, event_id::VARCHAR AS id, ts AS at, user_id::VARCHAR AS owner FROM first
+UNION ALL SELECT 2, event_id::VARCHAR, ts, user_id::VARCHAR FROM events, bound WHERE (ts >= TIMESTAMP '2024-01-20' OR event_id % 10 = 0) AND ts > last - INTERVAL 1 DAY""")
+def str_08_mail_stream(spark, sf_dir):
+    """All events as messages, filed in two lots: the second has all later ones, and a tenth of the earlier ones, late. A stream runs
+    after each lot; its second run gives what is new since the last message less a day."""
+    e = table(spark, sf_dir, "events")
+    records = e.select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("owner"), F.col("props").alias("body"))
+    early = (F.col("at") < F.lit("2024-01-20").cast("timestamp")) & (F.col("id").cast("bigint") % 10 != 0)
+    path, out = _archived(spark, records.filter(early)), shared_folder(spark)
+    one = archive.drained(spark, path, f"{out}/one", f"{out}/seen").withColumn("run", F.lit(1))
+    records.filter(~early).write.format(archive.FORMAT).mode("append").save(path)
+    two = archive.drained(spark, path, f"{out}/two", f"{out}/seen").withColumn("run", F.lit(2))
+    return one.unionByName(two).select("run", "id", "at", "owner")
+
+
 def src_19_seeded_numbers(spark, sf_dir):
     return spark.createDataFrame([(i, x) for i, x in enumerate(islice(navigation.seeded(42), 1000))], "i bigint, x double")
 
