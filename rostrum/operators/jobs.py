@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rostrum.functions.numbers import half_up
 from rostrum.functions.urls import host
 
 # Limits of the queue.
@@ -40,8 +41,9 @@ def is_permanent(error: Column) -> Column:
 
 
 def next_status(error: Column, attempts: Column, most: int = MOST_ATTEMPTS) -> Column:
-    """What becomes of a job after an attempt: done without error; deadlocks are tried again; permanent errors are abandoned; too many attempts fail."""
-    return F.when(error.isNull(), "done").when(error.rlike(TRANSIENT), "pending").when(is_permanent(error), "abandoned").when(attempts >= most, "failed").otherwise("pending")
+    """What becomes of a job: over the ceiling it fails before it runs; after an attempt it is done without error; deadlocks are tried
+    again; permanent errors are abandoned; the last attempt fails."""
+    return F.when(attempts > most, "failed").when(error.isNull(), "done").when(error.rlike(TRANSIENT), "pending").when(is_permanent(error), "abandoned").when(attempts >= most, "failed").otherwise("pending")
 
 
 def recover_stuck(job: DataFrame, now: Column, after: str = STUCK) -> DataFrame:
@@ -51,17 +53,35 @@ def recover_stuck(job: DataFrame, now: Column, after: str = STUCK) -> DataFrame:
 
 
 def progress(job: DataFrame, now: Column, sample: int = 20) -> DataFrame:
-    """Queue counts of each user and an estimate of seconds left: pending jobs times the mean of the user's last durations, a default without any; null with nothing left."""
+    """Queue counts of each user over the last hour, the job that has run longest, the mean of the last durations, and an estimate of
+    seconds left: pending jobs at the mean (a default without any), and running ones at what is left of it, 5 at least; null with
+    nothing left."""
     recent = F.col("finished_at") >= now - F.expr(WINDOW)
+    running = F.when(F.col("status") == "running", F.struct(F.col("started_at").isNull().alias("unknown"), "started_at", "job_id"))
     counts = job.groupBy("user_id").agg(
-        F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "running").alias("running"),
-        F.count_if((F.col("status") == "done") & recent).alias("done"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "running").alias("running"), F.count_if((F.col("status") == "done") & recent).alias("done"),
+        F.count_if(F.col("status").isin("failed", "abandoned") & recent).alias("failed"), F.min(running).alias("current"),
     )
-    took = F.unix_seconds(F.col("finished_at").cast("timestamp")) - F.unix_seconds(F.col("started_at").cast("timestamp"))
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
     last = job.filter("status = 'done' and started_at is not null and finished_at is not null").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("finished_at"), "job_id"))).filter(F.col("i") <= sample)
+    took = seconds(F.col("finished_at")) - seconds(F.col("started_at"))
     mean = last.withColumn("took", took).filter((F.col("took") >= 0) & (F.col("took") < LONGEST_SECONDS)).groupBy("user_id").agg(F.avg("took").alias("mean"))
-    left = F.col("pending") + F.col("running")
-    return counts.join(mean, "user_id", "left").select("user_id", "pending", "running", "done", "failed", F.when(left > 0, F.ceil(left * F.coalesce("mean", F.lit(DEFAULT_SECONDS)))).alias("eta"))
+    each = F.coalesce("mean", F.lit(DEFAULT_SECONDS))
+    elapsed = F.coalesce(seconds(now) - seconds(F.col("current.started_at")), F.lit(0.0))
+    at_work = F.when(F.col("running") > 0, half_up(F.greatest(each - elapsed, F.lit(5.0)) * F.col("running"))).otherwise(0)
+    eta = F.when(F.col("pending") + F.col("running") > 0, F.greatest(half_up(F.col("pending") * each) + at_work, F.lit(5)))
+    total = F.col("done") + F.col("failed") + F.col("running") + F.col("pending")
+    return counts.join(mean, "user_id", "left").select(
+        "user_id", "pending", "running", "done", "failed", total.alias("total"), F.col("current.job_id").alias("current_job"), (half_up(F.col("mean") * 10) / 10).alias("mean_seconds"), eta.cast("bigint").alias("eta")
+    )
+
+
+def earliest_urls(records: DataFrame, key: str, seq: str, date: str) -> DataFrame:
+    """One record of each url: the first seen, unless it has a date and a later one has an earlier date (dates are compared as text)."""
+    dated = F.when(F.col(date) != "", F.struct(F.col(date).alias("d"), F.col(seq).alias("s")))
+    first = records.groupBy(key).agg(F.min(seq).alias("first"), F.min_by(F.coalesce(date, F.lit("")), seq).alias("date"), F.min(dated).alias("best"))
+    chosen = first.select(F.col(key).alias("__key"), F.when(F.col("date") == "", F.col("first")).otherwise(F.col("best.s")).alias("__seq"))
+    return records.join(chosen, (F.col(key) == F.col("__key")) & (F.col(seq) == F.col("__seq")), "left_semi")
 
 
 def _micros(ts: str) -> Column:

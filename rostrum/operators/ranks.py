@@ -62,22 +62,22 @@ def richest_participation(entry: DataFrame) -> DataFrame:
     return first_by(entry.withColumn("score", known("total", 4) + known("team", 2) + known("elimination", 1)), ["person_id"], F.desc("score"), F.asc("tid")).select("person_id", "tid", "score")
 
 
-def inrounds_judged(judging: DataFrame) -> DataFrame:
+def inrounds_judged(judging: DataFrame, at: str = "slot") -> DataFrame:
     """Distinct (stage, round) of preliminary rounds judged; null without any."""
     inround = round_class(F.col("stage")) == "inround"
     key = F.when(inround, F.struct("stage", "round"))
-    return judging.groupBy("person_id", "slot").agg(F.nullif(F.count_distinct(key), F.lit(0)).alias("inrounds"))
+    return judging.groupBy("person_id", at).agg(F.nullif(F.count_distinct(key), F.lit(0)).alias("inrounds"))
 
 
-def judge_record(judging: DataFrame) -> DataFrame:
-    """Preliminary rounds chaired (not distinct), and the deepest elimination stages chaired and sat on; the first assignment on ties."""
+def judge_record(judging: DataFrame, at: str = "slot") -> DataFrame:
+    """By person and tournament (the column ``at``): preliminary rounds chaired (not distinct), and the deepest elimination stages chaired and sat on; the first assignment on ties."""
     j = judging.withColumn("kind", round_class(F.col("stage"))).withColumn("rank", stage_rank(F.col("stage")))
-    chairs = j.groupBy("person_id", "slot").agg(F.count_if((F.col("kind") == "inround") & (F.lower(F.trim("panel_role")) == "chair")).alias("chaired"))
+    chairs = j.groupBy("person_id", at).agg(F.count_if((F.col("kind") == "inround") & (F.lower(F.trim("panel_role")) == "chair")).alias("chaired"))
     out = j.filter("kind = 'outround'")
-    deepest = lambda rows, name: first_by(rows, ["person_id", "slot"], F.desc("rank"), F.asc("assignment_id")).select("person_id", "slot", F.col("stage").alias(name))
+    deepest = lambda rows, name: first_by(rows, ["person_id", at], F.desc("rank"), F.asc("assignment_id")).select("person_id", at, F.col("stage").alias(name))
     top = deepest(out.filter("panel_role = 'chair'"), "chaired_stage")
     panel = deepest(out.filter("panel_role <> 'chair'"), "panel_stage")
-    return chairs.join(top, ["person_id", "slot"], "left").join(panel, ["person_id", "slot"], "left")
+    return chairs.join(top, ["person_id", at], "left").join(panel, ["person_id", at], "left")
 
 
 def best_judge_row(rows: DataFrame) -> DataFrame:
@@ -100,14 +100,29 @@ def top_break_limit(teams: Column) -> Column:
 MAJORS = r"(?i)\b(?:wudc|world(?: university)? debating|eudc|european debating|australs|asian debating|naudc|north american debating)\b"
 
 
-def highlights(entry: DataFrame, tournament: DataFrame, majors: str = MAJORS) -> DataFrame:
-    """By person: finals, breaks ranked in the top tenth of a field, best open rank, first and last active year, majors by distinct name and year."""
-    j = entry.join(tournament, "tid")
-    final = outround_stage(F.col("elimination")).isin("grand_final", "final")
-    top = F.col("broke") & (F.col("teams") > 0) & (F.col("open_rank") <= top_break_limit(F.col("teams")))
-    return j.groupBy("person_id").agg(
-        F.count_if(final).alias("finals"), F.count_if(top).alias("top_breaks"), F.min("open_rank").alias("best_rank"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
-        F.count_distinct(F.when(F.col("name").rlike(majors), F.struct("name", F.coalesce("year", F.lit(0))))).alias("majors"),
+def highlights(entry: DataFrame, averages: DataFrame, records: DataFrame, tournament: DataFrame, majors: str = MAJORS, most: int = 5) -> DataFrame:
+    """By person, over speaking and judging: tournaments won (the first ``most`` of them), top breaks, best open rank and best average with
+    where they were, elimination rounds chaired, times in the adjudication core, majors by distinct name and year, first and last year.
+    Rows come by year (latest first, undated last), then name; of equal bests the first counts. Averages are as published: text that is no
+    number counts for nothing. records: judging, one row for each person and tid, with ``tag``."""
+    t = tournament.select("tid", "name", "year", "teams").withColumn("at", F.struct((-F.col("year")).isNull(), -F.col("year"), F.collate("name", "UNICODE"), "tid"))
+    s = entry.join(averages, ["person_id", "tid"], "left").join(t, "tid").withColumn("score", F.nullif(F.col("average").try_cast("double"), F.lit(float("nan"))))
+    titled = F.array_sort(F.collect_list(F.when(F.col("champion"), F.struct("at", F.concat_ws(" ", "name", "year").alias("title")))))
+    best = lambda value, by: F.min(F.when(F.col(value).isNotNull(), F.struct(by.alias("by"), "at", F.col(value).alias("value"), "name")))
+    spoken = s.groupBy("person_id").agg(
+        F.array_join(F.transform(F.slice(titled, 1, most), lambda x: x["title"]), "; ").alias("titles"),
+        F.count_if(F.col("broke") & (F.col("teams") > 0) & (F.col("open_rank") <= top_break_limit(F.col("teams")))).alias("top_breaks"),
+        best("open_rank", F.col("open_rank").cast("double")).alias("r"), best("score", -F.col("score")).alias("a"),
+    )
+    judged = records.groupBy("person_id").agg(F.count("chaired_stage").alias("outrounds_chaired"), F.count_if(F.col("tag") == "core").alias("core"))
+    there = entry.select("person_id", "tid").unionByName(records.select("person_id", "tid")).join(t, "tid")
+    both = there.groupBy("person_id").agg(
+        F.count_distinct(F.when(F.col("name").rlike(majors), F.struct("name", F.coalesce("year", F.lit(0))))).alias("majors"), F.min("year").alias("first_year"), F.max("year").alias("last_year")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.join(spoken, "person_id", "left").join(judged, "person_id", "left").select(
+        "person_id", F.coalesce("titles", F.lit("")).alias("titles"), zero("top_breaks"), F.col("r.value").alias("best_rank"), F.col("r.name").alias("best_rank_at"), F.col("a.value").alias("best_average"),
+        F.col("a.name").alias("best_average_at"), zero("outrounds_chaired"), zero("core"), "majors", "first_year", "last_year",
     )
 
 

@@ -11,16 +11,17 @@ from rostrum.functions.stages import canonical_position, field_size, outround_st
 
 
 def merged_rounds(speech: DataFrame, team_round: DataFrame) -> DataFrame:
-    """Scores and results of each person's rounds, rounds of either side only included; of repeated rounds, the last row of a side counts."""
-    s = speech.groupBy("person_id", "tid", "round").agg(F.max_by("score", "event_id").alias("score"), F.max_by("position", "event_id").alias("seat"))
-    t = team_round.select("person_id", "tid", "round", "won", "points", F.col("position").alias("bench"))
-    return s.join(t, ["person_id", "tid", "round"], "full").select("person_id", "tid", "round", "score", "won", "points", F.coalesce("bench", "seat").alias("position"))
+    """Published scores and results of each person's rounds, rounds of either side only included; of repeated rounds, the last row of a
+    side counts. The seat is the result's: a round that was scored only has none."""
+    keys = ["person_id", "tid", "round"]
+    s = speech.filter("score is not null").groupBy(*keys).agg(F.max_by("score", "event_id").alias("score"))
+    t = team_round.groupBy(*keys).agg(F.max_by(F.struct("won", "points", "position"), "event_id").alias("r"))
+    return s.join(t, keys, "full").select(*keys, "score", "r.won", "r.points", "r.position")
 
 
 def with_motions(rounds: DataFrame, motion: DataFrame) -> DataFrame:
     """Every round with each of its motions: a round with two motions credits both."""
-    m = motion.select("slot", F.col("round").alias("m_round"), "motion_id", "type", "topic")
-    return rounds.join(m, (F.col("tid") % 5 == F.col("slot")) & (F.col("round") == F.col("m_round")), "left").drop("slot", "m_round")
+    return rounds.join(motion.select("tid", "round", "motion_id", "type", "topic"), ["tid", "round"], "left").select(*rounds.columns, "motion_id", "type", "topic")
 
 
 def split_rows(rounds: DataFrame, tournament: DataFrame, motion: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def points_distribution(rounds: DataFrame) -> DataFrame:
 def streaks(rounds: DataFrame, tournament: DataFrame) -> DataFrame:
     """Longest runs of wins and of losses over decided rounds, in order of year (undated last), tournament name, round."""
     d = rounds.filter("won is not null").join(tournament.select("tid", "name", "year"), "tid")
-    order = [F.col("year").asc_nulls_last(), F.col("name"), F.col("round")]
+    order = [F.col("year").asc_nulls_last(), F.collate("name", "UNICODE"), F.col("round")]
     every, same = Window.partitionBy("person_id").orderBy(*order), Window.partitionBy("person_id", "won").orderBy(*order)
     island = d.withColumn("island", F.row_number().over(every) - F.row_number().over(same)).groupBy("person_id", "won", "island").agg(F.count("*").alias("n"))
     return island.groupBy("person_id").agg(F.coalesce(F.max(F.when(F.col("won"), F.col("n"))), F.lit(0)).alias("win_streak"), F.coalesce(F.max(F.when(~F.col("won"), F.col("n"))), F.lit(0)).alias("loss_streak"))
@@ -98,12 +99,21 @@ def seasons(entry: DataFrame, averages: DataFrame, tournament: DataFrame) -> Dat
     return joined.groupBy("person_id", "year").agg(F.count("*").alias("tournaments"), F.avg(value).alias("avg"), F.count_if("broke").alias("breaks"), ratio(F.count_if("broke"), F.count("*")).alias("break_rate"), F.min("open_rank").alias("best_rank"))
 
 
-def volume(rounds: DataFrame, entry: DataFrame, tournament: DataFrame, mates: DataFrame) -> DataFrame:
-    """Rounds, speeches, span of years, formats and partners of each person."""
+def volume(rounds: DataFrame, entry: DataFrame, tournament: DataFrame, mates: DataFrame, records: DataFrame) -> DataFrame:
+    """Tournaments spoken at and judged, rounds, speeches, elimination rounds, chaired rounds, years over both roles, formats and partners
+    of each person. records: judging, one row for each person and tid."""
     r = rounds.groupBy("person_id", "tid").agg(F.count_distinct("round").alias("rounds"), F.count("score").alias("speeches")).groupBy("person_id").agg(F.sum("rounds").alias("rounds"), F.sum("speeches").alias("speeches"))
-    e = entry.join(tournament, "tid").groupBy("person_id").agg(F.count("*").alias("tournaments"), (F.max("year") - F.min("year") + 1).alias("years"), F.count_distinct("format").alias("formats"))
+    none = F.lit(None)
+    spoken = entry.select("person_id", "tid", F.lit(True).alias("spoke"), F.col("elimination").isNotNull().alias("out"), none.cast("bigint").alias("chaired"))
+    judged = records.select("person_id", "tid", F.lit(False).alias("spoke"), F.lit(False).alias("out"), "chaired")
+    both = spoken.unionByName(judged).join(tournament.select("tid", "year", "format"), "tid", "left")
+    e = both.groupBy("person_id").agg(
+        F.count_if("spoke").alias("tournaments"), F.count_if(~F.col("spoke")).alias("judged"), F.count_if("out").alias("outrounds"), F.coalesce(F.sum("chaired"), F.lit(0)).alias("rounds_chaired"),
+        (F.max("year") - F.min("year") + 1).alias("years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_distinct(F.when(F.col("spoke"), F.col("format"))).alias("formats"),
+    )
     m = mates.groupBy("person_id").agg(F.count_distinct("mate").alias("partners"))
-    return e.join(r, "person_id", "left").join(m, "person_id", "left").select("person_id", "tournaments", "years", "formats", F.coalesce("rounds", F.lit(0)).alias("rounds"), F.coalesce("speeches", F.lit(0)).alias("speeches"), F.coalesce("partners", F.lit(0)).alias("partners"))
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("rounds", "speeches", "partners")]
+    return e.join(r, "person_id", "left").join(m, "person_id", "left").select(*e.columns, *counted)
 
 
 def coverage(entry: DataFrame, tournament: DataFrame) -> DataFrame:

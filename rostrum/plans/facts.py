@@ -41,7 +41,7 @@ def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def team_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of a person's team by round; won is null while undecided."""
-    return rounds(spark, sf_dir).filter("k % 17 <> 0").select("person_id", "tid", "round", "position", "won", "points")
+    return rounds(spark, sf_dir).filter("k % 17 <> 0").select("event_id", "person_id", "tid", "round", "position", "won", "points")
 
 
 def tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,26 +69,32 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(x % 4 == 0, F.col("person_id") % 16 + 1).alias("break_rank"),
         (x % 4 == 0).alias("broke"),
         F.when(x % 12 == 0, "Grand Final").when(x % 12 == 4, "ESL Semifinals").when(x % 12 == 8, "QF").alias("elimination"),
-        F.when(x % 5 != 0, F.col("person_id") % 30 + 1).alias("open_rank"),
+        F.when(x % 5 != 0, F.col("person_id") % 30 + 1).alias("open_rank"), F.when(x % 8 == 1, F.col("person_id") % 9 + 1).alias("esl_rank"), F.when(x % 16 == 1, F.col("person_id") % 5 + 1).alias("efl_rank"),
+        ((x % 12 == 0) & (F.floor(F.col("person_id") / 2) % 2 == 0)).alias("champion"),
     )
 
 
+def _span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(first, tids), one row: the first tournament, and how many follow each other."""
+    return table(spark, sf_dir, "events").agg(F.min(week(F.col("ts"))).alias("first"), (F.max(week(F.col("ts"))) - F.min(week(F.col("ts"))) + 1).alias("tids"))
+
+
 def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Motions by tournament slot (a tournament's tid modulo 5) and round; some rounds have several."""
-    p = table(spark, sf_dir, "part")
-    return p.filter("p_partkey % 7 = 0").select(
-        F.col("p_partkey").alias("motion_id"), (F.col("p_partkey") % 5).alias("slot"), (1 + F.col("p_size") % 12).cast("bigint").alias("round"), (F.col("p_partkey") % 3).alias("seq"),
+    """Motions: every part in one round of one tournament; some rounds have several, and some are those of rounds that nobody debated."""
+    p, n = table(spark, sf_dir, "part").join(F.broadcast(_span(spark, sf_dir))), F.floor(F.col("p_partkey") / F.col("tids"))
+    return p.select(
+        F.col("p_partkey").alias("motion_id"), (F.col("first") + F.col("p_partkey") % F.col("tids")).alias("tid"), (1 + n % 97).cast("bigint").alias("round"), (F.col("p_partkey") % 3).alias("seq"),
         F.when(F.col("p_partkey") % 4 != 0, F.col("p_type")).alias("type"), F.when(F.col("p_partkey") % 6 != 0, F.col("p_brand")).alias("topic"), F.col("p_name").alias("text"),
     )
 
 
 def judging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panels that a person judged on."""
-    o = table(spark, sf_dir, "orders")
+    """Panels that a person judged on, at one of the first five tournaments (slot 0 to 4)."""
+    o = table(spark, sf_dir, "orders").join(F.broadcast(_span(spark, sf_dir)))
     stage = F.when(F.col("o_orderpriority") == "1-URGENT", "Grand Final").when(F.col("o_orderpriority") == "2-HIGH", "SF").when(F.col("o_orderpriority") == "5-LOW", "Octofinals")
     n = (F.col("o_orderkey") % 6 + 1).cast("bigint")
     return o.select(
-        F.col("o_orderkey").alias("assignment_id"), (F.col("o_custkey") % 150).alias("person_id"), (F.col("o_orderkey") % 5).alias("slot"),
+        F.col("o_orderkey").alias("assignment_id"), (F.col("o_custkey") % 150).alias("person_id"), (F.col("o_orderkey") % 5).alias("slot"), (F.col("first") + F.col("o_orderkey") % 5).alias("tid"),
         F.coalesce(stage, F.concat(F.lit("R"), n.cast("string"))).alias("stage"), F.when(stage.isNull(), n).alias("round"),
         F.when(F.col("o_orderstatus") == "O", "chair").when(F.col("o_orderstatus") == "F", "panellist").otherwise("trainee").alias("panel_role"),
     )
@@ -104,7 +110,7 @@ def job(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"), (F.col("o_orderkey") % 5).alias("attempts"),
         F.when(status == "failed", F.when(F.col("o_orderkey") % 3 == 0, "fetch landing: HTTP 404 for page").when(F.col("o_orderkey") % 3 == 1, "deadlock detected").otherwise("parse: no table")).alias("last_error"),
         F.col("o_orderdate").alias("scheduled_at"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate") + F.expr("INTERVAL 10 MINUTES")).alias("started_at"),
-        F.when(status == "done", F.col("o_orderdate") + F.expr("INTERVAL 10 MINUTES") + F.make_dt_interval(secs=F.col("o_orderkey") % 700)).alias("finished_at"),
+        F.when(status.isin("done", "failed"), F.col("o_orderdate") + F.expr("INTERVAL 10 MINUTES") + F.make_dt_interval(secs=F.col("o_orderkey") % 700)).alias("finished_at"),
     )
 
 
@@ -117,7 +123,7 @@ WITH RECURSIVE rounds AS (
 ), speech AS (
   SELECT event_id, person_id, tid, round, position, CASE WHEN k % 11 <> 0 THEN raw END AS score FROM rounds WHERE k % 13 <> 0
 ), team_round AS (
-  SELECT person_id, tid, round, position, won, points FROM rounds WHERE k % 17 <> 0
+  SELECT event_id, person_id, tid, round, position, won, points FROM rounds WHERE k % 17 <> 0
 ), tournament AS (
   SELECT tid, 'Cup ' || tid AS name, CASE WHEN tid % 5 <> 4 THEN 2019 + tid % 5 END AS year,
          CASE tid % 4 WHEN 0 THEN 'British Parliamentary' WHEN 1 THEN 'Asian Parliamentary' WHEN 2 THEN 'World Schools' END AS format,
@@ -128,23 +134,26 @@ WITH RECURSIVE rounds AS (
 ), entry AS (
   SELECT person_id, tid, rounds, CASE WHEN x % 7 <> 0 THEN total END AS total, wins, coalesce(points, 0) AS points, 'Team ' || (person_id // 2) AS team,
          CASE WHEN x % 6 <> 0 THEN (person_id * 7 + tid * 3) % 40 + 1 END AS team_rank, CASE WHEN x % 4 = 0 THEN person_id % 16 + 1 END AS break_rank, x % 4 = 0 AS broke,
-         CASE x % 12 WHEN 0 THEN 'Grand Final' WHEN 4 THEN 'ESL Semifinals' WHEN 8 THEN 'QF' END AS elimination, CASE WHEN x % 5 <> 0 THEN person_id % 30 + 1 END AS open_rank
+         CASE x % 12 WHEN 0 THEN 'Grand Final' WHEN 4 THEN 'ESL Semifinals' WHEN 8 THEN 'QF' END AS elimination, CASE WHEN x % 5 <> 0 THEN person_id % 30 + 1 END AS open_rank,
+         CASE WHEN x % 8 = 1 THEN person_id % 9 + 1 END AS esl_rank, CASE WHEN x % 16 = 1 THEN person_id % 5 + 1 END AS efl_rank, x % 12 = 0 AND person_id // 2 % 2 = 0 AS champion
   FROM (SELECT person_id, tid, person_id + tid AS x, count(*) AS rounds, round(sum(raw), 2) AS total, count(*) FILTER (WHERE won) AS wins, sum(points)::BIGINT AS points FROM rounds GROUP BY ALL)
+), span AS (
+  SELECT min(tid) AS first, max(tid) - min(tid) + 1 AS tids FROM rounds
 ), motion AS (
-  SELECT p_partkey AS motion_id, p_partkey % 5 AS slot, (1 + p_size % 12)::BIGINT AS round, p_partkey % 3 AS seq,
+  SELECT p_partkey AS motion_id, first + p_partkey % tids AS tid, (1 + p_partkey // tids % 97)::BIGINT AS round, p_partkey % 3 AS seq,
          CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS type, CASE WHEN p_partkey % 6 <> 0 THEN p_brand END AS topic, p_name AS text
-  FROM part WHERE p_partkey % 7 = 0
+  FROM part, span
 ), judging AS (
-  SELECT o_orderkey AS assignment_id, o_custkey % 150 AS person_id, o_orderkey % 5 AS slot, coalesce(st, 'R' || (o_orderkey % 6 + 1)) AS stage,
+  SELECT o_orderkey AS assignment_id, o_custkey % 150 AS person_id, o_orderkey % 5 AS slot, first + o_orderkey % 5 AS tid, coalesce(st, 'R' || (o_orderkey % 6 + 1)) AS stage,
          CASE WHEN st IS NULL THEN o_orderkey % 6 + 1 END AS round, CASE o_orderstatus WHEN 'O' THEN 'chair' WHEN 'F' THEN 'panellist' ELSE 'trainee' END AS panel_role
-  FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'Grand Final' WHEN '2-HIGH' THEN 'SF' WHEN '5-LOW' THEN 'Octofinals' END AS st FROM orders)
+  FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'Grand Final' WHEN '2-HIGH' THEN 'SF' WHEN '5-LOW' THEN 'Octofinals' END AS st FROM orders, span)
 ), job AS (
   SELECT o_orderkey AS job_id, o_custkey AS user_id,
          'https://' || lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) || '.example.org/t' || (o_orderkey % 50) || '/privateurls/x' || o_custkey AS url,
          status, o_orderkey % 5 AS attempts,
          CASE WHEN status = 'failed' THEN CASE o_orderkey % 3 WHEN 0 THEN 'fetch landing: HTTP 404 for page' WHEN 1 THEN 'deadlock detected' ELSE 'parse: no table' END END AS last_error,
          o_orderdate AS scheduled_at, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate + INTERVAL 10 MINUTE END AS started_at,
-         CASE WHEN status = 'done' THEN o_orderdate + INTERVAL 10 MINUTE + to_seconds(o_orderkey % 700) END AS finished_at
+         CASE WHEN status IN ('done', 'failed') THEN o_orderdate + INTERVAL 10 MINUTE + to_seconds(o_orderkey % 700) END AS finished_at
   FROM (SELECT *, CASE WHEN o_orderstatus = 'O' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderkey % 4 = 0 THEN 'running' ELSE 'failed' END AS status FROM orders)
 )
 """

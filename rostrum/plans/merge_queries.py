@@ -157,9 +157,15 @@ def mut_13_lock(spark, sf_dir):
     return jobs.without_locked(j, j.filter("user_id % 5 = 0")).select("job_id", "url", "status")
 
 
-@query(" SELECT url, job_id, scheduled_at FROM job QUALIFY row_number() OVER (PARTITION BY url ORDER BY scheduled_at, job_id) = 1")
+@query("""
+, seen AS (SELECT url, job_id, CASE WHEN job_id % 7 <> 0 THEN strftime(scheduled_at, '%a, %d %b %Y') END AS date FROM job)
+, f AS (SELECT url, job_id, date FROM seen QUALIFY row_number() OVER (PARTITION BY url ORDER BY job_id) = 1)
+SELECT s.url, s.job_id, s.date FROM seen s JOIN f USING (url) WHERE CASE WHEN f.date IS NULL THEN s.job_id = f.job_id ELSE s.date IS NOT NULL END
+QUALIFY row_number() OVER (PARTITION BY s.url ORDER BY s.date, s.job_id) = 1""")
 def mut_14_url_keep_earliest(spark, sf_dir):
-    return ranks.first_by(facts.job(spark, sf_dir), ["url"], F.asc("scheduled_at"), F.asc("job_id")).select("url", "job_id", "scheduled_at")
+    """Every job as a message with a link; dates are text as mail headers spell them, and compare as text."""
+    date = F.when(F.col("job_id") % 7 != 0, F.date_format("scheduled_at", "EEE, dd MMM yyyy"))
+    return jobs.earliest_urls(facts.job(spark, sf_dir).select("url", "job_id", date.alias("date")), "url", "job_id", "date")
 
 
 _DOCS = ", doc AS (SELECT doc_id, source AS url, sha256(text) AS hash, TIMESTAMP '2024-01-01' + to_hours(doc_id % 5000) AS fetched_at FROM documents)"
@@ -255,7 +261,7 @@ def str_02_drain_waves(spark, sf_dir):
     return jobs.waves(facts.job(spark, sf_dir))
 
 
-@query(" SELECT job_id, CASE WHEN last_error IS NULL THEN 'done' WHEN last_error LIKE '%deadlock%' THEN 'pending' WHEN last_error LIKE '%HTTP 404%' THEN 'abandoned' WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS next FROM job")
+@query(" SELECT job_id, CASE WHEN attempts > 3 THEN 'failed' WHEN last_error IS NULL THEN 'done' WHEN last_error LIKE '%deadlock%' THEN 'pending' WHEN last_error LIKE '%HTTP 404%' THEN 'abandoned' WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS next FROM job")
 def str_03_retry_machine(spark, sf_dir):
     return facts.job(spark, sf_dir).select("job_id", jobs.next_status(F.col("last_error"), F.col("attempts")).alias("next"))
 
@@ -306,10 +312,13 @@ def str_09_backoff(spark, sf_dir):
 
 
 @query("""
-, c AS (SELECT user_id, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'done' AND finished_at >= TIMESTAMP '2000-01-01' - INTERVAL 60 MINUTE) AS done, count(*) FILTER (WHERE status = 'failed') AS failed FROM job GROUP BY user_id)
-, l AS (SELECT user_id, epoch(finished_at)::BIGINT - epoch(started_at)::BIGINT AS took FROM job WHERE status = 'done' AND started_at IS NOT NULL AND finished_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY finished_at DESC, job_id) <= 20)
+, c AS (SELECT user_id, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'done' AND finished_at >= TIMESTAMP '2000-01-01' - INTERVAL 60 MINUTE) AS done, count(*) FILTER (WHERE status IN ('failed', 'abandoned') AND finished_at >= TIMESTAMP '2000-01-01' - INTERVAL 60 MINUTE) AS failed FROM job GROUP BY user_id)
+, cur AS (SELECT user_id, job_id AS current_job, started_at FROM job WHERE status = 'running' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY started_at NULLS LAST, job_id) = 1)
+, l AS (SELECT user_id, epoch(finished_at) - epoch(started_at) AS took FROM job WHERE status = 'done' AND started_at IS NOT NULL AND finished_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY finished_at DESC, job_id) <= 20)
 , m AS (SELECT user_id, avg(took) AS mean FROM l WHERE took >= 0 AND took < 600 GROUP BY user_id)
-SELECT user_id, pending, running, done, failed, CASE WHEN pending + running > 0 THEN ceil((pending + running) * coalesce(mean, 40))::BIGINT END AS eta FROM c LEFT JOIN m USING (user_id)""")
+SELECT user_id, pending, running, done, failed, done + failed + running + pending AS total, current_job, floor(mean * 10 + 0.5) / 10 AS mean_seconds,
+  CASE WHEN pending + running > 0 THEN greatest(floor(pending * coalesce(mean, 40) + 0.5) + CASE WHEN running > 0 THEN floor(greatest(coalesce(mean, 40) - coalesce(epoch(TIMESTAMP '2000-01-01') - epoch(started_at), 0), 5) * running + 0.5) ELSE 0 END, 5)::BIGINT END AS eta
+FROM c LEFT JOIN m USING (user_id) LEFT JOIN cur USING (user_id)""")
 def agg_34_queue_progress(spark, sf_dir):
     return jobs.progress(facts.job(spark, sf_dir), F.lit("2000-01-01").cast("timestamp"))
 

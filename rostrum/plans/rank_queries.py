@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.numbers import r6
 from rostrum.functions.stages import category_of, category_priority, display_stage, motion_type, normalize_stage, outround_stage, round_class, stage_rank
-from rostrum.operators import ranks, results
+from rostrum.operators import field, ranks, results
 from rostrum.plans import facts
 from rostrum.plans.facts import Catalog, table
 from rostrum.plans.result_queries import _FAN
+from rostrum.plans.score_queries import _AVERAGE, _FIXED
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -131,11 +132,23 @@ def set_02_speaker_judge_union(spark, sf_dir):
     return s.unionByName(ranks.judge_record(facts.judging(spark, sf_dir)).select("person_id", F.lit("judge").alias("role"), F.col("slot").alias("at")))
 
 
-@query("""
-SELECT person_id, count(*) FILTER (WHERE elimination = 'Grand Final') AS finals, count(*) FILTER (WHERE broke AND teams > 0 AND open_rank <= ceil(teams / 10)) AS top_breaks, min(open_rank) AS best_rank,
-  min(year) AS first_year, max(year) AS last_year, count(DISTINCT (name, coalesce(year, 0))) FILTER (WHERE regexp_matches(name, '(?i)\\bcup\\b')) AS majors FROM entry JOIN tournament USING (tid) GROUP BY person_id""")
+@query(_AVERAGE + _JUDGE + """
+, avgs AS (SELECT person_id, tid, """ + _FIXED.format(x="x") + """::DOUBLE AS score FROM (SELECT person_id, tid, coalesce(CASE WHEN spoken > 0 THEN total / spoken END, cell_mean, CASE WHEN prelims > 0 THEN total / prelims END) AS x FROM p))
+, s AS (SELECT e.*, name, year, teams, score, row_number() OVER (PARTITION BY e.person_id ORDER BY year DESC NULLS LAST, name, tid) AS i FROM entry e JOIN tournament USING (tid) LEFT JOIN avgs USING (person_id, tid))
+, won AS (SELECT person_id, string_agg(concat_ws(' ', name, year), '; ' ORDER BY i) AS titles FROM (SELECT * FROM s WHERE champion QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY i) <= 5) GROUP BY person_id)
+, best AS (SELECT person_id, name AS best_rank_at, open_rank AS best_rank FROM s WHERE open_rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY open_rank, i) = 1)
+, av AS (SELECT person_id, name AS best_average_at, score AS best_average FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY score DESC, i) = 1)
+, tb AS (SELECT person_id, count(*) FILTER (WHERE broke AND teams > 0 AND open_rank <= ceil(teams / 10)) AS top_breaks FROM s GROUP BY person_id)
+, jr AS (SELECT person_id, count(chaired_stage) AS outrounds_chaired, count(*) FILTER (WHERE slot % 2 = 0) AS core FROM rec GROUP BY person_id)
+, b AS (SELECT person_id, count(DISTINCT (name, coalesce(year, 0))) FILTER (WHERE regexp_matches(name, '(?i)\\bcup\\b')) AS majors, min(year) AS first_year, max(year) AS last_year
+  FROM (SELECT person_id, tid FROM entry UNION ALL SELECT person_id, slot + first FROM rec, span) JOIN tournament USING (tid) GROUP BY person_id)
+SELECT person_id, coalesce(titles, '') AS titles, coalesce(top_breaks, 0) AS top_breaks, best_rank, best_rank_at, best_average, best_average_at, coalesce(outrounds_chaired, 0) AS outrounds_chaired, coalesce(core, 0) AS core, majors, first_year, last_year
+FROM b LEFT JOIN won USING (person_id) LEFT JOIN best USING (person_id) LEFT JOIN av USING (person_id) LEFT JOIN tb USING (person_id) LEFT JOIN jr USING (person_id)""")
 def agg_30_highlights(spark, sf_dir):
-    return ranks.highlights(facts.entry(spark, sf_dir), facts.tournament(spark, sf_dir), majors=r"(?i)\bcup\b")
+    e, t, speech = facts.entry(spark, sf_dir), facts.tournament(spark, sf_dir), facts.speech(spark, sf_dir)
+    averages = field.averages(e, speech, field.prelims(t, facts.team_round(spark, sf_dir), speech))
+    records = ranks.judge_record(facts.judging(spark, sf_dir).withColumn("at", F.struct("tid", "slot")), "at").select("person_id", "at.tid", "chaired_stage", F.when(F.col("at.slot") % 2 == 0, "core").alias("tag"))
+    return ranks.highlights(e, averages, records, t, majors=r"(?i)\bcup\b")
 
 
 @query("""

@@ -198,15 +198,15 @@ def join_06_round_lists(spark, sf_dir):
 
 
 @query("""
-, sib AS (SELECT *, count(*) OVER (PARTITION BY slot, round) - 1 AS siblings FROM motion), e AS (SELECT DISTINCT person_id, tid % 5 AS slot FROM entry), j AS (SELECT DISTINCT person_id, slot FROM judging)
-SELECT w.person_id, motion_id, siblings, w.debated, NOT w.debated AS judged_only FROM sib JOIN (SELECT coalesce(e.person_id, j.person_id) AS person_id, coalesce(e.slot, j.slot) AS slot, e.person_id IS NOT NULL AS debated FROM e FULL JOIN j USING (person_id, slot)) w USING (slot)""")
+, sib AS (SELECT *, count(*) OVER (PARTITION BY tid, round) - 1 AS siblings FROM motion), e AS (SELECT DISTINCT person_id, tid FROM entry), j AS (SELECT DISTINCT person_id, tid FROM judging)
+SELECT w.person_id, motion_id, siblings, w.debated, NOT w.debated AS judged_only FROM sib JOIN (SELECT coalesce(e.person_id, j.person_id) AS person_id, coalesce(e.tid, j.tid) AS tid, e.person_id IS NOT NULL AS debated FROM e FULL JOIN j USING (person_id, tid)) w USING (tid)""")
 def join_09_motion_entries(spark, sf_dir):
     return readmodel.motion_entries(facts.motion(spark, sf_dir), facts.entry(spark, sf_dir), facts.judging(spark, sf_dir))
 
 
-@query(" SELECT motion_id, count(*) OVER (PARTITION BY slot, round) - 1 AS siblings FROM motion")
+@query(" SELECT motion_id, count(*) OVER (PARTITION BY tid, round) - 1 AS siblings FROM motion")
 def win_06_siblings(spark, sf_dir):
-    return facts.motion(spark, sf_dir).select("motion_id", (F.count("*").over(Window.partitionBy("slot", "round")) - 1).alias("siblings"))
+    return facts.motion(spark, sf_dir).select("motion_id", (F.count("*").over(Window.partitionBy("tid", "round")) - 1).alias("siblings"))
 
 
 @query(" SELECT e.person_id, e.tid, e.elimination, b.break_rank FROM entry e LEFT JOIN (SELECT tid, team, elimination, min(break_rank) AS break_rank FROM entry WHERE elimination IS NOT NULL GROUP BY ALL) b ON b.tid = e.tid AND b.team = e.team AND b.elimination = e.elimination")
@@ -463,22 +463,22 @@ def sort_07_newest(spark, sf_dir):
     return facts.job(spark, sf_dir).orderBy(F.desc("scheduled_at"), "job_id").limit(50).select("job_id")
 
 
-@query(" SELECT slot, string_agg(motion_id::VARCHAR, ',' ORDER BY round, seq, motion_id) AS motions FROM motion GROUP BY slot")
+@query(" SELECT tid, string_agg(motion_id::VARCHAR, ',' ORDER BY round, seq, motion_id) AS motions FROM motion GROUP BY tid")
 def sort_08_motion_order(spark, sf_dir):
-    g = facts.motion(spark, sf_dir).groupBy("slot").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("round", F.lit(0)).alias("r"), "seq", "motion_id"))).alias("list"))
-    return g.select("slot", F.array_join(F.transform("list", lambda x: x["motion_id"].cast("string")), ",").alias("motions"))
+    g = facts.motion(spark, sf_dir).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("round", F.lit(0)).alias("r"), "seq", "motion_id"))).alias("list"))
+    return g.select("tid", F.array_join(F.transform("list", lambda x: x["motion_id"].cast("string")), ",").alias("motions"))
 
 
-@query(" SELECT motion_id, tid, row_number() OVER (PARTITION BY round ORDER BY year DESC NULLS LAST, name, seq, motion_id) AS place FROM motion JOIN tournament ON tid % 5 = slot")
+@query(" SELECT motion_id, tid, row_number() OVER (PARTITION BY round ORDER BY year DESC NULLS LAST, name, seq, motion_id) AS place FROM motion JOIN tournament USING (tid)")
 def sort_09_motion_entries(spark, sf_dir):
-    j = facts.motion(spark, sf_dir).join(facts.tournament(spark, sf_dir).withColumn("slot", F.col("tid") % 5), "slot")
+    j = facts.motion(spark, sf_dir).join(facts.tournament(spark, sf_dir), "tid")
     order = Window.partitionBy("round").orderBy(F.col("year").desc_nulls_last(), "name", "seq", "motion_id")
     return j.select("motion_id", "tid", F.row_number().over(order).cast("bigint").alias("place"))
 
 
-@query(" SELECT motion_id, row_number() OVER (PARTITION BY slot ORDER BY round, seq, motion_id) - 1 AS seq FROM motion")
+@query(" SELECT motion_id, row_number() OVER (PARTITION BY tid ORDER BY round, seq, motion_id) - 1 AS seq FROM motion")
 def win_08_sequence(spark, sf_dir):
-    g = facts.motion(spark, sf_dir).groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("round", "seq", "motion_id"))).alias("list"))
+    g = facts.motion(spark, sf_dir).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("round", "seq", "motion_id"))).alias("list"))
     return g.select(F.posexplode("list").alias("seq", "m")).select(F.col("m.motion_id").alias("motion_id"), F.col("seq").cast("bigint").alias("seq"))
 
 
@@ -575,10 +575,13 @@ _REMARKS = _ROWS + _FIELD + """
     CASE WHEN count(score_delta) FILTER (WHERE dim = 'topic' AND rounds >= 6) >= 2 THEN min(score_delta) FILTER (WHERE dim = 'topic' AND rounds >= 6) END AS loss,
     CASE WHEN count(*) FILTER (WHERE dim = 'field_size' AND events >= 2) >= 2 THEN (arg_min(struct_pack(r := rate), place) FILTER (WHERE dim = 'field_size' AND events >= 2)).r - (arg_max(struct_pack(r := rate), place) FILTER (WHERE dim = 'field_size' AND events >= 2)).r END * 100 AS gap
   FROM tally GROUP BY person_id)
-SELECT person_id, concat_ws(',', CASE WHEN abs(momentum) >= 0.3 AND samples >= 3 THEN 'momentum' END, CASE WHEN prof.n >= 15 AND iqr IS NOT NULL THEN 'consistency' END,
-  CASE WHEN placements >= 3 AND percentile IS NOT NULL THEN 'field-percentile' END, CASE WHEN seat >= 0.12 THEN 'seat-spread' END, CASE WHEN gain >= 10 THEN 'motion-type' END,
-  CASE WHEN loss <= -0.5 THEN 'topic-weakness' END, CASE WHEN abs(gap) >= 12 THEN 'field-size' END, CASE WHEN streak >= 5 THEN 'win-streak' END, CASE WHEN t >= 4 THEN 'break-rate=' || floor(rate * 100 + 0.5)::BIGINT END) AS remarks
-FROM prof JOIN br USING (person_id) LEFT JOIN mom USING (person_id) LEFT JOIN faced USING (person_id) LEFT JOIN streak USING (person_id) LEFT JOIN sig USING (person_id)"""
+SELECT person_id, concat_ws(',', CASE WHEN abs(momentum) >= 0.3 AND samples >= 3 THEN 'momentum:' || CASE WHEN momentum > 0 THEN 'pos' ELSE 'neg' END || ':' || """ + _FIX.format(x="round(abs(momentum), 9)") + """ END,
+  CASE WHEN prof.n >= 15 AND iqr IS NOT NULL THEN 'consistency:neutral:' || """ + _FIX.format(x="round(iqr, 9)") + """ END,
+  CASE WHEN placements >= 3 AND percentile IS NOT NULL THEN 'field-percentile:' || CASE WHEN round(percentile, 9) >= 50 THEN 'pos:' ELSE 'neutral:' END || floor(100 - round(percentile, 9) + 0.5)::BIGINT END,
+  CASE WHEN seat >= 0.12 THEN 'seat-spread:neutral:' || floor(seat * 100 + 0.5)::BIGINT END, CASE WHEN gain >= 10 THEN 'motion-type:pos:' || floor(gain + 0.5)::BIGINT END,
+  CASE WHEN loss <= -0.5 THEN 'topic-weakness:neg:' || """ + _FIX.format(x="round(abs(loss), 9)") + """ END, CASE WHEN abs(gap) >= 12 THEN 'field-size:' || CASE WHEN gap > 0 THEN 'neg:' ELSE 'pos:' END || floor(abs(gap) + 0.5)::BIGINT END,
+  CASE WHEN streak >= 5 THEN 'streak:pos:' || streak END, CASE WHEN t >= 4 THEN 'break-rate:' || CASE WHEN rate >= 0.5 THEN 'pos:' ELSE 'neutral:' END || floor(rate * 100 + 0.5)::BIGINT END) AS remarks
+FROM prof JOIN br USING (person_id) LEFT JOIN mom USING (person_id) LEFT JOIN faced USING (person_id) LEFT JOIN streak USING (person_id) LEFT JOIN (SELECT person_id, round(seat, 9) AS seat, round(gain, 9) AS gain, round(loss, 9) AS loss, round(gap, 9) AS gap FROM sig) USING (person_id)"""
 
 
 @query(_REMARKS)
@@ -594,12 +597,13 @@ def agg_40_remarks(spark, sf_dir):
         results.streaks(rounds, t).select("person_id", "win_streak"), readmodel.split_signals(made),
     ):
         base = base.join(more, "person_id", "left")
-    shown = F.transform(readmodel.remarks(), lambda x: F.when(x["id"] == "break-rate", F.concat(x["id"], F.lit("="), x["value"])).otherwise(x["id"]))
+    base = base.withColumns({c: F.round(c, 9) for c in ("momentum", "iqr", "mean_percentile", "seat_spread", "type_gain", "topic_loss", "size_gap")})  # sums differ in their last bits
+    shown = F.transform(readmodel.remarks(), lambda x: F.concat_ws(":", x["id"], x["tone"], x["value"]))
     return base.select("person_id", F.array_join(shown, ",").alias("remarks"))
 
 
 @query(_MERGED + """
-, w AS (SELECT person_id, position AS key, count(won) AS decided, count(*) FILTER (WHERE won) / nullif(count(won), 0) AS rate FROM merged WHERE position <> '' GROUP BY ALL HAVING count(won) >= 6)
+, w AS (SELECT person_id, position AS key, count(*) FILTER (WHERE won) / nullif(count(won), 0) AS rate FROM merged WHERE position <> '' GROUP BY ALL HAVING count(*) >= 6 AND count(won) > 0)
 SELECT person_id, round(max(rate) - min(rate), 6) AS spread FROM w GROUP BY person_id HAVING max(rate) - min(rate) >= 0.12""")
 def agg_40_seat_remark(spark, sf_dir):
     rounds = results.merged_rounds(facts.speech(spark, sf_dir), facts.team_round(spark, sf_dir))

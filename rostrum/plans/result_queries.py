@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from rostrum.functions import numbers
 from rostrum.functions.numbers import r6
 from rostrum.functions.stages import field_size_order, position_order
-from rostrum.operators import field, results
+from rostrum.operators import field, ranks, results
 from rostrum.plans import facts
 from rostrum.plans.facts import Catalog
 from rostrum.plans.score_queries import _AVERAGE, _FIXED
@@ -17,9 +17,9 @@ CATALOG = Catalog()
 query = CATALOG.query
 
 _MERGED = """
-, merged AS (SELECT person_id, tid, round, s.score, t.won, t.points, coalesce(t.position, s.position) AS position FROM speech s FULL JOIN team_round t USING (person_id, tid, round))"""
+, merged AS (SELECT person_id, tid, round, s.score, t.won, t.points, t.position FROM (SELECT * FROM speech WHERE score IS NOT NULL) s FULL JOIN team_round t USING (person_id, tid, round))"""
 _FAN = _MERGED + """
-, fan AS (SELECT person_id, tid, m.round, score, won, points, motion_id, type, topic FROM merged m LEFT JOIN motion x ON m.tid % 5 = x.slot AND m.round = x.round)"""
+, fan AS (SELECT person_id, tid, round, score, won, points, motion_id, type, topic FROM merged m LEFT JOIN motion x USING (tid, round))"""
 _BASE = """
 , base AS (SELECT * FROM (SELECT person_id, avg(score) AS base_score FROM speech GROUP BY person_id) FULL JOIN (SELECT person_id, count_if(won) / nullif(count(won), 0) AS base_rate FROM merged GROUP BY person_id) USING (person_id))"""
 _ROWS = _FAN + _BASE + """
@@ -44,10 +44,10 @@ def join_07_score_result(spark, sf_dir):
     return _rounds(spark, sf_dir)
 
 
-@query(" SELECT person_id, tid, round FROM speech UNION SELECT person_id, tid, round FROM team_round")
+@query(" SELECT person_id, tid, round FROM speech WHERE score IS NOT NULL UNION SELECT person_id, tid, round FROM team_round")
 def set_01_union_rounds(spark, sf_dir):
     keys = ["person_id", "tid", "round"]
-    return facts.speech(spark, sf_dir).select(keys).union(facts.team_round(spark, sf_dir).select(keys)).distinct()
+    return facts.speech(spark, sf_dir).filter("score is not null").select(keys).union(facts.team_round(spark, sf_dir).select(keys)).distinct()
 
 
 @query(_FAN + " SELECT person_id, tid, round, motion_id, type, topic FROM fan")
@@ -114,12 +114,13 @@ def agg_17_seasons(spark, sf_dir):
 
 @query(_MERGED + _MATES + """
 , r AS (SELECT person_id, count(DISTINCT (tid, round)) AS rounds, count(score) AS speeches FROM merged GROUP BY person_id)
-, e AS (SELECT person_id, count(*) AS tournaments, max(year) - min(year) + 1 AS years, count(DISTINCT format) AS formats FROM entry JOIN tournament USING (tid) GROUP BY person_id)
+, here AS (SELECT person_id, tid, true AS spoke, elimination IS NOT NULL AS out, 0 AS chaired FROM entry UNION ALL SELECT person_id, tid, false, false, count(*) FILTER (WHERE regexp_matches(stage, '^R\\d+$') AND panel_role = 'chair') FROM judging GROUP BY ALL)
+, e AS (SELECT person_id, count(*) FILTER (WHERE spoke) AS tournaments, count(*) FILTER (WHERE NOT spoke) AS judged, count(*) FILTER (WHERE out) AS outrounds, sum(chaired)::BIGINT AS rounds_chaired, max(year) - min(year) + 1 AS years, min(year) AS first_year, max(year) AS last_year, count(DISTINCT format) FILTER (WHERE spoke) AS formats FROM here LEFT JOIN tournament USING (tid) GROUP BY person_id)
 , m AS (SELECT person_id, count(DISTINCT mate) AS partners FROM mates GROUP BY person_id)
-SELECT person_id, tournaments, years, formats, coalesce(rounds, 0) AS rounds, coalesce(speeches, 0) AS speeches, coalesce(partners, 0) AS partners FROM e LEFT JOIN r USING (person_id) LEFT JOIN m USING (person_id)""")
+SELECT e.*, coalesce(rounds, 0) AS rounds, coalesce(speeches, 0) AS speeches, coalesce(partners, 0) AS partners FROM e LEFT JOIN r USING (person_id) LEFT JOIN m USING (person_id)""")
 def agg_19_volume(spark, sf_dir):
     e = facts.entry(spark, sf_dir)
-    return results.volume(_rounds(spark, sf_dir), e, facts.tournament(spark, sf_dir), results.teammates(e))
+    return results.volume(_rounds(spark, sf_dir), e, facts.tournament(spark, sf_dir), results.teammates(e), ranks.judge_record(facts.judging(spark, sf_dir), "tid"))
 
 
 @query(" SELECT person_id, count(*) AS tournaments, count(total) AS with_total, count(*) FILTER (WHERE team_rank IS NOT NULL OR open_rank IS NOT NULL) AS with_rank, count(year) AS with_year, count(region) AS with_region FROM entry JOIN tournament USING (tid) GROUP BY person_id")

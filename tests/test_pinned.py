@@ -106,7 +106,7 @@ def test_undated_tournaments_come_last_in_streaks(spark):
 
 def test_motion_fan_out_credits_all(spark):
     rounds = spark.createDataFrame([(1, 5, 1, 70.0, True, 1, "OG"), (1, 5, 2, 72.0, False, 0, "OO")], "person_id long, tid long, round long, score double, won boolean, points long, position string")
-    motion = spark.createDataFrame([(1, 0, 1, "THW", "Politics"), (2, 0, 1, "THW", None), (3, 0, 2, "THW", None), (4, 0, 7, "THBT", "Law")], "motion_id long, slot long, round long, type string, topic string")
+    motion = spark.createDataFrame([(1, 5, 1, "THW", "Politics"), (2, 5, 1, "THW", None), (3, 5, 2, "THW", None), (4, 5, 7, "THBT", "Law"), (5, 10, 1, "THBT", "Law")], "motion_id long, tid long, round long, type string, topic string")
     t = spark.createDataFrame([(5, 2025, None, "Europe", 60)], "tid long, year int, format string, region string, teams long")
     rows = {(r.dim, r.key): r.n for r in results.split_rows(rounds, t, motion).groupBy("dim", "key").agg(F.count("*").alias("n")).collect()}
     assert rows["motion_type", "THW"] == 3 and rows["topic", "Politics"] == 1 and ("motion_type", "THBT") not in rows
@@ -216,7 +216,7 @@ def test_anchored_windows(spark):
 
 
 def test_retry_machine(spark):
-    cases = [(None, 9, "done"), ("deadlock detected", 9, "pending"), ("fetch landing failed: HTTP 404 x", 0, "abandoned"), ("other", 3, "failed"), ("other", 2, "pending")]
+    cases = [(None, 3, "done"), (None, 4, "failed"), ("deadlock detected", 3, "pending"), ("deadlock detected", 4, "failed"), ("fetch landing failed: HTTP 404 x", 0, "abandoned"), ("other", 3, "failed"), ("other", 2, "pending")]
     for error, attempts, status in cases:
         assert one(spark, jobs.next_status(F.lit(error).cast("string"), F.lit(attempts))) == status
 
@@ -238,9 +238,62 @@ def test_remarks(spark):
     known = dict(person_id=1, momentum=7.04, samples=3, n=15, iqr=1.25, placements=3, mean_percentile=60.4, win_streak=5, tournaments=4, break_rate=0.5, seat_spread=0.12, type_gain=10.0, topic_loss=-0.5, size_gap=-12.0)
     kinds = "person_id long, momentum double, samples long, n long, iqr double, placements long, mean_percentile double, win_streak long, tournaments long, break_rate double, seat_spread double, type_gain double, topic_loss double, size_gap double"
     made = lambda **k: [(x.id, x.tone, x.value) for x in spark.createDataFrame([Row(**{**known, **k})], kinds).select(readmodel.remarks().alias("r")).first().r]
-    assert [x[0] for x in made()] == ["momentum", "consistency", "field-percentile", "seat-spread", "motion-type", "topic-weakness", "field-size", "win-streak", "break-rate"]
+    assert [x[0] for x in made()] == ["momentum", "consistency", "field-percentile", "seat-spread", "motion-type", "topic-weakness", "field-size", "streak", "break-rate"]
     few = made(n=3, placements=0, mean_percentile=None, tournaments=1, seat_spread=0.1, type_gain=None, topic_loss=-0.4, size_gap=11.9)
-    assert few == [("momentum", "pos", "7.0"), ("win-streak", "pos", "5")]
+    assert few == [("momentum", "pos", "7.0"), ("streak", "pos", "5")]
+
+
+def test_tones_and_values_of_remarks(spark):
+    kinds = "momentum double, samples long, n long, iqr double, placements long, mean_percentile double, win_streak long, tournaments long, break_rate double, seat_spread double, type_gain double, topic_loss double, size_gap double"
+    names = [k.split()[0] for k in kinds.split(", ")]
+    made = lambda **k: {x.id: (x.tone, x.value) for x in spark.createDataFrame([tuple(k.get(n) for n in names)], kinds).select(readmodel.remarks().alias("r")).first().r}
+    assert made(momentum=-0.42, samples=3) == {"momentum": ("neg", "0.4")}
+    assert made(placements=3, mean_percentile=72.4) == {"field-percentile": ("pos", "28")}
+    assert made(placements=3, mean_percentile=49.9) == {"field-percentile": ("neutral", "50")}
+    assert made(tournaments=4, break_rate=0.5) == {"break-rate": ("pos", "50")} and made(tournaments=4, break_rate=0.25) == {"break-rate": ("neutral", "25")}
+    assert made(tournaments=4) == {} and made(size_gap=14.2) == {"field-size": ("neg", "14")} and made(size_gap=-14.2) == {"field-size": ("pos", "14")}
+
+
+def test_rounds_without_a_published_score_or_result_do_not_count(spark):
+    speech = spark.createDataFrame([(1, 7, 1, 10, "OG", 75.0), (1, 7, 2, 11, "OG", None), (1, 7, 3, 12, "CO", 70.0), (1, 7, 3, 13, "CO", 72.0), (1, 7, 4, 14, "CO", 71.0), (1, 7, 4, 15, "CO", None)], "person_id long, tid long, round long, event_id long, position string, score double")
+    team = spark.createDataFrame([(1, 7, 1, 10, "OO", True, 3), (1, 7, 5, 16, "CG", False, 0), (1, 7, 5, 17, "CG", None, None)], "person_id long, tid long, round long, event_id long, position string, won boolean, points long")
+    rounds = results.merged_rounds(speech, team)
+    assert sorted(tuple(r) for r in rounds.collect()) == [(1, 7, 1, 75.0, True, 3, "OO"), (1, 7, 3, 72.0, None, None, None), (1, 7, 4, 71.0, None, None, None), (1, 7, 5, None, None, None, "CG")]
+    t = spark.createDataFrame([(7, 2024, "BP"), (8, 2021, None)], "tid long, year long, format string")
+    entry = spark.createDataFrame([(1, 7, "QF")], "person_id long, tid long, elimination string")
+    mates = spark.createDataFrame([(1, 7, 2)], "person_id long, tid long, mate long")
+    records = spark.createDataFrame([(1, 8, 4), (3, 8, None)], "person_id long, tid long, chaired long")
+    found = {r.person_id: r.asDict() for r in results.volume(rounds, entry, t, mates, records).collect()}
+    assert found[1] == dict(person_id=1, tournaments=1, judged=1, outrounds=1, rounds_chaired=4, years=4, first_year=2021, last_year=2024, formats=1, rounds=4, speeches=3, partners=1)
+    assert found[3] == dict(person_id=3, tournaments=0, judged=1, outrounds=0, rounds_chaired=0, years=1, first_year=2021, last_year=2021, formats=0, rounds=0, speeches=0, partners=0)
+
+
+def test_highlights_list_titles_bests_and_judging(spark):
+    t = spark.createDataFrame([(1, "WUDC", 2020, 100), (2, "Cup", 2022, 20), (3, "Open", None, None)], "tid long, name string, year long, teams long")
+    entry = spark.createDataFrame([(9, 1, True, True, 10), (9, 2, True, False, 3), (9, 3, False, False, 10)], "person_id long, tid long, broke boolean, champion boolean, open_rank long")
+    averages = spark.createDataFrame([(9, 1, "76.0"), (9, 2, "76.0"), (9, 3, "n/a")], "person_id long, tid long, average string")
+    records = spark.createDataFrame([(9, 1, "SF", "core"), (8, 1, None, "core")], "person_id long, tid long, chaired_stage string, tag string")
+    got = {r.person_id: r.asDict() for r in ranks.highlights(entry, averages, records, t).collect()}
+    assert got[9] == dict(person_id=9, titles="WUDC 2020", top_breaks=1, best_rank=3, best_rank_at="Cup", best_average=76.0, best_average_at="Cup", outrounds_chaired=1, core=1, majors=1, first_year=2020, last_year=2022)
+    assert got[8]["core"] == 1 and got[8]["majors"] == 1 and got[8]["titles"] == "" and got[8]["best_rank"] is None
+
+
+def test_progress_counts_and_what_is_left(spark):
+    now = 1_700_000_000
+    row = lambda i, status, start, end: (1, i, status, start and now - start, end and now - end)
+    rows = [row(1, "done", 100, 60), row(2, "done", 200, 150), row(3, "done", 9000, 8999), row(4, "failed", 10, 5), row(5, "abandoned", 10, 5), row(6, "failed", 9000, 8000), row(7, "running", 20, None), row(8, "running", None, None)]
+    rows += [row(9, "pending", None, None)] * 3 + [row(10, "done", 5000, 4000)]
+    df = spark.createDataFrame(rows, "user_id long, job_id long, status string, s long, e long").select("user_id", "job_id", "status", F.timestamp_seconds("s").alias("started_at"), F.timestamp_seconds("e").alias("finished_at"))
+    r = jobs.progress(df, F.timestamp_seconds(F.lit(now))).first()
+    mean = (40 + 50 + 1) / 3
+    assert (r.pending, r.running, r.done, r.failed, r.total, r.current_job, r.mean_seconds) == (3, 2, 2, 2, 9, 7, 30.3)
+    assert r.eta == int(3 * mean + 0.5) + int(max(mean - 20, 5) * 2 + 0.5)
+
+
+def test_urls_keep_the_earliest_date_as_text(spark):
+    rows = [("a", 1, None), ("a", 2, "2020"), ("b", 1, "Tue"), ("b", 2, "Mon"), ("b", 3, None), ("c", 1, "x"), ("c", 2, "x"), ("d", 1, ""), ("d", 2, "1")]
+    df = spark.createDataFrame(rows, "url string, seq long, date string")
+    assert sorted((r.url, r.seq) for r in jobs.earliest_urls(df, "url", "seq", "date").collect()) == [("a", 1), ("b", 2), ("c", 1), ("d", 1)]
 
 
 def test_split_signals(spark):
