@@ -14,8 +14,10 @@ from rostrum.plans.facts import Catalog, table
 from rostrum.plans.rank_queries import _JUDGE
 from rostrum.plans.result_queries import _MERGED, _ROWS
 from rostrum.plans.score_queries import _FIELD
+from rostrum.sources import csv_sink
 from rostrum.sources.catalog import column_lists
 from rostrum.sources.html_tables import team_matches
+from rostrum.sources.store import shared_folder
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -125,7 +127,7 @@ def fn_28_signed_display(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", numbers.signed1(F.col("value") - 50.25).alias("shown"))
 
 
-@query(" SELECT person_id, tid, concat_ws(' | ', '#' || open_rank || ' Open', '#' || break_rank || ' break') AS ranks, points::VARCHAR AS points FROM entry")
+@query(" SELECT person_id, tid, concat_ws(' | ', '#' || open_rank || ' Open', '#' || esl_rank || ' ESL', '#' || efl_rank || ' EFL') AS ranks, points::VARCHAR AS points FROM entry")
 def proj_12_export_format(spark, sf_dir):
     f = {x.id: x for x in exports.registry()}
     e = facts.entry(spark, sf_dir)
@@ -487,25 +489,82 @@ def set_03_difference(spark, sf_dir):
     return facts.job(spark, sf_dir).select("user_id").distinct().exceptAll(facts.entry(spark, sf_dir).select(F.col("person_id").alias("user_id")).distinct())
 
 
+_SPOKEN = "CASE elimination WHEN 'Grand Final' THEN CASE WHEN champion THEN 'Final (W)' ELSE 'Final' END WHEN 'ESL Semifinals' THEN 'Semifinals' WHEN 'QF' THEN 'Quarterfinals' END"
+
+
 @query(_JUDGE + """
-, s AS (SELECT person_id, tid AS at, 'speaker' AS section, team, NULL AS chaired, elimination AS deepest FROM entry), j AS (SELECT person_id, slot AS at, 'judge' AS section, NULL AS team, chaired::VARCHAR AS chaired, coalesce(chaired_stage, panel_stage) AS deepest FROM rec)
+, s AS (SELECT person_id, tid AS at, 'speaker' AS section, team, NULL AS inrounds_chaired, """ + _SPOKEN + """ AS last_outround_spoken, NULL AS last_outround_judged FROM entry), j AS (SELECT person_id, slot AS at, 'judge' AS section, NULL AS team, chaired::VARCHAR, NULL, panel_stage FROM rec)
 SELECT * FROM s UNION ALL SELECT * FROM j""")
 def set_04_section_union(spark, sf_dir):
-    return _export(spark, sf_dir, ["chaired", "deepest", "team"])
+    return _export(spark, sf_dir, ["inrounds_chaired", "last_outround_judged", "last_outround_spoken", "team"])
 
 
 def _export(spark, d, wanted):
     s = facts.entry(spark, d).withColumn("at", F.col("tid"))
-    j = ranks.judge_record(facts.judging(spark, d)).withColumn("at", F.col("slot"))
+    j = ranks.judge_record(facts.judging(spark, d)).withColumn("at", F.col("slot")).withColumn("broke", F.col("chaired_stage").isNotNull() | F.col("panel_stage").isNotNull())
+    s = s.withColumn("by_category", F.lit(None).cast("array<struct<category:string,stage:string>>"))
     return exports.export_rows(s, j, exports.fields(wanted), ["person_id", "at"])
 
 
 @query(_JUDGE + """
-, s AS (SELECT person_id, tid AS at, 'speaker' AS section, 'speaker,' || team || ',' || coalesce(CASE WHEN broke THEN 'Yes' ELSE 'No' END, '') || ',,' || coalesce(elimination, '') AS line FROM entry)
-SELECT person_id, "at", line FROM s UNION ALL SELECT person_id, slot, 'judge,,,' || chaired || ',' || coalesce(chaired_stage, panel_stage, '') FROM rec""")
+, s AS (SELECT person_id, tid AS at, 'speaker,' || team || ',' || CASE WHEN broke THEN 'Yes' ELSE 'No' END || ',' || coalesce(""" + _SPOKEN + """, '') || ',' AS line FROM entry)
+SELECT person_id, "at", line FROM s UNION ALL SELECT person_id, slot, 'judge,,' || CASE WHEN chaired_stage IS NOT NULL OR panel_stage IS NOT NULL THEN 'Yes' ELSE 'No' END || ',,' || chaired FROM rec""")
 def snk_02_csv_export(spark, sf_dir):
-    rows = _export(spark, sf_dir, ["team", "broke", "chaired", "deepest"])
-    return rows.select("person_id", "at", exports.csv_line([F.col(c) for c in ("section", "team", "broke", "chaired", "deepest")]).alias("line"))
+    wanted = ["team", "broken", "last_outround_spoken", "inrounds_chaired"]
+    rows = _export(spark, sf_dir, wanted)
+    return rows.select("person_id", "at", exports.csv_line([F.col(c) for c in ("section", *wanted)]).alias("line"))
+
+
+def _cv_frames(spark, d):
+    """Speaker and judge rows of everybody with all that export fields need."""
+    e, t, speech, team = facts.entry(spark, d), facts.tournament(spark, d), facts.speech(spark, d), facts.team_round(spark, d)
+    person, x = F.col("c_custkey"), F.col("person_id") + F.col("tid")
+    people = table(spark, d, "customer").select(person.alias("person_id"), F.when(person % 10 == 0, F.concat("c_name", F.lit(', "the third"'))).otherwise(F.col("c_name")).alias("name"))
+    prelim = field.prelims(t, team, speech)
+    cells = field.cells(e, speech, prelim)
+    two = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(s).alias("stage")) for c, s in (("Open", "Grand Final"), ("ESL", "SF"))])
+    spoken = speech.groupBy("person_id", "tid").agg(F.count("score").alias("prelims_spoken"))
+    debated = results.merged_rounds(speech, team)
+    speakers = exports.speaker_frame(
+        e.withColumn("by_category", F.when(x % 24 == 0, two)), t, people, field.averages(e, speech, prelim), spoken, field.summary(cells), field.context(cells), results.teammates(e), debated, facts.motion(spark, d)
+    )
+    j = facts.judging(spark, d)
+    records = ranks.judge_record(j, "tid").join(ranks.inrounds_judged(j, "tid"), ["person_id", "tid"]).withColumn("tag", F.when(F.col("person_id") % 2 == 0, "core"))
+    return speakers, exports.judge_frame(records, t, people)
+
+
+@query(_FIELD + _MERGED + """
+, k AS (SELECT *, regexp_matches(stage, '^R\\d+$') AS inround, CASE stage WHEN 'Grand Final' THEN 3 WHEN 'SF' THEN 2 ELSE 1 END AS rank FROM judging)
+, rec AS (SELECT person_id, tid, count(*) FILTER (WHERE inround AND panel_role = 'chair') AS chaired, nullif(count(DISTINCT (stage, round)) FILTER (WHERE inround), 0) AS inrounds,
+    arg_max(stage, rank) FILTER (WHERE NOT inround AND panel_role = 'chair') AS chaired_stage, arg_max(stage, rank) FILTER (WHERE NOT inround AND panel_role <> 'chair') AS panel_stage FROM k GROUP BY ALL)
+, people AS (SELECT c_custkey AS person_id, c_name || CASE WHEN c_custkey % 10 = 0 THEN ', "the third"' ELSE '' END AS name FROM customer)
+, mate AS (SELECT a.person_id, a.tid, string_agg(name, ' | ' ORDER BY name) AS teammates FROM entry a JOIN entry b ON a.tid = b.tid AND a.team = b.team AND a.person_id <> b.person_id JOIN people p ON p.person_id = b.person_id GROUP BY ALL)
+, told AS (SELECT m.person_id, tid, 'Round ' || round || ': ' || text AS motion, type, topic, row_number() OVER (PARTITION BY m.person_id, tid ORDER BY round, seq, motion_id) AS i FROM merged m JOIN motion USING (tid, round))
+, told1 AS (SELECT person_id, tid, string_agg(motion, ' | ' ORDER BY i) AS motions FROM told GROUP BY ALL)
+, told2 AS (SELECT person_id, tid, string_agg(type, ' | ' ORDER BY i) AS types FROM (SELECT person_id, tid, type, min(i) AS i FROM told WHERE type <> '' GROUP BY ALL) GROUP BY ALL)
+, told3 AS (SELECT person_id, tid, string_agg(topic, ' | ' ORDER BY i) AS topics FROM (SELECT person_id, tid, topic, min(i) AS i FROM told WHERE topic <> '' GROUP BY ALL) GROUP BY ALL)
+, avgs AS (SELECT person_id, tid, spoken, """ + _FIX.format(x="x") + """ AS average FROM (SELECT person_id, tid, spoken, coalesce(CASE WHEN spoken > 0 THEN total / spoken END, cell_mean, CASE WHEN prelims > 0 THEN total / prelims END) AS x FROM p))
+, summary AS (SELECT tid, count(x) AS n, avg(x) AS mean FROM cell GROUP BY tid)
+, s AS (SELECT 'speaker' AS section, t.name, year, format, teams, p.name AS my_name, teammates, team, '#' || team_rank AS team_rank, points, average, nullif(spoken, 0) AS spoken,
+    concat_ws(' | ', '#' || open_rank || ' Open', '#' || esl_rank || ' ESL', '#' || efl_rank || ' EFL') AS ranks, CASE WHEN broke THEN 'Yes' ELSE 'No' END AS broken,
+    CASE WHEN (e.person_id + e.tid) % 24 = 0 THEN 'Open: Final · ESL: Semifinals' || CASE WHEN champion THEN ' (W)' ELSE '' END ELSE """ + _SPOKEN + """ END AS spoke,
+    NULL AS tag, NULL AS inrounds, NULL AS chaired, NULL AS chaired_stage, NULL AS panel_stage, region, (better + 1) || '/' || ctx.n AS placement, """ + _FIX.format(x="f.mean") + """ AS field_mean,
+    CASE WHEN average::DOUBLE >= f.mean THEN '+' ELSE '-' END || """ + _FIX.format(x="abs(average::DOUBLE - f.mean)") + """ AS delta, motions, types, topics
+  FROM entry e LEFT JOIN tournament t USING (tid) LEFT JOIN summary f USING (tid) LEFT JOIN people p USING (person_id) LEFT JOIN mate USING (person_id, tid) LEFT JOIN told1 USING (person_id, tid) LEFT JOIN told2 USING (person_id, tid) LEFT JOIN told3 USING (person_id, tid)
+  LEFT JOIN avgs USING (person_id, tid) LEFT JOIN ctx USING (person_id, tid))
+, j AS (SELECT 'judge', t.name, year, format, teams, p.name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN chaired_stage IS NOT NULL OR panel_stage IS NOT NULL THEN 'Yes' ELSE 'No' END, NULL,
+    CASE WHEN person_id % 2 = 0 THEN 'core' END, inrounds, chaired, chaired_stage, panel_stage, region, NULL, NULL, NULL, NULL, NULL, NULL FROM rec LEFT JOIN tournament t USING (tid) LEFT JOIN people p USING (person_id))
+, cells AS (SELECT i, unnest(c) AS c, generate_subscripts(c, 1) AS k FROM (SELECT row_number() OVER () AS i, c FROM (SELECT list_value(*COLUMNS(*)) AS c FROM (SELECT COLUMNS(*)::VARCHAR FROM (SELECT * FROM s UNION ALL SELECT * FROM j)))))
+SELECT string_agg(CASE WHEN regexp_matches(c, '[",\\r\\n]') THEN '"' || replace(c, '"', '""') || '"' ELSE coalesce(c, '') END, ',' ORDER BY k) AS line FROM cells GROUP BY i
+UNION ALL SELECT 'section,tournament,year,format,teams,my_name,teammates,team,team_rank,team_points,speaker_average,prelims_spoken,speaker_rank,broken,last_outround_spoken,judge_type,inrounds_judged,inrounds_chaired,last_outround_chaired,last_outround_judged,region,field_placement,field_average,field_delta,motions,motion_types,motion_topics'
+""")
+def snk_02_all_fields(spark, sf_dir):
+    """Everybody's rows with all fields, written in two phases and read back as lines of text, the header among them."""
+    rows = exports.export_rows(*_cv_frames(spark, sf_dir), exports.fields(), ["person_id", "tid"]).drop("person_id", "tid")
+    csv_sink.register(spark)
+    path = shared_folder(spark) + "/export"
+    rows.write.format(csv_sink.FORMAT).mode("append").save(path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query(""" SELECT event_id, CASE WHEN event_type = 'error' THEN '' WHEN event_type = 'view' THEN '"' || replace(props, '"', '""') || '"' ELSE event_type END || ',' || CASE WHEN event_id % 2 = 0 THEN '"a, b"' ELSE 'ab' END AS line FROM events""")
@@ -516,21 +575,21 @@ def snk_01_csv_cells(spark, sf_dir):
     return e.select("event_id", exports.csv_line([a, b]).alias("line"))
 
 
-@query(_JUDGE + " SELECT 'Speaking' AS sheet, count(*) AS n FROM entry UNION ALL SELECT 'Judging', count(*) FROM rec")
+@query(_JUDGE + " SELECT 'Speaking' AS sheet, 'Team|Broken' AS head, team || '|' || CASE WHEN broke THEN 'Yes' ELSE 'No' END AS row FROM entry UNION ALL SELECT 'Judging', 'Broken|Inrounds chaired|Last outround judged', CASE WHEN chaired_stage IS NOT NULL OR panel_stage IS NOT NULL THEN 'Yes' ELSE 'No' END || '|' || chaired || '|' || coalesce(panel_stage, '') FROM rec")
 def snk_03_sheets(spark, sf_dir):
-    made = exports.sheets(facts.entry(spark, sf_dir), ranks.judge_record(facts.judging(spark, sf_dir)), exports.fields(["team", "chaired", "deepest"]))
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("sheet"), "n") for name, df in made.items()]
+    j = ranks.judge_record(facts.judging(spark, sf_dir)).withColumn("broke", F.col("chaired_stage").isNotNull() | F.col("panel_stage").isNotNull())
+    made = exports.sheets(facts.entry(spark, sf_dir), j, exports.fields(["team", "broken", "inrounds_chaired", "last_outround_judged"]))
+    parts = [df.select(F.lit(name).alias("sheet"), F.lit("|".join(df.columns)).alias("head"), F.concat_ws("|", *[F.coalesce(df[c], F.lit("")) for c in df.columns]).alias("row")) for name, df in made.items()]
     return parts[0].unionByName(parts[1])
 
 
-@query(" SELECT person_id, count(DISTINCT tid) AS entries, count(s.event_id) AS scores FROM entry e LEFT JOIN speech s USING (person_id, tid) GROUP BY person_id")
+@query(" SELECT person_id, 1 AS version, tid, team, s.round, s.score FROM entry e LEFT JOIN speech s USING (person_id, tid)")
 def snk_04_json_export(spark, sf_dir):
     e = facts.entry(spark, sf_dir)
     doc = exports.nested_json(e.select("person_id").distinct(), e, facts.speech(spark, sf_dir))
-    back = F.from_json("json", "struct<participations:array<struct<tid:bigint,scores:array<struct<round:bigint,score:double>>>>>")
-    p = back["participations"]
-    scores_ = F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(F.size(x["scores"]), F.lit(0)))
-    return doc.select("person_id", F.size(p).cast("bigint").alias("entries"), scores_.alias("scores"))
+    back = F.from_json("json", "struct<schemaVersion:int,person_id:bigint,participations:array<struct<tid:bigint,team:string,scores:array<struct<round:bigint,score:double>>>>>")
+    entry = doc.select(back.alias("d")).select("d.person_id", F.col("d.schemaVersion").alias("version"), F.explode("d.participations").alias("p"))
+    return entry.select("person_id", "version", "p.tid", "p.team", F.explode_outer("p.scores").alias("s")).select("person_id", "version", "tid", "team", "s.round", "s.score")
 
 
 @query(" SELECT job_id, coalesce(c_name, '?') || ': ' || url || ' — ' || last_error AS line FROM job LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 7 <> 0 WHERE last_error IS NOT NULL")
