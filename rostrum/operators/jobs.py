@@ -111,8 +111,10 @@ def anchored_windows(events: DataFrame, key: list[str], ts: str, seconds: int) -
         return rows[key].assign(t=t, start=start, n=n)
 
     def _changes(rows: pd.DataFrame) -> np.ndarray:
-        own = rows[[*key, "burst"]]
-        return (own != own.shift()).any(axis=1).to_numpy()
+        own, before = rows[[*key, "burst"]], rows[[*key, "burst"]].shift()
+        changed = ((own != before) & ~(own.isna() & before.isna())).any(axis=1).to_numpy()  # null is a key like any other
+        changed[0] = True
+        return changed
 
     def stream(batches):
         rest = None

@@ -10,6 +10,8 @@ from rostrum.functions.urls import host
 from rostrum.operators import jobs, merging, ranks
 from rostrum.plans import facts
 from rostrum.plans.facts import Catalog, table
+from rostrum.sources.store import shared_folder
+from rostrum.streaming import windows
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -283,6 +285,34 @@ def str_05_rate_limit(spark, sf_dir):
     return jobs.rate_limit(table(spark, sf_dir, "events"), ["user_id"], "ts", 86_400, 3)
 
 
+def _as_they_arrive(spark, d, make, lots=5):
+    """What a stream puts out over all events that are filed in ``lots`` lots, out of order by up to two days, and one much later that ends
+    them. It runs once after each lot."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    seconds = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(172_800))
+    ends = e.agg(F.min(F.unix_seconds("ts")).alias("low"), (F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts")) + 172_801).alias("span"))
+    placed = e.join(F.broadcast(ends)).withColumn("lot", F.floor((seconds - F.col("low")) * lots / F.col("span"))).drop("low", "span")
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), "ts", F.lit(lots).cast("bigint").alias("lot"))
+    path = shared_folder(spark)
+    for k in range(lots + 1):
+        (placed if k < lots else last).filter(F.col("lot") == k).drop("lot").write.mode("append").parquet(f"{path}/in")
+        stream = make(spark.readStream.schema("event_id bigint, user_id bigint, ts timestamp").parquet(f"{path}/in"))
+        out = windows.collected(stream, f"{path}/out", f"{path}/state")
+    return out.filter("user_id >= 0")
+
+
+@query(_ANCHORED.format(kind="", part="", ekind="", on="", span="1 DAY") + " SELECT user_id, ts, window_start, n, n <= 3 AS ok FROM w")
+def str_05_limits_of_a_stream(spark, sf_dir):
+    """The limits of all events as they arrive late and out of order: the same as those of the batch plan."""
+    return _as_they_arrive(spark, sf_dir, lambda events: windows.rate_limits(events, "user_id", "ts", 86_400, 3, "2 days"))
+
+
+@query(_ANCHORED.format(kind="", part="", ekind="", on="", span="5 MINUTE") + " SELECT user_id, ts FROM w WHERE n = 1")
+def str_07_cooldown_of_a_stream(spark, sf_dir):
+    """The scans that may run, of all events as they arrive late and out of order."""
+    return _as_they_arrive(spark, sf_dir, lambda events: windows.first_of_window(events, "user_id", "ts", 300, "2 days"))
+
+
 @query(_ANCHORED.format(kind="event_type,", part=", event_type", ekind="e.event_type,", on="AND e.event_type = w.event_type", span="2 DAY") + " SELECT user_id, event_type, ts FROM w WHERE n = 1")
 def str_06_notification_dedupe(spark, sf_dir):
     return jobs.deduped(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 2 * 86_400)
