@@ -6,41 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rostrum.functions.names import name_tokens, names_match, normalize_name
+from rostrum.functions.names import normalize_name
 from rostrum.functions.similarity import blended, jaro_winkler_udf, token_containment
+from rostrum.operators.name_join import text_pairs, word_pairs
 from rostrum.operators.ranks import first_by
 
 LEAST_SIMILARITY, MOST_RESULTS, LEAST_QUERY = 0.5, 10, 3
 
 
-def _grams(name: Column) -> Column:
-    """Two-letter pieces of a name without spaces: names of which one holds the other share all pieces of the shorter, its first as well."""
-    bare = F.replace(name, F.lit(" "), F.lit(""))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 1, F.lit(1))), lambda i: F.substring(bare, i, 2)))
-
-
 def match_names(names: DataFrame, index: DataFrame) -> DataFrame:
-    """(name, person_id): for each name the index entry it means: an equal normal form, else the first entry by ``ordinal`` that matches by
-    substring or words. Equal forms are joined first; only the rest is blocked by words and by the shorter name's first letters."""
+    """(name, person_id): for each name the index entry it means: an equal normal form, else the first entry by ``ordinal`` of which one
+    holds the other as text or by words, both of two words at least (:mod:`rostrum.operators.name_join`). Equal forms are joined first,
+    and of entries with equal forms only the first is looked at."""
     n = names.select("name", normalize_name(F.col("name")).alias("key")).filter("key <> ''").distinct()
     i = index.select("person_id", "ordinal", normalize_name(F.col("display_name")).alias("i_key")).filter("i_key <> ''")
-    first = first_by(i, ["i_key"], F.asc("ordinal")).select(F.col("i_key").alias("key"), "person_id")
-    exact = n.join(first, "key").select("name", "person_id")
-    rest = n.join(first, "key", "left_anti").filter("size(split(key, ' ')) >= 2")
-    many = i.filter("size(split(i_key, ' ')) >= 2")
-    # words: one name's words are all in the other, so they share any word; substrings: they share the shorter one's first piece
-    by = lambda df, key: df.withColumn("block", F.explode(F.array_union(name_tokens(F.col(key)), F.transform(_grams(F.col(key)), lambda g: F.concat(F.lit("#"), g)))))
-    head = F.concat(F.lit("#"), F.substring(F.replace(F.col("key"), F.lit(" "), F.lit("")), 1, 2))
-    i_head = F.concat(F.lit("#"), F.substring(F.replace(F.col("i_key"), F.lit(" "), F.lit("")), 1, 2))
-    one = by(rest, "key").filter(~F.col("block").startswith("#")).join(by(many, "i_key").filter(~F.col("block").startswith("#")), "block")
-    two = rest.withColumn("block", head).join(by(many, "i_key"), "block")
-    three = by(rest, "key").join(many.withColumn("block", i_head), "block")
-    columns = ["name", "key", "person_id", "ordinal", "i_key"]
-    pairs = one.select(columns).unionByName(two.select(columns)).unionByName(three.select(columns)).filter(names_match(F.col("key"), F.col("i_key")))
-    # substring hits come before word hits
-    inside = F.contains("key", F.col("i_key")) | F.contains("i_key", F.col("key"))
-    fuzzy = first_by(pairs, ["name"], F.desc(inside), F.asc("ordinal")).select("name", "person_id")
-    return exact.unionByName(fuzzy)
+    first = first_by(i, ["i_key"], F.asc("ordinal"))
+    forms = first.select(F.col("i_key").alias("key"), "person_id")
+    exact = n.join(forms, "key").select("name", "person_id")
+    rest = n.join(forms, "key", "left_anti").filter("size(split(key, ' ')) >= 2")
+    many = first.filter("size(split(i_key, ' ')) >= 2")
+    asked, known = rest.select("key").distinct(), many.select("i_key")
+    # side 0: which entries hold a name, side 1: which names hold an entry
+    side = lambda df, column, n, of: df.select(F.lit(n).alias("side"), F.col(column).alias(of))
+    parts = side(asked, "key", 0, "part").unionByName(side(known, "i_key", 1, "part"))
+    wholes = side(known, "i_key", 0, "whole").unionByName(side(asked, "key", 1, "whole"))
+    found = word_pairs(parts, wholes).unionByName(text_pairs(parts, wholes))
+    pairs = found.select(F.when(F.col("side") == 0, F.col("part")).otherwise(F.col("whole")).alias("key"), F.when(F.col("side") == 0, F.col("whole")).otherwise(F.col("part")).alias("i_key"))
+    best = pairs.join(many, "i_key").groupBy("key").agg(F.min_by("person_id", "ordinal").alias("person_id"))
+    return exact.unionByName(rest.join(best, "key").select("name", "person_id"))
 
 
 def search(queries: DataFrame, people: DataFrame, least: float = LEAST_SIMILARITY, most: int = MOST_RESULTS) -> DataFrame:
