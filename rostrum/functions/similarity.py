@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,14 +41,98 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + p * PREFIX_SCALE * (1 - j)
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+#: Longest names that one machine word holds a bit for each letter of, and pairs that are worked on at once.
+WORD_BITS, PAIRS = 64, 2048
+
+
+def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of names, one row each and padded with 0, and their lengths."""
+    length = np.array([len(x) for x in names])
+    flat = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+    out = np.zeros((len(names), max(1, int(length.max(initial=0)))), np.uint32)
+    out[np.arange(out.shape[1]) < length[:, None]] = flat
+    return out, length
+
+
+def _in_order(letters: np.ndarray, taken: np.ndarray, width: int) -> np.ndarray:
+    """The taken letters of each row, moved to its beginning."""
+    out = np.zeros((len(letters), width), np.uint32)
+    row, column = np.nonzero(taken)
+    out[row, (np.cumsum(taken, 1) - 1)[row, column]] = letters[row, column]
+    return out
+
+
+def jaro_batch(a: list[str], b: list[str]) -> np.ndarray:
+    """:func:`jaro` of many pairs at once: the letters of b that are equal to one of a are the bits of a word, and the lowest free one
+    within reach is taken."""
+    if any(len(x) > WORD_BITS for x in b):
+        return np.array([jaro(x, y) for x, y in zip(a, b, strict=True)])
+    (x, n), (y, m) = _letters(a), _letters(b)
+    bits = np.uint64(1) << np.arange(y.shape[1], dtype=np.uint64)
+    real = np.where(np.arange(y.shape[1]) < m[:, None], bits, np.uint64(0))
+    reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+    every, one = ~np.uint64(0), np.uint64(1)
+    upto = lambda k: np.where(k >= WORD_BITS, every, (one << np.clip(k, 0, WORD_BITS - 1).astype(np.uint64)) - one)  # the k lowest bits
+    taken, left = np.zeros(len(a), np.uint64), np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        same = ((y == x[:, i : i + 1]) * real).sum(1, dtype=np.uint64)
+        free = same & ~taken & upto(i + reach + 1) & ~upto(i - reach) & np.where(i < n, every, np.uint64(0))
+        low = free & (~free + one)
+        taken |= low
+        left[:, i] = low > 0
+    count = left.sum(1)
+    right = (taken[:, None] & bits) > 0
+    width = max(1, int(count.max(initial=0)))
+    moved = (_in_order(x, left, width) != _in_order(y, right, width)).sum(1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(count > 0, (count / n + count / m + (count - moved) / count) / 3, 0.0)
+    return np.where([p == q for p, q in zip(a, b, strict=True)], 1.0, out)
+
+
+def _jaro_of(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Jaro of a batch of pairs, and which of them are known."""
+    known = (a.notna() & b.notna()).to_numpy()
+    x, y = a[known].tolist(), b[known].tolist()
+    out = np.full(len(a), np.nan)
+    parts = [jaro_batch(x[i : i + PAIRS], y[i : i + PAIRS]) for i in range(0, len(x), PAIRS)]
+    out[known] = np.concatenate(parts) if parts else []
+    return out, known
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    out, known = _jaro_of(a, b)
+    return pd.Series(out).astype("Float64").where(known)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Letters that two names begin with alike, LONGEST_PREFIX at most."""
+    out = F.lit(0)
+    for n in range(1, LONGEST_PREFIX + 1):
+        out = F.when((F.length(a) >= n) & (F.length(b) >= n) & (F.substring(a, 1, n) == F.substring(b, 1, n)), n).otherwise(out)
+    return out
+
+
+def raised(score: Column, a: Column, b: Column) -> Column:
+    """Jaro-Winkler of a Jaro score: raised by the common prefix."""
+    return score + common_prefix(a, b) * PREFIX_SCALE * (1 - score)
+
+
+def jaro_winkler_column(a: Column, b: Column) -> Column:
+    return raised(jaro_udf(a, b), a, b)
+
+
+def numbered_letters(name: Column) -> Column:
+    """The letters of a name, the k-th of each kind as its own element: what two names have in common of these, each letter of one can
+    be matched with at most."""
+    letters = F.filter(F.split(name, ""), lambda c: c != "")
+    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+
+
+def jaro_bound(common: Column, a: Column, b: Column) -> Column:
+    """The most that Jaro can be for lengths a and b with so many letters in common: all of them match, none is transposed."""
+    m = F.least(common, a, b)
+    return F.when(m > 0, (m / a + m / b + 1) / 3).otherwise(0.0)
 
 
 def token_containment(query: Column, name: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rostrum.functions import names, numbers, stages, urls
-from rostrum.functions.similarity import blended, jaro_udf, jaro_winkler_udf, token_containment
+from rostrum.functions.similarity import blended, jaro_udf, jaro_winkler_column, token_containment
 from rostrum.operators import exports, field, merging, ranks, readmodel, resolve, results, scores
 from rostrum.operators.jobs import is_permanent
 from rostrum.plans import facts
@@ -297,39 +297,45 @@ def fn_02_names_match(spark, sf_dir):
     return _pairs(spark, sf_dir).select("x", names.names_match(F.col("a"), F.col("b")).alias("matches"))
 
 
-# DuckDB's jaro_similarity rounds half transpositions down, which is another measure: no oracle, but a brute-force test
-@query()
-def fn_03_jaro(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("x", numbers.r6(jaro_udf("a", "b")).alias("jaro"))
+# letters are matched one by one, in order, with the first free equal one within reach
+_JARO = """
+, jr AS (
+  SELECT id, a, b, 1::BIGINT AS i, []::BIGINT[] AS taken, '' AS l, greatest(0, greatest(len(a), len(b)) // 2 - 1) AS reach FROM jpair
+  UNION ALL SELECT id, a, b, i + 1, CASE WHEN j IS NULL THEN taken ELSE list_append(taken, j) END, CASE WHEN j IS NULL THEN l ELSE l || a[i] END, reach
+  FROM (SELECT *, list_filter(range(greatest(1, i - reach), least(len(b), i + reach) + 1), lambda j: b[j] = a[i] AND NOT list_contains(taken, j))[1] AS j FROM jr WHERE i <= len(a)))
+, jm AS (SELECT *, len(taken) AS m, len(list_filter(range(1, len(taken) + 1), lambda k: l[k] <> b[list_sort(taken)[k]])) / 2 AS moved FROM jr WHERE i = len(a) + 1)
+, jaro AS (SELECT id, a, b, CASE WHEN a = b THEN 1.0::DOUBLE WHEN m = 0 THEN 0.0 ELSE (m / len(a) + m / len(b) + (m - moved) / m) / 3 END AS j FROM jm)
+, winkler AS (SELECT *, j + (CASE WHEN len(a) >= 4 AND a[1:4] = b[1:4] THEN 4 WHEN len(a) >= 3 AND a[1:3] = b[1:3] THEN 3 WHEN len(a) >= 2 AND a[1:2] = b[1:2] THEN 2 WHEN a[1:1] = b[1:1] THEN 1 ELSE 0 END) * 0.1::DOUBLE * (1 - j) AS jw FROM jaro)
+, blend AS (SELECT *, greatest(jw, 0.3::DOUBLE * jw + 0.7::DOUBLE * len(list_filter(string_split(a, ' '), lambda t: list_contains(string_split(b, ' '), t))) / len(string_split(a, ' '))) AS score FROM winkler)"""
+_JPAIR = _PAIR + ", jpair AS (SELECT x AS id, a, b FROM pair)" + _JARO
 
 
-_JW = "jaro_similarity({a}, {b}) + (CASE WHEN {a}[1:4] = {b}[1:4] THEN 4 WHEN {a}[1:3] = {b}[1:3] THEN 3 WHEN {a}[1:2] = {b}[1:2] THEN 2 WHEN {a}[1:1] = {b}[1:1] THEN 1 ELSE 0 END) * 0.1 * (1 - jaro_similarity({a}, {b}))"
+@query(_JPAIR + " SELECT id AS x, round(j, 6) AS jaro FROM jaro")
+def fn_03_jaro(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("x", numbers.r6(jaro_udf("a", "b")).alias("jaro"))
 
 
-@query()
+@query(_JPAIR + " SELECT id AS x, round(jw, 6) AS winkler FROM winkler")
 def fn_04_jaro_winkler(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("x", numbers.r6(jaro_winkler_udf("a", "b")).alias("winkler"))
-
-
-_BLEND = "greatest({jw}, 0.3 * ({jw}) + 0.7 * len(list_filter(string_split({a}, ' '), lambda t: list_contains(string_split({b}, ' '), t))) / len(string_split({a}, ' ')))"
+    return _pairs(spark, sf_dir).select("x", numbers.r6(jaro_winkler_column(F.col("a"), F.col("b"))).alias("winkler"))
 
 
-@query()
+@query(_JPAIR + " SELECT id AS x, round(score, 6) AS score FROM blend")
 def fn_05_blended_score(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("x", numbers.r6(blended(jaro_winkler_udf("a", "b"), token_containment(F.col("a"), F.col("b")))).alias("score"))
+    return _pairs(spark, sf_dir).select("x", numbers.r6(blended(jaro_winkler_column(F.col("a"), F.col("b")), token_containment(F.col("a"), F.col("b")))).alias("score"))
 
 
 _SEARCH = """
 , q AS (SELECT s_suppkey AS query_id, s_nationkey AS scope, 'customer 0000' || s_suppkey AS q FROM supplier), p AS (SELECT c_custkey AS person_id, c_nationkey AS scope, lower(replace(c_name, '#', '')) AS p FROM customer)
-, sc AS (SELECT query_id, person_id, """ + _BLEND.format(jw=_JW.format(a="q", b="p"), a="q", b="p") + """ AS score FROM q JOIN p USING (scope))"""
+, jpair AS (SELECT struct_pack(query_id := query_id, person_id := person_id) AS id, q AS a, p AS b FROM q JOIN p USING (scope))""" + _JARO + """
+, sc AS (SELECT id.query_id, id.person_id, score FROM blend)"""
 
 
-@query(_SEARCH + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, person_id) AS place FROM sc WHERE score >= 0.5) SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(min(score), 6) AS worst FROM k WHERE place <= 10 GROUP BY query_id")
+@query(_SEARCH + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, person_id) AS place FROM sc WHERE score >= 0.5) SELECT query_id, person_id, place, round(score, 6) AS score FROM k WHERE place <= 10")
 def sort_06_similarity_topk(spark, sf_dir):
     q = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_nationkey").alias("scope"), F.concat(F.lit("Customer 0000"), F.col("s_suppkey").cast("string")).alias("query"))
     p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("scope"), F.col("c_name").alias("name"))
-    found = resolve.search(q, p)
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), numbers.r6(F.max("score")).alias("best"), numbers.r6(F.min("score")).alias("worst"))
+    return resolve.search(q, p).select("query_id", "person_id", "place", numbers.r6(F.col("score")).alias("score"))
 
 
 @query("""
