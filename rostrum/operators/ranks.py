@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from rostrum.functions.numbers import ratio
 from rostrum.functions.stages import category_of, category_priority, outround_stage, round_class, stage_rank
+from rostrum.operators.spread import large_groups, places
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -21,10 +22,12 @@ def competition_ranks(standings: DataFrame) -> DataFrame:
     """(tid, team, place): explicit ranks stay; other rows with wins or points are placed by wins, then points, then name,
     and share a place with the first derived row that equals them. A tournament needs two rows with wins or points for derived places."""
     own = F.col("wins").isNotNull() | F.col("points").isNotNull()
-    w = Window.partitionBy("tid")
-    index = F.row_number().over(w.orderBy(F.col("wins").desc_nulls_last(), F.col("points").desc_nulls_last(), F.col("team").asc()))
-    ranked = standings.withColumn("i", index).withColumn("signals", F.count_if(own).over(w)).withColumn("derived", F.col("rank").isNull())
-    place = F.min("i").over(Window.partitionBy("tid", "derived", "wins", "points"))
+    large = large_groups(standings, ["tid"])
+    s = standings.withColumnRenamed("rank", "given")
+    placed = places(s, ["tid"], {"wins": "desc_nulls_last", "points": "desc_nulls_last"}, {"team": "asc"}, large).drop("rank").withColumnRenamed("given", "rank")
+    signals = placed.withColumn("signals", F.count_if(own).over(Window.partitionBy("tid"))) if large is None else placed.join(s.groupBy("tid").agg(F.count_if(own).alias("signals")), "tid")
+    ranked = signals.withColumn("derived", F.col("rank").isNull())
+    place = F.min("index").over(Window.partitionBy("tid", "derived", "wins", "points"))
     return ranked.select("tid", "team", F.coalesce(F.col("rank"), F.when(own & (F.col("signals") >= 2), place)).cast("bigint").alias("place"))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rostrum.functions.numbers import ratio
 from rostrum.functions.stages import canonical_position, field_size, outround_stage
+from rostrum.operators.spread import large_groups, longest_streaks
 
 
 def merged_rounds(speech: DataFrame, team_round: DataFrame) -> DataFrame:
@@ -71,10 +71,9 @@ def points_distribution(rounds: DataFrame) -> DataFrame:
 def streaks(rounds: DataFrame, tournament: DataFrame) -> DataFrame:
     """Longest runs of wins and of losses over decided rounds, in order of year (undated last), tournament name, round."""
     d = rounds.filter("won is not null").join(tournament.select("tid", "name", "year"), "tid")
-    order = [F.col("year").asc_nulls_last(), F.collate("name", "UNICODE"), F.col("round")]
-    every, same = Window.partitionBy("person_id").orderBy(*order), Window.partitionBy("person_id", "won").orderBy(*order)
-    island = d.withColumn("island", F.row_number().over(every) - F.row_number().over(same)).groupBy("person_id", "won", "island").agg(F.count("*").alias("n"))
-    return island.groupBy("person_id").agg(F.coalesce(F.max(F.when(F.col("won"), F.col("n"))), F.lit(0)).alias("win_streak"), F.coalesce(F.max(F.when(~F.col("won"), F.col("n"))), F.lit(0)).alias("loss_streak"))
+    rows = d.select("person_id", "year", F.collate("name", "UNICODE").alias("name"), "round", "won")
+    order = {"year": "asc_nulls_last", "name": "asc", "round": "asc"}
+    return longest_streaks(rows, ["person_id"], order, "won", large_groups(rows, ["person_id"])).withColumnsRenamed({"won": "win_streak", "lost": "loss_streak"})
 
 
 def teammates(entry: DataFrame) -> DataFrame:

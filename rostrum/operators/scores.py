@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rostrum.functions.numbers import fixed1, ratio, slope, stdev
+from rostrum.operators import spread
 
 QUANTILES = {"p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9}
 
@@ -19,7 +20,12 @@ def quantiles(x: Column, at: dict[str, float] = QUANTILES) -> Column:
 def score_profile(speech: DataFrame, by: str = "person_id") -> DataFrame:
     """Count, mean, deviation, range and quantiles of published scores; persons without one keep a row with n 0."""
     s = F.col("score")
-    agg = speech.groupBy(by).agg(F.count(s).alias("n"), F.avg(s).alias("mean"), stdev(s).alias("stdev"), F.min(s).alias("low"), F.max(s).alias("high"), quantiles(s).alias("q"))
+    plain = [F.count(s).alias("n"), F.avg(s).alias("mean"), stdev(s).alias("stdev"), F.min(s).alias("low"), F.max(s).alias("high")]
+    large = spread.large_groups(speech, [by])
+    if large is None:
+        agg = speech.groupBy(by).agg(*plain, quantiles(s).alias("q"))
+    else:
+        agg = speech.groupBy(by).agg(*plain).join(spread.quantiles(speech, [by], "score", list(QUANTILES.values()), large), by, "left")
     out = agg.select(by, "n", "mean", "stdev", "low", "high", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(QUANTILES)])
     return out.withColumn("iqr", F.col("q3") - F.col("q1"))
 

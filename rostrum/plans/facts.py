@@ -137,16 +137,16 @@ WITH RECURSIVE rounds AS (
          CASE x % 12 WHEN 0 THEN 'Grand Final' WHEN 4 THEN 'ESL Semifinals' WHEN 8 THEN 'QF' END AS elimination, CASE WHEN x % 5 <> 0 THEN person_id % 30 + 1 END AS open_rank,
          CASE WHEN x % 8 = 1 THEN person_id % 9 + 1 END AS esl_rank, CASE WHEN x % 16 = 1 THEN person_id % 5 + 1 END AS efl_rank, x % 12 = 0 AND person_id // 2 % 2 = 0 AS champion
   FROM (SELECT person_id, tid, person_id + tid AS x, count(*) AS rounds, round(sum(raw), 2) AS total, count(*) FILTER (WHERE won) AS wins, sum(points)::BIGINT AS points FROM rounds GROUP BY ALL)
-), span AS (
+), weeks AS (
   SELECT min(tid) AS first, max(tid) - min(tid) + 1 AS tids FROM rounds
 ), motion AS (
   SELECT p_partkey AS motion_id, first + p_partkey % tids AS tid, (1 + p_partkey // tids % 97)::BIGINT AS round, p_partkey % 3 AS seq,
          CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS type, CASE WHEN p_partkey % 6 <> 0 THEN p_brand END AS topic, p_name AS text
-  FROM part, span
+  FROM part, weeks
 ), judging AS (
   SELECT o_orderkey AS assignment_id, o_custkey % 150 AS person_id, o_orderkey % 5 AS slot, first + o_orderkey % 5 AS tid, coalesce(st, 'R' || (o_orderkey % 6 + 1)) AS stage,
          CASE WHEN st IS NULL THEN o_orderkey % 6 + 1 END AS round, CASE o_orderstatus WHEN 'O' THEN 'chair' WHEN 'F' THEN 'panellist' ELSE 'trainee' END AS panel_role
-  FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'Grand Final' WHEN '2-HIGH' THEN 'SF' WHEN '5-LOW' THEN 'Octofinals' END AS st FROM orders, span)
+  FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'Grand Final' WHEN '2-HIGH' THEN 'SF' WHEN '5-LOW' THEN 'Octofinals' END AS st FROM orders, weeks)
 ), job AS (
   SELECT o_orderkey AS job_id, o_custkey AS user_id,
          'https://' || lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) || '.example.org/t' || (o_orderkey % 50) || '/privateurls/x' || o_custkey AS url,

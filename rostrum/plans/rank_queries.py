@@ -141,7 +141,7 @@ def set_02_speaker_judge_union(spark, sf_dir):
 , tb AS (SELECT person_id, count(*) FILTER (WHERE broke AND teams > 0 AND open_rank <= ceil(teams / 10)) AS top_breaks FROM s GROUP BY person_id)
 , jr AS (SELECT person_id, count(chaired_stage) AS outrounds_chaired, count(*) FILTER (WHERE slot % 2 = 0) AS core FROM rec GROUP BY person_id)
 , b AS (SELECT person_id, count(DISTINCT (name, coalesce(year, 0))) FILTER (WHERE regexp_matches(name, '(?i)\\bcup\\b')) AS majors, min(year) AS first_year, max(year) AS last_year
-  FROM (SELECT person_id, tid FROM entry UNION ALL SELECT person_id, slot + first FROM rec, span) JOIN tournament USING (tid) GROUP BY person_id)
+  FROM (SELECT person_id, tid FROM entry UNION ALL SELECT person_id, slot + first FROM rec, weeks) JOIN tournament USING (tid) GROUP BY person_id)
 SELECT person_id, coalesce(titles, '') AS titles, coalesce(top_breaks, 0) AS top_breaks, best_rank, best_rank_at, best_average, best_average_at, coalesce(outrounds_chaired, 0) AS outrounds_chaired, coalesce(core, 0) AS core, majors, first_year, last_year
 FROM b LEFT JOIN won USING (person_id) LEFT JOIN best USING (person_id) LEFT JOIN av USING (person_id) LEFT JOIN tb USING (person_id) LEFT JOIN jr USING (person_id)""")
 def agg_30_highlights(spark, sf_dir):

@@ -8,7 +8,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import WriterCommitMessage
 
 
@@ -83,3 +83,10 @@ class Staging:
         system, _ = located(self.path)
         if system.get_file_info(self.folder).type != fs.FileType.NotFound:
             system.delete_dir(self.folder)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: computed once, so what depends on how it was cut into partitions stays."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
