@@ -9,7 +9,7 @@ from rostrum.functions.stages import category_of, category_priority, display_sta
 from rostrum.operators import field, ranks, results
 from rostrum.plans import facts
 from rostrum.plans.facts import Catalog, table
-from rostrum.plans.result_queries import _FAN
+from rostrum.plans.result_queries import _FAN, r9
 from rostrum.plans.score_queries import _AVERAGE, _FIXED
 
 CATALOG = Catalog()
@@ -166,12 +166,12 @@ def agg_31_format_inference(spark, sf_dir):
 
 
 @query(_FAN + """
-SELECT person_id, count(*) AS debated, count(*) FILTER (WHERE type IS NOT NULL OR topic IS NOT NULL) AS tagged, round(avg(score), 9) AS avg_score, count(won) AS decided, count(*) FILTER (WHERE won) AS wins,
-  round(count(*) FILTER (WHERE won) / nullif(count(won), 0), 9) AS win_rate, count(DISTINCT tid) AS tournaments FROM fan WHERE motion_id IS NOT NULL GROUP BY person_id""")
+SELECT person_id, count(*) AS debated, count(*) FILTER (WHERE type IS NOT NULL OR topic IS NOT NULL) AS tagged, round(avg(score) + 1e-12, 9) AS avg_score, count(won) AS decided, count(*) FILTER (WHERE won) AS wins,
+  round(count(*) FILTER (WHERE won) / nullif(count(won), 0) + 1e-12, 9) AS win_rate, count(DISTINCT tid) AS tournaments FROM fan WHERE motion_id IS NOT NULL GROUP BY person_id""")
 def agg_37_motion_totals(spark, sf_dir):
     rounds = results.merged_rounds(facts.speech(spark, sf_dir), facts.team_round(spark, sf_dir))
     out = ranks.motion_totals(results.with_motions(rounds, facts.motion(spark, sf_dir)))
-    return out.withColumn("avg_score", F.round("avg_score", 9)).withColumn("win_rate", F.round("win_rate", 9))
+    return out.withColumns({c: r9(c) for c in ("avg_score", "win_rate")})
 
 
 # -- vocabularies over labels that the tables hold or spell ------------------

@@ -35,6 +35,11 @@ def _rounds(spark, d):
     return results.merged_rounds(facts.speech(spark, d), facts.team_round(spark, d))
 
 
+def r9(c):
+    """Nine decimals, with means that lie between two of them on the same side in every engine."""
+    return F.round(F.col(c) + 1e-12, 9).alias(c)
+
+
 def _base(spark, d):
     return results.baseline(facts.speech(spark, d), _rounds(spark, d))
 
@@ -56,13 +61,13 @@ def join_08_round_motions(spark, sf_dir):
 
 
 @query(_ROWS + """
-SELECT person_id, dim, key, count(*) AS rounds, count(DISTINCT tid) AS tournaments, count(won) AS decided, count(*) FILTER (WHERE won) AS wins, round(count_if(won) / nullif(count(won), 0), 9) AS win_rate,
-  round(avg(score), 9) AS avg_score, round(avg(points), 9) AS avg_points, round(avg(score) - any_value(base_score), 9) AS score_delta, round((count_if(won) / nullif(count(won), 0) - any_value(base_rate)) * 100, 9) AS win_rate_delta
+SELECT person_id, dim, key, count(*) AS rounds, count(DISTINCT tid) AS tournaments, count(won) AS decided, count(*) FILTER (WHERE won) AS wins, round(count_if(won) / nullif(count(won), 0) + 1e-12, 9) AS win_rate,
+  round(avg(score) + 1e-12, 9) AS avg_score, round(avg(points) + 1e-12, 9) AS avg_points, round(avg(score) - any_value(base_score) + 1e-12, 9) AS score_delta, round((count_if(won) / nullif(count(won), 0) - any_value(base_rate)) * 100 + 1e-12, 9) AS win_rate_delta
 FROM split LEFT JOIN base USING (person_id) WHERE key <> '' GROUP BY ALL""")
 def agg_14_splits(spark, sf_dir):
     rows = results.split_rows(_rounds(spark, sf_dir), facts.tournament(spark, sf_dir), facts.motion(spark, sf_dir))
     out = results.splits(rows, _base(spark, sf_dir))
-    return out.select("person_id", "dim", "key", "rounds", "tournaments", "decided", "wins", *[F.round(F.col(c), 9).alias(c) for c in ("win_rate", "avg_score", "avg_points", "score_delta", "win_rate_delta")])
+    return out.select("person_id", "dim", "key", "rounds", "tournaments", "decided", "wins", *[r9(c) for c in ("win_rate", "avg_score", "avg_points", "score_delta", "win_rate_delta")])
 
 
 @query(_MERGED + " SELECT person_id, count(won) AS decided, count(*) FILTER (WHERE won) AS wins, round(count_if(won) / nullif(count(won), 0), 6) AS win_rate, round(avg(points), 6) AS avg_points FROM merged GROUP BY person_id")
