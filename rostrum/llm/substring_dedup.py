@@ -26,8 +26,10 @@ and at most four rows per partition are broadcast to settle those. Texts are
 shuffled once, by document; what is shuffled besides is about one row per six words.
 
 Defined results: null, empty and short texts have no window and stay whole;
-rows without doc_id stay whole; doc_id names a document, so rows that repeat
-it repeat its text, are one document, and do not make each other duplicates;
+rows without doc_id stay whole; doc_id names a document: rows that repeat it with
+the same text are one and do not make each other duplicates, and unlike texts
+under one doc_id are parts of one document, in the order of their hashes, over
+whose edges no window goes (places in it count from the first part on);
 very long texts are read whole; an empty table gives an empty result; other
 columns are left alone, but for one named ``__d``, which the result replaces.
 """
@@ -39,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from rostrum.llm.shared import HEAVY, fresh, kept, partitions, released
 from rostrum.llm.words import BYTE_RADIX, SPACED, Words, gram_hashes, gram_starts, mix, powers, slices, window_min, words_of
@@ -77,9 +80,10 @@ def block_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for part in slices(batch, "text"):
                 text, anchor, block, at, n = blocks(words_of(part.column("text"), SPACED), length)
                 if len(text):
+                    at = at + part.column("base").fill_null(0).to_numpy()[text]
                     yield pa.record_batch([pa.array(anchor), pa.array(block), pa.array(part.column("doc_id").to_numpy()[text]), pa.array(at), pa.array(n)], _BLOCKS)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, _BLOCK_TYPES)
+    return docs.select("doc_id", "text", "base").mapInArrow(rows, _BLOCK_TYPES)
 
 
 #: What a partition says of a row: it repeats an earlier one of its block; it is the first of its block there; and, for
@@ -205,13 +209,13 @@ def _windows(texts_with_blocks: DataFrame, length: int) -> DataFrame:
                 at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
                 pos = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 owner = np.repeat(owner, n)
-                where = w.first[owner] + pos
-                good = where + length <= w.first[owner + 1]
+                where = w.first[owner] + pos - part.column("base").fill_null(0).to_numpy()[owner]
+                good = (where >= w.first[owner]) & (where + length <= w.first[owner + 1])
                 where, pos, owner = where[good], pos[good], owner[good]
                 if len(where):
                     yield pa.record_batch([pa.array(w1[where].view(np.int64)), pa.array(w2[where].view(np.int64)), pa.array(part.column("doc_id").to_numpy()[owner]), pa.array(pos.astype(np.int32))], ["w1", "w2", "doc_id", "at"])
 
-    return texts_with_blocks.select("doc_id", "text", "blocks").mapInArrow(rows, "w1 bigint, w2 bigint, doc_id bigint, at int")
+    return texts_with_blocks.select("doc_id", "text", "base", "blocks").mapInArrow(rows, "w1 bigint, w2 bigint, doc_id bigint, at int")
 
 
 def window_matches(windows: DataFrame, most: int) -> DataFrame:
@@ -266,7 +270,8 @@ _FACTOR = pa.struct([("at", pa.int32()), ("words", pa.int32()), ("source", pa.in
 
 
 def factors(named: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, factors): the parse of every document that repeats something. named: documents with ids; texts: the same dealt out by doc_id, to be read twice."""
+    """(doc_id, factors): the parse of every document that repeats something. named: documents with ids, and ``base`` from :func:`with_bases`;
+    texts: the same dealt out by doc_id, to be read twice."""
     index = kept(block_rows(named, length))
     rows = index.count()
     repeats, alone = block_matches(index, partitions(index, rows, ROWS_EACH))
@@ -291,12 +296,30 @@ def factors(named: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFra
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("factors", _FACTORS)])
 
 
+def with_bases(named: DataFrame, length: int) -> DataFrame:
+    """named with ``base``: where a text begins in a document of several unlike texts, and null in all others. Only texts of repeated ids are looked at."""
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return named.withColumn("base", F.lit(None).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    parts = named.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__h"), words.alias("n")).distinct()
+    w = Window.partitionBy("__id").orderBy("__h")
+    before = F.coalesce(F.sum(F.col("n") + length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    bases = parts.withColumn("base", before).withColumn("parts", F.count("*").over(Window.partitionBy("__id"))).filter("parts > 1").select("__id", "__h", "base")
+    return named.join(bases, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left").drop("__id", "__h")
+
+
 @F.arrow_udf(_RESULT)
-def _without(texts: pa.Array, parsed: pa.Array) -> pa.Array:
+def _without(texts: pa.Array, parsed: pa.Array, bases: pa.Array) -> pa.Array:
     out, total, gone = [], [], []
-    for text, cut in zip(texts, parsed, strict=True):
+    own = parsed.to_pylist() if bases.null_count < len(bases) else None  # the factors of each row, if some documents have several texts
+    for k, (text, cut, base) in enumerate(zip(texts, parsed, bases.to_pylist(), strict=True)):
         words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
         total.append(len(words))
+        if base is not None and cut.is_valid:
+            own[k] = [f | {"at": f["at"] - base} for f in own[k] if 0 <= f["at"] - base < len(words)]
+            cut = pa.scalar(own[k], pa.list_(_FACTOR))
         if cut.is_valid and len(cut):
             edge = np.zeros(len(words) + 1, np.int64)
             start = cut.values.field("at").to_numpy()
@@ -306,20 +329,21 @@ def _without(texts: pa.Array, parsed: pa.Array) -> pa.Array:
             words = [x for x, c in zip(words, covered.tolist(), strict=True) if not c]
         gone.append(total[-1] - len(words))
         out.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), parsed.cast(pa.list_(_FACTOR))], ["text", "n_words", "n_removed", "factors"])
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), parsed.cast(pa.list_(_FACTOR)) if own is None else pa.array(own, pa.list_(_FACTOR))], ["text", "n_words", "n_removed", "factors"])
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with a column ``__d``: the text without duplicate spans (words joined by one space), its words before, how many went, and its factors."""
     docs = docs.drop("__d")
-    key, found = fresh(docs, "__i"), fresh(docs, "__factors")
-    named = docs.filter("doc_id is not null")
+    key, found, base = fresh(docs, "__i"), fresh(docs, "__factors"), fresh(docs, "__base")
+    names = {"base": fresh(docs.drop("base"), "__of")} if "base" in docs.columns else {}  # the caller's own column of that name
+    named = with_bases(docs.withColumnsRenamed(names).filter("doc_id is not null"), length)
     texts = named.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    narrow = texts.select("doc_id", "text")
-    parsed = factors(named.select("doc_id", "text"), narrow, length).select(F.col("doc_id").alias(key), F.col("factors").alias(found))
-    cut = texts.join(parsed, F.col("doc_id") == F.col(key), "left").drop(key)
-    unnamed = docs.filter("doc_id is null").withColumn(found, F.lit(None).cast(_FACTORS))
-    return cut.unionByName(unnamed).withColumn("__d", _without("text", found)).drop(found)
+    narrow = texts.select("doc_id", "text", "base")
+    parsed = factors(named.select("doc_id", "text", "base"), narrow, length).select(F.col("doc_id").alias(key), F.col("factors").alias(found))
+    cut = texts.join(parsed, F.col("doc_id") == F.col(key), "left").drop(key).withColumnRenamed("base", base).withColumnsRenamed({v: k for k, v in names.items()})
+    unnamed = docs.filter("doc_id is null").withColumn(found, F.lit(None).cast(_FACTORS)).withColumn(base, F.lit(None).cast("int"))
+    return cut.unionByName(unnamed).withColumn("__d", _without("text", found, base)).select(*docs.columns, "__d")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

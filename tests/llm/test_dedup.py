@@ -279,3 +279,32 @@ def test_line_dedup_of_awkward_rows(spark, parts):
     assert done.columns == ["doc_id", "text", "__keep", "__l"]
     assert got == sorted([(False, i % 200, 2, 1) for i in range(300)] + [(True, 0, 1, 0)] * 2 + [(False, 500, 1, 0), (False, 501, 1, 0), (False, 502, 3000, 0)])
     assert line_dedup.apply_bitmaps(df.limit(0), line_dedup.keep_bitmaps(df.limit(0))).count() == 0
+
+
+def test_unlike_texts_under_one_id_keep_their_own_words(spark):
+    """A document of several texts is one document: only its windows that start earlier, there or elsewhere, go."""
+    c, x, y = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("c", 30), ("x", 10), ("y", 60)))
+    rows = [(0, c, 1), (5, f"{x} {c}", 2), (5, y, 3), (5, y, 4), (5, None, 5), (9, y, 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, base int")
+    got = substring_dedup.dedup(df)
+    assert got.columns == ["doc_id", "text", "base", "__d"]
+    assert {r.base: (r["__d"].n_words, r["__d"].n_removed) for r in got.collect()} == {1: (30, 0), 2: (40, 30), 3: (60, 0), 4: (60, 0), 5: (0, 0), 6: (60, 60)}
+
+
+def test_several_texts_of_one_id_match_brute_force(spark):
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(12)]
+    piece = lambda n: [r.choice(words) for _ in range(n)]
+    common = [piece(30) for _ in range(3)]
+    rows = sorted({(i % 9, " ".join(piece(r.randint(0, 15)) + r.choice(common)[r.randint(0, 4) :] + piece(r.randint(0, 15)))) for i in range(30)})
+    got = {(x.doc_id, x.text): x["__d"].text for x in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    order = {(x.doc_id, x.text): x.h for x in spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "xxhash64(text) as h").collect()}
+    seen, want = set(), {}
+    for doc, text in sorted(rows, key=lambda x: (x[0], order[x])):
+        w, gone = text.split(), set()
+        for i in range(len(w) - 19):
+            if tuple(w[i : i + 20]) in seen:
+                gone |= set(range(i, i + 20))
+            seen.add(tuple(w[i : i + 20]))
+        want[doc, text] = " ".join(t for i, t in enumerate(w) if i not in gone)
+    assert got == want and any(v != k[1] for k, v in want.items())
