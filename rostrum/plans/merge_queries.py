@@ -8,6 +8,7 @@ from rostrum.functions.names import mask_name
 from rostrum.functions.numbers import r6
 from rostrum.functions.urls import host
 from rostrum.operators import jobs, merging, ranks
+from rostrum.operators.table_store import TableStore
 from rostrum.plans import facts
 from rostrum.plans.facts import Catalog, table
 from rostrum.sources.store import shared_folder
@@ -68,6 +69,34 @@ def mut_03_refresh(spark, sf_dir):
     return old.join(loose.join(refreshed, "id", "left_semi").select("id"), "id", "left_anti").select(*old.columns)
 
 
+@query(_PERSON + " SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, CASE WHEN n.id IS NULL THEN o.claimed ELSE n.claimed END AS claimed, CASE WHEN n.id IS NULL THEN o.suppressed END AS suppressed FROM old o FULL JOIN new n ON o.id = n.id")
+def snk_06_stored_upsert(spark, sf_dir):
+    """The upsert as a merge into a stored table: buckets without a new row are taken over as they are."""
+    old, new = _people(spark, sf_dir)
+    store = TableStore(spark, shared_folder(spark)).create(old, ["id"])
+    store.merge(new, lambda a, b: merging.upsert(a, b, ["id"]))
+    return store.read()
+
+
+@query(_PERSON + " SELECT * FROM old WHERE id % 40 NOT IN (SELECT id % 40 FROM new WHERE id % 3 = 0) UNION ALL SELECT * FROM new WHERE id % 3 = 0")
+def snk_07_stored_replace(spark, sf_dir):
+    """The replacement of children as a merge into a table that is stored by parent."""
+    old, new = (x.withColumn("parent", F.col("id") % 40) for x in _people(spark, sf_dir))
+    store = TableStore(spark, shared_folder(spark)).create(old, ["parent"])
+    store.merge(new.filter("id % 3 = 0"), lambda a, b: merging.replace_children(a, b, ["parent"], ["id"]))
+    return store.read().drop("parent")
+
+
+@query(_PERSON + " SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.name WHEN n.id IS NULL OR o.suppressed IS NOT NULL THEN o.name ELSE n.name END AS name, CASE WHEN o.id IS NULL THEN n.claimed WHEN n.id IS NULL OR o.suppressed IS NOT NULL THEN o.claimed ELSE n.claimed END AS claimed, o.suppressed FROM old o FULL JOIN new n ON o.id = n.id")
+def mut_01_stored_persons(spark, sf_dir):
+    """The upsert of persons in two merges, the second of which repeats the first: suppressed ones stay, and nothing changes twice."""
+    old, new = _people(spark, sf_dir)
+    store = TableStore(spark, shared_folder(spark)).create(old, ["id"])
+    for _ in range(2):
+        store.merge(new, lambda a, b: merging.upsert_unless(a, b, ["id"], "suppressed"))
+    return store.read()
+
+
 _MOTIONS = """
 , om AS (SELECT p_partkey % 50 AS tid, p_partkey AS seq, p_name AS text, CASE WHEN p_partkey % 4 = 0 THEN p_type END AS tag FROM part)
 , nm AS (SELECT p_partkey * 2 % 50 AS tid, p_partkey * 2 AS seq, upper(p_name) AS text, p_brand AS tag FROM part)"""
