@@ -83,3 +83,61 @@ def merge_participants(table: DataFrame, parsed: DataFrame) -> DataFrame:
     j = t.join(p, F.col("t.key").eqNullSafe(F.col("p.key")), "full")
     role = F.when((F.col("t.role") == "adjudicator") | (F.col("p.role") == "adjudicator"), "adjudicator").otherwise(F.coalesce("p.role", "t.role"))
     return j.select(F.coalesce("t.key", "p.key").alias("key"), role.alias("role"), F.coalesce("t.institution", "p.institution").alias("institution"))
+
+
+def overwrite_blocked(counts: list[tuple[Column, Column]], known: Column, force: Column) -> Column:
+    """Whether a new parse must not replace a stored tournament: one of its counts (old, new) fell suspiciously. A first parse and a forced
+    one always go through; unknown counts are 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return known & ~force & reduce(lambda x, y: x | y, (regressed(zero(a), zero(b)) for a, b in counts))
+
+
+def cache_fresh(scraped_at: Column, now: Column, parser_current: Column, nav_rounds: Column, stored_rounds: Column, force: Column, days: int = 30) -> Column:
+    """Whether a stored tournament may be served: younger than so many days, of the current parser, and with no more rounds announced than
+    are stored (none announced says nothing)."""
+    young = scraped_at > now - F.make_dt_interval(days=F.lit(days))
+    return ~force & young & parser_current & ((nav_rounds == 0) | (nav_rounds <= stored_rounds))
+
+
+def refreshed(tables: dict[str, DataFrame], tids: DataFrame) -> dict[str, DataFrame]:
+    """What is left of a tournament's tables before a new parse is written: elimination, team_result, judge_assignment, speaker_score, role
+    and participant. Leaves go, but for judging known from private pages; a participant goes whose person nobody has claimed and who
+    never judged there. participant: (participant_id, tid, person_id, claimed); scores and roles belong to a participant."""
+    t = tids.select("tid").distinct()
+    of = tables["participant"].join(t, "tid", "left_semi")
+    ids = of.select("participant_id")
+    judged = tables["judge_assignment"].select("tid", "person_id").distinct()
+    gone = of.filter("claimed is null").join(judged, ["tid", "person_id"], "left_anti").select("participant_id")
+    without = lambda name, keys, on: tables[name].join(keys, on, "left_anti")
+    panels = tables["judge_assignment"].join(t.withColumn("source", F.lit("round_results")), ["tid", "source"], "left_anti")
+    return {
+        "elimination": without("elimination", t, "tid"), "team_result": without("team_result", t, "tid"), "judge_assignment": panels,
+        "speaker_score": without("speaker_score", ids, "participant_id"), "role": without("role", ids, "participant_id"), "participant": without("participant", gone, "participant_id"),
+    }
+
+
+TARGET = ["user_id", "kind", "tid", "motion_id"]
+
+
+def accepted_proposals(requests: DataFrame, vocabulary: DataFrame, owned: DataFrame, motion: DataFrame) -> DataFrame:
+    """The requests that may become proposals, the last of each target: a value of the kind's vocabulary, a region without a motion or a
+    motion of the tournament, and a tournament that the user has ingested. requests: (seq, proposal_id, user_id, kind, tid, motion_id, value)."""
+    known = requests.join(vocabulary.select("kind", "value").distinct(), ["kind", "value"], "left_semi").join(owned.select("user_id", "tid").distinct(), ["user_id", "tid"], "left_semi")
+    plain = known.filter("kind = 'region' and motion_id is null")
+    moved = known.filter("kind <> 'region'").join(motion.select("tid", "motion_id").distinct(), ["tid", "motion_id"], "left_semi")
+    columns = [F.max_by(c, "seq").alias(c) for c in ("proposal_id", "value")]
+    return plain.unionByName(moved).groupBy(*TARGET).agg(*columns)
+
+
+def propose_tags(proposals: DataFrame, accepted: DataFrame) -> DataFrame:
+    """One live proposal for each target: the first there is takes the new value and is pending again, unreviewed; others are added."""
+    a = accepted.withColumn("__a", F.lit(True)).alias("a")
+    first = proposals.groupBy(*TARGET).agg(F.min("proposal_id").alias("__first"))
+    marked = proposals.alias("p").join(first.alias("f"), null_safe("p", "f", TARGET)).select("p.*", (F.col("p.proposal_id") == F.col("f.__first")).alias("__is"))
+    j = marked.alias("p").join(a, null_safe("p", "a", TARGET) & F.col("p.__is"), "left")
+    again = F.col("a.__a").isNotNull()
+    reset = {"value": F.col("a.value"), "status": F.lit("pending"), "note": F.lit(None), "reviewed_at": F.lit(None)}
+    kept = j.select(*[F.when(again, reset[c]).otherwise(F.col(f"p.{c}")).alias(c) if c in reset else F.col(f"p.{c}") for c in proposals.columns])
+    fresh = accepted.alias("n").join(first.alias("f"), null_safe("n", "f", TARGET), "left_anti")
+    blank = {"status": F.lit("pending"), "note": F.lit(None), "reviewed_at": F.lit(None)}
+    return kept.unionByName(fresh.select(*[(blank[c].cast(proposals.schema[c].dataType) if c in blank else F.col(c)).alias(c) for c in proposals.columns]))

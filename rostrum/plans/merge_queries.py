@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions.names import mask_name
@@ -61,12 +64,30 @@ def snk_07_bulk_replace(spark, sf_dir):
     return merging.replace_children(old, new.filter("id % 3 = 0"), ["parent"], ["id"]).drop("parent")
 
 
-@query(_PERSON + " SELECT * FROM old WHERE claimed IS NOT NULL OR suppressed IS NOT NULL OR id % 7 <> 0")
+@query("""
+, tids AS (SELECT n_nationkey AS tid FROM nation WHERE n_regionkey = 1)
+, participant AS (SELECT c_custkey AS participant_id, c_nationkey AS tid, c_custkey % 400 AS person_id, CASE WHEN c_custkey % 3 = 0 THEN 1 END AS claimed FROM customer)
+, panel AS (SELECT o_orderkey AS id, o_custkey % 25 AS tid, o_custkey % 400 AS person_id, CASE WHEN o_orderkey % 2 = 0 THEN 'landing' ELSE 'round_results' END AS source FROM orders)
+SELECT 'elimination' AS name, p_partkey AS id FROM part WHERE p_partkey % 25 NOT IN (SELECT tid FROM tids)
+UNION ALL SELECT 'team_result', event_id FROM events WHERE user_id % 25 NOT IN (SELECT tid FROM tids)
+UNION ALL SELECT 'judge_assignment', id FROM panel WHERE NOT (source = 'round_results' AND tid IN (SELECT tid FROM tids))
+UNION ALL SELECT 'speaker_score', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT participant_id FROM participant WHERE tid IN (SELECT tid FROM tids))
+UNION ALL SELECT 'role', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT participant_id FROM participant WHERE tid IN (SELECT tid FROM tids))
+UNION ALL SELECT 'participant', participant_id FROM participant WHERE NOT (tid IN (SELECT tid FROM tids) AND claimed IS NULL AND (tid, person_id) NOT IN (SELECT (tid, person_id) FROM panel))""")
 def mut_03_refresh(spark, sf_dir):
-    old, _ = _people(spark, sf_dir)
-    refreshed = old.filter("id % 7 = 0").select("id")
-    loose = old.filter("claimed is null and suppressed is null")
-    return old.join(loose.join(refreshed, "id", "left_semi").select("id"), "id", "left_anti").select(*old.columns)
+    t = lambda name: table(spark, sf_dir, name)
+    o, key = t("orders"), F.col("o_orderkey").alias("id")
+    tables = {
+        "elimination": t("part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 25).alias("tid")),
+        "team_result": t("events").select(F.col("event_id").alias("id"), (F.col("user_id") % 25).alias("tid")),
+        "judge_assignment": o.select(key, (F.col("o_custkey") % 25).alias("tid"), (F.col("o_custkey") % 400).alias("person_id"), F.when(F.col("o_orderkey") % 2 == 0, "landing").otherwise("round_results").alias("source")),
+        "speaker_score": o.select(key, F.col("o_custkey").alias("participant_id")),
+        "role": t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("participant_id")),
+        "participant": t("customer").select(F.col("c_custkey").alias("participant_id"), F.col("c_nationkey").alias("tid"), (F.col("c_custkey") % 400).alias("person_id"), F.when(F.col("c_custkey") % 3 == 0, 1).alias("claimed")),
+    }
+    left = merging.refreshed(tables, t("nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("tid")))
+    parts = [df.select(F.lit(name).alias("name"), F.col("participant_id" if name == "participant" else "id").cast("bigint").alias("id")) for name, df in left.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(_PERSON + " SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, CASE WHEN n.id IS NULL THEN o.claimed ELSE n.claimed END AS claimed, CASE WHEN n.id IS NULL THEN o.suppressed END AS suppressed FROM old o FULL JOIN new n ON o.id = n.id")
@@ -111,17 +132,25 @@ def mut_04_motion_merge(spark, sf_dir):
     return merging.merge_and_prune(old, new, ["tid"], ["tid", "seq"], ["tag"])
 
 
-@query(" SELECT o_custkey AS tid, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS old, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS new, count(*) FILTER (WHERE o_orderkey % 2 = 0) > 5 AND count(*) FILTER (WHERE o_orderkey % 5 = 0) < count(*) FILTER (WHERE o_orderkey % 2 = 0) * 0.5 AS blocked FROM orders GROUP BY o_custkey")
+@query("""
+, g AS (SELECT o_custkey AS tid, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS a, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS b, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS c, count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS d,
+    nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS e, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey % 4 = 0) AS f FROM orders GROUP BY o_custkey)
+SELECT tid, tid % 11 <> 0 AND tid % 13 <> 0 AND ((a > 5 AND b < a * 0.5) OR (c > 5 AND d < c * 0.5) OR (coalesce(e, 0) > 5 AND f < e * 0.5)) AS blocked FROM g""")
 def mut_07_regression_guard(spark, sf_dir):
-    g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("tid")).agg(F.count_if(F.col("o_orderkey") % 2 == 0).alias("old"), F.count_if(F.col("o_orderkey") % 5 == 0).alias("new"))
-    return g.withColumn("blocked", merging.regressed(F.col("old"), F.col("new")))
+    """Teams, participants and ranked speakers before and after, for every customer as a tournament; some are new, and some are forced."""
+    k, done = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
+    g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("tid")).agg(
+        F.count_if(k % 2 == 0).alias("a"), F.count_if(k % 5 == 0).alias("b"), F.count_if(k % 3 == 0).alias("c"), F.count_if(k % 7 != 0).alias("d"), F.nullif(F.count_if(done), F.lit(0)).alias("e"), F.count_if(done & (k % 4 == 0)).alias("f")
+    )
+    counts = [(F.col(x), F.col(y)) for x, y in ("ab", "cd", "ef")]
+    return g.select("tid", merging.overwrite_blocked(counts, F.col("tid") % 11 != 0, F.col("tid") % 13 == 0).alias("blocked"))
 
 
-@query(" SELECT o_orderkey AS id, o_orderdate >= TIMESTAMP '2000-01-01' - INTERVAL 30 DAY AND o_orderkey % 3 = 0 AND o_custkey % 9 <= o_orderkey % 8 AS fresh FROM orders")
+@query(" SELECT o_orderkey AS id, o_orderkey % 17 <> 0 AND o_orderdate > TIMESTAMP '2000-01-01' - INTERVAL 30 DAY AND o_orderkey % 3 = 0 AND (o_custkey % 9 = 0 OR o_custkey % 9 <= o_orderkey % 8) AS fresh FROM orders")
 def mut_08_cache_freshness(spark, sf_dir):
-    now = F.lit("2000-01-01").cast("timestamp")
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("scraped_at"), (F.col("o_orderkey") % 3).alias("version"), (F.col("o_custkey") % 9).alias("nav_rounds"), (F.col("o_orderkey") % 8).alias("stored_rounds"))
-    return o.select("id", ((F.col("scraped_at") >= now - F.expr("INTERVAL 30 DAYS")) & (F.col("version") == 0) & (F.col("nav_rounds") <= F.col("stored_rounds"))).alias("fresh"))
+    k = F.col("o_orderkey")
+    fresh = merging.cache_fresh(F.col("o_orderdate").cast("timestamp"), F.lit("2000-01-01").cast("timestamp"), k % 3 == 0, F.col("o_custkey") % 9, k % 8, k % 17 == 0)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), fresh.alias("fresh"))
 
 
 @query(" SELECT user_id, count(*) FILTER (WHERE last_error LIKE 'fetch%') > 0 AS aborted, count(*) AS parts FROM job GROUP BY user_id")
@@ -148,9 +177,31 @@ def mut_10_tag_approval(spark, sf_dir):
     return j.select("p.id", "p.motion", "p.value", F.when((F.col("p.status") == "pending") & F.col("c.motion").isNotNull(), "approved").otherwise(F.col("p.status")).alias("status"))
 
 
-@query(_PROPOSAL + " SELECT motion, value, count(*) AS n, min(id) AS id FROM proposal WHERE status <> 'rejected' GROUP BY ALL")
+@query("""
+, req AS (SELECT o_orderkey AS proposal_id, o_custkey % 50 AS user_id, CASE o_orderkey % 3 WHEN 0 THEN 'region' WHEN 1 THEN 'motion_type' ELSE 'motion_topic' END AS kind, o_custkey % 25 AS tid,
+    CASE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 7 = 0 THEN o_orderkey % 200 END AS motion_id, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority ELSE 'kind ' || (o_orderkey % 8) END AS value, o_orderkey % 5 = 0 AS stored, o_orderstatus, o_orderdate FROM orders)
+, motions AS (SELECT DISTINCT p_partkey % 25 AS tid, p_partkey % 200 AS motion_id FROM part)
+, ok AS (SELECT * FROM req WHERE NOT stored AND CASE kind WHEN 'region' THEN value IN ('1-URGENT', '2-HIGH') AND motion_id IS NULL ELSE value IN ('kind 1', 'kind 2', 'kind 5') AND (tid, motion_id) IN (SELECT (tid, motion_id) FROM motions) END
+    AND (user_id, tid) IN (SELECT (c_custkey % 50, c_nationkey) FROM customer WHERE c_custkey % 2 = 0) QUALIFY row_number() OVER (PARTITION BY user_id, kind, tid, motion_id ORDER BY proposal_id DESC) = 1)
+, old AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status, row_number() OVER (PARTITION BY user_id, kind, tid, motion_id ORDER BY proposal_id) = 1 AS first FROM req WHERE stored)
+SELECT o.proposal_id, o.user_id, o.kind, o.tid, o.motion_id, coalesce(n.value, o.value) AS value, CASE WHEN n.value IS NULL THEN o.status ELSE 'pending' END AS status, CASE WHEN n.value IS NULL THEN 'seen' END AS note, CASE WHEN n.value IS NULL THEN o.o_orderdate END AS reviewed_at
+FROM old o LEFT JOIN ok n ON o.first AND n.user_id = o.user_id AND n.kind = o.kind AND n.tid = o.tid AND n.motion_id IS NOT DISTINCT FROM o.motion_id
+UNION ALL SELECT n.proposal_id, n.user_id, n.kind, n.tid, n.motion_id, n.value, 'pending', NULL, NULL FROM ok n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE n.user_id = o.user_id AND n.kind = o.kind AND n.tid = o.tid AND n.motion_id IS NOT DISTINCT FROM o.motion_id)""")
 def mut_11_tag_upsert(spark, sf_dir):
-    return _proposals(spark, sf_dir).filter("status <> 'rejected'").groupBy("motion", "value").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    """Every fifth order is a stored proposal, all others ask for one."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    region = k % 3 == 0
+    req = table(spark, sf_dir, "orders").select(
+        k.alias("proposal_id"), (c % 50).alias("user_id"), F.when(region, "region").when(k % 3 == 1, "motion_type").otherwise("motion_topic").alias("kind"), (c % 25).alias("tid"),
+        F.when(~region | (k % 7 == 0), k % 200).alias("motion_id"), F.when(region, F.col("o_orderpriority")).otherwise(F.concat(F.lit("kind "), (k % 8).cast("string"))).alias("value"),
+        F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "pending").otherwise("rejected").alias("status"), F.lit("seen").alias("note"), F.col("o_orderdate").alias("reviewed_at"), (k % 5 == 0).alias("stored"),
+    )
+    words = [("region", "1-URGENT"), ("region", "2-HIGH"), *((kind, f"kind {i}") for kind in ("motion_type", "motion_topic") for i in (1, 2, 5))]
+    owned = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select((F.col("c_custkey") % 50).alias("user_id"), F.col("c_nationkey").alias("tid"))
+    motions = table(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("tid"), (F.col("p_partkey") % 200).alias("motion_id"))
+    asked = req.filter("not stored").withColumn("seq", F.col("proposal_id"))
+    accepted = merging.accepted_proposals(asked, spark.createDataFrame(words, "kind string, value string"), owned, motions)
+    return merging.propose_tags(req.filter("stored").drop("stored"), accepted)
 
 
 @query(_PERSON + " SELECT id, CASE WHEN suppressed IS NOT NULL THEN '[name withdrawn]' ELSE name END AS name, CASE WHEN suppressed IS NULL THEN claimed END AS claimed FROM old")
