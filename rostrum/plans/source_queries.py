@@ -7,7 +7,7 @@ from itertools import islice
 from pyspark.sql import functions as F
 
 from rostrum.plans.facts import Catalog, table
-from rostrum.sources import archive, html_tables, js_literal, navigation
+from rostrum.sources import archive, html_tables, js_literal, navigation, tab_function
 from rostrum.sources.store import shared_folder
 
 CATALOG = Catalog()
@@ -40,15 +40,38 @@ def src_06_team_tab(spark, sf_dir):
     return html_tables.team_tab(_teams(spark, sf_dir)).withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
+@query(" SELECT s_nationkey::BIGINT AS page_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS row_no, (s_suppkey % 20 + 1)::INT AS rank, s_name AS team, 'Uni \"' || s_nationkey || '\"' AS institution, (s_suppkey % 7)::INT AS wins, s_acctbal AS points FROM supplier")
+def src_06_tab_function(spark, sf_dir):
+    """The team tabs in SQL, through the table function."""
+    tab_function.register(spark)
+    _teams(spark, sf_dir).createOrReplaceTempView("tab_pages")
+    return spark.sql("SELECT CAST(page_id AS BIGINT) AS page_id, row_no, rank, team, institution, wins, points FROM tab_pages, LATERAL tab_rows(html, 'team_tab')")
+
+
+@query(" SELECT c_nationkey::BIGINT AS page_id, c_name AS speaker, c_mktsegment AS team, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 9 + 1 END::INT AS rank_esl, c_acctbal AS total, (c_custkey % 30 + 60)::DOUBLE AS first FROM customer")
+def src_07_tab_function(spark, sf_dir):
+    """The speaker tabs in SQL, with a column of one's own."""
+    tab_function.register(spark)
+    _speakers(spark, sf_dir).createOrReplaceTempView("tab_pages")
+    wanted = "first; speaker! = name; team = team; rank_esl int = esl; total double = total; first double = r1"
+    return spark.sql(f"SELECT CAST(page_id AS BIGINT) AS page_id, t.speaker, t.team, t.rank_esl, t.total, t.first FROM tab_pages, LATERAL tab_rows(html, '{wanted}') t")
+
+
 @query(" SELECT s_nationkey::BIGINT AS page_id, s_name AS team, 'Uni ' || s_nationkey AS institution, s_acctbal AS points FROM supplier")
 def src_05_rendered_tables(spark, sf_dir):
     return html_tables.team_tab(_teams(spark, sf_dir, script=False)).select(F.col("page_id").cast("bigint").alias("page_id"), "team", "institution", "points")
 
 
-@query(" SELECT s_nationkey::BIGINT AS page_id, 5::INT AS columns, count(*)::INT AS rows FROM supplier GROUP BY 1")
+@query("""
+, r AS (SELECT s_nationkey::BIGINT AS page_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS row_no, [(s_suppkey % 20 + 1)::VARCHAR, s_name, 'Uni "' || s_nationkey || '"', (s_suppkey % 7)::VARCHAR] AS c FROM supplier)
+SELECT page_id, row_no, (generate_subscripts(c, 1) - 1)::INT AS col_no, unnest(['rk', 'team', 'inst', 'wins']) AS key, unnest(['Rank', 'Team', 'Institution', 'Wins']) AS title, unnest(c) AS text FROM r""")
 def src_03_embedded_tables(spark, sf_dir):
+    """Every cell of the embedded tables but for the decimals, with what its column is called."""
     t = html_tables.with_tables(_teams(spark, sf_dir))
-    return t.select(F.col("page_id").cast("bigint").alias("page_id"), F.size("head").alias("columns"), F.size("rows").alias("rows"))
+    row = t.select(F.col("page_id").cast("bigint").alias("page_id"), "head", F.posexplode("rows").alias("row_no", "row"))
+    cell = row.select("page_id", "row_no", "head", F.posexplode("row").alias("col_no", "cell")).filter("col_no < 4")
+    head = F.get("head", F.col("col_no"))
+    return cell.select("page_id", "row_no", "col_no", head["key"].alias("key"), head["title"].alias("title"), "cell.text")
 
 
 @query("""

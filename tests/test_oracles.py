@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 CHOSEN = """agg_05_field_summary agg_06_score_profile agg_07_histogram agg_11_momentum agg_12_ols_slope agg_14_splits agg_16_partners agg_17_seasons agg_23_judge_aggregates agg_24_team_breaks
  agg_34_queue_progress join_07_score_result join_09_motion_entries join_13_exists join_19_fuzzy_names mut_01_person_upsert mut_04_motion_merge mut_10_tag_approval proj_09_speaker_average
- snk_02_csv_export str_05_rate_limit src_06_team_tab src_12_navigation win_02_competition_rank win_03_streaks""".split()
+ agg_19_volume agg_30_highlights agg_40_remarks fn_03_jaro mut_03_refresh mut_11_tag_upsert snk_02_all_fields snk_06_stored_upsert src_06_tab_function src_18_page_archive str_08_mail_stream
+ str_05_limits_of_a_stream sort_06_similarity_topk snk_02_csv_export str_05_rate_limit src_06_team_tab src_12_navigation win_02_competition_rank win_03_streaks""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
