@@ -98,6 +98,30 @@ class Tagger:
             state = np.multiply(o, tanh, out=out[i])
         return out, kept
 
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """(places, hidden, windows): the states of :meth:`_direction`, for tagging only. Windows lie side by side, so every gate is one
+        stretch of memory."""
+        h = HIDDEN
+        n, t = x.shape
+        inputs, re = self.p[f"in{d}"] + self.p[f"b{d}"], self.p[f"re{d}"].T.copy()
+        inputs[:, : 3 * h] = 0.2 * inputs[:, : 3 * h] + 0.5
+        re[: 3 * h] *= 0.2
+        xt = np.ascontiguousarray(x.T)
+        out, z = np.empty((t, h, n), re.dtype), np.empty((4 * h, n), re.dtype)
+        state, cell, work = np.zeros((h, n), re.dtype), np.zeros((h, n), re.dtype), np.empty((h, n), re.dtype)
+        gates, a, f, o, new = z[: 3 * h], z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
+        for i in range(t) if d == "f" else range(t - 1, -1, -1):
+            np.matmul(re, state, out=z)
+            z += inputs.take(xt[i], axis=0).T
+            np.minimum(z, 1, out=z)
+            np.maximum(gates, 0, out=gates)
+            np.maximum(new, -1, out=new)
+            cell *= f
+            cell += np.multiply(a, new, out=work)
+            np.maximum(np.minimum(cell, 1, out=work), -1, out=work)
+            state = np.multiply(o, work, out=out[i])
+        return out
+
     def emissions(self, x: np.ndarray, keep: bool = False):
         """(places, windows, tags), and what the gradients need."""
         f, kf = self._direction(x, "f", keep)
@@ -107,7 +131,10 @@ class Tagger:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """(windows, places): tags of the best path of each window of inputs."""
-        e = np.ascontiguousarray(self.emissions(x)[0].transpose(0, 2, 1))  # (places, tags, windows): steps work on rows
+        h = HIDDEN
+        e = np.matmul(self.p["out"][:h].T, self._states(x, "f"))  # (places, tags, windows): steps work on rows
+        e += np.matmul(self.p["out"][h:].T, self._states(x, "b"))
+        e += self.p["bias"][:, None]
         beyond = np.flatnonzero((x == BEYOND).any(axis=0))
         if len(beyond):
             e[beyond, 1:] -= np.float32(1e4) * (x.T[beyond] == BEYOND)[:, None]
