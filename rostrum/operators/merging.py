@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -141,3 +142,49 @@ def propose_tags(proposals: DataFrame, accepted: DataFrame) -> DataFrame:
     fresh = accepted.alias("n").join(first.alias("f"), null_safe("n", "f", TARGET), "left_anti")
     blank = {"status": F.lit("pending"), "note": F.lit(None), "reviewed_at": F.lit(None)}
     return kept.unionByName(fresh.select(*[(blank[c].cast(proposals.schema[c].dataType) if c in blank else F.col(c)).alias(c) for c in proposals.columns]))
+
+
+@dataclass(frozen=True)
+class Link:
+    """A foreign key: rows of ``child`` whose ``column`` names a deleted row (``key``) of ``parent`` go as well, or lose the reference."""
+
+    child: str
+    column: str
+    parent: str
+    key: str
+    set_null: tuple[str, ...] = ()  # the columns that are emptied instead
+
+
+def cascade(tables: dict[str, DataFrame], links: list[Link], root: str, key: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables after the rows of ``root`` whose ``key`` is in ``gone`` are deleted. links: parents before their children."""
+    first = tables[root].join(gone.select(key).distinct(), key, "left_semi")
+    deleted, out = {root: first}, {**tables, root: tables[root].join(gone.select(key).distinct(), key, "left_anti")}
+    for x in links:
+        if x.parent not in deleted:
+            continue
+        keys = deleted[x.parent].select(F.col(x.key).alias(x.column)).filter(F.col(x.column).isNotNull()).distinct()
+        if x.set_null:
+            hit = out[x.child].join(keys.withColumn("__gone", F.lit(True)), x.column, "left")
+            empty = {c: F.when(F.col("__gone").isNull(), F.col(c)) for c in x.set_null}
+            out[x.child] = hit.withColumns(empty).select(tables[x.child].columns)
+            continue
+        more = out[x.child].join(keys, x.column, "left_semi")
+        deleted[x.child] = deleted[x.child].unionByName(more) if x.child in deleted else more
+        out[x.child] = out[x.child].join(keys, x.column, "left_anti").select(tables[x.child].columns)
+    return out
+
+
+def confirmed(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """The users who ask for their deletion under their own address. requests: (user_id, confirm), users: (user_id, email)."""
+    j = requests.join(users, "user_id")
+    return j.filter(F.lower(F.trim("confirm")) == F.lower(F.coalesce("email", F.lit("")))).select("user_id").distinct()
+
+
+def released_claims(persons: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(persons without the claims that are to be released, a notification for each former holder); unclaimed ones are left as they are."""
+    asked = requests.select("person_id").distinct()
+    told = persons.join(asked, "person_id", "left_semi").filter("claimed_by is not null")
+    title = F.concat(F.lit('"'), "name", F.lit('" was removed from your record'))
+    hit = persons.join(asked.withColumn("__asked", F.lit(True)), "person_id", "left")
+    after = hit.withColumns({c: F.when(F.col("__asked").isNull(), F.col(c)) for c in ("claimed_by", "claimed_at")}).select(persons.columns)
+    return after, told.select(F.col("claimed_by").alias("user_id"), F.lit("identity_released").alias("kind"), title.alias("title"))

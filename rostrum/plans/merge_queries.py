@@ -324,10 +324,48 @@ def mut_16_backfill(spark, sf_dir):
     return facts.job(spark, sf_dir).select("job_id", F.when(F.col("last_error").like("%HTTP 404%"), "abandoned").otherwise(F.col("status")).alias("status"))
 
 
-@query(" SELECT job_id, user_id FROM job WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+_ACCOUNTS = """
+, usr AS (SELECT c_custkey AS user_id, c_name AS email, CASE WHEN c_nationkey = 3 THEN ' ' || upper(c_name) WHEN c_nationkey = 4 THEN 'x' END AS confirm FROM customer)
+, gone AS (SELECT user_id FROM usr WHERE lower(trim(confirm)) = lower(email))
+, person AS (SELECT p_partkey AS person_id, p_name AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 1500 END AS claimed_by, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS claimed_at FROM part)"""
+
+
+def _accounts(spark, d):
+    c, p, o = (table(spark, d, t) for t in ("customer", "part", "orders"))
+    confirm = F.when(F.col("c_nationkey") == 3, F.concat(F.lit(" "), F.upper("c_name"))).when(F.col("c_nationkey") == 4, "x")
+    users = c.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"))
+    claimed = F.col("p_partkey") % 3 != 0
+    tables = {
+        "user": users, "url": o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id")), "report": o.select((F.col("o_orderkey") * 10).alias("id"), F.col("o_orderkey").alias("url_id")),
+        "person": p.select(F.col("p_partkey").alias("person_id"), F.col("p_name").alias("name"), F.when(claimed, F.col("p_partkey") % 1500).alias("claimed_by"), F.when(claimed, F.col("p_size")).alias("claimed_at")),
+    }
+    return tables, c.select(F.col("c_custkey").alias("user_id"), confirm.alias("confirm"))
+
+
+@query(_ACCOUNTS + """
+SELECT 'user' AS name, user_id AS id, NULL AS ref FROM usr WHERE user_id NOT IN (SELECT user_id FROM gone)
+UNION ALL SELECT 'url', o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM gone)
+UNION ALL SELECT 'report', o_orderkey * 10, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM gone)
+UNION ALL SELECT 'person', person_id, CASE WHEN claimed_by NOT IN (SELECT user_id FROM gone) THEN claimed_by END FROM person""")
 def mut_17_delete_cascade(spark, sf_dir):
-    gone = table(spark, sf_dir, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("user_id"))
-    return merging.delete_cascade(gone, facts.job(spark, sf_dir), ["user_id"]).select("job_id", "user_id")
+    """Accounts that are deleted under the right address, with what hangs on them: urls, their reports; people only lose the claim."""
+    tables, requests = _accounts(spark, sf_dir)
+    links = [merging.Link("url", "user_id", "user", "user_id"), merging.Link("report", "url_id", "url", "id"), merging.Link("person", "claimed_by", "user", "user_id", ("claimed_by", "claimed_at"))]
+    left = merging.cascade(tables, links, "user", "user_id", merging.confirmed(requests, tables["user"]))
+    shown = {"user": ("user_id", F.lit(None)), "url": ("id", F.col("user_id")), "report": ("id", F.col("url_id")), "person": ("person_id", F.col("claimed_by"))}
+    parts = [left[name].select(F.lit(name).alias("name"), F.col(key).cast("bigint").alias("id"), ref.cast("bigint").alias("ref")) for name, (key, ref) in shown.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(_ACCOUNTS + """
+SELECT person_id, CASE WHEN person_id % 4 <> 0 THEN claimed_by END AS claimed_by, CASE WHEN person_id % 4 <> 0 THEN claimed_at END AS claimed_at, CASE WHEN person_id % 4 = 0 AND claimed_by IS NOT NULL THEN claimed_by || ': "' || name || '" was removed from your record' END AS told FROM person""")
+def mut_17_claim_release(spark, sf_dir):
+    """Every fourth identity is released, and its holder is told."""
+    persons = _accounts(spark, sf_dir)[0]["person"]
+    after, told = merging.released_claims(persons, persons.filter("person_id % 4 = 0"))
+    line = told.select("title", F.concat(F.col("user_id").cast("string"), F.lit(": "), "title").alias("told")).distinct()
+    held = persons.filter("person_id % 4 = 0 and claimed_by is not null").select("person_id", F.concat(F.col("claimed_by").cast("string"), F.lit(': "'), "name", F.lit('" was removed from your record')).alias("told"))
+    return after.join(held.join(line, "told", "left_semi"), "person_id", "left").select("person_id", "claimed_by", "claimed_at", "told")
 
 
 _HOST = "split_part(split_part(url, '//', 2), '/', 1)"

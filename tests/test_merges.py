@@ -57,3 +57,24 @@ def test_proposals_go_back_to_pending_and_do_not_stack(spark):
         10: ("Europe", "pending", None, None), 11: ("Asia", "approved", "ok", "then"), 12: ("Asia", "approved", "ok", "then"), 13: ("THW", "pending", None, None), 98: ("THW", "pending", None, None),
     }
     assert rows(merging.propose_tags(out, accepted)) == rows(out)
+
+
+def test_deleting_an_account_takes_what_hangs_on_it(spark):
+    make = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    users = make([(1, "A@x.org"), (2, "b@x.org"), (3, None)], "user_id long, email string")
+    asked = merging.confirmed(make([(1, " a@X.ORG "), (2, "a@x.org"), (3, ""), (9, "q")], "user_id long, confirm string"), users)
+    assert sorted(r.user_id for r in asked.collect()) == [1, 3]
+    tables = {"user": users, "url": make([(10, 1), (11, 2), (12, None)], "id long, user_id long"), "run": make([(100, 10), (101, 11)], "id long, url_id long"), "person": make([(5, 1, "t"), (6, 2, "t"), (7, None, None)], "person_id long, claimed_by long, claimed_at string")}
+    links = [merging.Link("url", "user_id", "user", "user_id"), merging.Link("run", "url_id", "url", "id"), merging.Link("person", "claimed_by", "user", "user_id", ("claimed_by", "claimed_at"))]
+    left = merging.cascade(tables, links, "user", "user_id", make([(1,), (1,)], "user_id long"))
+    assert {k: rows(v) for k, v in left.items()} == {"user": [(2, "b@x.org"), (3, None)], "url": [(11, 2), (12, None)], "run": [(101, 11)], "person": [(5, None, None), (6, 2, "t"), (7, None, None)]}
+    assert {k: v.columns for k, v in left.items()} == {k: v.columns for k, v in tables.items()}
+
+
+def test_released_claims_are_told_to_their_holders(spark):
+    persons = spark.createDataFrame([(1, "Ann", 7, "t"), (2, "Bob", None, None), (3, "Cy", 8, "t")], "person_id long, name string, claimed_by long, claimed_at string")
+    after, told = merging.released_claims(persons, spark.createDataFrame([(1,), (2,), (1,)], "person_id long"))
+    assert rows(after) == [(1, "Ann", None, None), (2, "Bob", None, None), (3, "Cy", 8, "t")]
+    assert rows(told) == [(7, "identity_released", '"Ann" was removed from your record')]
+    again, silent = merging.released_claims(after, spark.createDataFrame([(1,)], "person_id long"))
+    assert rows(again) == rows(after) and silent.count() == 0
