@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
@@ -23,8 +24,12 @@ SHORT_STAGES = {
     "dof": "Double Octofinals", "doubles": "Double Octofinals", "tof": "Triple Octofinals", "triples": "Triple Octofinals",
 }
 DISPLAY_STAGES = {"grand_final": "Final", "final": "Final", "semifinal": "Semifinals", "quarterfinal": "Quarterfinals", "octofinal": "Octofinals", "double_octofinal": "Double Octofinals", "triple_octofinal": "Triple Octofinals"}
-INROUND_LABEL = r"(?i)^(\d+|round\s+\d+|r\d+)$"
-OUTROUND_LABEL = r"(?i)^(gf|f|sf|qf|of|dof|tof|octos?|doubles?|triples?|quarters?|semis?|(grand\s*|semi[-\s]?|quarter[-\s]?|((double|triple)\s*)?octo[-\s]?)?finals?|partial\s*(double|triple)[-\s]?octofinals?|round\s*of\s*\d+)$"
+INROUND_LABELS = [r"^\d+$", r"(?i)^round\s+\d+$", r"(?i)^r\d+$"]
+OUTROUND_LABELS = [
+    r"(?i)^(?:GF|F|SF|QF|OF|DOF|TOF)$",
+    r"(?i)^(?:grand\s*finals?|finals?|semi[-\s]?finals?|quarter[-\s]?finals?|octo[-\s]?finals?|double\s*octo[-\s]?finals?|triple\s*octo[-\s]?finals?|partial\s*double[-\s]?octofinals?|partial\s*triple[-\s]?octofinals?|round\s*of\s*\d+)$",
+    r"(?i)^(?:octos?|doubles?|triples?|quarters?|semis?)$",
+]
 POSITIONS = ["OG", "OO", "CG", "CO", "Prop", "Opp"]
 POSITION_NAMES = {
     "og": "OG", "opening government": "OG", "1st proposition": "OG", "oo": "OO", "opening opposition": "OO", "1st opposition": "OO",
@@ -79,7 +84,8 @@ def stage_rank(label: Column, strict: bool = True, round_number: Column | None =
 def round_class(label: Column) -> Column:
     """inround, outround or unknown."""
     bare = F.trim(label)
-    return F.when(bare.rlike(INROUND_LABEL), F.lit("inround")).when(bare.rlike(OUTROUND_LABEL), F.lit("outround")).otherwise(F.lit("unknown"))
+    is_any = lambda patterns: reduce(lambda a, b: a | b, (bare.rlike(p) for p in patterns))
+    return F.when(is_any(INROUND_LABELS), F.lit("inround")).when(is_any(OUTROUND_LABELS), F.lit("outround")).otherwise(F.lit("unknown"))
 
 
 def category_of(stage: Column) -> Column:

@@ -280,16 +280,17 @@ def break_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 # Roles of those who run an event.
-CORE = r"\b(?:chief|deputy)\s+(?:chief\s+)?adjudicator\b|\b(?:adj[\s-]?core|core\s+adjudicator|tab[\s-]?director)\b|\bd?ca\b"
+CORE_ROLES = [r"\b(?:chief|deputy)\s+(?:chief\s+)?adjudicator\b", r"\b(?:adj[\s-]?core|core\s+adjudicator|tab[\s-]?director)\b", r"\bd?ca\b"]
 
 
 def participant_role(text: Column) -> Column:
     """(role, judge_tag) of a role text: core before other adjudicators, those before speakers."""
     low = F.lower(text)
+    core = low.rlike(CORE_ROLES[0]) | low.rlike(CORE_ROLES[1]) | low.rlike(CORE_ROLES[2])
     judge = low.rlike("adjud|judge")
     tag = F.when(low.rlike("subsid"), "subsidized").when(low.rlike("invited|independent"), "invited").otherwise("normal")
-    role = F.when(low.rlike(CORE) | judge, "adjudicator").when(low.rlike("speak|debat"), "speaker").otherwise("other")
-    return F.struct(role.alias("role"), F.when(low.rlike(CORE), "core").when(judge, tag).alias("judge_tag"))
+    role = F.when(core | judge, "adjudicator").when(low.rlike("speak|debat"), "speaker").otherwise("other")
+    return F.struct(role.alias("role"), F.when(core, "core").when(judge, tag).alias("judge_tag"))
 
 
 def participants(pages: DataFrame, key: str = "page_id") -> DataFrame:

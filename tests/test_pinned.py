@@ -141,6 +141,17 @@ def test_motion_type(spark, text, kind):
     assert one(spark, stages.motion_type(F.lit(text))) == kind
 
 
+def test_round_labels_one_by_one(spark):
+    said = {
+        "inround": ["1", "12", "Round 5", "round  12", "R1", "r12", " 3 "],
+        "outround": ["GF", "f", "SF", "QF", "OF", "dof", "TOF", "Grand Final", "grandfinals", "Final", "Finals", "Semifinals", "semi-final", "Quarter Finals", "Octofinals", "octo-final", "Double Octofinals", "doubleocto finals",
+                     "Triple Octofinals", "Partial Double Octofinals", "partialdouble-octofinal", "Partial Triple Octofinals", "Round of 16", "octos", "octo", "doubles", "Triple", "quarters", "semi"],
+        "unknown": ["", "ESL Final", "Final 2", "Round", "Round of", "R", "1a", "Partial Octofinals", "Grand", "Octofinals!"],
+    }
+    df = spark.createDataFrame([(k, x) for k, labels in said.items() for x in labels] + [("unknown", None)], "kind string, label string")
+    assert df.filter(stages.round_class(F.col("label")) != F.col("kind")).collect() == []
+
+
 def test_fuzzy_names(spark):
     index = spark.createDataFrame([(1, 1, "Abhishek Lalatendu Acharya"), (2, 2, "Grace Hopper"), (3, 3, "Ann Lee"), (4, 4, "Plato")], "person_id long, ordinal long, display_name string")
     asked = ["Acharya, Abhishek", "Abhishek K Acharya Lalatendu", "Abhishek", "Shaurya Acharya", "plato", "Plato Smith", "Joann Lee"]
