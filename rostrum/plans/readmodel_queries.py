@@ -196,7 +196,7 @@ def join_03_role_semi(spark, sf_dir):
 def join_06_round_lists(spark, sf_dir):
     t = facts.team_round(spark, sf_dir).filter("round > 0").groupBy("person_id", "tid").agg(F.array_sort(F.collect_list(F.struct("round", "points"))).alias("list"))
     text = F.array_join(F.transform("list", lambda x: F.coalesce(x["points"].cast("string"), F.lit("-"))), ",")
-    return facts.entry(spark, sf_dir).join(t, ["person_id", "tid"], "left").select("person_id", "tid", text.alias("points"))
+    return facts.entry(spark, sf_dir).join(t, ["person_id", "tid"], "left").select("person_id", "tid", F.coalesce(text, F.lit("-")).alias("points"))
 
 
 @query("""
