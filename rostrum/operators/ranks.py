@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rostrum.functions.numbers import ratio
+from rostrum.functions.numbers import credited_mean, ratio
 from rostrum.functions.stages import category_of, category_priority, outround_stage, round_class, stage_rank
 from rostrum.operators.spread import large_groups, places
 
@@ -175,9 +175,13 @@ def cv_totals(entry: DataFrame, records: DataFrame) -> DataFrame:
     return s.unionByName(j).groupBy("person_id").agg(F.count("*").alias("entries"), F.sum("broke").alias("breaks"), F.sum("chaired").alias("chaired"))
 
 
-def motion_totals(rounds: DataFrame) -> DataFrame:
-    """By person, over rounds with their motions: debated, tagged, mean of scored, decided, wins, tournaments."""
-    return rounds.filter("motion_id is not null").groupBy("person_id").agg(
-        F.count("*").alias("debated"), F.count_if(F.col("type").isNotNull() | F.col("topic").isNotNull()).alias("tagged"), F.avg("score").alias("avg_score"),
-        F.count("won").alias("decided"), F.count_if("won").alias("wins"), ratio(F.count_if("won"), F.count("won")).alias("win_rate"), F.count_distinct("tid").alias("tournaments"),
+def motion_totals(rounds: DataFrame, motion: DataFrame) -> DataFrame:
+    """By person, over rounds with each of their motions: debated, tagged, mean of scored, decided, wins, tournaments. Motions are counted
+    by round first."""
+    counts = motion.groupBy("tid", "round").agg(F.count("*").alias("credits"), F.count_if(F.col("type").isNotNull() | F.col("topic").isNotNull()).alias("tagged"))
+    sums = lambda when: F.coalesce(F.sum(F.when(when, F.col("credits"))), F.lit(0).cast("bigint"))
+    out = rounds.join(counts, ["tid", "round"]).groupBy("person_id").agg(
+        F.sum("credits").alias("debated"), F.sum("tagged").alias("tagged"), credited_mean("score").alias("avg_score"),
+        sums(F.col("won").isNotNull()).alias("decided"), sums(F.col("won")).alias("wins"), F.count_distinct("tid").alias("tournaments"),
     )
+    return out.withColumn("win_rate", ratio(F.col("wins"), F.col("decided")))

@@ -170,7 +170,7 @@ SELECT person_id, count(*) AS debated, count(*) FILTER (WHERE type IS NOT NULL O
   round(count(*) FILTER (WHERE won) / nullif(count(won), 0) + 1e-12, 9) AS win_rate, count(DISTINCT tid) AS tournaments FROM fan WHERE motion_id IS NOT NULL GROUP BY person_id""")
 def agg_37_motion_totals(spark, sf_dir):
     rounds = results.merged_rounds(facts.speech(spark, sf_dir), facts.team_round(spark, sf_dir))
-    out = ranks.motion_totals(results.with_motions(rounds, facts.motion(spark, sf_dir)))
+    out = ranks.motion_totals(rounds, facts.motion(spark, sf_dir))
     return out.withColumns({c: r9(c) for c in ("avg_score", "win_rate")})
 
 
