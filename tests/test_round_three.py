@@ -36,3 +36,41 @@ def test_entries_without_results_have_a_dash(spark, tables):
     folder = tables([(1, 1, 70, 34), (2, 1, 71, 1), (2, 2, 72, 9)])
     got = sorted((tuple(r) for r in catalog.QUERIES["join_06_round_lists"](spark, folder).collect()), key=str)
     assert got == [(1, 2817, "-"), (2, 2817, "1,-")] == oracle(folder, "join_06_round_lists")
+
+
+ROUNDS, MOTIONS = "person_id long, tid long, round long, score double, won boolean, points long, position string", "motion_id long, tid long, round long, type string, topic string"
+
+
+def many(spark):
+    rounds = spark.createDataFrame([(p, 5, r, 70.0 + p + r if p % 3 else None, p % 2 == 0 if r < 3 else None, p % 4, "OG") for p in range(9) for r in (1, 2, 3)], ROUNDS)
+    motion = spark.createDataFrame([(i, 5, 1 + i % 2, "THW" if i % 3 else None, f"T{i % 2}") for i in range(40)], MOTIONS)
+    return rounds, motion
+
+
+def test_motions_are_counted_before_rounds_meet_them(spark):
+    """A round has one row for each type or topic, however many motions it has, and what is not asked for is not read."""
+    from pyspark.sql import functions as F
+
+    from rostrum.operators import ranks, results
+
+    rounds, motion = many(spark)
+    t = spark.createDataFrame([(5, 2025, None, "Europe", 60)], "tid long, year int, format string, region string, teams long")
+    credits = results.split_credits(rounds, t, motion)
+    got = {tuple(r) for r in credits.groupBy("person_id", "dim", "key").agg(F.sum("credits")).collect()}
+    assert got == {tuple(r) for r in results.split_rows(rounds, t, motion).groupBy("person_id", "dim", "key").count().collect()}
+    assert credits.filter("dim = 'topic'").count() == 18  # nine persons, two rounds with a topic each, of twenty motions
+    assert results.split_credits(rounds, t, None, results.PLAIN).filter("dim = 'position'").count() == 27
+    made = {(r.person_id, r.dim, r.key): r for r in results.splits(credits, results.baseline(rounds, rounds)).collect()}
+    assert (made[1, "topic", "T0"].rounds, made[1, "topic", "T0"].avg_score, made[1, "topic", "T0"].tournaments) == (20, 72.0, 1)
+    assert made[0, "topic", "T0"].avg_score is None and made[0, "motion_type", "THW"].wins == made[0, "motion_type", "THW"].decided > 20
+    r = {x.person_id: x for x in ranks.motion_totals(rounds, motion).collect()}[1]
+    assert (r.debated, r.tagged, r.avg_score, r.decided, r.wins, r.tournaments, r.win_rate) == (40, 40, 72.5, 40, 0, 1, 0.0)
+
+
+def test_crowded_rounds_are_dealt_over_tasks(spark, monkeypatch):
+    from rostrum.operators import results, spread
+
+    rounds, motion = many(spark)
+    plain = sorted(map(tuple, rounds.join(motion, ["tid", "round"], "left").select("person_id", "round", "motion_id").collect()), key=str)
+    monkeypatch.setattr(spread, "CROWD", 2)
+    assert sorted(map(tuple, results.with_motions(rounds, motion).select("person_id", "round", "motion_id").collect()), key=str) == plain
