@@ -74,3 +74,33 @@ def test_crowded_rounds_are_dealt_over_tasks(spark, monkeypatch):
     plain = sorted(map(tuple, rounds.join(motion, ["tid", "round"], "left").select("person_id", "round", "motion_id").collect()), key=str)
     monkeypatch.setattr(spread, "CROWD", 2)
     assert sorted(map(tuple, results.with_motions(rounds, motion).select("person_id", "round", "motion_id").collect()), key=str) == plain
+
+
+def test_motions_of_a_tournament_are_dealt_over_tasks(spark, monkeypatch):
+    from rostrum.operators import readmodel, spread
+
+    _, motion = many(spark)
+    there = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "person_id long, tid long")
+    monkeypatch.setattr(spread, "CROWD", 3)
+    made = readmodel.motion_entries(motion, there, there.limit(0))
+    assert "__deal" in made._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in made.collect()]
+    assert sorted(got) == [(p, i, 19, True, False) for p in (1, 2) for i in range(40)]
+
+
+def test_exports_look_motions_up_by_round(spark):
+    """Motions are put in order once for each round, not for each person who debated them."""
+    from rostrum.operators import exports
+
+    _, motion = many(spark)
+    none = lambda kinds: spark.createDataFrame([], kinds)
+    debated = spark.createDataFrame([(p, 5, r) for p in (1, 2) for r in (2, 1, 3)], "person_id long, tid long, round long")
+    out = exports.speaker_frame(
+        spark.createDataFrame([(1, 5), (2, 5), (3, 5), (1, 6)], "person_id long, tid long"), none("tid long, name string, year int, format string, region string, teams int"), none("person_id long, name string"),
+        none("person_id long, tid long, average string"), none("person_id long, tid long, prelims_spoken long"), none("tid long, n long, mean double"), none("person_id long, tid long, placement long"),
+        none("person_id long, tid long, mate long"), debated, motion.selectExpr("*", "motion_id % 7 as seq", "'m' as text"),
+    )
+    assert "__told" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.person_id, r.tid): [(m.round, m.seq, m.motion_id) for m in r.motions] for r in out.collect()}
+    want = sorted((1 + i % 2, i % 7, i) for i in range(40))
+    assert got == {(1, 5): want, (2, 5): want, (3, 5): [], (1, 6): []}
