@@ -104,3 +104,12 @@ def test_exports_look_motions_up_by_round(spark):
     got = {(r.person_id, r.tid): [(m.round, m.seq, m.motion_id) for m in r.motions] for r in out.collect()}
     want = sorted((1 + i % 2, i % 7, i) for i in range(40))
     assert got == {(1, 5): want, (2, 5): want, (3, 5): [], (1, 6): []}
+
+
+def test_means_are_summed_in_the_order_of_rounds(spark):
+    from rostrum.operators import field
+
+    scores = {1: 0.1, 2: 0.2, 3: 0.3}
+    for order in ([1, 2, 3], [3, 2, 1], [2, 3, 1]):
+        speech = spark.createDataFrame([(1, 5, r, scores[r]) for r in order], "person_id long, tid long, round long, score double").coalesce(1)
+        assert field._own(speech).first().cell_mean == (0.1 + 0.2 + 0.3) / 3
