@@ -33,16 +33,19 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
+_jaro = jaro
+
+
 def jaro_winkler(a: str, b: str) -> float:
     """Jaro, raised by the common prefix at every score."""
-    j, p = jaro(a, b), 0
-    while p < min(LONGEST_PREFIX, len(a), len(b)) and a[p] == b[p]:
-        p += 1
-    return j + p * PREFIX_SCALE * (1 - j)
+    j = jaro(a, b)
+    return j + _common_prefix(a, b) * PREFIX_SCALE * (1 - j)
 
 
 #: Longest names that one machine word holds a bit for each letter of, and pairs that are worked on at once.
 WORD_BITS, PAIRS = 64, 2048
+#: Names that are scored to learn what the best must reach, for each place.
+TRIES = 16
 
 
 def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +92,110 @@ def jaro_batch(a: list[str], b: list[str]) -> np.ndarray:
     return np.where([p == q for p, q in zip(a, b, strict=True)], 1.0, out)
 
 
+class NameBlock:
+    """Names that many queries are compared with: where each letter stands in each name, as the bits of a word."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.number = np.array(names, object), len(names)
+        short = np.array([len(x) <= WORD_BITS for x in names], bool)
+        self.long = np.flatnonzero(~short)
+        y, self.length = _letters([x if s else "" for x, s in zip(names, short, strict=True)])
+        self.letters, self.inverse = y, 1 / np.maximum(self.length, 1)
+        bits = np.uint64(1) << np.arange(y.shape[1], dtype=np.uint64)
+        self.bits = {c: ((y == c) * bits).sum(1, dtype=np.uint64) for c in np.unique(y) if c}
+        self.head = np.zeros((LONGEST_PREFIX, len(names)), np.uint32)
+        for i, x in enumerate(names):
+            self.head[: len(x), i] = [ord(c) for c in x[:LONGEST_PREFIX]]
+        self.size, self.within = -1, []
+        self.holders: dict[str, list[int]] = {}
+        for i, x in enumerate(names):
+            for word in set(x.split(" ")):
+                self.holders.setdefault(word, []).append(i)
+
+    def _within(self, n: int) -> list[np.ndarray]:
+        """For each letter of a query of n letters, the places of each name that are within reach."""
+        if n != self.size:
+            reach = np.maximum(0, np.maximum(n, self.length) // 2 - 1)
+            one = np.uint64(1)
+            upto = lambda k: np.where(k >= WORD_BITS, ~np.uint64(0), (one << np.clip(k, 0, WORD_BITS - 1).astype(np.uint64)) - one)
+            self.size, self.within = n, [upto(i + reach + 1) & ~upto(i - reach) for i in range(n)]
+        return self.within
+
+    def _matched(self, query: str, at=slice(None), marks: np.ndarray | None = None) -> np.ndarray:
+        """The letters of each name at some places that those of the query take one by one, as :func:`jaro` does; marks gets the letters
+        of the query that take one."""
+        within = self._within(len(query))
+        free = np.full(len(self.length[at]), ~np.uint64(0))
+        low, negative = np.empty_like(free), np.empty_like(free)
+        for i, c in enumerate(map(ord, query)):
+            if c in self.bits:
+                np.bitwise_and(self.bits[c][at], within[i][at], out=low)
+                low &= free
+                np.negative(low, out=negative)
+                low &= negative
+                free ^= low
+                if marks is not None:
+                    marks[i] = low
+        return ~free
+
+    def _raised(self, query: str, jaro: np.ndarray, at=slice(None)) -> np.ndarray:
+        """Jaro, raised by the common prefix and by the share of the query's words that a name holds."""
+        alike, prefix = np.ones(len(jaro), bool), np.zeros(len(jaro))
+        for i, c in enumerate(map(ord, query[:LONGEST_PREFIX])):
+            alike &= self.head[i][at] == c
+            prefix += alike
+        out = jaro + prefix * PREFIX_SCALE * (1 - jaro)
+        words = query.split(" ")
+        if any(w in self.holders for w in words):
+            held = np.zeros(self.number)
+            for word in words:
+                held[self.holders.get(word, [])] += 1
+            out = np.maximum(out, 0.3 * out + 0.7 * (held[at] / len(words)))
+        return out
+
+    def bounds(self, query: str) -> np.ndarray:
+        """The most that the blended score of each name can be: the letters that match are known, and none is transposed."""
+        m = np.bitwise_count(self._matched(query)).astype(np.float64)
+        out = self._raised(query, (m / len(query) + m * self.inverse + 1) / 3) + 1e-9
+        out[self.long] = np.inf
+        return out
+
+    def scores(self, query: str, at: np.ndarray) -> np.ndarray:
+        """The blended scores of the names at some places."""
+        n, marks = len(query), np.zeros((len(query), len(at)), np.uint64)
+        taken = self._matched(query, at, marks)
+        m = np.bitwise_count(taken).astype(np.int64)
+        width = max(1, int(m.max(initial=0)))
+        letters = np.broadcast_to(np.frombuffer(query.encode("utf-32-le"), np.uint32), (len(at), n))
+        places = (taken[:, None] >> np.arange(self.letters.shape[1], dtype=np.uint64)) & np.uint64(1)
+        moved = (_in_order(letters, marks.T > 0, width) != _in_order(self.letters[at], places, width)).sum(1) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.where(m > 0, (m / n + m / self.length[at] + (m - moved) / m) / 3, 0.0)
+        for i in np.flatnonzero(np.isin(at, self.long)) if len(self.long) else ():
+            jaro[i] = _jaro(query, self.names[at[i]])
+        return self._raised(query, jaro, at)
+
+    def best(self, query: str, least: float, most: int) -> np.ndarray:
+        """Places of the names that score at least ``least`` and are among the best ``most``, or as good as the last of them. Those of the
+        highest bounds are scored first, which tells what the others must reach."""
+        bound = self.bounds(query)
+        if self.number > TRIES * most:
+            first = np.argpartition(-bound, TRIES * most - 1)[: TRIES * most]
+            least = max(least, float(-np.partition(-self.scores(query, first), most - 1)[most - 1]) - 1e-9)
+        at = np.flatnonzero(bound >= least)
+        score = self.scores(query, at)
+        if len(at) > most:
+            least = max(least, float(-np.partition(-score, most - 1)[most - 1]) - 1e-9)
+        return at[score >= least - 1e-9]
+
+
+def _common_prefix(a: str, b: str) -> int:
+    p = 0
+    while p < min(LONGEST_PREFIX, len(a), len(b)) and a[p] == b[p]:
+        p += 1
+    return p
+
+
 def _jaro_of(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Jaro of a batch of pairs, and which of them are known."""
     known = (a.notna() & b.notna()).to_numpy()
