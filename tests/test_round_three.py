@@ -113,3 +113,12 @@ def test_means_are_summed_in_the_order_of_rounds(spark):
     for order in ([1, 2, 3], [3, 2, 1], [2, 3, 1]):
         speech = spark.createDataFrame([(1, 5, r, scores[r]) for r in order], "person_id long, tid long, round long, score double").coalesce(1)
         assert field._own(speech).first().cell_mean == (0.1 + 0.2 + 0.3) / 3
+
+
+def test_rounds_of_the_same_scores_tie(spark):
+    from rostrum.operators import scores
+
+    rows = [(1, t, 1, x) for t, x in ((1, 0.1), (2, 0.2), (3, 0.3))] + [(1, t, 2, x) for t, x in ((3, 0.3), (2, 0.2), (1, 0.1))]
+    speech = spark.createDataFrame(rows, "person_id long, tid long, round long, score double").coalesce(1)
+    got = sorted((r["round"], r.n, r.is_best, r.is_worst) for r in scores.round_profile(speech).collect())
+    assert got == [(1, 3, True, True), (2, 3, False, False)]
