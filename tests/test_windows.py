@@ -81,3 +81,18 @@ def test_a_restart_goes_on_with_the_window_and_drops_what_is_too_late(spark, tmp
     feed.add([(1, BASE + 299.0), (1, BASE + 10.0), (7, BASE + 350.0)], [(1, BASE + 301.0), (9, BASE + 5000.0)])
     got = sorted((u, int(t.timestamp()) - BASE) for u, t in feed.run(first) if u != 9)
     assert got == [(1, 0), (1, 301), (7, 100)]  # 299 is in the first window; 10 came after the watermark (80); 350 is in 7's
+
+
+def test_keys_are_settled_at_once_as_one_by_one():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        count, span = 6, int(r.integers(1, 30))
+        code = np.sort(r.integers(0, count, r.integers(0, 60)))
+        times = r.integers(0, 200, len(code))
+        times = times[np.lexsort((times, code))]
+        begun, start, n = r.random(count) < 0.5, r.integers(-40, 0, count), r.integers(1, 9, count)
+        starts, numbers, after, start_after, n_after = windows.settled_keys(code, times, span, begun, start, n)
+        for k in range(count):
+            want = windows.settled(times[code == k], span, int(start[k]) if begun[k] else None, int(n[k]) if begun[k] else 0)
+            assert starts[code == k].tolist() == want[0].tolist() and numbers[code == k].tolist() == want[1].tolist()
+            assert after[k] == (want[2] is not None) and (not after[k] or (start_after[k], n_after[k]) == want[2:])
