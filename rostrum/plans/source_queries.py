@@ -276,7 +276,7 @@ def src_16_mail_text(spark, sf_dir):
 def _archived(spark, records):
     archive.register(spark)
     path = shared_folder(spark) + "/archive"
-    records.write.format(archive.FORMAT).mode("append").save(path)
+    records.sortWithinPartitions("at").write.format(archive.FORMAT).mode("append").save(path)
     return path
 
 
@@ -316,7 +316,7 @@ def str_08_mail_stream(spark, sf_dir):
     early = (F.col("at") < F.lit("2024-01-20").cast("timestamp")) & (F.col("id").cast("bigint") % 10 != 0)
     path, out = _archived(spark, records.filter(early)), shared_folder(spark)
     one = archive.drained(spark, path, f"{out}/one", f"{out}/seen").withColumn("run", F.lit(1))
-    records.filter(~early).write.format(archive.FORMAT).mode("append").save(path)
+    records.filter(~early).sortWithinPartitions("at").write.format(archive.FORMAT).mode("append").save(path)
     two = archive.drained(spark, path, f"{out}/two", f"{out}/seen").withColumn("run", F.lit(2))
     return one.unionByName(two).select("run", "id", "at", "owner")
 

@@ -38,6 +38,8 @@ SCHEMA = "id string, at timestamp, owner string, body string"
 DAY = 86_400_000_000
 #: A task reads about so many bytes of files; a file is closed at so many records, and a batch has so many.
 TASK_BYTES, FILE_RECORDS, BATCH_RECORDS = 32 << 20, 200_000, 2_000
+#: A task that writes holds about so many bytes of all its days, then it files the largest day; each record counts so many besides its text.
+HELD_BYTES, RECORD_BYTES = 32 << 20, 600
 _NAME = re.compile(r"/(-?\d+)_(-?\d+)_[0-9a-f]+\.jsonl\.gz$")
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
@@ -184,20 +186,25 @@ class ArchiveStream(DataSourceStreamReader):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Tasks write files per day into the staging folder; commit moves them where readers look, abort deletes them."""
+    """Tasks write files per day into the staging folder, of bounded size in all; rows that come in the order of their times make fewer files; commit moves them where readers look, abort deletes them."""
 
     def __init__(self, path: str):
         self.staging = Staging(path).begin()
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        out, held = Written(TaskContext.get().partitionId()), {}
+        out, held, sizes = Written(TaskContext.get().partitionId()), {}, {}
+        size = 0
         for batch in batches:
             at = batch.column("at").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()
             for t, *rest in zip(at, *(batch.column(c).to_pylist() for c in ("id", "owner", "body")), strict=True):
-                day = (t or 0) // DAY
+                day, n = (t or 0) // DAY, sum(len(x) for x in rest if x is not None)
                 held.setdefault(day, []).append({"at": t, **dict(zip(("id", "owner", "body"), rest, strict=True))})
-                if len(held[day]) >= FILE_RECORDS:
-                    out.files.append(self._file(day, held.pop(day)))
+                sizes[day] = sizes.get(day, 0) + n + RECORD_BYTES
+                size += n + RECORD_BYTES
+                if size >= HELD_BYTES or len(held[day]) >= FILE_RECORDS:
+                    most = max(sizes, key=sizes.get) if size >= HELD_BYTES else day
+                    size -= sizes.pop(most)
+                    out.files.append(self._file(most, held.pop(most)))
         out.files += [self._file(day, records) for day, records in held.items()]
         return out
 

@@ -132,3 +132,29 @@ def test_staging_drops_what_did_not_succeed(tmp_path):
         again.become(overwrite=False)
     again.abort()
     assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_writer_holds_a_bounded_part_of_many_days(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from rostrum.sources.archive import ArchiveWriter
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(archive, "TaskContext", Task)
+    monkeypatch.setattr(archive, "HELD_BYTES", 50 * 700)
+    writer, filed, waiting = ArchiveWriter(f"{tmp_path}/a"), [0], []
+    plain = writer._file
+    writer._file = lambda day, rows: filed.__setitem__(0, filed[0] + len(rows)) or plain(day, rows)
+
+    def batches():
+        for k in range(100):
+            waiting.append(10 * k - filed[0])
+            at = pa.array([(i * 37 % 40) * DAY for i in range(10 * k, 10 * k + 10)], pa.timestamp("us", "UTC"))
+            text = pa.array([f"m{i}" for i in range(10 * k, 10 * k + 10)])
+            yield pa.record_batch([text, at, text, text], ["id", "at", "owner", "body"])
+
+    done = writer.write(batches())
+    assert max(waiting) <= 60 and filed[0] == 1000 and len(set(done.files)) == len(done.files)
