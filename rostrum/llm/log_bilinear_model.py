@@ -17,6 +17,8 @@ BEFORE, WIDTH = 3, 32
 NOISE, BATCH, STEP = 64, 1024, 0.05
 #: Tokens that are scored at once.
 SCORED = 1024
+#: Contexts that are normalised at once; their rows stay in the cache.
+PRODUCTS = 128
 
 
 def contexts(classes: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -103,7 +105,30 @@ class Model:
             self.learn(before.take(at, 1), target[at], draws[b], frequency)
 
     def log_probability(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each token's class, normalised over all classes."""
+        """Natural log probability of each token's class, normalised over all classes. A logit is a sum over distances, so its exponential
+        is a product of table entries, and none is taken for each token; each table is scaled by its row's greatest entry."""
+        parts = [(self.context @ self.matrix[d]) @ self.outcome.T for d in range(BEFORE)]
+        parts[0] = parts[0] + self.bias
+        most = [x.max(1) for x in parts]
+        if sum(float((m - x.min(1)).max()) for x, m in zip(parts, most, strict=True)) > 80:  # else no product leaves the range of floats
+            return self._log_probability(before, target)
+        tables = [np.exp(x - m[:, None]) for x, m in zip(parts, most, strict=True)]
+        order = np.lexsort(before[::-1].astype(np.uint16))  # equal contexts lie side by side and are normalised once
+        seen = before.take(order, 1)
+        new = np.append(True, (seen[:, 1:] != seen[:, :-1]).any(0)) if len(target) else np.zeros(0, bool)
+        contexts_, total = seen[:, new], np.empty(int(new.sum()), np.float64)
+        for s in range(0, len(total), PRODUCTS):
+            at = contexts_[:, s : s + PRODUCTS]
+            product = tables[0].take(at[0], 0)
+            for d in range(1, BEFORE - 1):
+                product *= tables[d].take(at[d], 0)
+            total[s : s + PRODUCTS] = np.einsum("ij,ij->i", product, tables[-1].take(at[-1], 0))
+        out = np.empty(len(target), np.float64)
+        out[order] = np.log(total)[np.cumsum(new) - 1]
+        return sum(parts[d][before[d], target].astype(np.float64) - most[d][before[d]] for d in range(BEFORE)) - out
+
+    def _log_probability(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The same for vectors of any length."""
         out = np.empty(len(target), np.float64)
         longest = np.sqrt(np.square(self.outcome).sum(1).max())
         for s in range(0, len(target), SCORED):

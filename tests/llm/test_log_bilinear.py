@@ -107,3 +107,12 @@ def test_edges(spark, tmp_path):
     found = log_bilinear.score_texts(df, df.doc_id.isNotNull())
     assert found.columns == ["doc_id", "__row", "n_tokens", "__m"]
     assert {x.doc_id: (x["__row"], x.n_tokens, x["__m"].n_tokens, x["__m"].n_known) for x in found.collect()} == {1: (1, 3, 4, 4), 2: (4, 6, 1, 1)}
+
+
+def test_products_of_tables_give_what_logits_give():
+    r = np.random.default_rng(4)
+    model = Model.start(np.full(40, 1 / 40, np.float32))
+    model.outcome += r.standard_normal(model.outcome.shape).astype(np.float32)
+    before, target = r.integers(0, 40, (BEFORE, 3000)), r.integers(0, 40, 3000)
+    assert np.allclose(model.log_probability(before, target), model._log_probability(before, target), atol=1e-5)
+    assert model.log_probability(before[:, :0], target[:0]).shape == (0,)
