@@ -68,8 +68,8 @@ SELECT page_id, row_no, (generate_subscripts(c, 1) - 1)::INT AS col_no, unnest([
 def src_03_embedded_tables(spark, sf_dir):
     """Every cell of the embedded tables but for the decimals, with what its column is called."""
     t = html_tables.with_tables(_teams(spark, sf_dir))
-    row = t.select(F.col("page_id").cast("bigint").alias("page_id"), "head", F.posexplode("rows").alias("row_no", "row"))
-    cell = row.select("page_id", "row_no", "head", F.posexplode("row").alias("col_no", "cell")).filter("col_no < 4")
+    row = t.select(F.col("page_id").cast("bigint").alias("page_id"), "head", "start", F.posexplode("rows").alias("pos", "row"))
+    cell = row.select("page_id", (F.col("start") + F.col("pos")).alias("row_no"), "head", F.posexplode("row").alias("col_no", "cell")).filter("col_no < 4")
     head = F.get("head", F.col("col_no"))
     return cell.select("page_id", "row_no", "col_no", head["key"].alias("key"), head["title"].alias("title"), "cell.text")
 
@@ -179,7 +179,7 @@ def fn_24_role_classes(spark, sf_dir):
 
 @query(" SELECT s_nationkey::BIGINT AS page_id, 1::INT AS team, 4::INT AS points FROM supplier GROUP BY 1")
 def fn_23_needles(spark, sf_dir):
-    t = html_tables.with_tables(_teams(spark, sf_dir))
+    t = html_tables.with_tables(_teams(spark, sf_dir)).filter("start = 0")
     return t.select(F.col("page_id").cast("bigint").alias("page_id"), html_tables.find_column(F.col("head"), "team").alias("team"), html_tables.find_column(F.col("head"), "pts", "point").alias("points"))
 
 

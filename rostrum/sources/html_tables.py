@@ -3,14 +3,21 @@
 Only the step from a page to ragged cells is Python (one small function per
 page, in Arrow batches). Finding columns by what their headers say, and turning
 cells into typed rows, are DataFrame expressions over those cells.
+
+A page is read once, row by row. Its rows are put away in Arrow blocks as they
+come, so that of a large page a task holds the text and the cells as Arrow data,
+and Python objects of one block only; blocks go to Spark as rows of their own.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from functools import partial
 from html.parser import HTMLParser
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +25,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from rostrum.functions.numbers import parse_number
 from rostrum.functions.stages import normalize_stage
-from rostrum.sources.js_literal import LiteralError, parse_at
+from rostrum.sources.js_literal import LiteralError, Reader
 from rostrum.sources.navigation import text_of
 
 # How pages name their embedded tables, in order of preference.
@@ -26,34 +33,118 @@ MARKERS = [r"window\.vueData\s*=\s*", r"\bvueData\s*[=:]\s*", r"""["']?tablesDat
 
 _CELL = T.StructType([T.StructField("text", T.StringType()), T.StructField("mark", T.StringType())])
 _HEAD = T.StructType([T.StructField("key", T.StringType()), T.StructField("title", T.StringType())])
-TABLES = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("head", T.ArrayType(_HEAD)), T.StructField("rows", T.ArrayType(T.ArrayType(_CELL)))]))
+_BLOCK = T.StructType([
+    T.StructField("table_no", T.IntegerType(), False), T.StructField("title", T.StringType()), T.StructField("head", T.ArrayType(_HEAD)),
+    T.StructField("start", T.IntegerType(), False), T.StructField("rows", T.ArrayType(T.ArrayType(_CELL))),
+])
+_ROW_ARROW = pa.list_(pa.struct([("text", pa.string()), ("mark", pa.string())]))
+_HEAD_ARROW = pa.list_(pa.struct([("key", pa.string()), ("title", pa.string())]))
+
+#: A block of rows is full at so many characters, where a row and a cell count as 64 more each.
+BLOCK_CHARS = 1 << 20
+
+
+class Rows:
+    """Rows of a table as they come, put away in blocks; a row is a list of (text, mark)."""
+
+    def __init__(self) -> None:
+        self.blocks: list[pa.Array] = []
+        self.open: list[list[tuple[str, str]]] = []
+        self.size = 0
+
+    def add(self, row: list[tuple[str, str]]) -> None:
+        self.open.append(row)
+        self.size += 64 + sum(64 + len(text) + len(mark) for text, mark in row)
+        if self.size >= BLOCK_CHARS:
+            self.close()
+
+    def close(self) -> list[pa.Array]:
+        if self.open:
+            self.blocks.append(pa.array(self.open, _ROW_ARROW))
+            self.open, self.size = [], 0
+        return self.blocks
+
+
+class Table(NamedTuple):
+    title: str
+    head: list[dict]
+    blocks: list[pa.Array]
 
 
 def _plain(value) -> str:
     return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", "" if value is None else str(value))).strip()
 
 
-def _embedded(page: str) -> list[dict] | None:
+def _embedded(page: str) -> list[Table] | None:
     for marker in MARKERS:
         for m in re.finditer(marker, page):
             try:
-                found = parse_at(page, m.end())
+                found = _literal_tables(Reader(page, m.end()))
             except LiteralError:
                 continue
-            if isinstance(found, dict):
-                found = found.get("tablesData")
-            if isinstance(found, list) and all(isinstance(t, dict) for t in found):
-                return [_from_embedded(t) for t in found]
+            if found is not None:
+                return found
     return None
 
 
-def _from_embedded(t: dict) -> dict:
-    heads = [h if isinstance(h, dict) else {"title": h} for h in t.get("head") or []]
-    rows = []
-    for row in t.get("data") or []:
-        cells = [c if isinstance(c, dict) else {"text": c} for c in row or []]
-        rows.append([{"text": _plain(c.get("text")), "mark": f"{c.get('class') or ''} {c.get('html') or ''}"} for c in cells])
-    return {"title": _plain(t.get("title")), "head": [{"key": _plain(h.get("key")), "title": _plain(h.get("title")) or _plain(h.get("tooltip"))} for h in heads], "rows": rows}
+def _literal_tables(r: Reader) -> list[Table] | None:
+    """Tables of a literal that is an array of them, or an object that names one; null for any other. What is not a literal to its
+    end has none, so nothing is given out before."""
+    if r.opens("["):
+        return _table_array(r, 0)
+    if not r.opens("{"):
+        r.read()
+        return None
+    found = None
+    for key in r.entries():
+        if key == "tablesData" and r.opens("["):
+            found = _table_array(r, 1)
+        else:
+            r.read(1)
+            found = None if key == "tablesData" else found
+    return found
+
+
+def _table_array(r: Reader, depth: int) -> list[Table] | None:
+    found, fit = [], True
+    for _ in r.elements():
+        if r.opens("{"):
+            found.append(_embedded_table(r, depth + 1))
+        else:
+            r.read(depth + 1)
+            fit = False
+    return found if fit else None
+
+
+def _embedded_table(r: Reader, depth: int) -> Table:
+    told: dict = {}
+    rows = Rows()
+    for key in r.entries():
+        if key == "data" and r.opens("["):
+            rows = Rows()
+            for _ in r.elements():
+                rows.add(_cells(r.read(depth + 2)))
+        elif key == "data":
+            rows = Rows()
+            for row in _items(r.read(depth + 1)):
+                rows.add(_cells(row))
+        else:
+            value = r.read(depth + 1)
+            if key in ("title", "head"):
+                told[key] = value
+    heads = [h if isinstance(h, dict) else {"title": h} for h in _items(told.get("head"))]
+    head = [{"key": _plain(h.get("key")), "title": _plain(h.get("title")) or _plain(h.get("tooltip"))} for h in heads]
+    return Table(_plain(told.get("title")), head, rows.close())
+
+
+def _items(value) -> Iterable:
+    """What a value lists; nothing for a number or a truth value."""
+    return value if isinstance(value, list | dict | str) else []
+
+
+def _cells(row) -> list[tuple[str, str]]:
+    cells = [c if isinstance(c, dict) else {"text": c} for c in _items(row)]
+    return [(_plain(c.get("text")), f"{c.get('class') or ''} {c.get('html') or ''}") for c in cells]
 
 
 class _Tables(HTMLParser):
@@ -61,7 +152,7 @@ class _Tables(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tables: list[dict] = []
+        self.tables: list[Table] = []
         self.title: list[str] | None = None
         self.last_title = ""
         self.table: dict | None = None
@@ -75,15 +166,19 @@ class _Tables(HTMLParser):
         if "card-title" in classes:
             self.title = []
         if tag == "table":
-            self.table = {"title": self.last_title, "all": [], "head": None}
+            self.table = {"title": self.last_title, "open": [], "first": None, "head": None, "rows": Rows()}
         if self.table is None:
             return
         if tag == "tr":
-            self.table["all"].append({"cells": [], "th": False, "thead": self.table.get("in_head", False)})
+            if self.table["open"] and not self.table["open"][-1]["cells"]:
+                self.table["open"].pop()
+            self.table["open"].append({"cells": [], "th": False, "thead": self.table.get("in_head", False)})
         elif tag == "thead":
             self.table["in_head"] = True
-        elif tag in ("td", "th") and self.table["all"]:
-            row = self.table["all"][-1]
+        elif tag in ("td", "th") and self.table["open"]:
+            self.settle(self.table["open"][:-1])
+            row = self.table["open"][-1]
+            self.table["open"] = [row]
             row["th"] |= tag == "th"
             self.cell = {"text": [], "hidden": [], "trigger": [], "mark": a.get("class") or "", "tip": a.get("data-original-title") or ""}
             row["cells"].append(self.cell)
@@ -103,8 +198,7 @@ class _Tables(HTMLParser):
         elif tag == "thead" and self.table is not None:
             self.table["in_head"] = False
         elif tag == "table" and self.table is not None:
-            self.tables.append(self.table)
-            self.table, self.cell = None, None
+            self.end_table()
         if self.title is not None and tag in ("h1", "h2", "h3", "h4", "h5", "div", "span"):
             self.last_title, self.title = _plain(" ".join(self.title)), None
 
@@ -114,41 +208,94 @@ class _Tables(HTMLParser):
         if self.cell is not None:
             self.cell[self.special[-1][1] if self.special else "text"].append(data)
 
+    def settle(self, rows: list[dict]) -> None:
+        """Puts rows away that take no more text. The first one waits, as a later row may be the head."""
+        t = self.table
+        for r in rows:
+            if not r["cells"]:
+                continue
+            if t["head"] is None and r["thead"]:
+                t["head"] = r
+            if t["first"] is None:
+                t["first"] = r
+            elif not r["thead"]:
+                t["rows"].add(_rendered_cells(r))
 
-def _rendered(page: str) -> list[dict]:
+    def end_table(self) -> None:
+        self.settle(self.table["open"])
+        title, first, rows = self.table["title"], self.table["first"], self.table["rows"]
+        if first is not None:
+            head = self.table["head"] or first
+            leading = Rows()
+            if not first["thead"] and not (first is head and first["th"]):
+                leading.add(_rendered_cells(first))
+            self.tables.append(Table(title, [{"key": "", "title": c["tip"] or _cell_text(c)} for c in head["cells"]], leading.close() + rows.close()))
+        self.table, self.cell = None, None
+
+
+def _cell_text(c: dict) -> str:
+    return _plain(" ".join(c["hidden"])) or _plain(" ".join(c["trigger"])) or _plain(" ".join(c["text"]))
+
+
+def _rendered_cells(row: dict) -> list[tuple[str, str]]:
+    return [(_cell_text(c), c["mark"]) for c in row["cells"]]
+
+
+def _rendered(page: str) -> list[Table]:
     p = _Tables()
     p.feed(page)
     p.close()
     if p.table is not None:
-        p.tables.append(p.table)
-    out = []
-    for t in p.tables:
-        rows = [r for r in t["all"] if r["cells"]]
-        if not rows:
-            continue
-        text = lambda c: _plain(" ".join(c["hidden"])) or _plain(" ".join(c["trigger"])) or _plain(" ".join(c["text"]))
-        head = next((r for r in rows if r["thead"]), rows[0])
-        body = [r for r in rows if not r["thead"] and not (r is head and r["th"])]
-        out.append({"title": t["title"], "head": [{"key": "", "title": c["tip"] or text(c)} for c in head["cells"]], "rows": [[{"text": text(c), "mark": c["mark"]} for c in r["cells"]] for r in body]})
-    return out
+        p.end_table()
+    return p.tables
 
 
-def page_tables(page: str | None) -> list[dict]:
+def read_tables(page: str | None) -> list[Table]:
     """All tables of a page: embedded ones if it has any, else rendered ones; none for a page without."""
     if not page:
         return []
     return _embedded(page) or _rendered(page)
 
 
-@F.pandas_udf(TABLES)
-def tables_udf(pages: pd.Series) -> pd.Series:
-    return pages.map(page_tables)
-
-
-def with_tables(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per table: the page's other columns, table number, title, head, rows."""
-    others = [c for c in pages.columns if c != html]
-    return pages.select(*others, F.posexplode(tables_udf(html)).alias("table_no", "t")).select(*others, "table_no", "t.title", "t.head", "t.rows")
+def page_tables(page: str | None) -> list[dict]:
+    """The tables of a page as plain values."""
+    return [{"title": t.title, "head": t.head, "rows": [row for b in t.blocks for row in b.to_pylist()]} for t in read_tables(page)]
+
+
+def _read_pages(batches: Iterator[pa.RecordBatch], html: str, first: bool) -> Iterator[pa.RecordBatch]:
+    none = pa.array([], _ROW_ARROW)
+    for batch in batches:
+        texts, others = batch.column(html), batch.drop_columns([html])
+        made: list[tuple] = []
+        size = 0
+        for i in range(batch.num_rows):
+            for n, t in enumerate(read_tables(texts[i].as_py())[: 1 if first else None]):
+                start = 0
+                for block in t.blocks or [none]:
+                    made.append((i, n, t.title, t.head, start, block))
+                    start, size = start + len(block), size + block.nbytes
+                    if size >= BLOCK_CHARS:
+                        yield _as_batch(others, made)
+                        made, size = [], 0
+        if made:
+            yield _as_batch(others, made)
+
+
+def _as_batch(others: pa.RecordBatch, made: list[tuple]) -> pa.RecordBatch:
+    page, number, title, head, start, blocks = zip(*made, strict=True)
+    ends = [0]
+    for b in blocks:
+        ends.append(ends[-1] + len(b))
+    rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(blocks))
+    values = [pa.array(number, pa.int32()), pa.array(title, pa.string()), pa.array(head, _HEAD_ARROW), pa.array(start, pa.int32()), rows]
+    return pa.RecordBatch.from_arrays([*others.take(pa.array(page, pa.int64())).columns, *values], [*others.schema.names, *_BLOCK.names])
+
+
+def with_tables(pages: DataFrame, html: str = "html", first: bool = False) -> DataFrame:
+    """Tables of pages, or the first of each, in blocks of rows: the page's other columns, table number, title, head, number of the
+    block's first row (``start``), rows. Every table has one block that starts at 0, which is empty if the table is."""
+    others = [f for f in pages.schema if f.name != html]
+    return pages.mapInArrow(partial(_read_pages, html=html, first=first), T.StructType([*others, *_BLOCK]))
 
 
 # -- columns by what their header says ---------------------------------------
@@ -176,13 +323,14 @@ def cell(row: str, column: Column) -> Column:
 
 
 def _first_tables(pages: DataFrame) -> DataFrame:
-    return with_tables(pages).filter("table_no = 0")
+    return with_tables(pages, first=True)
 
 
 def _rows(tables: DataFrame, columns: dict[str, Column], keys: list[str]) -> DataFrame:
     """One row per table row, with its number, cells (``row``) and the numbers of the found columns."""
-    found = tables.select(*keys, "title", "head", "rows", *[c.alias(name) for name, c in columns.items()])
-    return found.select(*keys, "title", "head", *columns, F.posexplode("rows").alias("row_no", "row"))
+    found = tables.select(*keys, "title", "head", "start", "rows", *[c.alias(name) for name, c in columns.items()])
+    each = found.select(*keys, "title", "head", "start", *columns, F.posexplode("rows").alias("pos", "row"))
+    return each.select(*keys, "title", "head", *columns, (F.col("start") + F.col("pos")).alias("row_no"), "row")
 
 
 def team_tab(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -385,7 +533,7 @@ def _debates(pages: DataFrame, key: str) -> DataFrame:
     titled = F.coalesce(F.col("title").rlike(r"(?i)^((my|your)\s+)?(debates?|rounds?)$|^schedule$|^panel(s|\s+history)?$|round\s+assignments?"), F.lit(False))
     adj = find_column(F.col("head"), "adjudicator", "judge")
     t = t.withColumn("fit", F.when(titled, 2).when(adj.isNotNull(), 1).otherwise(0)).filter("fit > 0")
-    own = t.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("fit"), "table_no"))).filter("i = 1")
+    own = t.withColumn("i", F.rank().over(Window.partitionBy(key).orderBy(F.desc("fit"), "table_no"))).filter("i = 1")
     h = F.col("head")
     return _rows(own, {"c_round": F.coalesce(find_column(h, "round"), F.lit(0)), "c_adj": find_column(h, "adjudicator", "judge", "adj"), "c_result": find_column(h, "result")}, [key])
 

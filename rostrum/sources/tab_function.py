@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from rostrum.sources.html_tables import page_tables
+from rostrum.sources.html_tables import read_tables
 
 # Words of the headers of published tabs.
 KINDS = {
@@ -90,11 +90,11 @@ class TabRows:
         if wanted not in self.known:
             self.known[wanted] = columns_of(wanted)
         first, columns = self.known[wanted]
-        for t, table in enumerate(page_tables(html)[: 1 if first else None]):
-            places = [place_of(table["head"], c) for c in columns]
+        for t, table in enumerate(read_tables(html)[: 1 if first else None]):
+            places = [place_of(table.head, c) for c in columns]
             if any(c.must and p is None for c, p in zip(columns, places, strict=True)):
                 continue
-            for r, row in enumerate(table["rows"]):
+            for r, row in enumerate(row for block in table.blocks for row in block.to_pylist()):
                 texts = [row[p].get("text") if p is not None and p < len(row) else None for p in places]
                 if not any(c.must and not x for c, x in zip(columns, texts, strict=True)):
                     yield t, r, *(value_of(x, c.type) for c, x in zip(columns, texts, strict=True))
