@@ -67,3 +67,19 @@ def test_what_is_put_away_counts_only_for_a_whole_literal(monkeypatch, spark):
     assert html_tables.page_tables(pair)[0]["rows"][0][0]["text"] == "\U0001f600 \ufffd"
     empty = spark.createDataFrame([(1, "<script>window.vueData = [{head: ['n']}, {data: []}];</script>")], "page_id long, html string")
     assert [(r.table_no, r.start, r.rows) for r in html_tables.with_tables(empty).orderBy("table_no").collect()] == [(0, 0, []), (1, 0, [])]
+
+
+def test_a_speaker_tab_of_a_large_page(spark):
+    heads = ", ".join(f"{{key: '{k}', title: '{t}'}}" for k, t in [("rank", "Rk"), ("esl", "ESL Rank"), ("name", "Name"), ("team", "Team"), ("r1", "R1"), ("r2", "2"), ("avg", "Avg"), ("total", "Total")])
+    cells = lambda i: [i % 90 + 1, i % 9 + 1 if i % 2 else "", f"Name {i}", "Blue", i % 30 + 60, "—" if i % 5 == 0 else i % 25 + 60, 75.5, i]
+    rows = ",\n".join("[" + ", ".join(f'{{text: "{c}"}}' for c in cells(i)) + "]" for i in range(N))
+    page = f"<script>window.vueData = [{{head: [{heads}], data: [{rows}]}}];</script>"
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    (table,) = html_tables.read_tables(page)
+    peak = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - held
+    tracemalloc.stop()
+    assert sum(map(len, table.blocks)) == N and peak < 6 * len(page), peak / len(page)
+    got = html_tables.speaker_tab(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    want = lambda i: (i, i % 90 + 1, i % 9 + 1 if i % 2 else None, f"Name {i}", float(i), [("R1", i % 30 + 60.0), ("2", None if i % 5 == 0 else i % 25 + 60.0)])
+    assert [(r.row_no, r["rank"], r.rank_esl, r.speaker, r.total, [tuple(x) for x in r.scores]) for r in got.orderBy("row_no").collect()] == [want(i) for i in range(N)]
