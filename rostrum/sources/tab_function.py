@@ -17,7 +17,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +77,13 @@ def value_of(text: str | None, kind: str):
     return number if kind == "double" or number is None else int(number)
 
 
+def texts_of(block: pa.ListArray) -> Iterator[list[str]]:
+    """The texts of each row of a block."""
+    texts = block.values.field("text").to_pylist()
+    for start, end in pairwise(block.offsets.to_pylist()):
+        yield texts[start:end]
+
+
 class TabRows:
     @staticmethod
     def analyze(html: AnalyzeArgument, wanted: AnalyzeArgument) -> AnalyzeResult:
@@ -94,8 +103,8 @@ class TabRows:
             places = [place_of(table.head, c) for c in columns]
             if any(c.must and p is None for c, p in zip(columns, places, strict=True)):
                 continue
-            for r, row in enumerate(row for block in table.blocks for row in block.to_pylist()):
-                texts = [row[p].get("text") if p is not None and p < len(row) else None for p in places]
+            for r, row in enumerate(row for block in table.blocks for row in texts_of(block)):
+                texts = [row[p] if p is not None and p < len(row) else None for p in places]
                 if not any(c.must and not x for c, x in zip(columns, texts, strict=True)):
                     yield t, r, *(value_of(x, c.type) for c, x in zip(columns, texts, strict=True))
 

@@ -83,3 +83,16 @@ def test_a_speaker_tab_of_a_large_page(spark):
     got = html_tables.speaker_tab(spark.createDataFrame([(1, page)], "page_id long, html string"))
     want = lambda i: (i, i % 90 + 1, i % 9 + 1 if i % 2 else None, f"Name {i}", float(i), [("R1", i % 30 + 60.0), ("2", None if i % 5 == 0 else i % 25 + 60.0)])
     assert [(r.row_no, r["rank"], r.rank_esl, r.speaker, r.total, [tuple(x) for x in r.scores]) for r in got.orderBy("row_no").collect()] == [want(i) for i in range(N)]
+
+
+def test_the_table_function_reads_a_large_page_in_blocks():
+    page = embedded(N)
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    arrow = n = 0
+    for r in tab_function.TabRows().eval(page, "speaker_tab"):
+        assert r == (0, n, f"Name {n}", None, "—", None, None, None)
+        n, arrow = n + 1, max(arrow, pa.total_allocated_bytes() - held)
+    peak = tracemalloc.get_traced_memory()[1] + arrow
+    tracemalloc.stop()
+    assert n == N and peak < 8 * len(page), peak / len(page)
