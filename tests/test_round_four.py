@@ -34,3 +34,17 @@ def test_pairs_are_those_of_a_join(spark, monkeypatch, how, tile):
     right = spark.createDataFrame([(k, i // 2, f"t{i}" if i % 3 else None) for k, n in ((1, 11), (2, 2), (3, 1), (8, 5)) for i in range(n)] + [(9, 0, "x"), (9, 0, "x")], "k long, b long, t string")
     rows = lambda df: Counter(map(tuple, df.select("k", "a", "b", "t").collect()))
     assert rows(spread.pairs(left, right, ["k"], how)) == rows(left.join(right, ["k"], how))
+
+
+def test_motions_of_one_round_meet_its_persons_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spread, "TILE", 100, raising=False)
+    rounds = spark.range(900).selectExpr("id as person_id", "id div 890 as tid", "1 + id div 10000 as round")
+    motion = spark.range(1000).selectExpr("id as motion_id", "id div 10000 as tid", "1 + id div 10000 as round", "'a' as type", "'b' as topic")
+    # motions are too many to be sent to every task
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        share, rows = _largest_share(results.with_motions(rounds, motion))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # ten persons are at a tournament without motions, and keep a row each
+    assert rows == 890_010 and share < 0.5
